@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, secrets, sharding, urls
+from . import bpe, media, mixing, secrets, sharding, toxicity, urls
 
 
 def tokenizer_path() -> str:
@@ -39,6 +39,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_media": op5_media,
         "op7_sharding": op7_sharding,
         "op8_secrets": op8_secrets,
+        "op9_toxicity": op9_toxicity,
         "op10_urls": op10_urls,
     }
 
