@@ -24,7 +24,7 @@ from .arrow import append_columns
 #: Word pattern of byte-level BPE (fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers before it forgets the unused; bounds memory, not results.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 250_000
 #: Longer pieces are encoded each time, not remembered.
 CACHE_CHARS = 64
 NEVER = 1 << 62
@@ -230,18 +230,21 @@ def load(path: str, library: bool = False) -> SpeculativeBPE:
     return LibraryBPE(path) if library else SpeculativeBPE(path)
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", drop_text: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", drop_text: bool = False, decoded_col: str | None = None, library: bool = False) -> DataFrame:
     """Add ``ids_col`` (BINARY: little-endian unsigned 32-bit ids) and ``n_tokens``.
 
     Null and empty texts give no ids.  Strings of added tokens in a text are those tokens.
-    An input column with the name of an output column is replaced.  No shuffle.
+    With ``decoded_col`` the ids are also decoded again, in the same worker.  An input column
+    with the name of an output column is replaced.  No shuffle.
     """
 
     def make(batch: pa.RecordBatch) -> list:
-        ids = load(path).encode_batch(batch.column(text_col).to_pylist())
-        return [ids, [len(b) // 4 for b in ids]]
+        coder = load(path, library)
+        ids = coder.encode_batch(batch.column(text_col).to_pylist())
+        return [ids, [len(b) // 4 for b in ids], *([[coder.decode(b) for b in ids]] if decoded_col else [])]
 
     fields = [T.StructField(ids_col, T.BinaryType(), False), T.StructField("n_tokens", T.LongType(), False)]
+    fields += [T.StructField(decoded_col, T.StringType(), False)] if decoded_col else []
     return append_columns(df, make, fields, text_col, (text_col,) if drop_text else ())
 
 
@@ -257,7 +260,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
 
 def round_trip(df: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
-    coded = decode(encode(df.select("doc_id", "text"), path, drop_text=True), path)
+    coded = encode(df.select("doc_id", "text"), path, drop_text=True, decoded_col="decoded")
     return coded.select(
         "doc_id",
         "n_tokens",
