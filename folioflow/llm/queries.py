@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, secrets, sharding, toxicity, urls
+from . import bpe, media, mixing, secrets, seqfiles, sharding, toxicity, urls
 
 
 def tokenizer_path() -> str:
@@ -31,6 +31,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(table(spark, sf_dir, "documents"))
 
 
+def op6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seqfiles.sequence_report(spark, table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_mixing": op4_mixing,
         "op5_media": op5_media,
+        "op6_sequences": op6_sequences,
         "op7_sharding": op7_sharding,
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
