@@ -1 +1 @@
-
+"""Column functions that stay in the JVM."""
