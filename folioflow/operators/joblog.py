@@ -51,12 +51,12 @@ def queue_positions(jobs: DataFrame) -> DataFrame:
     running sums over one stream of events instead of a join of intervals.  Starts at the
     very time of a submission count as gone.
     """
-    arrived = jobs.select("job_id", "lane", F.col("submitted_at").alias("t"), F.lit(1).alias("kind"))
-    gone = jobs.filter("started_at is not null").select("job_id", "lane", F.col("started_at").alias("t"), F.lit(0).alias("kind"))
-    step = F.when(F.col("kind") == 1, 1).otherwise(-1)
-    student = F.when(F.col("lane") == "student", step).otherwise(0)
-    run = running_sums(arrived.unionByName(gone), [], ["t", "kind", "job_id"], {"everyone": step, "students": student})
-    ahead = F.when(F.col("lane") == "student", F.col("students")).otherwise(F.col("everyone")) - 1
+    waits = F.col("started_at").isNull() | (F.col("started_at") > F.col("submitted_at"))
+    arrived = jobs.select("job_id", "lane", F.col("submitted_at").alias("t"), F.lit(1).alias("kind"), F.when(waits, 1).otherwise(0).alias("step"))
+    gone = jobs.filter(waits & F.col("started_at").isNotNull()).select("job_id", "lane", F.col("started_at").alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("step"))
+    student = F.when(F.col("lane") == "student", F.col("step")).otherwise(0)
+    run = running_sums(arrived.unionByName(gone), [], ["t", "kind", "job_id"], {"everyone": F.col("step"), "students": student})
+    ahead = F.when(F.col("lane") == "student", F.col("students")).otherwise(F.col("everyone")) - F.col("step")
     return run.filter("kind = 1").select("job_id", ahead.cast("long").alias("ahead"))
 
 

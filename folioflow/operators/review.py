@@ -1,7 +1,6 @@
 """Review of edits, courses, quizzes and conversations: deterministic checks over whole tables."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +88,6 @@ def recap(turns: DataFrame, speaker: str = "assistant") -> DataFrame:
 
 def repeated_answers(turns: DataFrame, speaker: str = "assistant", least: float = 0.5) -> DataFrame:
     """(conv_id, turn, earlier): answers that repeat an earlier one of their conversation."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
