@@ -26,6 +26,9 @@ SHORT_WORDS = "a à y au ai as ce de du en es et eu il je la le ma me ne ni on o
 #: What an issue costs a section's confidence.
 WEIGHTS = {"FORMULA": 0.20, "ENCODING": 0.10, "UNREADABLE": 0.10, "OCR_NOISE": 0.08, "THIN": 0.30, "DUPLICATE_CELL": 0.15}
 
+#: Keeps a value that arithmetic left just below a half from being rounded down.
+HALF = 1e-9
+
 LETTER = f"[\\p{{L}}\\p{{Nl}}\\p{{No}}&&[^{SCRIPTS}]]"
 ANY_LETTER = "[\\p{L}\\p{Nl}\\p{No}]"
 _LOW, _UP = tx.FRENCH, tx.FRENCH.upper()
@@ -60,12 +63,12 @@ def assess(df: DataFrame, text_col: str = "text", out: str = "quality") -> DataF
     )
     penalty = F.least(F.lit(1.0), F.col("_cid") / F.greatest(F.lit(1), F.col("_n")) * 10)
     raw = F.col("_share") * 0.7 + (F.lit(1.0) - F.least(F.lit(1.0), F.col("_odd") * 20)) * 0.3 - penalty * 0.3
-    score = F.when(F.char_length(text) == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4))
+    score = F.when(F.char_length(text) == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) + HALF, 4))
     made = F.struct(
         score.alias("score"),
         F.col("_cid").cast("int").alias("cid_markers"),
-        F.round("_odd", 5).alias("out_of_repertoire"),
-        F.round("_share", 4).alias("word_plausibility"),
+        F.round(F.col("_odd") + HALF, 5).alias("out_of_repertoire"),
+        F.round(F.col("_share") + HALF, 4).alias("word_plausibility"),
         F.char_length(text).alias("characters"),
     )
     return staged.withColumn(out, made).drop("_cid", "_stripped", "_tokens", "_good", "_n", "_odd", "_share")

@@ -137,7 +137,7 @@ CID_EXPR = "case when doc_id % 7 = 0 then concat(text, ' (cid:12) (cid:3)') else
 
 @register(
     "a2_assess",
-    f"SELECT doc_id, cast(format('{{:.4f}}', greatest(0.0, least(1.0, share * 0.7 + (1.0 - least(1.0, odd * 20)) * 0.3 - least(1.0, cid / greatest(1, n) * 10) * 0.3))) as double) AS score, cast(cid as int) AS cid_markers, cast(format('{{:.5f}}', odd) as double) AS out_of_repertoire, cast(format('{{:.4f}}', share) as double) AS word_plausibility, cast(characters as int) AS characters FROM ({_assess_sql(CID, 'doc_id')})",
+    f"SELECT doc_id, cast(format('{{:.4f}}', greatest(0.0, least(1.0, share * 0.7 + (1.0 - least(1.0, odd * 20)) * 0.3 - least(1.0, cid / greatest(1, n) * 10) * 0.3)) + 1e-9) as double) AS score, cast(cid as int) AS cid_markers, cast(format('{{:.5f}}', odd + 1e-9) as double) AS out_of_repertoire, cast(format('{{:.4f}}', share + 1e-9) as double) AS word_plausibility, cast(characters as int) AS characters FROM ({_assess_sql(CID, 'doc_id')})",
 )
 def _(spark, d):
     return quality.assess(docs(spark, d).selectExpr("doc_id", CID_EXPR)).select("doc_id", "quality.*")
