@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, media, mixing, secrets, seqfiles, sharding, toxicity, urls
+from . import bpe, jaccard, media, mixing, secrets, seqfiles, sharding, topk, toxicity, urls
 
 
 def tokenizer_path() -> str:
@@ -23,6 +23,10 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_report(table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.topk_report(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -58,6 +62,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
+        "op2_topk": op2_topk,
         "op3_bpe": op3_bpe,
         "op4_mixing": op4_mixing,
         "op5_media": op5_media,
