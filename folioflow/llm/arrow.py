@@ -38,7 +38,7 @@ def string_offsets(column: pa.Array) -> bytes:
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a column of texts, and where each row starts (one more than rows); nulls are empty."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(string_offsets(column), dtype=np.int64)

@@ -1,9 +1,10 @@
-"""BPE encoding and decoding by speculation.
+"""BPE encoding and decoding by speculation, for whole slices of texts at once.
 
-A greedy longest match proposes the tokens of each new word.  A sequence of tokens is
-the BPE encoding of its bytes exactly when every adjacent pair, merged on its own,
-comes back as that pair; so all adjacent pairs of a slice are checked together against
-a table of known pairs, and only words with a failing pair are merged step by step.
+A greedy longest match proposes the tokens of each new word.  A sequence of tokens is the
+BPE encoding of its bytes exactly when every adjacent pair, merged on its own, comes back
+as that pair; so all adjacent pairs of a slice are checked together against a table of
+known pairs, and only words with a failing pair (and unknown pairs) are merged step by
+step.  Words are told apart by 64-bit hashes of their bytes and their lengths.
 """
 
 from __future__ import annotations
@@ -11,23 +12,27 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import append_columns
+from .arrow import append_columns, text_bytes
+from .hashing import word_hashes
 
-#: Word pattern of byte-level BPE (fixed value of the format).
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers before it forgets the unused; bounds memory, not results.
-CACHE_WORDS = 250_000
-#: Longer pieces are encoded each time, not remembered.
-CACHE_CHARS = 64
-NEVER = 1 << 62
+#: Words that a worker remembers before it forgets the unused; bounds memory, not results.
+CACHE_WORDS = 1_000_000
+#: Words of more bytes are merged one by one, in n log n steps.
+LONG = 200
+#: Classes of characters: neither letter nor digit, letter, number, space, other white space.
+OTHER, LETTER, NUMBER, SPACE, BLANK, UNKNOWN = 0, 1, 2, 3, 4, 255
+#: White space of the word pattern (fixed value: the Unicode property).
+WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+NEVER = np.int64(1 << 62)
+ALONE = 0xFFFFFFFF
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,6 +42,63 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(spare)}
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All indices of the ranges, one range after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+class Words:
+    """Where the words of byte-level BPE begin.
+
+    Contractions such as 's; runs of letters, of numbers, of other signs, each with one space
+    before it; runs of white space without their last character if a word follows.
+    """
+
+    def __init__(self):
+        self.kind = np.full(0x110000, UNKNOWN, np.uint8)
+        self.kind[WHITE] = BLANK
+        self.kind[0x20] = SPACE
+
+    def _kinds(self, points: np.ndarray) -> np.ndarray:
+        kinds = self.kind[points]
+        if (kinds == UNKNOWN).any():
+            for p in np.unique(points[kinds == UNKNOWN]).tolist():
+                self.kind[p] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(p))[0], OTHER)
+            kinds = self.kind[points]
+        return kinds
+
+    def starts(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Byte positions where words begin; no word crosses an edge."""
+        lead = np.flatnonzero((raw & 0xC0) != 0x80)
+        first = raw[lead].astype(np.int32)
+        points = first.copy()
+        for low, bits, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+            some = np.flatnonzero((first >= low) & (first < low + bits + 1))
+            value = first[some] & bits
+            for k in range(1, more + 1):
+                value = value << 6 | raw[np.minimum(lead[some] + k, len(raw) - 1)] & 0x3F
+            points[some] = value
+        points = np.minimum(points, 0x10FFFF)
+        kind = self._kinds(points)
+        n = len(kind)
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[edges] = True
+        edge = np.append(edge[lead], True)
+        white = kind >= SPACE
+        before = np.append(OTHER, kind[:-1])
+        white_before = before >= SPACE
+        word_next = np.append(~white[1:], False) & ~edge[1:]
+        start = edge[:-1] | (white & (~white_before | word_next)) | (~white & np.where(white_before, before != SPACE, kind != before))
+        for i in np.flatnonzero((points == 39) & start).tolist():
+            tail = "".join(chr(p) for p, e in zip(points[i + 1 : i + 3].tolist(), edge[i + 1 : i + 3].tolist(), strict=True) if not e) if i + 1 < n and not edge[i + 1] else ""
+            size = 2 if tail[:2] in ("re", "ve", "ll") else 1 if tail[:1] in ("s", "t", "m", "d") and tail else 0
+            if size:
+                start[i + 1] = False
+                if i + 1 + size < n and not edge[i + 1 + size]:
+                    start[i + 1 + size] |= kind[i + 1 + size] == LETTER
+        return lead[start]
+
+
 class SpeculativeBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -44,62 +106,124 @@ class SpeculativeBPE:
         alphabet = byte_alphabet()
         model = spec["model"]
         raw = lambda s: bytes(alphabet[c] for c in s)
-        self.ids = {raw(s): i for s, i in model["vocab"].items()}
-        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
-        size = max([*self.ids.values(), *self.added.values()]) + 1
-        self.token: list[bytes] = [b""] * size
-        for b, i in self.ids.items():
-            self.token[i] = b
-        for s, i in self.added.items():
-            self.token[i] = s.encode()
-        self.byte = [self.ids[bytes([b])] for b in range(256)]
-        self.ranks: dict[int, int] = {}  # pair (first << 32 | second) -> rank << 32 | merged token
+        ids = {raw(s): i for s, i in model["vocab"].items()}
+        self.added = {t["content"].encode(): t["id"] for t in spec.get("added_tokens") or []}
+        token = [b""] * (max([*ids.values(), *self.added.values()]) + 1)
+        for b, i in [*ids.items(), *self.added.items()]:
+            token[i] = b
+        self.bytes = np.frombuffer(b"".join(token), np.uint8)
+        self.ends = np.cumsum([len(t) for t in token])
+        self.sizes = np.diff(self.ends, prepend=0)
+        self.byte = np.array([ids[bytes([b])] for b in range(256)], np.int64)
+        pairs = []
         for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            a, b = raw(a), raw(b)
-            self.ranks[self.ids[a] << 32 | self.ids[b]] = rank << 32 | self.ids[a + b]
-        self.reach: dict[bytes, int] = {}  # longest token by its first three bytes
-        for b in self.ids:
-            self.reach[b[:3]] = max(self.reach.get(b[:3], 1), len(b))
-        self.words = regex.compile(WORDS)
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.pairs = np.zeros(0, np.int64)  # known pairs, sorted, and whether each holds
-        self.holds = np.zeros(0, bool)
-        self.loose = regex.compile(r" (?:\s|$)")
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.merged = 0
-
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        out, i, n, ids, reach = [], 0, len(word), self.ids, self.reach
-        while i < n:
-            j = min(n, i + reach.get(word[i : i + 3], 2))
-            while (found := ids.get(word[i:j])) is None:
-                j -= 1
-            out.append(found)
-            i = j
-        return out
-
-    def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the lowest rank first, the leftmost of equals."""
-        part = [self.byte[b] for b in word]
-        if len(part) > 96:
-            return self._merge_long(part)
-        get = self.ranks.get
-        cost = [get(a << 32 | b, NEVER) for a, b in zip(part, part[1:])]  # noqa: B905
-        while cost and (low := min(cost)) != NEVER:
-            i = cost.index(low)
-            part[i] = low & 0xFFFFFFFF
-            del part[i + 1], cost[i]
-            if i:
-                cost[i - 1] = get(part[i - 1] << 32 | part[i], NEVER)
-            if i < len(cost):
-                cost[i] = get(part[i] << 32 | part[i + 1], NEVER)
-        return part
+            a, b = (raw(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
+            pairs.append((ids[a] << 32 | ids[b], rank << 32 | ids[a + b]))
+        pairs.sort()
+        self.pair_codes, self.pair_costs = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.cost_of = dict(pairs)
+        self._trie(ids)
+        self.words = Words()
+        self.known, self.holds = np.zeros(0, np.int64), np.zeros(0, bool)  # pair codes, sorted, and whether each holds
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _trie(self, ids: dict[bytes, int]) -> None:
+        """``next[node, byte]`` of inner nodes; nodes from ``inner`` on are leaves; ``ends_at[node]`` is a token or -1."""
+        inner = {b[:k] for b in ids for k in range(len(b))}
+        number = {p: i for i, p in enumerate(sorted(inner, key=lambda p: (len(p), p)))}
+        self.inner = len(number)
+        leaves = [b for b in ids if b not in number]
+        number |= {b: self.inner + i for i, b in enumerate(leaves)}
+        self.next = np.full((self.inner, 256), -1, np.int32)
+        for p, i in number.items():
+            if p:
+                self.next[number[p[:-1]], p[-1]] = i
+        self.ends_at = np.array([ids.get(p, -1) for p in sorted(number, key=number.get)], np.int32)
+
+    def propose(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match: (word, token) in order."""
+        n = len(raw)
+        stop = np.repeat(ends, ends - starts)
+        best, size = np.full(n, -1, np.int32), np.zeros(n, np.int64)
+        live, node, depth = np.arange(n), np.zeros(n, np.int32), 0
+        while len(live):
+            node = self.next[node, raw[live + depth]]
+            depth += 1
+            ok = node >= 0
+            live, node = live[ok], node[ok]
+            token = self.ends_at[node]
+            hit = token >= 0
+            best[live[hit]], size[live[hit]] = token[hit], depth
+            go = (node < self.inner) & (live + depth < stop[live])
+            live, node = live[go], node[go]
+        words, tokens = [], []
+        word, at = np.arange(len(starts)), starts.copy()
+        while len(word):
+            words.append(word)
+            tokens.append(best[at])
+            at = at + size[at]
+            go = at < ends[word]
+            word, at = word[go], at[go]
+        word, token = np.concatenate(words), np.concatenate(tokens)
+        order = np.argsort(word, kind="stable")
+        return word[order], token[order].astype(np.int64)
+
+    def _costs(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.pair_codes, codes), len(self.pair_codes) - 1)
+        return np.where(self.pair_codes[at] == codes, self.pair_costs[at], NEVER)
+
+    def merge(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of all words side by side, each by its lowest rank, leftmost of equals: (word, token) in order."""
+        done_w, done_t = [], []
+        long = ends - starts > LONG
+        for w in np.flatnonzero(long).tolist():
+            tokens = self._merge_long(self.byte[raw[starts[w] : ends[w]]].tolist())
+            done_w.append(np.full(len(tokens), w))
+            done_t.append(np.array(tokens, np.int64))
+        word = np.flatnonzero(~long)
+        sizes = (ends - starts)[word]
+        token, word = self.byte[raw[_ranges(starts[word], sizes)]], np.repeat(word, sizes)
+        cost = np.full(len(token), NEVER)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        cost[inside] = self._costs(token[inside] << 32 | token[inside + 1])
+        while len(token):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            low = np.repeat(np.minimum.reduceat(cost, first), np.diff(np.append(first, len(word))))
+            ended = low == NEVER
+            if ended.any():
+                done_w.append(word[ended])
+                done_t.append(token[ended])
+                word, token, cost, low = (x[~ended] for x in (word, token, cost, low))
+                if not len(token):
+                    break
+            at = np.flatnonzero(cost == low)
+            at = at[np.append(True, word[at[1:]] != word[at[:-1]])]
+            token[at] = cost[at] & 0xFFFFFFFF
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))  # the merged tokens' places once their right halves are gone
+            word, token, cost = word[keep], token[keep], cost[keep]
+            for i in (moved - 1, moved):
+                i = i[(i >= 0) & (i + 1 <= len(word))]
+                last = i + 1 >= len(word)
+                j = np.where(last, i, i + 1)
+                joined = ~last & (word[i] == word[j])
+                fresh = np.full(len(i), NEVER)
+                fresh[joined] = self._costs(token[i[joined]] << 32 | token[j[joined]])
+                cost[i] = fresh
+        if not done_w:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word, token = np.concatenate(done_w), np.concatenate(done_t)
+        order = np.argsort(word, kind="stable")
+        return word[order], token[order]
 
     def _merge_long(self, part: list[int]) -> list[int]:
-        """The same in n log n steps: a heap over linked positions."""
-        n, get = len(part), self.ranks.get
+        n, get = len(part), self.cost_of.get
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(r >> 32, i, part[i], part[i + 1]) for i in range(n - 1) if (r := get(part[i] << 32 | part[i + 1])) is not None]
         heapq.heapify(heap)
@@ -108,7 +232,7 @@ class SpeculativeBPE:
             j = right[i] if part[i] == a else -1
             if j < 0 or part[j] != b:
                 continue
-            part[i], part[j] = self.ranks[a << 32 | b] & 0xFFFFFFFF, -1
+            part[i], part[j] = self.cost_of[a << 32 | b] & 0xFFFFFFFF, -1
             right[i] = k = right[j]
             if k >= 0:
                 left[k] = i
@@ -118,119 +242,136 @@ class SpeculativeBPE:
                 heapq.heappush(heap, (r >> 32, h, part[h], part[i]))
         return [t for t in part if t >= 0]
 
-    def check_pairs(self, codes: np.ndarray) -> np.ndarray:
-        """For each pair code (first * 2**32 + second; a lone token has second 2**32 - 1) whether merging returns it."""
+    def check(self, codes: np.ndarray) -> np.ndarray:
+        """Whether merging the bytes of each pair (first << 32 | second, or a lone token with ALONE) returns it."""
         unique, inverse = np.unique(codes, return_inverse=True)
-        at = np.searchsorted(self.pairs, unique)
-        known = at < len(self.pairs)
-        known[known] = self.pairs[at[known]] == unique[known]
-        if len(fresh := unique[~known]):
-            good = np.empty(len(fresh), bool)
-            for k, code in enumerate(fresh.tolist()):
-                a, b = code >> 32, code & 0xFFFFFFFF
-                want = [a] if b == 0xFFFFFFFF else [a, b]
-                good[k] = self.merge(b"".join(self.token[t] for t in want)) == want
-            pairs, holds = np.concatenate([self.pairs, fresh]), np.concatenate([self.holds, good])
-            order = np.argsort(pairs, kind="stable")
-            self.pairs, self.holds = pairs[order], holds[order]
-            at = np.searchsorted(self.pairs, unique)
+        at = np.searchsorted(self.known, unique)
+        seen = at < len(self.known)
+        seen[seen] = self.known[at[seen]] == unique[seen]
+        if len(fresh := unique[~seen]):
+            a, b = fresh >> 32, fresh & ALONE
+            both = np.stack([a, np.where(b == ALONE, 0, b)], 1)
+            sizes = self.sizes[both]
+            sizes[b == ALONE, 1] = 0
+            raw = self.bytes[_ranges((self.ends - self.sizes)[both].ravel(), sizes.ravel())]
+            stops = np.cumsum(sizes.sum(axis=1))
+            word, token = self.merge(raw, stops - sizes.sum(axis=1), stops)
+            count = np.bincount(word, minlength=len(fresh))
+            lead = np.cumsum(count) - count
+            good = (count == np.where(b == ALONE, 1, 2)) & (token[lead] == a)
+            two = np.flatnonzero(good & (b != ALONE))
+            good[two] = token[lead[two] + 1] == b[two]
+            order = np.argsort(np.concatenate([self.known, fresh]), kind="stable")
+            self.known, self.holds = np.concatenate([self.known, fresh])[order], np.concatenate([self.holds, good])[order]
+            at = np.searchsorted(self.known, unique)
         return self.holds[at][inverse]
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words as little-endian unsigned 32-bit integers."""
-        proposed = [self.propose(w.encode("utf-8", "replace")) for w in words]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(words))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(sizes.sum()))
-        nxt = np.append(flat[1:], 0xFFFFFFFF)
-        ends = np.cumsum(sizes) - 1
-        tested = np.ones(len(flat), bool)
-        tested[ends[sizes > 1]] = False  # the last token of a word has no right neighbour
-        nxt[ends] = 0xFFFFFFFF
-        ok = np.ones(len(flat), bool)
-        ok[tested] = self.check_pairs((flat[tested] << 32) | nxt[tested])
-        good = np.logical_and.reduceat(ok, ends - sizes + 1) if len(words) else ok
-        ids = flat.astype("<u4")
-        out = {}
-        for w, g, e, n in zip(words, good.tolist(), ends.tolist(), sizes.tolist(), strict=True):
-            if g:
-                out[w] = ids[e - n + 1 : e + 1].tobytes()
-            else:
-                self.merged += 1
-                out[w] = np.array(self.merge(w.encode("utf-8", "replace")), "<u4").tobytes()
-        return out
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes; a null text is an empty one.
-
-        A space before a character that is no white space always begins a word, so texts are
-        cut there first and the pieces looked up; only unknown pieces meet the word pattern.
-        """
-        cut: list[list] = []
-        fresh: set[str] = set()
-        for text in texts:
-            parts: list = []
-            for piece, special in self._pieces(text or ""):
-                chunks = [piece] if not piece or self.loose.search(piece) else piece.split(" ")
-                if len(chunks) > 1:
-                    first = chunks[0]
-                    chunks[0] = ""  # the first piece has no space before it
-                    fresh.update(chunks)
-                else:
-                    first, chunks = piece, []
-                parts.append((first, chunks, special))
-            cut.append(parts)
-        fresh.discard("")
-        if len(self.chunks) > CACHE_WORDS:  # keep what this slice uses
-            self.chunks = {w: self.chunks[w] for w in fresh & self.chunks.keys()} | {"": b""}
-        fresh -= self.chunks.keys()
-        words = {w: self.words.findall(" " + w) for w in fresh}
-        heads = {f: self.words.findall(f) for f in {f for parts in cut for f, _, _ in parts}}
-        made = self.learn(list({w for ws in (*words.values(), *heads.values()) for w in ws}))
-        new = {w: b"".join(map(made.__getitem__, ws)) for w, ws in words.items()}
-        self.chunks |= {w: b for w, b in new.items() if len(w) <= CACHE_CHARS}
-        start = {f: b"".join(map(made.__getitem__, ws)) for f, ws in heads.items()}
-        known = self.chunks
-        get = lambda w: new[w] if (b := known.get(w)) is None else b
-        if all(len(w) <= CACHE_CHARS for w in new):
-            get = known.__getitem__
-        return [b"".join([start[first] + b"".join(map(get, chunks)) + special for first, chunks, special in parts]) for parts in cut]
-
-    def _pieces(self, text: str):
-        """Stretches of ordinary text, each with the ids of the added token that follows it, if any."""
-        start = 0
-        if self.special is not None:
-            for m in self.special.finditer(text):
-                yield text[start : m.start()], np.array([self.added[m[0]]], "<u4").tobytes()
-                start = m.end()
-        yield text[start:], b""
-
-    def decode(self, ids: bytes | None) -> str:
-        """Text of ids; bytes that are no UTF-8 become U+FFFD, ids beyond the vocabulary nothing."""
-        size = len(self.token)
-        return b"".join([self.token[i] for i in np.frombuffer(ids or b"", "<u4").tolist() if i < size]).decode("utf-8", "replace")
-
-
-class LibraryBPE(SpeculativeBPE):
-    """The same with each new word merged by the tokenizers library's own model."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        from tokenizers import Tokenizer
+    def learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words, and how many each has: proposed, checked, merged where the check fails."""
+        sizes = ends - starts
+        raw = raw[_ranges(starts, sizes)]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        word, token = self.propose(raw, starts, ends)
+        same = np.append(word[1:] == word[:-1], False)
+        lone = np.bincount(word, minlength=len(starts)) == 1
+        right = np.where(same, np.append(token[1:], 0), ALONE)
+        tested = same | lone[word]
+        ok = np.ones(len(word), bool)
+        ok[tested] = self.check((token[tested] << 32) | right[tested])
+        bad = np.zeros(len(starts), bool)
+        bad[word[~ok]] = True
+        redo = np.flatnonzero(bad)
+        if len(redo):
+            again, merged = self.merge(raw, starts[redo], ends[redo])
+            keep = ~bad[word]
+            word, token = np.concatenate([word[keep], redo[again]]), np.concatenate([token[keep], merged])
+            order = np.argsort(word, kind="stable")
+            word, token = word[order], token[order]
+        return token.astype(np.uint32), np.bincount(word, minlength=len(starts))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, and where each row's begin (one more than rows); nulls are empty."""
+        raw, offsets = text_bytes(column)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        special, edges = self._special(raw, offsets)
+        starts = self.words.starts(raw, edges)
+        if len(special):
+            inside = np.searchsorted(special[:, 0], starts, side="right") - 1
+            starts = starts[(inside < 0) | (starts >= special[inside, 1]) | (starts == special[inside, 0])]
+        ends = np.append(starts[1:], len(raw))
+        keys, first, which = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        seen = at < len(self.keys)
+        seen[seen] = self.keys[at[seen]] == keys[seen]
+        fresh = np.flatnonzero(~seen)
+        if len(fresh):
+            flat, n = self.learn(raw, starts[first[fresh]], ends[first[fresh]])
+            for row, (start, _, token) in enumerate(special.tolist()):  # the bytes of an added token are no ordinary word
+                hit = np.flatnonzero(starts[first[fresh]] == start)
+                if len(hit):
+                    lead = int(n[: hit[0]].sum())
+                    flat = np.concatenate([flat[:lead], [np.uint32(token)], flat[lead + n[hit[0]] :]]).astype(np.uint32)
+                    n[hit[0]] = 1
+            if len(self.keys) + len(fresh) > CACHE_WORDS:  # keep what this slice uses
+                old = at[seen]
+                self.flat = self.flat[_ranges(self.at[old], self.n[old])]
+                self.keys, self.n = self.keys[old], self.n[old]
+                self.at = np.cumsum(self.n) - self.n
+            keys_ = np.concatenate([self.keys, keys[fresh]])
+            order = np.argsort(keys_, kind="stable")
+            begin = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
+            self.keys, self.at, self.n = keys_[order], begin[order], np.concatenate([self.n, n])[order]
+            self.flat = np.concatenate([self.flat, flat])
+            at = np.searchsorted(self.keys, keys)
+        slot = at[which]
+        sizes = self.n[slot]
+        total = np.append(0, np.cumsum(sizes))
+        return self.flat[_ranges(self.at[slot], sizes)], total[np.searchsorted(starts, offsets)]
+
+    def _special(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end, id) of added tokens, leftmost and longest first, none across rows; and all edges."""
+        data, found = raw.tobytes(), []
+        for text, token in sorted(self.added.items(), key=lambda x: -len(x[0])):
+            at = data.find(text)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(text) <= offsets[row + 1] and all(at >= e or at + len(text) <= s for s, e, _ in found):
+                    found.append((at, at + len(text), token))
+                at = data.find(text, at + 1)
+        special = np.array(sorted(found), np.int64).reshape(-1, 3)
+        edges = np.concatenate([offsets, special[:, 0], special[:, 1]])
+        return special, edges[edges <= len(raw)]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts of rows of ids; bytes that are no UTF-8 become U+FFFD, ids beyond the vocabulary nothing."""
+        fit = np.minimum(ids, len(self.sizes) - 1).astype(np.int64)
+        sizes = np.where(ids < len(self.sizes), self.sizes[fit], 0)
+        data = self.bytes[_ranges((self.ends - self.sizes)[fit], sizes)].tobytes()
+        places = np.append(0, np.cumsum(sizes))[offsets]
+        try:
+            data.decode()
+            whole = all(p == len(data) or data[p] & 0xC0 != 0x80 for p in places.tolist())
+        except UnicodeDecodeError:
+            whole = False
+        if whole:
+            return pa.Array.from_buffers(pa.string(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int32).tobytes()), pa.py_buffer(data)])
+        cuts = places.tolist()
+        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])], pa.string())  # noqa: B905
 
-        self.model = Tokenizer.from_file(path).model
-        self.table = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        one, table = self.model.tokenize, self.table
-        return {w: np.array([t.id for t in one(w.encode("utf-8", "replace").decode("latin-1").translate(table))], "<u4").tobytes() for w in words}
+@functools.lru_cache(maxsize=4)
+def load(path: str) -> SpeculativeBPE:
+    return SpeculativeBPE(path)
 
 
-@functools.lru_cache(maxsize=4)
-def load(path: str, library: bool = False) -> SpeculativeBPE:
-    return LibraryBPE(path) if library else SpeculativeBPE(path)
+def binary_rows(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Each row's ids as little-endian unsigned 32-bit integers."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", drop_text: bool = False, decoded_col: str | None = None, library: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", drop_text: bool = False, decoded_col: str | None = None) -> DataFrame:
     """Add ``ids_col`` (BINARY: little-endian unsigned 32-bit ids) and ``n_tokens``.
 
     Null and empty texts give no ids.  Strings of added tokens in a text are those tokens.
@@ -239,9 +380,10 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     """
 
     def make(batch: pa.RecordBatch) -> list:
-        coder = load(path, library)
-        ids = coder.encode_batch(batch.column(text_col).to_pylist())
-        return [ids, [len(b) // 4 for b in ids], *([[coder.decode(b) for b in ids]] if decoded_col else [])]
+        coder = load(path)
+        ids, offsets = coder.encode(batch.column(text_col))
+        out = [binary_rows(ids, offsets), pa.array(np.diff(offsets))]
+        return [*out, coder.decode(ids, offsets)] if decoded_col else out
 
     fields = [T.StructField(ids_col, T.BinaryType(), False), T.StructField("n_tokens", T.LongType(), False)]
     fields += [T.StructField(decoded_col, T.StringType(), False)] if decoded_col else []
@@ -252,8 +394,9 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     """Add ``text_col``, the text of the ids; null ids give an empty text."""
 
     def make(batch: pa.RecordBatch) -> list:
-        one = load(path).decode
-        return [[one(b) for b in batch.column(ids_col).to_pylist()]]
+        column = batch.column(ids_col)
+        raw, offsets = text_bytes(column)
+        return [load(path).decode(np.frombuffer(raw.tobytes(), "<u4"), offsets // 4)]
 
     return append_columns(df, make, [T.StructField(text_col, T.StringType(), False)], ids_col)
 

@@ -17,7 +17,6 @@
 from __future__ import annotations
 
 import bisect
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append_columns, text_bytes
+from .hashing import LOWER, ODD, mix, word_hashes
 from .scratch import Scratch
 from .text import word_bounds
 
@@ -34,70 +34,27 @@ from .text import word_bounds
 BITS = 1024
 #: Most nodes of one block when a key's nodes are compared pair by pair.
 BLOCK = 1024
-#: Bytes of text hashed at once.
-SEGMENT = 1 << 20
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
-
-
-def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    x = x ^ np.uint64(salt * _BASE & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    out = []
-    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each word."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, side="right")))
-        at, stop = int(starts[i]), int(ends[j - 1])
-        up, down = _powers(max(SEGMENT, 1 << (stop - at - 1).bit_length()))
-        sums = np.zeros(stop - at + 1, np.uint64)
-        np.cumsum((raw[at:stop].astype(np.uint64) + np.uint64(1)) * up[: stop - at], out=sums[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _ODD[7]
-        i = j
-    return mix(out)
-
-
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: A-Z lower-cased, words split at ASCII white space.
 
     A text of fewer words is one shingle; a text without words, or null, has none.
     """
     raw, offsets = text_bytes(column)
-    raw = _LOWER[raw]
+    raw = LOWER[raw]
     starts, ends = word_bounds(raw, offsets)
     words = word_hashes(raw, starts, ends)
     first = np.searchsorted(starts, offsets)
     n = np.diff(first)
     rolled = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for k in range(size):
-        rolled += words[k : k + len(rolled)] * _ODD[k]
+        rolled += words[k : k + len(rolled)] * ODD[k]
     rolled = mix(rolled, 1)
     out = []
     for at, m in zip(first.tolist(), n.tolist(), strict=False):
         if m >= size:
             out.append(np.unique(rolled[at : at + m - size + 1]))
         elif m:
-            out.append(mix((words[at : at + m] * _ODD[:m]).sum(dtype=np.uint64, keepdims=True), 100 + m))
+            out.append(mix((words[at : at + m] * ODD[:m]).sum(dtype=np.uint64, keepdims=True), 100 + m))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -142,7 +99,7 @@ class Tiles:
                 filled, sums = np.arange(parts), full
             else:
                 filled, sums = filled[: spoilt + 1], sums[: spoilt + 1]
-            out.append(mix(sums + filled.astype(np.uint64) * _ODD[5] + np.uint64(tile * int(_ODD[6]) & (1 << 64) - 1), 5))
+            out.append(mix(sums + filled.astype(np.uint64) * ODD[5] + np.uint64(tile * int(ODD[6]) & (1 << 64) - 1), 5))
         return np.concatenate(out)
 
 
@@ -172,7 +129,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _digest(s: np.ndarray) -> list[int]:
     """128 bits that tell sets apart."""
-    return [int(_long(mix(s, k).sum(dtype=np.uint64, keepdims=True) * _ODD[k - 6])[0]) for k in (6, 7)]
+    return [int(_long(mix(s, k).sum(dtype=np.uint64, keepdims=True) * ODD[k - 6])[0]) for k in (6, 7)]
 
 
 def sketch(df: DataFrame, size: int, num: int, den: int) -> DataFrame:

@@ -165,7 +165,7 @@ def sequence_report(spark: SparkSession, docs: DataFrame, path: str, vocabulary:
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text")
     ordered = rows.repartitionByRange(parts, *order_key(rows)).sortWithinPartitions(*order_key(rows))
-    ids = bpe.encode(ordered, path, drop_text=True, library=True).select("doc_id", F.concat("ids", F.lit(bytearray(END_ID.to_bytes(4, "little")))).alias("ids"))
+    ids = bpe.encode(ordered, path, drop_text=True).select("doc_id", F.concat("ids", F.lit(bytearray(END_ID.to_bytes(4, "little")))).alias("ids"))
     files = scratch.save(write_sequences(ids, folder, vocabulary), "manifest")
     # one row for each file
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
