@@ -112,7 +112,7 @@ def mend_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     pieces = lines.select("doc_id", "line_no", F.regexp_extract_all("line", F.lit(letters), F.lit(0)).alias("t"), F.split("line", letters, -1).alias("g"))
     flat = pieces.select("doc_id", "line_no", "g", F.posexplode_outer("t").alias("i", "token"))
     w = Window.partitionBy("doc_id", "line_no").orderBy("i")
-    flat = flat.withColumn("right", F.lead("token").over(w)).withColumn("gap", F.expr("g[i]")).withColumn("next_gap", F.expr("g[i + 1]"))
+    flat = flat.withColumn("right", F.lead("token").over(w)).withColumn("gap", F.get("g", F.col("i"))).withColumn("next_gap", F.get("g", F.col("i") + 1))
     flat = flat.withColumn("left_l", F.lower("token")).withColumn("right_l", F.lower("right")).withColumn("whole", F.lower(F.concat("token", "right")))
     lookup = lambda name, least: words.filter(F.col("n") >= least).select("doc_id", F.col("word").alias(name), F.lit(True).alias(f"{name}_known"))
     flat = flat.join(lookup("whole", 1), ["doc_id", "whole"], "left").join(lookup("left_l", 2), ["doc_id", "left_l"], "left").join(lookup("right_l", 2), ["doc_id", "right_l"], "left")
@@ -125,7 +125,7 @@ def mend_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     flat = flat.withColumn("joins", F.col("wants") & (turn % 2 == 1)).withColumn("glued", F.coalesce(F.lag("joins").over(w), F.lit(False)))
     text = F.concat(F.when(F.col("glued"), F.lit("")).otherwise(F.coalesce("gap", F.lit(""))), F.coalesce("token", F.lit("")))
     packed = flat.groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("i", F.lit(-1)).alias("i"), text.alias("s")))).alias("p"), F.first("g").alias("g"))
-    tail = F.expr("g[size(g) - 1]")
+    tail = F.element_at("g", -1)
     whole = F.concat(F.array_join(F.transform("p", lambda x: x["s"]), ""), tail)
     return packed.select("doc_id", "line_no", whole.alias("line"))
 

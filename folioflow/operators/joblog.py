@@ -88,9 +88,9 @@ def announced_wait(jobs: DataFrame) -> DataFrame:
     The running job is the one last started before the submission, unless it had finished;
     its rest is its lane's mean less its time so far, never below zero.
     """
-    starts = jobs.filter("started_at is not null").select("job_id", F.col("started_at").alias("t"), F.lit(0).alias("kind"), F.struct("started_at", "finished_at", "lane").alias("run"))
-    asks = jobs.select("job_id", F.col("submitted_at").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["run"].dataType).alias("run"))
-    now = last_known(starts.unionByName(asks), [], ["t", "kind", "job_id"], "run", "r").filter("kind = 1")
+    starts = jobs.filter("started_at is not null").select("job_id", F.col("started_at").alias("t"), F.lit(1).alias("kind"), F.struct("started_at", "finished_at", "lane").alias("run"))
+    asks = jobs.select("job_id", F.col("submitted_at").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast(starts.schema["run"].dataType).alias("run"))
+    now = last_known(starts.unionByName(asks), [], ["t", "kind", "job_id"], "run", "r").filter("kind = 0")
     busy = F.col("r").isNotNull() & (F.col("r.finished_at").isNull() | (F.col("r.finished_at") > F.col("t")))
     now = now.select("job_id", F.when(busy, F.col("t") - F.col("r.started_at")).alias("so_far"), F.when(busy, F.col("r.lane")).alias("run_lane"))
     lanes = F.explode(F.array(*map(F.lit, DEFAULT_SECONDS)))

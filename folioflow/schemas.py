@@ -7,8 +7,13 @@ from dataclasses import dataclass, fields
 from pyspark.sql import types as T
 
 
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "timestamp": T.TimestampType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """``name kind[ not null], ...``; needs no session."""
+    fields = [f.strip().split(" ", 2) for f in spec.split(",")]
+    return T.StructType([T.StructField(name, _KINDS[kind], not rest) for name, kind, *rest in fields])
 
 
 DOCUMENTS = _struct(
