@@ -33,7 +33,9 @@ from .text import word_bounds
 #: Bits of a signature.
 BITS = 1024
 #: Most nodes of one block when a key's nodes are compared pair by pair.
-BLOCK = 1024
+BLOCK = 512
+#: Rows of a block that are compared with all of another at once.
+STRIP = 64
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: A-Z lower-cased, words split at ASCII white space.
 
@@ -198,25 +200,44 @@ def _tile_pairs(num: int, den: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(-1, BITS // 64)
         node, comp, n, block = (pdf[c].to_numpy() for c in ("node", "comp", "n", "block"))
-        a_out, b_out = [], []
-        mixed = key[1] != key[2]
-        for i in range(len(node)):
-            if mixed and block[i] != key[1]:
-                continue
-            j = np.flatnonzero((comp != comp[i]) & ((block == key[2]) if mixed else (node > node[i])))
-            if not len(j):
-                continue
-            total = n[j] + n[i]
-            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            j = j[(total - apart) * (num + den) >= 2 * num * total]
-            a_out.append(np.minimum(node[i], node[j]))
-            b_out.append(np.maximum(node[i], node[j]))
-        empty = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([*a_out, empty]), "b": np.concatenate([*b_out, empty])})
+        mixed = key[2] != key[3]
+        left = np.flatnonzero(block == key[2]) if mixed else np.arange(len(node))
+        right = np.flatnonzero(block == key[3]) if mixed else left
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(left), STRIP):
+            i = left[at : at + STRIP]
+            total = n[i][:, None] + n[right][None, :]
+            apart = np.bitwise_count(bits[i][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            good = ((total - apart) * (num + den) >= 2 * num * total) & (comp[i][:, None] != comp[right][None, :])
+            if not mixed:
+                good &= node[i][:, None] < node[right][None, :]
+            x, y = np.nonzero(good)
+            a_out.append(np.minimum(node[i[x]], node[right[y]]))
+            b_out.append(np.maximum(node[i[x]], node[right[y]]))
+        return pd.DataFrame({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
 
     return run
 
 
+def _tiles(opened: DataFrame, bits: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (kind, id, i, j, node, comp, n, block, bits) of tiles that hold every pair of nodes with a common key.
+
+    Nodes that keys connect are one tile where that makes fewer pairs than the keys' own tiles:
+    near copies share many keys, and their pairs are then looked at once.
+    """
+    groups = components(opened.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), scratch, "groups").withColumnRenamed("comp", "id")
+    per_key = opened.filter("node = lead").select("key", "node", "m").join(groups, "node").groupBy("id").agg(F.sum(F.col("m") * F.col("m")).alias("by_key"))
+    per_group = groups.groupBy("id").agg(F.count(F.lit(1)).alias("m"))
+    whole = scratch.save(per_group.join(per_key, "id").filter(F.col("m") * F.col("m") <= F.col("by_key")).select("id", "m"), "whole")
+    grouped = opened.select("node", "comp").distinct().join(groups, "node").join(whole, "id").select(F.lit(0).alias("kind"), "id", "node", "comp", "m")
+    apart = opened.join(groups, "node").join(whole.select("id"), "id", "left_anti").select(F.lit(1).alias("kind"), F.col("key").alias("id"), "node", "comp", "m")
+    tiled = grouped.unionByName(apart).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).join(bits, "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiled = tiled.withColumn("block", block).withColumn("other", other)
+    return tiled.select("kind", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "n", "block", "bits")
+
+
 def cluster(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles and component_id, the smallest id that links reach.
 
@@ -270,12 +291,9 @@ def cluster(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, id_col:
     comps = components(links, scratch, "comps1")
     # keys that still hold several components: pair by pair in blocks
     placed = scratch.save(with_comps(comps), "placed1")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 < c1").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiled = placed.join(open_keys, "key").join(bits, "node").withColumn("block", block).withColumn("other", other)
-    tiled = tiled.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "n", "block", "bits")
-    near = tiled.groupBy("key", "i", "j").applyInPandas(_tile_pairs(num, den), "a long, b long").distinct()
+    sizes = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("node").alias("lead"), F.count(F.lit(1)).alias("m")).filter("c0 < c1")
+    opened = scratch.save(placed.join(sizes.select("key", "lead", "m"), "key"), "opened")
+    near = _tiles(opened, bits, scratch).groupBy("kind", "id", "i", "j").applyInPandas(_tile_pairs(num, den), "a long, b long").distinct()
     links = links.unionByName(verify(near, "tiles"))
     comps = components(links, scratch, "comps2")
     least = nodes.join(comps, "node").groupBy("comp").agg(F.min("id").alias("component_id"))
