@@ -99,15 +99,44 @@ def _select(rows: list[np.ndarray], labels: np.ndarray, most: int, least_gain: f
     return names[order[(gain[order] >= least_gain) & (seen[order] >= 3)]]
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, counts: dict[int, int], most: int = 4096, least_gain: float = 12.0, ridge: float = 1e-3, fairness: float = 1.0, steps: int = 400) -> Model:
-    """Logistic regression on the strongest features and all identity terms, with the swap penalty.
-
-    ``counts``: rows of each class that there are, which sets the bias right for a balanced
-    sample.  Without rows of both classes the score is the share of the class there is.
-    """
+def calibrated(z: np.ndarray, labels: np.ndarray, counts: dict[int, int]) -> tuple[float, float]:
+    """Slope and offset that turn scores of rows not learnt from into log odds, rows weighing as their class is frequent."""
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    weight = np.where(labels == 1, max(counts.get(1, n1), 1) / n1, max(counts.get(0, n0), 1) / n0)
+    weight = weight * len(labels) / weight.sum()
+    goal = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))  # keeps the slope finite where classes are apart
+    x = np.stack([z, np.ones(len(z))], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (p - goal)) + 1e-3 * (w - [1.0, 0.0])
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        w = w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+    return float(max(w[0], 0.1)), float(w[1])
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, counts: dict[int, int], **options) -> Model:
+    """The classifier of all rows, its scores calibrated on those that each half's classifier gives the other half."""
     n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
     if not n1 or not n0:
         return Model(-3.0 if n0 or not n1 else 3.0, {})
+    whole = _fit(rows, labels, **options)
+    if min(n1, n0) < 10:
+        shift = np.log((n1 / max(counts.get(1, n1), 1)) / (n0 / max(counts.get(0, n0), 1)))
+        return Model(whole.bias - float(shift), whole.weights)
+    z = np.zeros(len(rows))
+    for half in (0, 1):
+        there = np.arange(len(rows)) % 2 == half
+        part = _fit([r for r, t in zip(rows, there, strict=True) if t], labels[there], **options)
+        for i in np.flatnonzero(~there).tolist():
+            z[i] = part.bias + sum(part.weights.get(f, 0.0) for f in rows[i].tolist())
+    slope, offset = calibrated(z, labels, counts)
+    return Model(slope * whole.bias + offset, {f: slope * x for f, x in whole.weights.items()})
+
+
+def _fit(rows: list[np.ndarray], labels: np.ndarray, most: int = 4096, least_gain: float = 12.0, ridge: float = 1e-3, fairness: float = 1.0, steps: int = 400) -> Model:
+    """Logistic regression on the strongest features and all identity terms, with the swap penalty."""
     terms = [[sorted(features(t)) for t in group] for group in IDENTITY]
     names = np.unique(np.concatenate([_select(rows, labels, most, least_gain), np.array([f for g in terms for t in g for f in t], np.int64)]))
     column = {int(f): i for i, f in enumerate(names)}
@@ -132,7 +161,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, counts: dict[int, int], most
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
-    bias -= np.log((n1 / max(counts.get(1, n1), 1)) / (n0 / max(counts.get(0, n0), 1)))
     return Model(float(bias), {int(f): float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6})
 
 
