@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that a task works on at once; a longer single text is one slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -69,5 +69,6 @@ def append_columns(
             for piece in text_slices(batch, text_col):
                 made = [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(make(piece), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), *made], names=[*names, *(f.name for f in fields)])
+        pa.default_memory_pool().release_unused()  # workers are kept for later tasks
 
     return df.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from .arrow import append_columns, text_bytes
 from .hashing import word_hashes
 
 #: Words that a worker remembers before it forgets the unused; bounds memory, not results.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Words of more bytes are merged one by one, in n log n steps.
 LONG = 200
 #: Classes of characters: neither letter nor digit, letter, number, space, other white space.
@@ -33,6 +33,7 @@ OTHER, LETTER, NUMBER, SPACE, BLANK, UNKNOWN = 0, 1, 2, 3, 4, 255
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 NEVER = np.int64(1 << 62)
 ALONE = 0xFFFFFFFF
+NO_CHILD = 255
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -133,34 +134,47 @@ class SpeculativeBPE:
         self.flat = np.zeros(0, np.uint32)
 
     def _trie(self, ids: dict[bytes, int]) -> None:
-        """``next[node, byte]`` of inner nodes; nodes from ``inner`` on are leaves; ``ends_at[node]`` is a token or -1."""
-        inner = {b[:k] for b in ids for k in range(len(b))}
-        number = {p: i for i, p in enumerate(sorted(inner, key=lambda p: (len(p), p)))}
-        self.inner = len(number)
-        leaves = [b for b in ids if b not in number]
-        number |= {b: self.inner + i for i, b in enumerate(leaves)}
-        self.next = np.full((self.inner, 256), -1, np.int32)
-        for p, i in number.items():
-            if p:
-                self.next[number[p[:-1]], p[-1]] = i
-        self.ends_at = np.array([ids.get(p, -1) for p in sorted(number, key=number.get)], np.int32)
+        """Nodes level by level, so that the children of a node are neighbours.
+
+        ``row`` is a node's row of ``rank`` (-1: a leaf); ``rank[row, byte]`` tells which child, ``child`` where they begin.
+        """
+        prefixes = sorted({b[:k] for b in ids for k in range(1, len(b) + 1)}, key=lambda p: (len(p), p))
+        number = {b"": 0} | {p: i + 1 for i, p in enumerate(prefixes)}
+        self.child = np.full(len(number), -1, np.int32)
+        self.row = np.full(len(number), -1, np.int32)
+        self.row[0] = 0
+        rows = 1
+        for p in prefixes:
+            parent = number[p[:-1]]
+            if self.child[parent] < 0:
+                self.child[parent] = number[p]
+                if parent:
+                    self.row[parent] = rows
+                    rows += 1
+        self.rank = np.full((rows, 256), NO_CHILD, np.uint8)
+        for p in prefixes:
+            if len(p) > 1:  # the first level has a node for every byte
+                parent = number[p[:-1]]
+                self.rank[self.row[parent], p[-1]] = number[p] - self.child[parent]
+        self.ends_at = np.array([-1, *(ids.get(p, -1) for p in prefixes)], np.int32)
 
     def propose(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match: (word, token) in order."""
         n = len(raw)
         stop = np.repeat(ends, ends - starts)
         best, size = np.full(n, -1, np.int32), np.zeros(n, np.int64)
-        live, node, depth = np.arange(n), np.zeros(n, np.int32), 0
+        live, node, depth = np.arange(n), 1 + raw.astype(np.int32), 1
         while len(live):
-            node = self.next[node, raw[live + depth]]
-            depth += 1
-            ok = node >= 0
-            live, node = live[ok], node[ok]
             token = self.ends_at[node]
             hit = token >= 0
             best[live[hit]], size[live[hit]] = token[hit], depth
-            go = (node < self.inner) & (live + depth < stop[live])
-            live, node = live[go], node[go]
+            row = self.row[node]
+            go = (row >= 0) & (live + depth < stop[live])
+            live, node, row = live[go], node[go], row[go]
+            rank = self.rank[row, raw[live + depth]]
+            depth += 1
+            ok = rank != NO_CHILD
+            live, node = live[ok], self.child[node[ok]] + rank[ok]
         words, tokens = [], []
         word, at = np.arange(len(starts)), starts.copy()
         while len(word):

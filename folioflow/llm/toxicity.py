@@ -79,7 +79,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: in
 def _select(rows: list[np.ndarray], labels: np.ndarray, most: int, least_gain: float) -> np.ndarray:
     """Features by likelihood ratio with the label, the strongest first."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.concatenate([*rows, np.zeros(0, np.int64)])
+    flat = np.concatenate([*rows, np.zeros(0, rows[0].dtype)])
     names, at = np.unique(flat, return_inverse=True)
     y = np.repeat(labels, sizes)
     pos = np.bincount(at, weights=y, minlength=len(names))
@@ -96,6 +96,7 @@ def _select(rows: list[np.ndarray], labels: np.ndarray, most: int, least_gain: f
         + part(n - p - seen + pos, (n - seen) * (n - p) / n)
     )
     order = np.lexsort((names, -gain))[:most]
+    names = names.astype(np.int64)
     return names[order[(gain[order] >= least_gain) & (seen[order] >= 3)]]
 
 
@@ -169,14 +170,18 @@ def _own(term: list[int], group: list[list[int]]) -> int:
     return min(term, key=lambda f: (sum(f in other for other in group), f))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, seed: int = 5, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, seed: int = 5, **options) -> Model:
     """Fit on a sample of at most 2 * ``per_class`` labelled rows; the model is a bounded set of weights."""
     sample, counts = labelled_sample(docs, labels, per_class, seed)
-    field = T.StructField("features", T.ArrayType(T.LongType(), False), False)
-    got = append_columns(sample, lambda b: [[sorted(features(t)) for t in b.column("text").to_pylist()]], [field], drop=("text",)).toArrow()
+    field = T.StructField("features", T.ArrayType(T.IntegerType(), False), False)
+
+    def make(batch: pa.RecordBatch) -> list:
+        return [[np.array(sorted(features(t)), np.uint32).view(np.int32) for t in batch.column("text").to_pylist()]]
+
+    got = append_columns(sample, make, [field], drop=("text",)).toArrow()
     column = got.column("features").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    flat, ends = column.values.to_numpy().view(np.uint32), column.offsets.to_numpy()
     rows = [flat[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
     labels_ = got.column("label").to_numpy().astype(float)
     # a fixed order, so that reruns give the same model
