@@ -271,7 +271,9 @@ def cluster(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, id_col:
         side = lambda t, c, cols: t.select(F.col("node").alias(c), *(F.col(x).alias(y) for x, y in cols.items()))
         with_bits = pairs.join(side(bits, "a", {"n": "na", "bits": "bits_a"}), "a").join(side(bits, "b", {"n": "nb", "bits": "bits_b"}), "b")
         left = scratch.save(_bit_bound(with_bits.select("a", "b", "na", "nb", "bits_a", "bits_b"), num, den), f"{name}-bound")
-        full = left.join(side(sets, "a", {"items": "sa"}), "a").join(side(sets, "b", {"items": "sb"}), "b")
+        ends = scratch.save(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), f"{name}-ends")
+        some = sets.join(ends, "node", "left_semi")  # few ends are broadcast by their size, and the other sets stay where they are
+        full = left.join(side(some, "a", {"items": "sa"}), "a").join(side(some, "b", {"items": "sb"}), "b")
         both = full.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
         return scratch.save(both.filter(_alike(num, den, F.col("common"))).select("a", "b"), name)
 
