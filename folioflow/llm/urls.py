@@ -2,12 +2,14 @@
 
 Hosts with allowed pages are trusted seeds, hosts with blocked pages blocked seeds, each
 by its share of such pages.  Personalised PageRank carries trust along links and distrust
-against them; a host is blocked when its distrust is above the mean of all hosts and above
-its trust.  Built from SQL functions only.
+against them, until no host's rank is further from the fixed point than a stated share of
+the mean; a host is blocked when its distrust is above the mean of all hosts and above its
+trust.  Built from SQL functions only.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +20,9 @@ from .scratch import Scratch
 #: (host, path, verdict) of the contract's rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Links with a scheme, as the SQL for DuckDB has them; HREF also takes those that leave it to the page (``//host/..``).
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -43,17 +47,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links from one host to another; links within a host say nothing."""
-    to = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), host_of)))
+    whole = lambda link: F.when(link.startswith("//"), F.concat(F.lit("http:"), link)).otherwise(link)
+    to = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), lambda link: host_of(whole(link)))))
     return pages.select("host", to.alias("dst")).filter("dst != '' and host != '' and dst != host").groupBy(F.col("host").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Personalised PageRank of each kind: ``seeds`` (kind, host, seed), ``edges`` (kind, src, dst, share).
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float, start: DataFrame | None = None) -> DataFrame:
+    """So many rounds of personalised PageRank of each kind: ``seeds`` (kind, host, seed), ``edges`` (kind, src, dst, share).
 
-    Rank that reaches a host without links ends there.
+    From the ranks ``start``, else from the seeds' own.  Rank that reaches a host without links ends there.
     """
     base = (1 - damping) * F.col("seed")
-    rank = seeds.select("kind", "host", base.alias("rank"))
+    rank = seeds.select("kind", "host", base.alias("rank")) if start is None else start
     for _ in range(rounds):
         sent = (
             rank.join(edges.withColumnRenamed("src", "host"), ["kind", "host"])
@@ -64,7 +69,33 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float) -
     return rank
 
 
-def host_verdicts(pages: DataFrame, scratch: Scratch, rounds: int = 6, damping: float = 0.85, least: float = 1.0) -> DataFrame:
+def settle(seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: float, tolerance: float, every: int = 8) -> DataFrame:
+    """The fixed point of ``propagate``: no rank is further from it than ``tolerance`` times the mean of its kind.
+
+    Ranks are saved after every few rounds.  A round shrinks the sum of all differences from
+    the fixed point by ``damping`` at least, so the change over some rounds bounds what is
+    still to come, and the number of hosts bounds the rounds that can be needed.
+    """
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be at least 0 and below 1")
+    shrunk = damping**every
+    rank, saved, done, needed = None, "", 0, 1
+    while done < needed:
+        before = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("old")) if rank is None else rank.withColumnRenamed("rank", "old")
+        rank, last, done = scratch.save(propagate(seeds, edges, every, damping, rank), f"ranks{done + every}"), saved, done + every
+        change = rank.join(before, ["kind", "host"]).groupBy("kind").agg(
+            F.count(F.lit(1)).alias("hosts"), F.sum("rank").alias("total"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")
+        ).collect()  # two rows
+        if last:
+            scratch.drop(last)
+        saved = f"ranks{done}"
+        if all(r["moved"] * shrunk / (1 - shrunk) <= tolerance * r["total"] / r["hosts"] for r in change):
+            break
+        needed = math.ceil(math.log(tolerance * (1 - damping) / max(r["hosts"] for r in change)) / math.log(damping))
+    return rank
+
+
+def host_verdicts(pages: DataFrame, scratch: Scratch, tolerance: float = 1e-9, damping: float = 0.85, least: float = 1.0) -> DataFrame:
     """(host, trust, distrust, bad) with both ranks relative to their mean over all hosts.
 
     ``pages``: page's host, verdict of its rule (or null) and html.
@@ -83,7 +114,7 @@ def host_verdicts(pages: DataFrame, scratch: Scratch, rounds: int = 6, damping:
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     outgoing = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     shares = scratch.save(both.join(outgoing, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
-    ranks = scratch.save(propagate(seeds, shares, rounds, damping), "ranks")
+    ranks = settle(seeds, shares, scratch, damping, tolerance)
     mean = F.broadcast(ranks.groupBy("kind").agg(F.avg("rank").alias("mean")))  # two rows
     relative = ranks.join(mean, "kind").withColumn("of_mean", F.when(F.col("mean") > 0, F.col("rank") / F.col("mean")).otherwise(0.0))
     pick = lambda k: F.round(F.max(F.when(F.col("kind") == k, F.col("of_mean"))), 9).alias(k)

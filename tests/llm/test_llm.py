@@ -432,6 +432,26 @@ def test_pagerank_equals_brute_force(spark):
     assert {r["host"]: pytest.approx(r["rank"]) for r in got.collect()} == rank
 
 
+@pytest.mark.parametrize(("ring", "damping"), [(0, 0.85), (3, 0.5)])
+def test_urls_reach_the_fixed_point(spark, ring, damping):
+    """A chain of 20 hosts towards a blocked seed, a host or a closed ring that links to its first one without a scheme."""
+    names = ["bad.net", *("c%d.io" % i for i in range(20)), *("r%d.io" % i for i in range(max(ring, 1)))]
+    links = {i: [i - 1] for i in range(1, 21)} | {21: [1]} | ({21: [22, 1], 22: [23], 23: [21]} if ring else {})
+    html = lambda i: "".join(f"<a href='{'' if i > 20 else 'http:'}//{names[j]}/y?u=http://not.io/'>y</a>" for j in links.get(i, []))
+    flow = np.zeros((len(names), len(names)))
+    for j in range(len(names)):  # distrust goes from each host to those that link to it, dealt evenly
+        to = [i for i, out in links.items() if j in out]
+        flow[to, j] = 1 / max(len(to), 1)
+    rank = np.linalg.solve(np.eye(len(names)) - damping * flow, (1 - damping) * np.eye(len(names))[0])
+    pages = spark.createDataFrame([(i, f"http://{h}/1", html(i)) for i, h in enumerate(names)], "page_id long, url string, html string")
+    cut = pages.select("html", urls.host_of(pages.url).alias("host"), urls.rule_of(urls.host_of(pages.url), urls.path_of(pages.url)).alias("ruled"))
+    got = {r["host"]: r for r in urls.host_verdicts(cut, urls.Scratch(spark, "test"), damping=damping).collect()}
+    assert set(got) == set(names)
+    for h, v in zip(names, rank / rank.mean(), strict=True):
+        assert got[h]["distrust"] == pytest.approx(v, abs=3e-9) and got[h]["bad"] == (v > 1), h
+    assert min(r["distrust"] for r in got.values()) > 0
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(6)
