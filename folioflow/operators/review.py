@@ -35,8 +35,19 @@ def symbol_diff(pairs: DataFrame, id_col: str, before: str, after: str) -> DataF
 
 
 def multiset_diff(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of b beyond those of a, and of a beyond those of b, counting repeats."""
-    return b.exceptAll(a), a.exceptAll(b)
+    """Rows of b beyond those of a, and of a beyond those of b, counting repeats.
+
+    Both sides read one grouping, so the rows are shuffled once.
+    """
+    both = b.withColumn("_n", F.lit(1)).unionByName(a.withColumn("_n", F.lit(-1)))
+    net = both.groupBy(*b.columns).agg(F.sum("_n").alias("_n"))
+
+    def repeated(df: DataFrame) -> DataFrame:
+        # a row as often as it counts, in runs of 10,000
+        runs = df.withColumn("_i", F.explode(F.expr("sequence(0, (_n - 1) div 10000)")))
+        return runs.withColumn("_i", F.explode(F.expr("sequence(1, least(10000, _n - _i * 10000))"))).drop("_i", "_n")
+
+    return repeated(net.filter("_n > 0")), repeated(net.filter("_n < 0").withColumn("_n", -F.col("_n")))
 
 
 def formula_orphans(text: Column) -> Column:

@@ -64,6 +64,18 @@ def _(spark, d):
     return t.select("doc_id", (tx.same_text_key(F.col("t")) == tx.same_text_key(F.upper("t"))).alias("same"))
 
 
+@register("c2_digit_keys_whole", "SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\\s+(\\d)', '\\1', 'g'), '(\\d)\\s+', '\\1', 'g'), '\\d+', '#', 'g'), '\\s+', ' ', 'g')) AS key FROM (SELECT doc_id, cast(i - 1 as int) AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))")
+def _(spark, d):
+    """Keys of all lines of the texts."""
+    return cleaning.split_lines(docs(spark, d)).select("doc_id", "line_no", tx.digit_key(F.col("line")).alias("key"))
+
+
+@register("c4_same_text_whole", "SELECT doc_id, regexp_replace(regexp_replace(trim(lower(strip_accents(t))), '\\s+', ' ', 'g'), '^[ .;:,!?]+|[ .;:,!?]+$', '', 'g') = regexp_replace(regexp_replace(trim(lower(strip_accents(upper(t)))), '\\s+', ' ', 'g'), '^[ .;:,!?]+|[ .;:,!?]+$', '', 'g') AS same FROM (SELECT doc_id, replace(text, 'ß', 's') AS t FROM documents)")
+def _(spark, d):
+    t = docs(spark, d).select("doc_id", F.replace("text", F.lit("ß"), F.lit("s")).alias("t"))
+    return t.select("doc_id", (tx.same_text_key(F.col("t")) == tx.same_text_key(F.upper("t"))).alias("same"))
+
+
 NOISE = "[\\p{L}\\p{N}_\\s.,;:!?''\"«»()\\[\\]{}\\-–—+*/=<>%°$€£§&@#^~|\\\\√∑∏∫∞≈≠≤≥±×÷→←↔⇒⇔∈∉⊂∪∩∅]"
 
 
@@ -206,6 +218,17 @@ def _(spark, d):
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+_CELLS = "SELECT doc_id, regexp_replace(unnest(string_split(replace(text, '|', ' '), chr(10))), '^\\s+|\\s+$', '', 'g') AS c FROM documents"
+
+
+@register("n2_duplicate_cells_whole", f"SELECT doc_id, cast(sum(n - 1) as int) AS n FROM (SELECT doc_id, c, count(*) AS n FROM ({_CELLS}) WHERE length(c) >= 40 GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id")
+def _(spark, d):
+    """Every line of a text is a row with one cell."""
+    table = F.concat(F.lit("| "), F.replace(F.replace("text", F.lit("|"), F.lit(" ")), F.lit("\n"), F.lit(" |\n| ")), F.lit(" |"))
+    found = quality.duplicate_cells(docs(spark, d).select("doc_id", table.alias("text")), "doc_id")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 @register("c14_section_confidence", f"WITH e AS (SELECT doc_id, count(*) AS n FROM ({ENCODING_SQL}) GROUP BY doc_id) SELECT d.doc_id, round(greatest(0.0, 1.0 - coalesce(n, 0) * 0.1 / greatest(1.0, length(text) / 1000)), 3) AS confidence FROM documents d LEFT JOIN e USING (doc_id)")
 def _(spark, d):
     t = docs(spark, d)
@@ -348,6 +371,17 @@ def _(spark, d):
     return added.select(F.lit("added").alias("side"), "*").unionByName(removed.select(F.lit("removed").alias("side"), "*"))
 
 
+EDITED = "case doc_id % 3 when 0 then concat(text, ' ajout') when 1 then replace(text, ' de ', ' du ') else substr(text, 9) end"
+
+
+@register("u3_multiset_diff_whole", f"WITH a AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), b AS (SELECT doc_id, unnest(string_split({EDITED}, ' ')) AS w FROM documents) SELECT 'added' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT 'removed', * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
+def _(spark, d):
+    """All words of all texts against those of an edited copy."""
+    words = lambda text: docs(spark, d).select("doc_id", F.explode(F.split(F.expr(text), " ", -1)).alias("w"))
+    added, removed = review.multiset_diff(words("text"), words(EDITED))
+    return added.select(F.lit("added").alias("side"), "*").unionByName(removed.select(F.lit("removed").alias("side"), "*"))
+
+
 FORMULAS = "concat(replace(text, 'th', '$'), case when doc_id % 3 = 0 then ' \\[ x' else ' \\( y \\)' end, case when doc_id % 5 = 0 then ' \\begin{a}' else '' end)"
 
 
@@ -361,7 +395,7 @@ def _(spark, d):
 @register("c23_contradicted_quizzes", "SELECT doc_id, cast(doc_id % 3 as int) AS suggested FROM documents WHERE doc_id % 3 <> doc_id % 4")
 def _(spark, d):
     n = F.col("doc_id")
-    told = F.concat(F.substring("text", 1, 40), F.lit(" La bonne réponse est donc la "), F.substring(F.lit("ABC"), (n % 3 + 1).cast("int"), F.lit(1)), F.lit(") ."))
+    told = F.concat("text", F.lit(" La bonne réponse est donc la "), F.substring(F.lit("ABC"), (n % 3 + 1).cast("int"), F.lit(1)), F.lit(") ."))
     quizzes = docs(spark, d).select("doc_id", told.alias("explanation"), (n % 4).cast("int").alias("answer"))
     return review.contradicted_quizzes(quizzes).select("doc_id", "suggested")
 
@@ -436,6 +470,17 @@ def _(spark, d):
     return review.apply_revisions(sections, ops).select("course_id", F.col("position").cast("int").alias("position"), F.char_length("content").cast("bigint").alias("size"))
 
 
+@register("j18_apply_revisions_whole", "SELECT source AS course_id, cast(row_number() OVER (PARTITION BY source ORDER BY b, n) - 1 as int) AS position, length(content) AS size FROM (SELECT source, 0 AS b, doc_id AS n, CASE WHEN doc_id % 5 = 1 THEN concat('x', text) ELSE text END AS content FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT source, 1, doc_id, reverse(text) FROM documents WHERE doc_id % 5 = 2)")
+def _(spark, d):
+    t = docs(spark, d).selectExpr("source course_id", "doc_id", "cast(doc_id as string) heading", "text content")
+    sections = t.selectExpr("course_id", "heading", "doc_id position", "content")
+    ops = t.filter("doc_id % 5 < 3").selectExpr(
+        "course_id", "doc_id op_no", "case doc_id % 5 when 0 then 'supprimer' when 1 then 'reecrire' else 'ajouter' end action",
+        "case when doc_id % 5 = 2 then concat('new ', heading) else heading end heading", "case when doc_id % 5 = 1 then concat('x', content) else reverse(content) end content",
+    )
+    return review.apply_revisions(sections, ops).select("course_id", F.col("position").cast("int").alias("position"), F.char_length("content").cast("bigint").alias("size"))
+
+
 _SHARE = "greatest(1, cast(round_even(points * 20 / greatest(sum(points) OVER (PARTITION BY a), 1), 0) as int))"
 
 
@@ -465,6 +510,14 @@ def _(spark, d):
     return review.classify_proposals(docs(spark, d).select("doc_id", before.alias("before"), after.alias("after"))).select("doc_id", "verdict")
 
 
+@register("c34_classify_proposals_whole", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'UNCERTAIN' WHEN 1 THEN 'UNCHANGED' WHEN 2 THEN 'REWRITTEN' WHEN 3 THEN 'SYMBOLS_CHANGED' ELSE 'FORM_ONLY' END AS verdict FROM documents")
+def _(spark, d):
+    n = F.col("doc_id") % 5
+    before = F.concat(F.lit("x"), F.regexp_replace("text", "\\s+", ""))
+    after = F.when(n == 0, "incertain").when(n == 1, before).when(n == 2, F.concat(before, before, F.repeat(F.lit("abc"), F.lit(40)))).when(n == 3, F.concat(before, F.lit("+"))).otherwise(F.concat(before, F.lit("a")))
+    return review.classify_proposals(docs(spark, d).select("doc_id", before.alias("before"), after.alias("after"))).select("doc_id", "verdict")
+
+
 @register("c35_accept_correction", "SELECT doc_id, doc_id % 3 <> 0 AND length(a) >= 0.4 * length(text) AND lower(trim(regexp_replace(a, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS accepted FROM (SELECT doc_id, text, substr(text, 1, 500) AS a FROM documents)")
 def _(spark, d):
     why = F.when(F.col("doc_id") % 3 == 0, " ").otherwise("wrong sign")

@@ -409,3 +409,31 @@ def test_stream_replaces_and_replays(spark, tmp_path):
     last = table.batches()[-1]
     table.put(last, tables.latest(table.before(last).unionByName(spark.createDataFrame([("b", 3, "new"), ("c", 1, "c"), ("a", 1, "late")], schema)), ["external_id"], "indexed_at"))
     assert rows(table.current(), "external_id") == want
+
+
+def test_registered_queries_read_whole_texts(spark, tmp_path, monkeypatch):
+    """What stands beyond the first 200 characters is looked at."""
+    from folioflow import catalog
+
+    far, cell = "mot " * 80, "une cellule assez longue pour compter deux fois"
+    texts = [f"{far} La bonne réponse est D) .", f"{far}\n{cell}\nfin 1 2\n{cell}", f"{far} fin de ligne"]
+    spark.createDataFrame([(i, t, "fr", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()]
+    assert (0, 3) in run("c23_contradicted_quizzes")
+    assert run("n2_duplicate_cells_whole") == [(1, 1)]
+    assert (1, 2, "fin#") in run("c2_digit_keys_whole")
+    assert sorted(run("c4_same_text_whole")) == [(i, True) for i in range(3)]
+    assert sorted(run("u3_multiset_diff_whole")) == [("added", 0, "ajout"), ("removed", 2, "mot"), ("removed", 2, "mot")]
+    assert sorted(r[2] for r in run("j18_apply_revisions_whole")) == sorted([len(texts[1]) + 1, len(texts[2]), len(texts[2])])
+    seen, classify = [], review.classify_proposals
+    monkeypatch.setattr(review, "classify_proposals", lambda edits: seen.append(edits) or classify(edits))
+    assert dict(run("c34_classify_proposals_whole")) == {0: "UNCERTAIN", 1: "UNCHANGED", 2: "REWRITTEN"}
+    assert {r["before"] for r in seen[0].collect()} == {"x" + "".join(t.split()) for t in texts}
+
+
+def test_multiset_diff_counts_repeats(spark):
+    a, b = ({None: 2, "x": 3, "z": 1}, {None: 1, "x": 20005, "y": 1, "z": 1})
+    table = lambda counts: spark.createDataFrame([(k,) for k, n in counts.items() for _ in range(n)], "w string")
+    added, removed = review.multiset_diff(table(a), table(b))
+    assert {r["w"]: r["count"] for r in added.groupBy("w").count().collect()} == {"x": 20002, "y": 1}
+    assert [r["w"] for r in removed.collect()] == [None]
