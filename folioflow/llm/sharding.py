@@ -4,8 +4,9 @@ Rows are ranked within their source in the order of a seeded hash; (rank - 1/2)
 of the source places them on the unit interval; cutting the rows in that order into equal
 runs gives shards that all hold the mixture of sources.
 
-No source is sorted in one task: ranks and positions are counts of lower hash buckets
-plus a rank inside the row's own bucket.
+No source is sorted in one task: ranks are counts of lower hash buckets plus a rank inside
+the row's own bucket.  Positions alike, over ranges of the whole order: equal fractions
+(sources of one row all stand at 1/2) are cut by source and hash.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Buckets of the hash within a source, and of the unit interval.
+#: Buckets of the hash within a source.
 BUCKET_BITS = 12
 
 
@@ -25,6 +26,12 @@ def _running(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
     return counts.select(*by, bucket, (F.sum("n").over(w.orderBy(bucket)) - F.col("n")).alias("below"), F.sum("n").over(w).alias("total"))
 
 
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``part``, the number of the row's range in this order; to be saved before it is read twice."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+
+
 def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source", carry: tuple[str, ...] = (), seed: int = 7) -> DataFrame:
     """id, ``carry`` columns, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
@@ -45,14 +52,16 @@ def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", source_col
         rows.join(ahead, ["key", "b"])
         .withColumn("rank", F.col("below") + F.row_number().over(Window.partitionBy("key", "b").orderBy(*ties)))
         .withColumn("at", (F.col("rank") - 0.5) / F.col("total"))
-        .select("id", "key", "h", *carry, "at", F.floor(F.col("at") * (1 << BUCKET_BITS)).alias("b"))
+        .select("id", "key", "h", *carry, "at")
     )
-    ranked = scratch.save(ranked, "ranked")
-    # one row a bucket: 2**BUCKET_BITS rows at most, so a broadcast of bounded size
-    ahead = F.broadcast(_running(ranked.groupBy("b").agg(F.count(F.lit(1)).alias("n")), [], "b"))
-    place = F.col("below") + F.row_number().over(Window.partitionBy("b").orderBy("at", "key", *ties)) - 1
+    order = ["at", "key", *ties]
+    ranked = scratch.save(in_ranges(scratch.save(ranked, "ranked"), order), "ranges")
+    scratch.drop("ranked")
+    # one row a range, so a broadcast of bounded size
+    ahead = F.broadcast(_running(ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n")), [], "part"))
+    place = F.col("below") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     return (
-        ranked.join(ahead, "b")
+        ranked.join(ahead, "part")
         .withColumn("place", place)
         .withColumn("shard", F.expr(f"place * {shards} div total"))
         .select("id", *carry, F.col("shard").cast("int").alias("shard"), F.expr(f"place - (shard * total + {shards - 1}) div {shards}").alias("slot"))

@@ -75,7 +75,7 @@ def search(passages: DataFrame, queries: DataFrame, on: list[str], k: int, by: l
     With ``by`` (columns of the passage) k for each query and value.
     """
     q = queries.select("query_id", "vector", norm(F.col("vector")).alias("query_norm"), *on)
-    pairs = with_norm(passages).join(q, on) if on else with_norm(passages).crossJoin(F.broadcast(q))
+    pairs = with_norm(passages).join(q, on) if on else with_norm(passages).crossJoin(q)
     near = pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("vector"), F.col("norm"), F.col("query_norm")))
     return rank_nearest(near.drop("vector", "query_norm", "norm", "embedding"), ["query_id", *(by or [])], k)
 

@@ -179,18 +179,20 @@ def rebalance_points(items: DataFrame) -> DataFrame:
 
 def cap_items(items: DataFrame, count: int) -> DataFrame:
     """At most ceil(count / parts) items of each part, then the first ``count`` of all."""
-    w = Window.partitionBy("request_id")
-    parts = F.size(F.collect_set("part_no").over(w))
+    parts = items.groupBy(F.col("request_id").alias("_request")).agg(F.count_distinct("part_no").alias("_parts"))
     nth = F.row_number().over(Window.partitionBy("request_id", "part_no").orderBy("item_no"))
-    kept = items.withColumn("_parts", parts).withColumn("_nth", nth).filter(F.col("_nth") <= F.ceil(F.lit(count) / F.col("_parts")))
-    total = F.row_number().over(w.orderBy("part_no", "item_no"))
+    # no part gives more than ``count``: tasks drop the others before the shuffle
+    first = items.withColumn("_nth", nth).filter(F.col("_nth") <= count)
+    kept = first.join(parts, F.col("request_id").eqNullSafe(F.col("_request"))).filter(F.col("_nth") <= F.ceil(F.lit(count) / F.col("_parts"))).drop("_request")
+    total = F.row_number().over(Window.partitionBy("request_id").orderBy("part_no", "item_no"))
     return kept.withColumn("_all", total).filter(F.col("_all") <= count).drop("_parts", "_nth", "_all")
 
 
 def fit_sources(sources: DataFrame, budget: int, least: int = 800) -> DataFrame:
     """Each source of a request cut to its equal share of the budget, and whether it was."""
-    share = F.greatest(F.lit(least), F.floor(F.lit(budget) / F.count(F.lit(1)).over(Window.partitionBy("request_id")))).cast("int")
-    shared = sources.withColumn("share", share)
+    share = F.greatest(F.lit(least), F.floor(F.lit(budget) / F.count(F.lit(1)))).cast("int")
+    shares = sources.groupBy(F.col("request_id").alias("_request")).agg(share.alias("share"))
+    shared = sources.join(shares, F.col("request_id").eqNullSafe(F.col("_request"))).drop("_request")
     return shared.withColumn("truncated", F.char_length("text") > F.col("share")).withColumn("text", F.substr("text", F.lit(1), F.col("share")))
 
 

@@ -163,6 +163,7 @@ def _(spark, d):
 
 @register("c26_figure_marks")
 def _(spark, d):
-    pages = cleaning.assemble_pages(docs(spark, d).selectExpr("source doc_id", "doc_id page_no", "text"))
-    figures = docs(spark, d).filter("doc_id % 3 = 0").selectExpr("source doc_id", "cast(doc_id as int) page_no", "concat('[FIGURE f', cast(doc_id as string), ']') mark")
+    key = "concat_ws('/', source, cast(doc_id div 200 as string)) doc_id"  # 200 documents a value
+    pages = cleaning.assemble_pages(docs(spark, d).selectExpr(key, "doc_id page_no", "text"))
+    figures = docs(spark, d).filter("doc_id % 3 = 0").selectExpr(key, "cast(doc_id as int) page_no", "concat('[FIGURE f', cast(doc_id as string), ']') mark")
     return parsing.place_figure_marks(cleaning.split_lines(pages), figures)

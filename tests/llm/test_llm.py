@@ -432,6 +432,18 @@ def test_pagerank_equals_brute_force(spark):
     assert {r["host"]: pytest.approx(r["rank"]) for r in got.collect()} == rank
 
 
+def test_sources_of_one_row_are_not_placed_in_one_task(spark):
+    rows = spark.range(2000).selectExpr("id", "concat('s', id) key", "xxhash64(id) h", "0.5d at")
+    sizes = [r["count"] for r in sharding.in_ranges(rows, ["at", "key", "h", "id"]).groupBy("part").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 1000
+    got = sharding.assign_shards(rows.selectExpr("id doc_id", "key source"), 7).collect()
+    assert len({(r["shard"], r["slot"]) for r in got}) == 2000
+    counts = Counter(r["shard"] for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    order = [r["id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert order == sorted(range(2000), key=lambda i: "vs%d" % i)
+
+
 @pytest.mark.parametrize(("ring", "damping"), [(0, 0.85), (3, 0.5)])
 def test_urls_reach_the_fixed_point(spark, ring, damping):
     """A chain of 20 hosts towards a blocked seed, a host or a closed ring that links to its first one without a scheme."""

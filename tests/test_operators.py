@@ -2,6 +2,7 @@
 
 import base64
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -437,3 +438,28 @@ def test_multiset_diff_counts_repeats(spark):
     added, removed = review.multiset_diff(table(a), table(b))
     assert {r["w"]: r["count"] for r in added.groupBy("w").count().collect()} == {"x": 20002, "y": 1}
     assert [r["w"] for r in removed.collect()] == [None]
+
+
+def test_hot_sources_are_not_held_in_one_task(spark, tmp_path, monkeypatch):
+    """One source of 450 documents: values of 200 documents at most, no window over the source, no broadcast by hint."""
+    from folioflow import catalog
+
+    spark.createDataFrame([(i, f"texte {i}", "fr", "s", 9) for i in range(450)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assembled, assemble = [], cleaning.assemble_pages
+    monkeypatch.setattr(cleaning, "assemble_pages", lambda pages: assembled.append(assemble(pages)) or assembled[-1])
+    r7 = catalog.queries()["r7_split_pages"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["page_no"], r["text"]) for r in r7) == [("s", i, f"texte {i}") for i in range(450)]
+    c26 = catalog.queries()["c26_figure_marks"](spark, str(tmp_path)).collect()
+    assert sum(str(tuple(r)).count("[FIGURE f") for r in c26) == 150
+    for pages in assembled:
+        assert max(r["text"].count("## p. ") for r in pages.collect()) == 200
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    items = spark.createDataFrame([(r, p, i) for r in ("a", None) for p in (0, 1, None) for i in range(30)], "request_id string, part_no int, item_no int")
+    capped = review.cap_items(items, 5)
+    assert "collect_set" not in plan(capped) and Counter(r["request_id"] for r in capped.collect()) == {"a": 5, None: 5}
+    sources = spark.createDataFrame([(r, i, "x" * 50) for r in ("a", None) for i in range(4)], "request_id string, doc_id int, text string")
+    fitted = review.fit_sources(sources, 100, 10)
+    assert "Window" not in plan(fitted) and [(len(r["text"]), r["truncated"]) for r in fitted.collect()] == [(25, True)] * 8
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "chunk_id int, embedding array<double>")
+    near = retrieval.search(vectors, vectors.selectExpr("chunk_id query_id", "embedding vector"), [], 1)
+    assert "broadcast" not in plan(near) and {(r["query_id"], r["chunk_id"]) for r in near.collect()} == {(i, i) for i in range(5)}
