@@ -4,7 +4,8 @@ A greedy longest match proposes the tokens of each new word.  A sequence of toke
 BPE encoding of its bytes exactly when every adjacent pair, merged on its own, comes back
 as that pair; so all adjacent pairs of a slice are checked together against a table of
 known pairs, and only words with a failing pair (and unknown pairs) are merged step by
-step.  Words are told apart by 64-bit hashes of their bytes and their lengths.
+step.  Words are found by 64-bit hashes, and their bytes are compared with those of the
+word found; words that only share a hash are encoded on their own.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append_columns, text_bytes
-from .hashing import word_hashes
+from .hashing import same_words, word_hashes
 
 #: Words that a worker remembers before it forgets the unused; bounds memory, not results.
 CACHE_WORDS = 300_000
@@ -132,6 +133,8 @@ class SpeculativeBPE:
         self.keys = np.zeros(0, np.uint64)
         self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint8)
 
     def _trie(self, ids: dict[bytes, int]) -> None:
         """Nodes level by level, so that the children of a node are neighbours.
@@ -321,28 +324,45 @@ class SpeculativeBPE:
         seen[seen] = self.keys[at[seen]] == keys[seen]
         fresh = np.flatnonzero(~seen)
         if len(fresh):
-            flat, n = self.learn(raw, starts[first[fresh]], ends[first[fresh]])
-            for row, (start, _, token) in enumerate(special.tolist()):  # the bytes of an added token are no ordinary word
-                hit = np.flatnonzero(starts[first[fresh]] == start)
-                if len(hit):
-                    lead = int(n[: hit[0]].sum())
-                    flat = np.concatenate([flat[:lead], [np.uint32(token)], flat[lead + n[hit[0]] :]]).astype(np.uint32)
-                    n[hit[0]] = 1
+            some = first[fresh]
+            flat, n = self._learn(raw, starts[some], ends[some], special)
             if len(self.keys) + len(fresh) > CACHE_WORDS:  # keep what this slice uses
-                old = at[seen]
-                self.flat = self.flat[_ranges(self.at[old], self.n[old])]
-                self.keys, self.n = self.keys[old], self.n[old]
-                self.at = np.cumsum(self.n) - self.n
-            keys_ = np.concatenate([self.keys, keys[fresh]])
-            order = np.argsort(keys_, kind="stable")
-            begin = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-            self.keys, self.at, self.n = keys_[order], begin[order], np.concatenate([self.n, n])[order]
-            self.flat = np.concatenate([self.flat, flat])
+                self._keep(at[seen])
+            size = ends[some] - starts[some]
+            order = np.argsort(np.concatenate([self.keys, keys[fresh]]), kind="stable")
+            joined = lambda x, y: np.concatenate([x, y])[order]
+            self.keys, self.at, self.begin = joined(self.keys, keys[fresh]), joined(self.at, len(self.flat) + np.cumsum(n) - n), joined(self.begin, len(self.text) + np.cumsum(size) - size)
+            self.n, self.size = joined(self.n, n), joined(self.size, size)
+            self.flat, self.text = np.concatenate([self.flat, flat]), np.concatenate([self.text, raw[_ranges(starts[some], size)]])
             at = np.searchsorted(self.keys, keys)
         slot = at[which]
-        sizes = self.n[slot]
+        place, sizes, flat = self.at[slot], self.n[slot], self.flat
+        odd = np.flatnonzero(~same_words(raw, starts, ends, self.text, self.begin[slot], self.begin[slot] + self.size[slot]))
+        if len(odd):  # another word's hash
+            more, n = self._learn(raw, starts[odd], ends[odd], special)
+            place[odd], sizes[odd], flat = len(flat) + np.cumsum(n) - n, n, np.concatenate([flat, more])
         total = np.append(0, np.cumsum(sizes))
-        return self.flat[_ranges(self.at[slot], sizes)], total[np.searchsorted(starts, offsets)]
+        return flat[_ranges(place, sizes)], total[np.searchsorted(starts, offsets)]
+
+    def _keep(self, slots: np.ndarray) -> None:
+        """Forget all words but these."""
+        self.flat, self.text = self.flat[_ranges(self.at[slots], self.n[slots])], self.text[_ranges(self.begin[slots], self.size[slots])]
+        self.keys, self.n, self.size = self.keys[slots], self.n[slots], self.size[slots]
+        self.at, self.begin = np.cumsum(self.n) - self.n, np.cumsum(self.size) - self.size
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``learn``, and for words that are added tokens the one id of each."""
+        flat, n = self.learn(raw, starts, ends)
+        hit = np.flatnonzero(np.isin(starts, special[:, 0]))
+        if not len(hit):
+            return flat, n
+        lead = np.cumsum(n) - n
+        keep = np.ones(len(flat), bool)
+        keep[_ranges(lead[hit], n[hit])] = False
+        keep[lead[hit]] = True
+        flat[lead[hit]] = special[np.searchsorted(special[:, 0], starts[hit]), 2]
+        n[hit] = 1
+        return flat[keep], n
 
     def _special(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, end, id) of added tokens, leftmost and longest first, none across rows; and all edges."""
