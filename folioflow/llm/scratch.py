@@ -1,8 +1,8 @@
 """Shared intermediate tables.
 
 Lineage is cut by writing Parquet below the folder that the session names in
-``spark.checkpoint.dir``.  Only where that setting is absent (tests, a laptop) a
-temporary folder is used instead.
+``spark.checkpoint.dir``.  Where that setting is absent a temporary folder is used if the
+master is local (tests, a laptop); elsewhere that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-folioflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -52,7 +54,8 @@ class Scratch:
             df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
