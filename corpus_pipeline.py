@@ -59,7 +59,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written and read again by the next."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(*read)
+        read = (name,)
     return docs
