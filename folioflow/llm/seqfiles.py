@@ -35,6 +35,14 @@ def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri)
 
 
+def put_in_place(fs: pa.fs.FileSystem, temp: str, final: str) -> None:
+    """Rename a finished file; where an earlier attempt of the task has left its equal, that stays."""
+    if fs.get_file_info(final).type == pa.fs.FileType.NotFound:
+        fs.move(temp, final)
+    else:
+        fs.delete_file(temp)
+
+
 def id_type(vocabulary: int) -> np.dtype:
     """The narrowest unsigned integers that hold all ids."""
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
@@ -78,7 +86,7 @@ class SequenceWriter:
         for f, s, a, b in zip(self.files, self.sinks, self.temp, self.final, strict=True):
             f.close()
             s.close()
-            self.fs.move(a, b)
+            put_in_place(self.fs, a, b)
         return self.total
 
 
