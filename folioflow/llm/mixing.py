@@ -22,8 +22,9 @@ LEVEL_BITS = 12
 LEVELS = 3
 
 
-def _hash(id_col: str, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 64 - LEVEL_BITS * LEVELS)
+def _hash(id_col: str, text_col: str, seed: int) -> Column:
+    """Of id and text, so that rows without an id or of one id are told apart by their texts."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - LEVEL_BITS * LEVELS)
 
 
 def _key(source_col: str) -> Column:
@@ -69,10 +70,11 @@ def targets(totals: DataFrame, weights: tuple[float, ...], max_copies: int) -> D
 
 
 def thresholds(sized: DataFrame, plan: DataFrame, scratch: Scratch, max_copies: int) -> DataFrame:
-    """``plan`` plus ``full`` (copies of every row) and ``cut`` (rows of a lower hash get one copy more)."""
+    """``plan`` plus ``full`` (copies of every row) and ``cut`` (rows of a lower hash get one copy more, none where nothing more is needed)."""
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_copies))).otherwise(F.lit(0))
     plan = plan.withColumn("full", full.cast("int"))
     plan = plan.withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("full") * F.col("source_size"))).withColumn("cut", F.lit(0).cast("long"))
+    plan = plan.withColumn("short", F.col("need") > 0)
     plan = scratch.save(plan, "plan0")
     for level in range(LEVELS):
         # rows that share the source's hash bits so far
@@ -98,11 +100,13 @@ def thresholds(sized: DataFrame, plan: DataFrame, scratch: Scratch, max_copies:
                 "target",
                 "full",
                 rest.alias("need"),
-                (F.col("cut") * (1 << LEVEL_BITS) + F.coalesce(F.col("at.b"), F.lit(0)) + step).cast("long").alias("cut"),
+                "short",
+                F.when(F.col("short"), F.col("cut") * (1 << LEVEL_BITS) + F.coalesce(F.col("at.b"), F.lit(0)) + step).otherwise(0).cast("long").alias("cut"),
             ),
             f"plan{level + 1}",
         )
-    return plan.drop("need")
+        scratch.drop(f"plan{level}")
+    return plan.drop("need", "short")
 
 
 def size_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,11 +125,13 @@ def mixture(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, plan): ``rows`` has id, key, h and size; ``plan`` one row for each source.
 
-    Rows of equal id have equal hashes and share a decision; so do all rows without an id.
-    Empty and null texts weigh nothing.  An empty table gives two empty tables.
+    Rows equal in id and text (or without an id and equal in text) share a decision.  Null
+    sources are one source, the last.  Empty and null texts weigh nothing; a source of such
+    texts alone has the target 0.  An empty table gives two empty tables.  ``plan`` is made by
+    windows over one row a source.  Other columns are not read.
     """
     scratch = Scratch(df.sparkSession, "mixing")
-    picked = df.select(F.col(id_col).alias("id"), _key(source_col).alias("key"), _hash(id_col, seed).alias("h"), F.col(text_col).alias("text"))
+    picked = df.select(F.col(id_col).alias("id"), _key(source_col).alias("key"), _hash(id_col, text_col, seed).alias("h"), F.col(text_col).alias("text"))
     sized = scratch.save(size_rows(picked), "sized")
     totals = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
     plan = thresholds(sized, targets(totals, weights, max_copies), scratch, max_copies)
@@ -144,10 +150,10 @@ def mix_report(df: DataFrame, **options) -> DataFrame:
     )
 
 
-def mix_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 11, **options) -> DataFrame:
-    """The rows of the mix, all columns, each as often as the mix takes it."""
-    _, plan = mixture(df, id_col=id_col, source_col=source_col, seed=seed, **options)
+def mix_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 11, **options) -> DataFrame:
+    """The rows of the mix, all columns whatever their names, each as often as the mix takes it: never more than ``max_copies`` times."""
+    _, plan = mixture(df, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, **options)
     names = df.columns
-    tagged = df.select(F.struct(*names).alias("row"), _key(source_col).alias("key"), _hash(id_col, seed).alias("h"))
+    tagged = df.select(F.struct(*names).alias("row"), _key(source_col).alias("key"), _hash(id_col, text_col, seed).alias("h"))
     n = F.explode(F.when(copies() > 0, F.sequence(F.lit(1), copies())).otherwise(F.array().cast("array<int>")))
     return tagged.join(plan, "key").select("row", n.alias("copy")).select("row.*")
