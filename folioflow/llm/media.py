@@ -101,23 +101,31 @@ def walk(data: bytes, start: int = 0, stop: int | None = None, path: tuple[bytes
         start += size
 
 
-def _table(data: bytes, at: int, end: int, kind: str, skip: int = 4) -> np.ndarray:
-    """Entries of a full box: after version and flags a count (at ``skip``), then the entries."""
+def _table(data: bytes, span: tuple[int, int] | None, kind: str, skip: int = 4) -> np.ndarray:
+    """Entries of a full box: after version and flags a count (at ``skip``), then the entries, as many as the box holds."""
+    width = np.dtype(kind)
+    if span is None or span[1] - span[0] < skip + 4:
+        return np.zeros(0, width)
+    at, end = span
     n = struct.unpack_from(">I", data, at + skip)[0]
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(data, kind, min(n, (end - at - skip - 4) // width), at + skip + 4)
+    return np.frombuffer(data, width, min(n, (end - at - skip - 4) // width.itemsize), at + skip + 4)
 
 
 def tracks(data: bytes) -> list[dict]:
-    """For each track its codec, timescale, duration, and start and end of every sample, key frames marked."""
+    """For each track its codec, timescale, duration, and start and end of every sample, key frames marked.
+
+    Boxes that are too short for what they should hold count as missing; samples that would
+    lie outside the data end the list of samples.
+    """
     out: list[dict] = []
     for path, at, end in walk(data):
         kind = path[-1]
         if kind == b"trak":
             out.append({})
-        elif kind == b"mdhd" and out:
+        elif kind == b"mdhd" and out and end > at:
             wide = data[at] == 1
-            out[-1]["timescale"], out[-1]["duration"] = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
+            if end - at >= (32 if wide else 20):
+                out[-1]["timescale"], out[-1]["duration"] = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
         elif kind == b"stsd" and out and end - at >= 16:
             out[-1]["codec"] = data[at + 12 : at + 16].decode("latin-1")
         elif path[-2:-1] == (b"stbl",) and out:
@@ -125,27 +133,40 @@ def tracks(data: bytes) -> list[dict]:
     return [_samples(data, t) for t in out]
 
 
+def _sizes(data: bytes, span: tuple[int, int] | None) -> np.ndarray:
+    if span is None or span[1] - span[0] < 12:
+        return np.zeros(0, np.int64)
+    uniform, n = struct.unpack_from(">II", data, span[0] + 4)
+    if uniform:
+        return np.full(min(n, len(data) // uniform), uniform, np.int64)  # more samples than the data holds can't be
+    return _table(data, span, ">u4", 8).astype(np.int64)
+
+
 def _samples(data: bytes, t: dict) -> dict:
-    uniform, n = struct.unpack_from(">II", data, t[b"stsz"][0] + 4) if b"stsz" in t else (0, 0)
-    sizes = np.full(n, uniform, np.int64) if uniform else (_table(data, *t[b"stsz"], ">u4", 8).astype(np.int64) if n else np.zeros(0, np.int64))
-    places = _table(data, *t[b"co64"], ">u8") if b"co64" in t else _table(data, *t[b"stco"], ">u4") if b"stco" in t else np.zeros(0)
-    places = places.astype(np.int64)
-    runs = _table(data, *t[b"stsc"], ">u4,>u4,>u4") if b"stsc" in t else np.zeros(0, ">u4,>u4,>u4")
+    sizes = _sizes(data, t.get(b"stsz"))
+    places = (_table(data, t[b"co64"], ">u8") if b"co64" in t else _table(data, t.get(b"stco"), ">u4")).astype(np.int64)
+    runs = _table(data, t.get(b"stsc"), ">u4,>u4,>u4")
     first, each = runs["f0"].astype(np.int64), runs["f1"].astype(np.int64)
-    per = np.repeat(each, np.diff(np.append(first, len(places) + 1))) if len(runs) else np.zeros(0, np.int64)
-    chunk = np.repeat(np.arange(len(per)), per)[: len(sizes)]
+    lasts = np.append(first[1:], len(places) + 1)
+    ok = len(first) and first[0] == 1 and (lasts >= first).all() and lasts.max() <= len(places) + 1
+    per = np.repeat(each, lasts - first) if ok else np.zeros(0, np.int64)
+    per = np.clip(len(sizes) - (np.cumsum(per) - per), 0, per)
+    chunk = np.repeat(np.arange(len(per)), per)
     sizes = sizes[: len(chunk)]
     ahead = np.cumsum(sizes) - sizes
-    lead = np.append(0, np.cumsum(per))[:-1]
-    starts = places[chunk] + ahead - ahead[lead[chunk]] if len(sizes) else np.zeros(0, np.int64)
-    sync = _table(data, *t[b"stss"], ">u4").astype(np.int64) - 1 if b"stss" in t else np.arange(len(sizes))
+    lead = (np.cumsum(per) - per)[chunk]
+    starts = places[chunk] + ahead - ahead[lead] if len(sizes) else np.zeros(0, np.int64)
+    outside = np.flatnonzero((starts < 0) | (starts + sizes > len(data)))
+    whole = int(outside[0]) if len(outside) else len(sizes)
+    starts, sizes = starts[:whole], sizes[:whole]
+    sync = _table(data, t[b"stss"], ">u4").astype(np.int64) - 1 if b"stss" in t else np.arange(len(sizes))
     return {
         "codec": t.get("codec", ""),
         "timescale": t.get("timescale", 0),
-        "duration": t.get("duration", 0),
+        "duration": min(t.get("duration", 0), (1 << 63) - 1),
         "starts": starts,
         "ends": starts + sizes,
-        "sync": sync[sync < len(sizes)],
+        "sync": sync[(sync >= 0) & (sync < len(sizes))],
     }
 
 
@@ -159,55 +180,76 @@ def read_samples(data: bytes, track: dict) -> bytes:
     return b"".join(data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True))
 
 
+def _contained(text: bytes | None) -> tuple[int, bytes]:
+    raw = text or b""
+    return len(raw), write_container(raw + b" " * (max(PACKET, -(-len(raw) // PACKET) * PACKET) - len(raw)))
+
+
+STORED = [T.StructField("n_bytes", T.LongType(), False), T.StructField("media", T.BinaryType(), False)]
+
+
 def store(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace the text by ``n_bytes`` and ``media``, a container with its UTF-8 bytes padded by spaces.
 
-    Null is an empty text; empty texts are one packet of padding.  Equal texts give equal bytes.
+    Null is an empty text; empty texts are one packet of padding.  Equal texts give equal
+    bytes.  An input column with the name of an output column is replaced.
     """
 
     def make(batch: pa.RecordBatch) -> list:
-        sizes, media = [], []
-        for text in batch.column(text_col).cast(pa.binary()).to_pylist():
-            raw = text or b""
-            sizes.append(len(raw))
-            media.append(write_container(raw + b" " * (max(PACKET, -(-len(raw) // PACKET) * PACKET) - len(raw))))
-        return [sizes, media]
+        return list(zip(*map(_contained, batch.column(text_col).cast(pa.binary()).to_pylist()), strict=True))
 
-    fields = [T.StructField("n_bytes", T.LongType(), False), T.StructField("media", T.BinaryType(), False)]
-    return append_columns(df, make, fields, text_col, (text_col,))
+    return append_columns(df, make, STORED, text_col, (text_col,))
 
 
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+PROBED = [
+    T.StructField("codec", T.StringType(), False),
+    T.StructField("timescale", T.LongType(), False),
+    T.StructField("duration", T.LongType(), False),
+    T.StructField("keyframes", RANGES, False),
+    T.StructField("payload", T.BinaryType(), False),
+]
+
+
+def _probed(data: bytes | None, with_payload: bool) -> tuple:
+    data = data or b""
+    t = next(iter(tracks(data)), None)
+    if t is None:
+        return ("", 0, 0, [], b"")[: 4 + with_payload]
+    keys = zip(t["starts"][t["sync"]].tolist(), t["ends"][t["sync"]].tolist(), strict=True)
+    row = (t["codec"], t["timescale"], t["duration"], [{"start": a, "end": b} for a, b in keys])
+    return (*row, read_samples(data, t)) if with_payload else row
+
+
 def probe(df: DataFrame, media_col: str = "media", with_payload: bool = False) -> DataFrame:
     """Add codec, timescale, duration and keyframes (byte ranges) of the first track, and its samples on request.
 
-    Null and broken containers have an empty codec, zero durations and no key frames.
+    Null containers and such without a track have an empty codec, zero durations and no key
+    frames; of broken tracks what their boxes still hold is told (see ``tracks``).  An input
+    column with the name of an output column is replaced.
     """
 
     def make(batch: pa.RecordBatch) -> list:
-        cols: list[list] = [[], [], [], [], []]
-        for data in batch.column(media_col).to_pylist():
-            t = next(iter(tracks(data or b"")), None) or {"codec": "", "timescale": 0, "duration": 0, "starts": np.zeros(0, int), "ends": np.zeros(0, int), "sync": np.zeros(0, int)}
-            keys = zip(t["starts"][t["sync"]].tolist(), t["ends"][t["sync"]].tolist(), strict=True)
-            row = (t["codec"], t["timescale"], t["duration"], [{"start": a, "end": b} for a, b in keys], read_samples(data or b"", t) if with_payload else None)
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
-        return cols if with_payload else cols[:4]
-
-    fields = [
-        T.StructField("codec", T.StringType(), False),
-        T.StructField("timescale", T.LongType(), False),
-        T.StructField("duration", T.LongType(), False),
-        T.StructField("keyframes", RANGES, False),
-    ]
-    return append_columns(df, make, fields + [T.StructField("payload", T.BinaryType(), False)] * with_payload, media_col)
+        return list(zip(*(_probed(data, with_payload) for data in batch.column(media_col).to_pylist()), strict=True))
+
+    return append_columns(df, make, PROBED if with_payload else PROBED[:4], media_col)
+
+
+def store_and_probe(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``store``, and ``probe`` with the payload on what was stored, in one pass of the same worker."""
+
+    def make(batch: pa.RecordBatch) -> list:
+        stored = list(map(_contained, batch.column(text_col).cast(pa.binary()).to_pylist()))
+        return list(zip(*((*s, *_probed(s[1], True)) for s in stored), strict=True))
+
+    return append_columns(df, make, STORED + PROBED, text_col, (text_col,))
 
 
 def media_report(df: DataFrame) -> DataFrame:
     """Per row the digests of the stored form and of the payload read back from it, and its features."""
-    read = probe(store(df.select("doc_id", "text")), with_payload=True)
+    read = store_and_probe(df.select("doc_id", "text"))
     ranges = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("-", k["start"].cast("string"), k["end"].cast("string"))), ",")
     return read.select(
         "doc_id",
