@@ -1,16 +1,19 @@
 """Toxicity scores by a counterfactually regularised linear classifier.
 
-The model is logistic over which words and word beginnings a text holds.  Sentences of the
-labelled sample that name a group are swapped to its neighbours ("the nurse is ..." for
-each group of IDENTITY); the squared change of the score is a penalty beside the loss, so
-naming a group cannot move a score much in either direction.
+The model is logistic over which words and word beginnings a text holds.  Each labelled text
+of the sample that names a member of a group of IDENTITY is written again with all members of
+that group exchanged for their neighbours in it; the squared change of the score from the
+text to its counterpart is a penalty beside the loss, so naming a group cannot move a score
+much in either direction.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append_columns
+from .hashing import mix, word_hashes
 
 #: Groups whose members are exchanged for one another.
 IDENTITY = (
@@ -39,26 +43,81 @@ IDENTITY = (
 #: Lengths of the word beginnings that are features beside the word.
 STEMS = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
+#: Weight of the mean squared change of the score beside the mean loss.
+FAIRNESS = 20.0
 
 
-def features(text: str | None) -> set[int]:
-    """Hashes of the words of a text and of their beginnings; whole texts, in lower case."""
-    names: set[str] = set()
-    for word in set(_WORD.findall((text or "").lower())):
-        names.add(word)
-        names.update(word[:n] + "*" for n in STEMS if len(word) > n)
-    return {zlib.crc32(n.encode("utf-8", "replace")) for n in names}
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Of each code point whether it is part of a word: letters, and marks and numerals that count as such in ``_WORD``."""
+    out = np.zeros(0x110000, bool)
+    out[:0x10000] = [bool(_WORD.match(chr(c))) for c in range(0x10000)]
+    out[0x10000:] = [unicodedata.category(chr(c))[0] in "L" for c in range(0x10000, 0x110000)]
+    return out
+
+
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the words of all texts and of their beginnings, in lower case, with repeats; whole texts."""
+    texts = [(t or "").lower() for t in column.to_pylist()]
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    inside = _letters()[points]
+    starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+    stops = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
+    raw, row = points.view(np.uint8), np.searchsorted(ends, starts, side="right")
+    rows, hashes = [row], [word_hashes(raw, starts * 4, stops * 4)]
+    for n in STEMS:
+        longer = np.flatnonzero(stops - starts > n)
+        rows.append(row[longer])
+        hashes.append(mix(word_hashes(raw, starts[longer] * 4, (starts[longer] + n) * 4), n))
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+def feature_sets(column: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct features of each text."""
+    row, names = features(column)
+    order = np.lexsort((names, row))
+    row, names = row[order], names[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (names[1:] != names[:-1]))[: len(row)]
+    row, names = row[new], names[new]
+    edge = np.searchsorted(row, np.arange(len(column) + 1))
+    return [names[a:b] for a, b in zip(edge, edge[1:])]  # noqa: B905
+
+
+_NEXT = [{t: group[(i + 1) % len(group)] for i, t in enumerate(group)} for group in IDENTITY]
+
+
+def counterparts(text: str | None) -> list[str]:
+    """The text with the members of a group exchanged for their neighbours, once for each group that it names."""
+    low = (text or "").lower()
+    named = set(_WORD.findall(low))
+    return [_WORD.sub(lambda m, g=group: g.get(m[0], m[0]), low) for group in _NEXT if named & group.keys()]
 
 
 @dataclass(frozen=True)
 class Model:
     bias: float
-    weights: dict[int, float]
+    names: np.ndarray  # sorted hashes of features
+    weights: np.ndarray
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """Probability that each text is toxic, to six digits."""
+        z = np.full(len(column), self.bias)
+        if len(self.names):
+            row, names = features(column)
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            hit = self.names[at] == names
+            pairs = np.unique(row[hit] * np.int64(len(self.names)) + at[hit])
+            z += np.bincount(pairs // len(self.names), weights=self.weights[pairs % len(self.names)], minlength=len(z))
+        return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)
 
     def score(self, text: str | None) -> float:
-        hit = features(text) & self.weights.keys()
-        z = self.bias + sum(self.weights[f] for f in sorted(hit))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(self.scores(pa.array([text], pa.string()))[0])
+
+
+def _model(bias: float, weights: dict[int, float] | None = None) -> Model:
+    names = sorted(weights or {})
+    return Model(float(bias), np.array(names, np.uint64), np.array([weights[n] for n in names], float))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -67,8 +126,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
-    """(label, text) of at most ``per_class`` training rows of each class, lowest hash first; and class counts."""
-    train = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label")).distinct()
+    """(label, text) of at most ``per_class`` training rows of each class, lowest hash first; and class counts.
+
+    Repeated labels count once; ids with labels of both classes are left out.
+    """
+    said = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("other"))
+    train = said.filter("label = other").select("doc_id", "label")
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     picked = [train.filter(F.col("label") == c).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     # at most 2 * per_class ids: the bound is a parameter
@@ -96,7 +159,6 @@ def _select(rows: list[np.ndarray], labels: np.ndarray, most: int, least_gain: f
         + part(n - p - seen + pos, (n - seen) * (n - p) / n)
     )
     order = np.lexsort((names, -gain))[:most]
-    names = names.astype(np.int64)
     return names[order[(gain[order] >= least_gain) & (seen[order] >= 3)]]
 
 
@@ -117,99 +179,109 @@ def calibrated(z: np.ndarray, labels: np.ndarray, counts: dict[int, int]) -> tup
     return float(max(w[0], 0.1)), float(w[1])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, counts: dict[int, int], **options) -> Model:
-    """The classifier of all rows, its scores calibrated on those that each half's classifier gives the other half."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, counts: dict[int, int], swaps: list[list[np.ndarray]] | None = None, **options) -> Model:
+    """The classifier of all rows, its scores calibrated on those that each half's classifier gives the other half.
+
+    ``rows``: features of each text; ``swaps``: for each text the features of its counterparts.
+    """
     n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
+    swaps = swaps or [[] for _ in rows]
     if not n1 or not n0:
-        return Model(-3.0 if n0 or not n1 else 3.0, {})
-    whole = _fit(rows, labels, **options)
+        return _model(-3.0 if n0 or not n1 else 3.0)
+    bias, weights = _fit(rows, labels, swaps, **options)
     if min(n1, n0) < 10:
         shift = np.log((n1 / max(counts.get(1, n1), 1)) / (n0 / max(counts.get(0, n0), 1)))
-        return Model(whole.bias - float(shift), whole.weights)
+        return _model(bias - float(shift), weights)
     z = np.zeros(len(rows))
     for half in (0, 1):
         there = np.arange(len(rows)) % 2 == half
-        part = _fit([r for r, t in zip(rows, there, strict=True) if t], labels[there], **options)
+        own, part = _fit([r for r, t in zip(rows, there, strict=True) if t], labels[there], [s for s, t in zip(swaps, there, strict=True) if t], **options)
         for i in np.flatnonzero(~there).tolist():
-            z[i] = part.bias + sum(part.weights.get(f, 0.0) for f in rows[i].tolist())
+            z[i] = own + sum(part.get(f, 0.0) for f in rows[i].tolist())
     slope, offset = calibrated(z, labels, counts)
-    return Model(slope * whole.bias + offset, {f: slope * x for f, x in whole.weights.items()})
-
-
-def _fit(rows: list[np.ndarray], labels: np.ndarray, most: int = 4096, least_gain: float = 12.0, ridge: float = 1e-3, fairness: float = 1.0, steps: int = 400) -> Model:
-    """Logistic regression on the strongest features and all identity terms, with the swap penalty."""
-    terms = [[sorted(features(t)) for t in group] for group in IDENTITY]
-    names = np.unique(np.concatenate([_select(rows, labels, most, least_gain), np.array([f for g in terms for t in g for f in t], np.int64)]))
-    column = {int(f): i for i, f in enumerate(names)}
-    kept = [np.array([column[f] for f in r.tolist() if f in column], np.int64) for r in rows]
-    cols = np.concatenate(kept)
-    at = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
-    seen = np.bincount(cols, minlength=len(names))
-    # one swap for each ordered pair of a group, weighing as often as its first term occurs in the sample
-    swaps = [(column[_own(a, g)], [column[f] for f in a], [column[f] for f in b]) for g in terms for a in g for b in g if a is not b]
-    often = np.array([seen[c] for c, _, _ in swaps], float)
-    often = (often + 1) / (often + 1).sum()
-    step_rows = [np.concatenate([np.full(len(a) + len(b), k) for k, (_, a, b) in enumerate(swaps)]), np.concatenate([a + b for _, a, b in swaps]), np.concatenate([[-1.0] * len(a) + [1.0] * len(b) for _, a, b in swaps])]
+    return _model(slope * bias + offset, {f: slope * x for f, x in weights.items()})
+
+
+def _columns(rows: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the features that are among ``names``."""
+    flat = np.concatenate([*rows, np.zeros(0, names.dtype)])
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    column = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+    hit = names[column] == flat if len(names) else np.zeros(len(flat), bool)
+    return at[hit], column[hit]
+
+
+def _fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[list[np.ndarray]], most: int = 4096, least_gain: float = 12.0, ridge: float = 1e-3, fairness: float = FAIRNESS, steps: int = 400) -> tuple[float, dict[int, float]]:
+    """Logistic regression on the strongest features and all identity terms.
+
+    Minimised: mean loss + ridge / 2 * sum of squared weights + fairness / 2 * mean squared
+    change of the score over all pairs of a text and a counterpart.
+    """
+    terms = feature_sets(pa.array([t for group in IDENTITY for t in group]))
+    names = np.unique(np.concatenate([_select(rows, labels, most, least_gain), *terms]))
+    at, cols = _columns(rows, names)
+    first = np.repeat(np.arange(len(rows)), [len(s) for s in swaps])  # of each counterpart its text
+    there, other = _columns([c for s in swaps for c in s], names)
+    n, pairs = len(rows), max(len(first), 1)
     w, bias = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        z = np.bincount(at, weights=w[cols], minlength=len(rows)) + bias
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(rows)
-        change = np.bincount(step_rows[0], weights=w[step_rows[1]] * step_rows[2], minlength=len(swaps))
-        g = np.bincount(cols, weights=r[at], minlength=len(names)) + ridge * w
-        g += fairness * np.bincount(step_rows[1], weights=(often * change)[step_rows[0]] * step_rows[2], minlength=len(names))
-        g = np.append(g, r.sum())
+        p = sigmoid(np.bincount(at, weights=w[cols], minlength=n) + bias)
+        q = sigmoid(np.bincount(there, weights=w[other], minlength=len(first)) + bias)
+        change = fairness * (q - p[first]) / pairs
+        up = change * q * (1 - q)  # by the counterpart's log odds, and by the text's
+        down = np.bincount(first, weights=change, minlength=n) * p * (1 - p)
+        r = (p - labels) / n - down
+        g = np.bincount(cols, weights=r[at], minlength=len(names)) + np.bincount(other, weights=up[there], minlength=len(names)) + ridge * w
+        g = np.append(g, r.sum() + up.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(float(bias), {int(f): float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6})
-
-
-def _own(term: list[int], group: list[list[int]]) -> int:
-    """The feature of a term that fewest of its group share: the word itself."""
-    return min(term, key=lambda f: (sum(f in other for other in group), f))
+    return float(bias), {int(f): float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6}
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, seed: int = 5, **options) -> Model:
     """Fit on a sample of at most 2 * ``per_class`` labelled rows; the model is a bounded set of weights."""
     sample, counts = labelled_sample(docs, labels, per_class, seed)
-    field = T.StructField("features", T.ArrayType(T.IntegerType(), False), False)
+    longs = T.ArrayType(T.LongType(), False)
+    fields = [T.StructField("features", longs, False), T.StructField("swaps", T.ArrayType(longs, False), False)]
 
     def make(batch: pa.RecordBatch) -> list:
-        return [[np.array(sorted(features(t)), np.uint32).view(np.int32) for t in batch.column("text").to_pylist()]]
-
-    got = append_columns(sample, make, [field], drop=("text",)).toArrow()
-    column = got.column("features").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    flat, ends = column.values.to_numpy().view(np.uint32), column.offsets.to_numpy()
-    rows = [flat[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
+        signed = lambda sets: [s.view(np.int64) for s in sets]
+        column = batch.column("text")
+        swapped = [signed(feature_sets(pa.array(counterparts(t), pa.string()))) for t in column.to_pylist()]
+        return [signed(feature_sets(column)), swapped]
+
+    got = append_columns(sample, make, fields, drop=("text",)).toArrow()
+    rows = [np.array(x, np.int64).view(np.uint64) for x in got.column("features").to_pylist()]
+    swaps = [[np.array(x, np.int64).view(np.uint64) for x in s] for s in got.column("swaps").to_pylist()]
     labels_ = got.column("label").to_numpy().astype(float)
     # a fixed order, so that reruns give the same model
     order = sorted(range(len(rows)), key=lambda i: (labels_[i], zlib.crc32(rows[i].tobytes())))
-    return fit([rows[i] for i in order], labels_[order], counts, **options)
+    return fit([rows[i] for i in order], labels_[order], counts, [swaps[i] for i in order], **options)
 
 
 def score(df: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted``.  Null and empty texts score by the bias alone."""
+    """Add ``score`` (0 to 1) and ``predicted``, whole texts; columns of these names are replaced.  Null and empty texts score by the bias alone."""
 
     def make(batch: pa.RecordBatch) -> list:
-        scores = [round(model.score(t), 6) for t in batch.column("text").to_pylist()]
-        return [scores, [int(s >= threshold) for s in scores]]
+        scores = model.scores(batch.column("text"))
+        return [scores, (scores >= threshold).astype(np.int32)]
 
     return append_columns(df, make, [T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted."""
+    """Per row: doc_id, held_out, score, predicted.  Without labels of both classes all rows score alike; an empty table gives no rows."""
     return score(docs.select("doc_id", "text"), train(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier does not reject, all columns; rows are scored by text alone."""
+def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows that the classifier does not reject, all columns whatever their names; rows are scored by text alone.
+
+    Null and empty texts stay unless the bias alone rejects; rows of equal texts share a decision.  An empty table gives no rows.
+    """
     model = train(docs, labels)
     mark = next(n for n in (f"_keep{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
-
-    def make(batch: pa.RecordBatch) -> list:
-        return [[round(model.score(t), 6) < 0.7 for t in batch.column("text").to_pylist()]]
-
-    return append_columns(docs, make, [T.StructField(mark, T.BooleanType(), False)]).filter(mark).drop(mark)
+    return append_columns(docs, lambda b: [model.scores(b.column("text")) < threshold], [T.StructField(mark, T.BooleanType(), False)]).filter(mark).drop(mark)

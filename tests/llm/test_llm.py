@@ -341,8 +341,15 @@ def test_secrets(spark, docs, empty):
 
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.BASE + secrets.MORE}
-    assert q["hex"] is None and q["access"] == {frozenset({"aki", "kia"})}
-    assert frozenset({"sec", "ecr", "cre", "ret"}) in q["assign"] and len(q["assign"]) == 6
+    assert q["hex"] == [] and q["access"] == [{frozenset({"aki", "kia"})}] and q["jwt"] == [{frozenset({"eyj"})}]
+    assert len(q["assign"]) == 1 and frozenset({"sec", "ecr", "cre", "ret"}) in q["assign"][0] and len(q["assign"][0]) == 6
+    assert [len(c) for c in q["pem"]] == [1, 1] and q["pem"][1] > set() and all({"key", "pri"} <= s for s in q["pem"][1])
+    assert secrets.trigram_query("(abc|xyz)+[0-9]?def{2}g") == [{frozenset({"abc"}), frozenset({"xyz"})}, {frozenset({"def", "eff", "ffg"})}]
+    for r in secrets.BASE + secrets.MORE:  # every match satisfies every clause
+        for text in [*SECRETS, "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12, "AIza" + "x" * 35, "-----BEGIN PRIVATE KEY-----", "xoxp-" + "9" * 11]:
+            for m in re.finditer(r.pattern, text):
+                low = m[0].lower()
+                assert all(any(all(t in low for t in s) for s in clause) for clause in secrets.trigram_query(r.pattern)), (r.kind, low)
 
 
 def test_toxicity_learns_and_is_fair(spark, empty):
@@ -382,13 +389,56 @@ def test_toxicity_swap_penalty_lowers_the_gap():
     for i in range(400):
         toxic = i % 2
         text = rng.choice(["hello friend", "nice day", "good book"]) + (" idiotic" if toxic and rng.random() < 0.7 else "") + (" women" if rng.random() < (0.8 if toxic else 0.1) else "")
-        rows.append(np.array(sorted(toxicity.features(text)), np.int64))
+        rows.append(text)
         labels.append(float(toxic))
+    sets, labels = toxicity.feature_sets(pa.array(rows)), np.array(labels)
+    swaps = [toxicity.feature_sets(pa.array(toxicity.counterparts(t), pa.string())) for t in rows]
+    assert toxicity.counterparts("Women, women and muslims!") == ["men, men and muslims!", "women, women and christians!"]
     gap = {}
-    for fairness in (0.0, 50.0):
-        model = toxicity.fit(rows, np.array(labels), {0: 200, 1: 200}, fairness=fairness)
+    for fairness in (0.0, toxicity.FAIRNESS):  # of the query
+        model = toxicity.fit(sets, labels, {0: 200, 1: 200}, swaps, fairness=fairness)
         gap[fairness] = model.score("nice day women") - model.score("nice day men")
-    assert abs(gap[50.0]) < 0.5 * abs(gap[0.0])
+    assert abs(gap[toxicity.FAIRNESS]) < 0.5 * abs(gap[0.0])
+
+
+def test_toxicity_objective_against_plain_descent():
+    """The same objective, term by term in plain Python, brought to its minimum by plain gradient descent."""
+    rng = random.Random(3)
+    texts, labels = [], []
+    for i in range(40):
+        labels.append(float(i % 2))
+        texts.append(rng.choice(["calm sea", "warm bread"]) + (" vilehead" if i % 2 and rng.random() < 0.8 else "") + (" women" if rng.random() < (0.7 if i % 2 else 0.2) else ""))
+    sets = [set(x.tolist()) for x in toxicity.feature_sets(pa.array(texts))]
+    others = [[set(x.tolist()) for x in toxicity.feature_sets(pa.array(toxicity.counterparts(t), pa.string()))] for t in texts]
+    pairs = [(i, c) for i, cs in enumerate(others) for c in cs]
+    used = sorted(set().union(*sets, *(c for _, c in pairs)))
+    w, bias, ridge = dict.fromkeys(used, 0.0), 0.0, 0.01
+    prob = lambda s: 1 / (1 + math.exp(-bias - sum(w[f] for f in s)))
+    for _ in range(4000):
+        grad, g0 = {f: ridge * w[f] for f in used}, 0.0
+        for s, y in zip(sets, labels):
+            e = (prob(s) - y) / len(sets)
+            g0 += e
+            for f in s:
+                grad[f] += e
+        for i, c in pairs:
+            p, q = prob(sets[i]), prob(c)
+            d = toxicity.FAIRNESS * (q - p) / len(pairs)
+            g0 += d * (q * (1 - q) - p * (1 - p))
+            for f in c:
+                grad[f] += d * q * (1 - q)
+            for f in sets[i]:
+                grad[f] -= d * p * (1 - p)
+        bias -= 0.3 * g0
+        for f in used:
+            w[f] -= 0.3 * grad[f]
+    rows = [np.array(sorted(s), np.uint64) for s in sets]
+    swaps = [[np.array(sorted(c), np.uint64) for c in cs] for cs in others]
+    b, weights = toxicity._fit(rows, np.array(labels), swaps, least_gain=-1.0, ridge=ridge, steps=3000)
+    rare = {f for f in used if sum(f in s for s in sets) < 3}
+    for s in sets:
+        if not s & rare:
+            assert abs(1 / (1 + math.exp(-b - sum(weights.get(f, 0.0) for f in s))) - prob(s)) < 0.03
 
 
 def test_urls(spark):
