@@ -71,9 +71,11 @@ def fold(text: Column) -> Column:
     """Lower case without accents, straight apostrophes: as NFKD without combining marks for Latin letters."""
     source, target, expand, marks = _latin_fold()
     text = F.translate(text, source + "’" + marks, target + "'")
+    wide = text
     for c, plain in expand:
-        text = F.replace(text, F.lit(c), F.lit(plain))
-    return F.lower(text)
+        wide = F.replace(wide, F.lit(c), F.lit(plain))
+    # few texts hold a ligature or another letter that becomes several
+    return F.lower(F.when(text.rlike(f"[{''.join(c for c, _ in expand)}]"), wide).otherwise(text))
 
 
 def same_text_key(text: Column) -> Column:
@@ -143,19 +145,34 @@ def occurrences(text: Column, quote: Column) -> Column:
     return F.when(F.char_length(quote) > 0, (gone / F.char_length(quote)).cast("int")).otherwise(F.lit(0))
 
 
+#: Items that one step of a running sum copies.
+STEP = 256
+
+
+def running_sum(values: Column) -> Column:
+    """Running sums of an array of integers, in steps, so that no long array is copied again and again."""
+
+    def within(first: Column, items: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"] + x)).alias("out")))
+
+    def step(acc: Column, at: Column) -> Column:
+        done = within(acc["at"], F.slice(values, at, STEP))
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    steps = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.aggregate(steps, start, step)["out"])
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Matches of a pattern as structs (start, end, match), in code points: what lies between them gives the starts."""
     found = F.regexp_extract_all(text, _rx(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.char_length(F.element_at(gaps, i))
-        end = start + F.char_length(F.element_at(found, i))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.element_at(found, i).alias("match")))).alias("out"))
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    ends = running_sum(F.zip_with(gaps, found, lambda g, m: F.char_length(g) + F.char_length(m)))
+    made = F.zip_with(ends, found, lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("match")))
+    # most texts have no match, and then nothing else is looked at
+    return F.when(F.regexp_like(text, _rx(pattern)), made).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
 def around(text: Column, start: Column, end: Column, n: int) -> Column:

@@ -52,17 +52,21 @@ def choose_font_tables(words: DataFrame) -> DataFrame:
 
     Fitness is the share of plausible words over the factor by which words fall apart.
     """
-    variants = F.array(F.struct(F.lit(-1).alias("candidate"), F.col("text").alias("read")), *(F.struct(F.lit(i).alias("candidate"), repaired(F.col("text"), c).alias("read")) for i, c in enumerate(CANDIDATES)))
-    tokens = F.regexp_extract_all("read", F.lit(quality.LETTER + "+"), F.lit(0))
+    # one row a distinct word; a candidate counts only by the words that it changes
+    once = words.groupBy("doc_id", "font", "text").agg(F.count(F.lit(1)).alias("k"))
+    tokens = lambda c: F.regexp_count(c, F.lit(quality.LETTER + "+"))
+    good = lambda c: F.regexp_count(c, F.lit(f"(?<!{quality.LETTER})(?:{quality.WORD})(?!{quality.LETTER})"))
     pieces = lambda c: F.regexp_count(c, F.lit(quality.ANY_LETTER + "+"))
-    flat = words.select("doc_id", "font", "text", F.explode(variants).alias("v")).select("doc_id", "font", "v.*", pieces(F.col("text")).alias("before")).withColumn("tokens", tokens)
-    sums = flat.groupBy("doc_id", "font", "candidate").agg(
-        F.count(F.lit(1)).alias("words"),
-        F.sum(F.size("tokens")).alias("n"),
-        F.sum(F.size(F.filter("tokens", quality.plausible))).alias("good"),
-        F.sum("before").alias("before"),
-        F.sum(pieces(F.col("read"))).alias("after"),
-    )
+    judged = lambda c: (tokens(c).alias("n"), good(c).alias("good"), pieces(c).alias("after"))
+    plain = once.select("doc_id", "font", "text", "k", *judged(F.col("text")))
+    reads = F.array(*(F.struct(F.lit(i).alias("candidate"), repaired(F.col("text"), c).alias("read")) for i, c in enumerate(CANDIDATES)))
+    may = F.col("text").rlike("[^\\x00-\\x7f]|^\\(cid:")  # nothing else changes
+    changed = plain.filter(may).select("*", F.explode(F.filter(reads, lambda v: v["read"] != F.col("text"))).alias("v"))
+    delta = changed.select("doc_id", "font", "v.candidate", *((c - F.col(name)) * F.col("k") for c, name in zip(judged(F.col("v.read")), ("n", "good", "after"), strict=True)))
+    delta = delta.toDF("doc_id", "font", "candidate", "n", "good", "after").groupBy("doc_id", "font", "candidate").agg(*(F.sum(c).alias(f"d_{c}") for c in ("n", "good", "after")))
+    own = plain.groupBy("doc_id", "font").agg(F.sum("k").alias("words"), *(F.sum(F.col(c) * F.col("k")).alias(c) for c in ("n", "good", "after"))).withColumn("before", F.col("after"))
+    moved = own.join(delta, ["doc_id", "font"]).select("doc_id", "font", "candidate", "words", *((F.col(c) + F.col(f"d_{c}")).alias(c) for c in ("n", "good", "after")), "before")
+    sums = own.withColumn("candidate", F.lit(-1)).unionByName(moved)
     split = F.when(F.col("before") > 0, F.greatest(F.lit(1.0), F.col("after") / F.col("before"))).otherwise(1.0)
     fit = F.when(F.col("n") > 0, F.round(F.col("good") / F.col("n"), 4)).otherwise(0.0) / split
     scored = sums.withColumn("fit", fit).withColumn("own", F.max(F.when(F.col("candidate") == -1, fit)).over(Window.partitionBy("doc_id", "font")))

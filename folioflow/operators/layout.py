@@ -270,6 +270,7 @@ def drop_region_furniture(regions: DataFrame, grid: float = 5.0, pages: int = 3)
 def join_fragments(parts: Column) -> Column:
     """Pieces of one text put together: no blank after apostrophes and opening signs or before punctuation."""
     clean = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
-    glue = lambda a, p: (a == "") | a.rlike("(?:[’'(\\[«]|« )$") | p.rlike("^(?:[,.;:)\\]’'»]| »)")
-    return F.aggregate(clean, F.lit(""), lambda a, p: F.concat(a, F.when(glue(a, p), F.lit("")).otherwise(F.lit(" ")), p))
-
+    # joined by a sign that stands in no text, which then is a blank or nothing
+    joined = F.array_join(F.transform(clean, lambda p: F.replace(p, F.lit("\x01"), F.lit(""))), "\x01")
+    glued = F.regexp_replace(joined, "(?<=[’'(\\[«])\x01|\x01(?=[,.;:)\\]’'»])", "")
+    return F.replace(glued, F.lit("\x01"), F.lit(" "))

@@ -51,8 +51,7 @@ def header_roles(cells: Column) -> Column:
     """Column numbers of the roles (-1: none): each cell takes the first role it names that is still free."""
     names = list(ROLES)
 
-    def step(acc: Column, cell: Column) -> Column:
-        folded = tx.fold(cell)
+    def step(acc: Column, folded: Column) -> Column:
         wants = [(acc[n] < 0) & reduce(lambda a, b: a | b, (F.contains(folded, F.lit(k)) for k in ROLES[n])) for n in names]
         taken = F.lit(False)
         fields = []
@@ -61,7 +60,7 @@ def header_roles(cells: Column) -> Column:
             taken = taken | w
         return F.struct((acc["i"] + 1).alias("i"), *fields)
 
-    return F.aggregate(cells, F.struct(F.lit(0).alias("i"), *(F.lit(-1).alias(n) for n in names)), step)
+    return F.aggregate(F.transform(cells, tx.fold), F.struct(F.lit(0).alias("i"), *(F.lit(-1).alias(n) for n in names)), step)
 
 
 def split_chapter(raw: Column) -> Column:
@@ -76,8 +75,15 @@ def split_chapter(raw: Column) -> Column:
 
 def unique_folded(values: Column) -> Column:
     """Values in order, of those with one folded key the first; empty keys dropped."""
-    keys = F.transform(values, lambda v: F.trim(tx.fold(v)))
-    return F.filter(values, lambda v, i: (F.array_position(keys, F.get(keys, i)) == i + 1) & (F.get(keys, i) != ""))
+    keyed = F.transform(values, lambda v: F.struct(v.alias("v"), F.trim(tx.fold(v)).alias("k")))
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (x["k"] != "") & ~F.array_contains(acc["keys"], x["k"])
+        add = lambda field, value: F.when(new, F.concat(acc[field], F.array(value))).otherwise(acc[field]).alias(field)
+        return F.struct(add("keys", x["k"]), add("out", x["v"]))
+
+    return F.aggregate(keyed, F.struct(none.alias("keys"), none.alias("out")), step)["out"]
 
 
 def header_fields(docs: DataFrame) -> DataFrame:

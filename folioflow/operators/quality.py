@@ -40,38 +40,45 @@ def _charclass(chars: str) -> str:
 
 def plausible(word: Column) -> Column:
     """A word of the language: its alphabet, a vowel, no capital inside unless all are; one or two letters always."""
-    short = word.rlike(f"^[{_LOW}{_UP}]{{1,2}}$")
-    shape = word.rlike(f"^[{_LOW}{_UP}][{_LOW}]{{2,29}}$") | word.rlike(f"^[{_UP}]{{3,30}}$")
-    return short | (shape & word.rlike(f"[{tx.VOWELS}{tx.VOWELS.upper()}]"))
+    return word.rlike(f"^(?:{WORD})$")
+
+
+#: A plausible word: one or two letters, a word in small letters or with a capital first, or one all in capitals.
+_VOWELS = tx.VOWELS + tx.VOWELS.upper()
+_OTHERS = "".join(c for c in _LOW + _UP if c not in _VOWELS)
+WORD = f"[{_LOW}{_UP}]{{1,2}}|(?=[{_OTHERS}]{{0,29}}[{_VOWELS}])(?:[{_LOW}{_UP}][{_LOW}]{{2,29}}|[{_UP}]{{3,30}})"
 
 
 def assess(df: DataFrame, text_col: str = "text", out: str = "quality") -> DataFrame:
-    """Add ``quality``: score, cid_markers, out_of_repertoire, word_plausibility, characters.  No explode, no shuffle."""
+    """Add ``quality``: score, cid_markers, out_of_repertoire, word_plausibility, characters.  No explode, no shuffle.
+
+    Words are counted by two patterns over the text: all runs of letters, and runs that are a plausible word.
+    """
     text = F.coalesce(text_col, F.lit(""))
-    cid = F.regexp_count(text, F.lit("\\(cid:\\d+\\)"))
-    stripped = F.regexp_replace(text, "\\(cid:\\d+\\)", " ")
-    tokens = F.regexp_extract_all("_stripped", F.lit(LETTER + "+"), F.lit(0))
-    usual = f"[{_charclass(PUNCTUATION + SYMBOLS)}]|[\\p{{L}}&&\\p{{IsLatin}}&&[^ªº]]|\\p{{N}}"
-    staged = (
-        df.withColumn("_cid", cid)
-        .withColumn("_stripped", stripped)
-        .withColumn("_tokens", tokens)
-        .withColumn("_good", F.size(F.filter("_tokens", plausible)))
-        .withColumn("_n", F.size("_tokens"))
-        .withColumn("_odd", F.char_length(F.regexp_replace("_stripped", usual, "")) / F.greatest(F.char_length("_stripped"), F.lit(1)))
-        .withColumn("_share", F.when(F.col("_n") > 0, F.col("_good") / F.col("_n")).otherwise(0.0))
-    )
-    penalty = F.least(F.lit(1.0), F.col("_cid") / F.greatest(F.lit(1), F.col("_n")) * 10)
-    raw = F.col("_share") * 0.7 + (F.lit(1.0) - F.least(F.lit(1.0), F.col("_odd") * 20)) * 0.3 - penalty * 0.3
+    letter = "[a-zA-Z\\p{L}\\p{Nl}\\p{No}]"
+    usual = f"[{_charclass(PUNCTUATION + SYMBOLS)}\\p{{N}}[\\p{{L}}&&\\p{{IsLatin}}&&[^ªº]]]++"
+    names = [f"_{n}{i}" for i, n in enumerate(("cid", "stripped", "worded", "n", "good", "odd"))]
+    cid, stripped, worded, n, good, odd = names
+    # steps, so that each is computed once
+    first = df.withColumns({cid: F.regexp_count(text, F.lit("\\(cid:\\d+\\)")), stripped: F.regexp_replace(text, "\\(cid:\\d+\\)", " ")})
+    # superscripts and subscripts are no letters
+    counted = first.withColumn(worded, F.translate(stripped, SCRIPTS, " " * len(SCRIPTS))).withColumns({
+        n: F.regexp_count(worded, F.lit(f"{letter}++")),
+        good: F.regexp_count(worded, F.lit(f"(?<!{letter})(?:{WORD})(?!{letter})")),
+        odd: F.char_length(F.regexp_replace(stripped, usual, "")) / F.greatest(F.char_length(stripped), F.lit(1)),
+    })
+    share = F.when(F.col(n) > 0, F.col(good) / F.col(n)).otherwise(0.0)
+    penalty = F.least(F.lit(1.0), F.col(cid) / F.greatest(F.lit(1), F.col(n)) * 10)
+    raw = share * 0.7 + (F.lit(1.0) - F.least(F.lit(1.0), F.col(odd) * 20)) * 0.3 - penalty * 0.3
     score = F.when(F.char_length(text) == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) + HALF, 4))
     made = F.struct(
         score.alias("score"),
-        F.col("_cid").cast("int").alias("cid_markers"),
-        F.round(F.col("_odd") + HALF, 5).alias("out_of_repertoire"),
-        F.round(F.col("_share") + HALF, 4).alias("word_plausibility"),
+        F.col(cid).cast("int").alias("cid_markers"),
+        F.round(F.col(odd) + HALF, 5).alias("out_of_repertoire"),
+        F.round(share + HALF, 4).alias("word_plausibility"),
         F.char_length(text).alias("characters"),
     )
-    return staged.withColumn(out, made).drop("_cid", "_stripped", "_tokens", "_good", "_n", "_odd", "_share")
+    return counted.withColumn(out, made).drop(*names)
 
 
 def corrupted_pages(pages: DataFrame, floor: float = 0.80) -> DataFrame:
@@ -123,11 +130,11 @@ def unreadable_lines(df: DataFrame, id_col: str, text_col: str = "text") -> Data
 
 def formula_issues(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Operators alone at an edge of the text, and lines of formulas with unbalanced parentheses."""
-    hit = df.select(id_col, text_col, F.explode(tx.spans(F.col(text_col), f"(?<!\\S)[{MATH}](?!\\S)")).alias("s"))
+    # a sign between blanks with nothing but blanks in the three characters before it, or after it
+    sign = f"(?<!\\S)(?:(?<!\\S\\s)(?<!\\S\\s\\s)[{MATH}](?!\\S)|[{MATH}](?!\\S)(?!\\s\\S)(?!\\s\\s\\S))"
+    hit = df.select(id_col, text_col, F.explode(tx.spans(F.col(text_col), sign)).alias("s"))
     start, end = F.col("s.start"), F.col("s.end")
-    before = F.trim(F.regexp_replace(F.substr(text_col, F.greatest(start - 3, F.lit(0)) + 1, start - F.greatest(start - 3, F.lit(0))), "\\s", ""))
-    after = F.trim(F.regexp_replace(F.substr(text_col, end + 1, F.lit(3)), "\\s", ""))
-    alone = hit.filter((before == "") | (after == "")).select(id_col, *_issue("FORMULA", start, end, tx.around(F.col(text_col), start, end, 30)))
+    alone = hit.select(id_col, *_issue("FORMULA", start, end, tx.around(F.col(text_col), start, end, 30)))
     plain = F.regexp_replace("line", "[0-9]+\\)|\\b[a-zA-Z]{1,3}\\)", "")
     opened, closed = F.regexp_count(plain, F.lit("\\(")), F.regexp_count(plain, F.lit("\\)"))
     cut = lines(df, id_col, text_col).filter(plain.rlike(f"[{MATH}]") & (opened != closed))

@@ -11,17 +11,24 @@ from .registered_text import docs
 
 
 def words(spark, d):
-    """Documents set in lines of twelve words and pages of forty lines, the left half apart from the right."""
+    """Documents set in lines of twelve words and pages of forty lines, the left half apart from the right; words as wide as they are long, lines as high as the document asks."""
     flat = docs(spark, d).select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\\s+")).alias("word_no", "text")).filter("text != ''")
     slot = F.col("word_no") % 12
     x0 = slot * 40.0 + F.when(slot >= 6, 60.0).otherwise(0.0)
     top = (F.floor(F.col("word_no") / 12) % 40) * 14.0
     return flat.select(
-        "doc_id", F.floor(F.col("word_no") / 480).cast("int").alias("page_no"), "word_no", "text", x0.alias("x0"), (x0 + 36.0).alias("x1"),
-        top.alias("top"), (top + 10.0).alias("bottom"), F.col("source").alias("font"), F.col("word_no").alias("mcid"),
+        "doc_id", F.floor(F.col("word_no") / 480).cast("int").alias("page_no"), "word_no", "text", x0.alias("x0"), (x0 + F.least(F.lit(38.0), F.char_length("text") * 5.0)).alias("x1"),
+        top.alias("top"), (top + 9.0 + F.col("doc_id") % 3).alias("bottom"), F.col("source").alias("font"), F.col("word_no").alias("mcid"),
     )
 
 
+#: The same in SQL.
+WORDS = (
+    "(SELECT doc_id, cast(n // 480 as int) AS page_no, n AS word_no, text, x0, x0 + least(38.0, length(text) * 5.0) AS x1, top, top + 9.0 + doc_id % 3 AS bottom, source AS font, n AS mcid FROM "
+    "(SELECT doc_id, source, i - 1 AS n, p[i] AS text, ((i - 1) % 12) * 40.0 + CASE WHEN (i - 1) % 12 >= 6 THEN 60.0 ELSE 0.0 END AS x0, ((i - 1) // 12 % 40) * 14.0 AS top FROM (SELECT doc_id, source, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, source, string_split_regex(coalesce(text, ''), '\\s+') AS p FROM documents))) WHERE text <> '')"
+)
+
+
 def sizes(placed):
     return placed.select("doc_id", "page_no").distinct().withColumn("width", F.lit(700.0)).withColumn("height", F.lit(800.0))
 
@@ -60,32 +67,70 @@ def _(spark, d):
     return encoding.word_plan(placed, encoding.choose_font_tables(placed))
 
 
-@register("a15_layout_metrics", "SELECT doc_id, 10.0 AS line_height FROM documents WHERE regexp_matches(text, '\\S')")
+_METRICS = (
+    f"(WITH r AS (SELECT *, round_even(top / 3, 0) AS row FROM {WORDS}), s AS (SELECT *, lead(x0) OVER (PARTITION BY doc_id, page_no, row ORDER BY x0) - x1 AS space FROM r), t AS (SELECT doc_id, page_no, row, min(top) AS top FROM r GROUP BY ALL), "
+    "g AS (SELECT doc_id, lead(top) OVER (PARTITION BY doc_id, page_no ORDER BY top) - top AS gap FROM t), m AS (SELECT doc_id, median(gap) AS line_gap FROM g WHERE gap > 0 AND gap < 60 GROUP BY doc_id) "
+    "SELECT doc_id, median(bottom - top) AS line_height, coalesce(median(space) FILTER (WHERE space > 0 AND space < 40), 2.5) AS space_width, coalesce(any_value(m.line_gap), 12.0) AS line_gap FROM s LEFT JOIN m USING (doc_id) GROUP BY doc_id)"
+)
+
+
+@register("a15_layout_metrics", f"SELECT doc_id, line_height, space_width, line_gap FROM {_METRICS}")
 def _(spark, d):
-    return layout.layout_metrics(words(spark, d)).select("doc_id", "line_height")
+    return layout.layout_metrics(words(spark, d))
 
 
-@register("n7_visual_lines", "SELECT doc_id, CAST(ceil(count(*) / 12) AS bigint) AS lines FROM (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id")
+_LINED = f"(SELECT doc_id, page_no, cast(word_no // 12 % 40 as int) AS line_no, string_agg(text, ' ' ORDER BY x0) AS text, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom FROM {WORDS} GROUP BY ALL)"
+
+
+@register("n7_visual_lines", f"SELECT * FROM {_LINED}")
 def _(spark, d):
     placed = words(spark, d)
-    lined = layout.line_texts(layout.visual_lines(placed, layout.layout_metrics(placed)))
-    return lined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    return layout.line_texts(layout.visual_lines(placed, layout.layout_metrics(placed)))
+
 
+_PAGED = "(SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS a, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no DESC) AS b FROM (SELECT * REPLACE (CASE WHEN line_no = 0 THEN concat('Page ', cast(page_no + 1 as string), ' / 9 de ', cast(doc_id as string)) ELSE text END AS text) FROM " + _LINED + "))"
+_DIGIT_KEY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\s+(\\d)', '\\1', 'g'), '(\\d)\\s+', '\\1', 'g'), '\\d+', '#', 'g'), '\\s+', ' ', 'g'))"
 
-@register("a7_furniture_lines")
+
+@register(
+    "a7_furniture_lines",
+    f"WITH k AS (SELECT doc_id, {_DIGIT_KEY} AS key, count(*) AS n FROM {_PAGED} WHERE (a <= 2 OR b <= 3) AND regexp_matches(text, '\\d') AND NOT starts_with(text, '|') AND length(text) BETWEEN 8 AND 120 GROUP BY ALL), p AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM {WORDS} GROUP BY doc_id) SELECT doc_id, key FROM k JOIN p USING (doc_id) WHERE pages >= 3 AND n >= greatest(3, floor(pages * 0.04))",
+)
 def _(spark, d):
+    """The first line of every page made a running head."""
     placed = words(spark, d)
-    return layout.furniture_lines(layout.visual_lines(placed, layout.layout_metrics(placed)))
+    lined = layout.visual_lines(placed, layout.layout_metrics(placed))
+    head = F.split(F.concat(F.lit("Page "), (F.col("page_no") + 1).cast("string"), F.lit(" / 9 de "), F.col("doc_id").cast("string")), " ")
+    firsts = lined.filter("line_no = 0").groupBy("doc_id", "page_no", "line_no").agg(*(F.min(c).alias(c) for c in ("x0", "x1", "top", "bottom")))
+    made = firsts.select("*", F.posexplode(head).alias("word_no", "text")).withColumn("x0", F.col("x0") + F.col("word_no"))
+    columns = ["doc_id", "page_no", "line_no", "word_no", "text", "x0", "x1", "top", "bottom"]
+    return layout.furniture_lines(lined.filter("line_no > 0").select(*columns).unionByName(made.select(*columns)))
+
+
+_GUTTERS = (
+    f"(WITH l AS (SELECT doc_id, page_no, line_no FROM {_LINED} WHERE x1 - x0 < 700.0 * 0.85), many AS (SELECT doc_id, page_no, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 3), "
+    f"b AS (SELECT w.*, cast(w.word_no // 12 % 40 as int) AS line_no FROM {WORDS} w JOIN l ON w.doc_id = l.doc_id AND w.page_no = l.page_no AND cast(w.word_no // 12 % 40 as int) = l.line_no), "
+    "c AS (SELECT doc_id, page_no, x, count(*) AS c FROM (SELECT doc_id, page_no, unnest(range(cast(floor(x0) as bigint), cast(floor(x1) as bigint) + 1)) AS x FROM b) GROUP BY ALL), e AS (SELECT doc_id, page_no, n, unnest(range(0, 701)) AS x FROM many), "
+    "white AS (SELECT e.*, e.x - row_number() OVER (PARTITION BY e.doc_id, e.page_no ORDER BY e.x) AS g FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.page_no = c.page_no AND e.x = c.x WHERE coalesce(c.c, 0) <= greatest(1, floor(n * 0.1))), "
+    f"bands AS (SELECT doc_id, page_no, n, min(x) AS x0, max(x) + 1 AS x1, any_value(space_width) AS s FROM white JOIN {_METRICS} m USING (doc_id) GROUP BY doc_id, page_no, g, n HAVING max(x) + 1 - min(x) >= any_value(space_width) * 1.5), "
+    "apart AS (SELECT *, CASE WHEN coalesce(x0 - lag(x1) OVER (PARTITION BY doc_id, page_no ORDER BY x0) > s * 4.5, true) THEN 1 ELSE 0 END AS k FROM bands), k AS (SELECT *, sum(k) OVER (PARTITION BY doc_id, page_no ORDER BY x0) AS j FROM apart), "
+    "m AS (SELECT doc_id, page_no, j, n, min(x0) AS gx0, max(x1) AS gx1 FROM k GROUP BY ALL), sides AS (SELECT m.*, b.line_no, bool_or(b.x1 <= gx0) AND bool_or(b.x0 >= gx1) AS two FROM m JOIN b ON m.doc_id = b.doc_id AND m.page_no = b.page_no GROUP BY ALL) "
+    "SELECT doc_id, page_no, cast(gx0 as double) AS x0, cast(gx1 as double) AS x1 FROM sides GROUP BY doc_id, page_no, j, n, gx0, gx1 HAVING count(*) FILTER (WHERE two) >= n * 0.12)"
+)
 
 
-@register("a16_gutters")
+@register("a16_gutters", f"SELECT * FROM {_GUTTERS}")
 def _(spark, d):
     placed = words(spark, d)
     metrics = layout.layout_metrics(placed)
     return layout.gutters(layout.visual_lines(placed, metrics), metrics, sizes(placed))
 
 
-@register("a18_column_template")
+@register(
+    "a18_column_template",
+    f"WITH per AS (SELECT doc_id, page_no, count(*) AS n FROM {_GUTTERS} GROUP BY ALL), usual AS (SELECT doc_id, max(struct_pack(pages := pages, n := n)) AS u FROM (SELECT doc_id, n, count(*) AS pages FROM per GROUP BY ALL) GROUP BY doc_id), total AS (SELECT doc_id, count(DISTINCT page_no) AS total FROM {WORDS} GROUP BY doc_id), "
+    f"good AS (SELECT doc_id, u.n AS n FROM usual JOIN total USING (doc_id) WHERE u.pages >= greatest(2, total * 0.25)), r AS (SELECT g.doc_id, cast(row_number() OVER (PARTITION BY g.doc_id, g.page_no ORDER BY x0) - 1 as int) AS rank, (x0 + x1) / 2 AS x FROM {_GUTTERS} g JOIN per ON g.doc_id = per.doc_id AND g.page_no = per.page_no JOIN good ON good.doc_id = per.doc_id AND good.n = per.n) SELECT doc_id, rank, median(x) AS x FROM r GROUP BY ALL",
+)
 def _(spark, d):
     placed = words(spark, d)
     metrics = layout.layout_metrics(placed)
@@ -127,10 +172,13 @@ def _(spark, d):
     return jobs.inspect_corpus(docs(spark, d).select("doc_id", "text"))["sections"].select("section_id", "confidence", "needs_review")
 
 
-@register("x9_join_fragments", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AS filled FROM documents")
+_PIECES = "regexp_replace(text, '([''.,;()])', ' \\1 ', 'g')"
+
+
+@register("x9_join_fragments", f"SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace({_PIECES}, '\\s+', ' ', 'g')), ' ([,.;:)\\]’''»])', '\\1', 'g'), '([’''(\\[«]) ', '\\1', 'g') AS text FROM documents")
 def _(spark, d):
-    pieces = layout.join_fragments(F.split("text", "\\s+"))
-    return docs(spark, d).select("doc_id", (pieces != "").alias("filled"))
+    pieces = F.split(F.regexp_replace("text", "(['.,;()])", " $1 "), "\\s+")
+    return docs(spark, d).select("doc_id", layout.join_fragments(pieces).alias("text"))
 
 
 @register("c16_spoken")
@@ -143,10 +191,18 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", parsing.cut_repetition(F.col("text")).alias("text"))
 
 
-@register("a24_text_damage", "SELECT doc_id, len(regexp_extract_all(text, '[\\x{0300}-\\x{036f}]')) AS accents FROM documents WHERE NOT regexp_matches(text, '\\p{L}[\\x{0300}-\\x{036f}]')")
+_DAMAGED = "concat('\u0301', replace(replace(text, 'th', '$'), ' de ', ' \\frac e\u0301 '), ' \\alpha \\( \\beta')"
+_DELIMITED = "(?s)(\\\\\\(|\\\\\\[|\\\\begin\\{).*?(\\\\\\)|\\\\\\]|\\\\end\\{|$)|\\$[^$]*(\\$|$)"
+
+
+@register(
+    "a24_text_damage",
+    f"SELECT doc_id, len(regexp_extract_all(t, '[\\x{{0300}}-\\x{{036f}}]')) - len(regexp_extract_all(t, '[\\p{{L}}\\p{{Nl}}\\p{{No}}][\\x{{0300}}-\\x{{036f}}]')) AS accents, 1 + (length(t) - length(replace(t, '$', ''))) % 2 AS orphans, len(regexp_extract_all(regexp_replace(t, '{_DELIMITED}', ' ', 'g'), '\\\\[a-zA-Z]{{2,}}')) AS commands FROM (SELECT doc_id, {_DAMAGED} AS t FROM documents)",
+)
 def _(spark, d):
-    marked = review.text_damage(docs(spark, d).filter(~F.col("text").rlike("\\p{L}[\\u0300-\\u036f]")))
-    return marked.select("doc_id", F.col("stray_accents").cast("bigint").alias("accents"))
+    made = F.concat(F.lit("\u0301"), F.replace(F.replace("text", F.lit("th"), F.lit("$")), F.lit(" de "), F.lit(" \\frac e\u0301 ")), F.lit(" \\alpha \\( \\beta"))
+    marked = review.text_damage(docs(spark, d).select("doc_id", made.alias("text")))
+    return marked.select("doc_id", *(F.col(c).cast("bigint").alias(n) for c, n in (("stray_accents", "accents"), ("formula_orphans", "orphans"), ("naked_commands", "commands"))))
 
 
 @register("w10_embed")

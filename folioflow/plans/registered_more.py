@@ -4,141 +4,215 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, layout, parsing, planning, quality, retrieval, review
+from ..operators import chunking, cleaning, layout, parsing, planning, quality, retrieval, review
 from ..operators.embedding import hashing_encoder
 from . import jobs
 from .registered import LIB, asked, library, passages, register
-from .registered_layout import words
-from .registered_text import docs
+from .registered_layout import WORDS, words
+from .registered_text import LINE_SQL, docs
 
 
-def head(n: int = 40):
-    """The first letters of a text as one line, for building answers of a fixed form."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.substring("text", 1, n), "[^\\p{L} ]+", " "), " +", " "))
+def whole():
+    """All words of a text as one line, for building answers of a fixed form."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\p{L} ]+", " "), " +", " "))
 
 
-HEAD_SQL = "trim(regexp_replace(regexp_replace(substr(text, 1, 40), '[^\\p{L} ]+', ' ', 'g'), ' +', ' ', 'g'))"
+#: The same in SQL, as the column ``w`` beside those of documents.
+WHOLE = "(SELECT *, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\p{L} ]+', ' ', 'g'), ' +', ' ', 'g')) AS w FROM documents)"
 
 
 def lines(*parts):
     return F.concat_ws("\n", *(p if not isinstance(p, str) else F.lit(p) for p in parts))
 
 
-def answers(spark, d):
-    """Tagged answers: a quiz with four choices (three for every fifth document) and an exercise."""
+def quizzes(spark, d):
+    """Two tagged questions a document: the first about its whole text, with three choices only in every fifth document."""
     n = F.col("doc_id")
     quiz = lines(
-        "intro", "### QUESTION", head(), "A) un", "B) deux", "C) trois", F.when(n % 5 == 0, "").otherwise("D) quatre"),
-        F.concat(F.lit("### RÉPONSE: "), F.substring(F.lit("ABCD"), (n % 4 + 1).cast("int"), F.lit(1))), "### EXPLICATION", "La bonne réponse est B.",
-        F.concat(F.lit("### EXERCICE ("), F.when(n % 2 == 0, "facile").otherwise("autre"), F.lit(")")), "<énoncé>", head(), F.when(n % 3 == 0, "").otherwise("### CORRIGÉ"), "solution",
+        "intro", "### QUESTION", whole(), F.concat(F.lit("A) x "), whole()), F.concat(F.lit("B) "), "source"), F.concat(F.lit("- C) "), "lang"), F.when(n % 5 == 0, "").otherwise("D) quatre"),
+        F.concat(F.lit("### RÉPONSE: "), F.substring(F.lit("ABCD"), (n % 4 + 1).cast("int"), F.lit(1))), "### EXPLICATION", F.concat(whole(), F.lit(" La bonne réponse est B.")),
+        "### QUESTION", "Combien ?", "<choix>", "A. un", "B. deux", "C. trois", "* D) quatre", "### Réponse : 3",
     )
     return docs(spark, d).select(n.alias("request_id"), quiz.alias("raw"))
 
 
-@register("c22_parse_quizzes", f"SELECT doc_id AS request_id, {HEAD_SQL} AS question, cast(doc_id % 4 as int) AS answer FROM documents WHERE doc_id % 5 <> 0 AND {HEAD_SQL} <> ''")
+@register(
+    "c22_parse_quizzes",
+    f"SELECT doc_id AS request_id, 0 AS n, w AS question, concat_ws('|', trim(concat('x ', w)), source, lang, 'quatre') AS choices, cast(doc_id % 4 as int) AS answer, trim(concat(w, ' La bonne réponse est B.')) AS explanation FROM {WHOLE} WHERE doc_id % 5 <> 0 AND w <> '' "
+    "UNION ALL SELECT doc_id, 1, 'Combien ?', 'un|deux|trois|quatre', 2, '' FROM documents",
+)
 def _(spark, d):
-    return parsing.parse_quizzes(answers(spark, d)).select("request_id", "question", "answer")
+    return parsing.parse_quizzes(quizzes(spark, d)).withColumn("choices", F.array_join("choices", "|"))
 
 
-@register("c21_parse_exercises", f"SELECT doc_id AS request_id, {HEAD_SQL} AS statement, CASE WHEN doc_id % 2 = 0 THEN 'facile' ELSE 'moyen' END AS difficulty FROM documents WHERE doc_id % 3 <> 0 AND {HEAD_SQL} <> ''")
+@register("a25_block_report", f"SELECT doc_id AS request_id, 2 AS tagged, CASE WHEN doc_id % 5 <> 0 AND w <> '' THEN 2 ELSE 1 END AS valid, CASE WHEN doc_id % 5 <> 0 AND w <> '' THEN 0 ELSE 1 END AS dropped FROM {WHOLE}")
 def _(spark, d):
-    return parsing.parse_exercises(answers(spark, d)).select("request_id", "statement", "difficulty")
+    raw = quizzes(spark, d)
+    report = parsing.block_report(raw, parsing.parse_quizzes(raw), parsing.QUESTION)
+    return report.select("request_id", *(F.col(c).cast("int").alias(c) for c in ("tagged", "valid", "dropped")))
 
 
-@register("a25_block_report", f"SELECT doc_id AS request_id, 1 AS tagged, CASE WHEN doc_id % 5 <> 0 AND {HEAD_SQL} <> '' THEN 0 ELSE 1 END AS dropped FROM documents")
-def _(spark, d):
-    raw = answers(spark, d)
-    report = parsing.block_report(raw, parsing.parse_quizzes(raw), parsing.QUESTION)
-    return report.select("request_id", F.col("tagged").cast("int").alias("tagged"), F.col("dropped").cast("int").alias("dropped"))
+def exercises(spark, d):
+    n = F.col("doc_id")
+    raw = lines(
+        F.concat(F.lit("### EXERCICE ("), F.when(n % 2 == 0, "facile").otherwise("autre"), F.lit(")")), "<énoncé>", whole(), F.when(n % 3 == 0, "").otherwise("### CORRIGÉ"), F.concat(F.lit("fin "), whole()),
+        "### Exercice (Difficile)", F.concat(F.lit("calcule "), whole()), "### corrigé", "<solution>", whole(),
+    )
+    return docs(spark, d).select(n.alias("request_id"), raw.alias("raw"))
 
 
-@register("c24_parse_findings", f"SELECT doc_id AS request_id, 'haute' AS severity, {HEAD_SQL} AS quote FROM documents WHERE {HEAD_SQL} <> ''")
+@register(
+    "c21_parse_exercises",
+    f"SELECT doc_id AS request_id, 0 AS n, w AS statement, trim(concat('fin ', w)) AS solution, CASE WHEN doc_id % 2 = 0 THEN 'facile' ELSE 'moyen' END AS difficulty FROM {WHOLE} WHERE doc_id % 3 <> 0 AND w <> '' "
+    f"UNION ALL SELECT doc_id, 1, concat('calcule ', w), w, 'difficile' FROM {WHOLE} WHERE w <> ''",
+)
 def _(spark, d):
-    raw = docs(spark, d).select(F.col("doc_id").alias("request_id"), lines("### PROBLÈME", "Gravité : haute", F.concat(F.lit("Extrait : "), head()), "Explication : signe", "Correction : autre", "### AUCUN").alias("raw"))
-    return parsing.parse_findings(raw).select("request_id", "severity", "quote")
+    return parsing.parse_exercises(exercises(spark, d))
 
 
-def plans(spark, d):
-    made = F.concat(F.lit('note {"heading": "T", "sections": [{"heading": "'), head(), F.lit('", "children": [{"heading": "a"}, {"heading": " "}]}, {"heading": ""}]} end {bad'))
-    return docs(spark, d).select(F.col("doc_id").alias("request_id"), made.alias("raw"))
+@register(
+    "c24_parse_findings",
+    f"SELECT doc_id AS request_id, 0 AS n, 'haute' AS severity, w AS quote, trim(concat('signe ', w)) AS explanation, 'autre' AS correction FROM {WHOLE} WHERE w <> '' UNION ALL SELECT doc_id, 2, '', 'bref', w, '' FROM {WHOLE} WHERE w <> ''",
+)
+def _(spark, d):
+    raw = lines(
+        "### PROBLÈME", "Gravité : haute", F.concat(F.lit("Extrait : "), whole()), F.concat(F.lit("Explication : signe "), whole()), "Correction : autre",
+        "## Probleme", F.concat(F.lit("Extrait : "), whole()), "### PROBLÈME", "extrait: bref", F.concat(F.lit("explication: "), whole()), "### AUCUN", "Correction : rien",
+    )
+    return parsing.parse_findings(docs(spark, d).select(F.col("doc_id").alias("request_id"), raw.alias("raw")))
 
 
-@register("c20_json_objects", "SELECT doc_id AS request_id, 0 AS n FROM documents")
+@register(
+    "c20_json_objects",
+    f"""SELECT doc_id AS request_id, 0 AS n, concat('{{"heading": "', w, '", "id": ', cast(doc_id as string), ', "deep": {{"a": ["}}", "\\\\d", "', w, '"]}}}}') AS object FROM {WHOLE} UNION ALL SELECT doc_id, 1, '{{"z": [true, null, 1.5]}}' FROM documents""",
+)
 def _(spark, d):
-    return parsing.json_objects(plans(spark, d)).select("request_id", "n")
+    made = F.concat(
+        F.lit('note {"heading": "'), whole(), F.lit('", "id":'), F.col("doc_id").cast("string"), F.lit(', "deep" : {"a": ["}", "\\d", "'), whole(), F.lit('"]}} then {bad} and {"z":[true,null,1.5]} end {"open": "'), whole(),
+    )
+    return parsing.json_objects(docs(spark, d).select(F.col("doc_id").alias("request_id"), made.alias("raw")))
+
+
+_FIRST = "CASE WHEN w <> '' THEN 1 ELSE 0 END"
 
 
-@register("c31_parse_plans", f"SELECT doc_id AS request_id, NULL AS child_no, {HEAD_SQL} AS heading FROM documents WHERE {HEAD_SQL} <> '' UNION ALL SELECT doc_id, 0, 'a' FROM documents WHERE {HEAD_SQL} <> ''")
+@register(
+    "c31_parse_plans",
+    f"SELECT doc_id AS request_id, 0 AS part_no, NULL AS child_no, w AS heading FROM {WHOLE} WHERE w <> '' UNION ALL SELECT doc_id, 0, 0, 'a' FROM {WHOLE} WHERE w <> '' UNION ALL SELECT doc_id, 0, 1, w FROM {WHOLE} WHERE w <> '' "
+    f"UNION ALL SELECT doc_id, {_FIRST}, NULL, 'fin' FROM {WHOLE} UNION ALL SELECT doc_id, {_FIRST}, unnest(range(8)), 'x' FROM {WHOLE}",
+)
 def _(spark, d):
-    return parsing.parse_plans(plans(spark, d)).select("request_id", "child_no", "heading")
+    children = ", ".join(['{"heading": "x"}'] * 10)
+    made = F.concat(F.lit('note {"heading": "T", "sections": [{"heading": "'), whole(), F.lit('", "children": [{"heading": "a"}, {"heading": " "}, {"heading": "'), whole(), F.lit(f'"}}]}}, {{"heading": ""}}, {{"heading": " fin ", "children": [{children}]}}]}} end {{bad'))
+    return parsing.parse_plans(docs(spark, d).select(F.col("doc_id").alias("request_id"), made.alias("raw")))
 
 
-@register("c32_rescue_text", f"SELECT doc_id, concat({HEAD_SQL}, '.') AS rescued FROM documents")
+@register("c32_rescue_text", f"""SELECT doc_id, concat(w, '.', chr(10), '"', w, '" !') AS rescued FROM {WHOLE}""")
 def _(spark, d):
-    raw = F.concat(F.lit('{"answer": "'), head(), F.lit(". coupé ici"))
+    raw = F.concat(F.lit('{"answer": "'), whole(), F.lit('.\\n\\"'), whole(), F.lit('\\" ! coupé \\"ici '), whole())
     return docs(spark, d).select("doc_id", parsing.rescue_text(raw, "answer").alias("rescued"))
 
 
-@register("c30_formula_pairs", f"SELECT doc_id, {HEAD_SQL} AS left, 'b' AS right FROM documents WHERE {HEAD_SQL} <> '' UNION ALL SELECT doc_id, 'b', 'c' FROM documents")
+@register(
+    "c30_formula_pairs",
+    f"SELECT doc_id, 0 AS formula_no, 0 AS pair_no, w AS left, 'b' AS right FROM {WHOLE} WHERE w <> '' UNION ALL SELECT doc_id, 0, 1, 'b', 'c' FROM documents UNION ALL SELECT doc_id, 1, 0, 'u <= v', w FROM {WHOLE} WHERE w <> ''",
+)
 def _(spark, d):
-    raw = docs(spark, d).select("doc_id", F.concat(F.lit("on a \\("), head(), F.lit(" = b = c\\)")).alias("text"))
-    return parsing.formula_pairs(raw, "doc_id").select("doc_id", "left", "right")
+    raw = docs(spark, d).select("doc_id", F.concat(F.lit("on a \\("), whole(), F.lit(" = b = c\\) et puis $u <= v = "), whole(), F.lit("$ sans \\[ x \\]")).alias("text"))
+    return parsing.formula_pairs(raw, "doc_id")
 
 
-@register("c12_formula_issues")
+_MATHY = f"[{quality.MATH}]"
+
+
+@register(
+    "c12_formula_issues",
+    f"WITH t AS (SELECT doc_id, concat('≤ ', replace(replace(text, ' de ', ' ≤ ( '), '. ', ' ≥ ) ) a) '), ' √') AS text FROM documents), l AS (SELECT doc_id, string_split(text, chr(10))[i] AS line, i, text FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM t)), "
+    f"o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, regexp_replace(line, '[0-9]+\\)|\\b[a-zA-Z]{{1,3}}\\)', '', 'g') AS p FROM l) "
+    f"SELECT doc_id, 'FORMULA' AS kind, cast(start as int) AS start, cast(start + length(line) as int) AS end, substr(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 1, 80) AS excerpt FROM o WHERE regexp_matches(p, '{_MATHY}') AND length(p) - length(replace(p, '(', '')) <> length(p) - length(replace(p, ')', '')) "
+    "UNION ALL SELECT doc_id, 'FORMULA', 0, 1, substr(text, 1, 31) FROM t UNION ALL SELECT doc_id, 'FORMULA', cast(length(text) - 1 as int), cast(length(text) as int), substr(text, greatest(length(text) - 30, 1), least(length(text), 31)) FROM t",
+)
 def _(spark, d):
-    raw = docs(spark, d).select("doc_id", F.regexp_replace("text", " de | the ", " ≤ ( ").alias("text"))
-    return quality.formula_issues(raw, "doc_id").select("doc_id", "start", "end")
+    """Operators at both ends of every text, and lines of formulas with a parenthesis too many."""
+    made = F.replace(F.replace("text", F.lit(" de "), F.lit(" ≤ ( ")), F.lit(". "), F.lit(" ≥ ) ) a) "))
+    return quality.formula_issues(docs(spark, d).select("doc_id", F.concat(F.lit("≤ "), made, F.lit(" √")).alias("text")), "doc_id")
 
 
-@register("c17_mend_formulas", f"SELECT doc_id, concat('\\frac ', {HEAD_SQL}) AS text FROM documents")
+@register("c17_mend_formulas", f"SELECT doc_id, concat('\\frac ', w, ' \\beta \\theta ', w, ' \\alpha') AS text FROM {WHOLE}")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", parsing.mend_formulas(F.concat(F.lit("\x0crac "), head())).alias("text"))
+    damaged = F.concat(F.lit("\x0crac "), whole(), F.lit(" \x08eta \theta "), whole(), F.lit(" \\\\alpha"))
+    return docs(spark, d).select("doc_id", parsing.mend_formulas(damaged).alias("text"))
 
 
-@register("c19_strip_leaked_objects", f"SELECT doc_id, trim(concat({HEAD_SQL}, ' ')) AS text FROM documents")
+@register("c19_strip_leaked_objects", f"SELECT doc_id, trim(concat(w, '  ', w)) AS text FROM {WHOLE}")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", parsing.strip_leaked_objects(F.concat(head(), F.lit(' {"a": {"b": 1}}'))).alias("text"))
+    leaked = F.concat(whole(), F.lit(' {"a": {"b": 1}, "t": "'), whole(), F.lit('"} '), whole(), F.lit(' {"c": 2}'))
+    return docs(spark, d).select("doc_id", parsing.strip_leaked_objects(leaked).alias("text"))
 
 
-@register("c33_drop_placeholders", f"SELECT doc_id, {HEAD_SQL} AS text FROM documents")
+@register("c33_drop_placeholders", f"SELECT doc_id, CASE WHEN w = '' THEN '' ELSE concat(w, chr(10), chr(10), w) END AS text FROM {WHOLE}")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", parsing.strip_closing_phrase(parsing.drop_placeholders(lines("<énoncé>", F.concat(head(), F.lit(" Compris ?"))))).alias("text"))
+    filled = lines("<énoncé>", whole(), "  <à compléter>", F.concat(whole(), F.lit(" as-tu compris ?")))
+    return docs(spark, d).select("doc_id", parsing.strip_closing_phrase(parsing.drop_placeholders(filled)).alias("text"))
 
 
 def schedules(spark, d):
+    """A yearly schedule of five rows a document, its chapters and objectives named by the whole text."""
     n = F.col("doc_id")
     week = lambda i: F.concat(F.lit("| Semaine "), ((n + i) % 4 + 1).cast("string"), F.lit(" | "))
     text = lines(
-        "Discipline : Sciences  Niveau : Seconde", F.when(n % 3 == 0, "sans date").otherwise("Année 2024 - 2025"), "| Périodes | Leçons | Objectifs | Evaluation |", "| OCTOBRE |",
-        F.concat(week(0), head(), F.lit(" (plan) | 1. Lire 2. Écrire | Devoir |")), F.concat(week(1), F.lit("Chapitre (suite) | 2. Écrire 3. Compter | |")), "| Mois de mai |", F.concat(week(2), F.lit("Autre leçon | | |")),
+        F.when(n % 7 == 0, "rien").otherwise("Discipline : Sciences  Niveau : Seconde"), F.when(n % 3 == 0, "sans date").otherwise("Année 2024 - 2025"), "| Périodes | Leçons | Objectifs | Evaluation |", F.when(n % 2 == 0, "| OCTOBRE |").otherwise("suite"),
+        F.concat(week(0), whole(), F.lit(" (plan) | 1. Lire 2. Écrire | Devoir |")), F.concat(week(1), F.lit("Chapitre (suite) | 2. Ecrire 3. "), whole(), F.lit(" | |")), "| Mois de mai |", F.concat(week(2), F.lit("Autre leçon : 1) un 2) deux | | |")),
+        F.concat(F.lit("| | | 1. "), whole(), F.lit(" | 1. Test 2. "), whole(), F.lit(" |")),
     )
-    return docs(spark, d).filter(head() != "").select("doc_id", text.alias("text"))
+    return docs(spark, d).filter(whole() != "").select("doc_id", text.alias("text"))
+
+
+def _folded_list(*values: str) -> str:
+    """Values joined, of those with one folded form the first."""
+    folded = "trim(lower(strip_accents({0})))"
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {' AND '.join([folded.format(v) + ' <> ' + folded.format(u) for u in values[:i]]) or 'true'} THEN {v} END" for i, v in enumerate(values)) + ")"
+
 
+_WEEK = "cast((doc_id + {0}) % 4 + 1 as string)"
 
-@register("n4_plannings", f"SELECT doc_id, 1 AS position, {HEAD_SQL} AS chapter, 3 AS objectives, 2 AS periods FROM documents WHERE {HEAD_SQL} <> '' UNION ALL SELECT doc_id, 2, 'Autre leçon', 0, 1 FROM documents WHERE {HEAD_SQL} <> ''")
+
+@register(
+    "n4_plannings",
+    f"SELECT doc_id, 1 AS position, w AS chapter, 'plan' AS details, '' AS part, {_folded_list("'Lire'", "'Écrire'", 'w')} AS objectives, 'Devoir' AS assessments, concat(CASE WHEN doc_id % 2 = 0 THEN 'octobre ' ELSE ' ' END, {_WEEK.format(0)}, '|', CASE WHEN doc_id % 2 = 0 THEN 'octobre ' ELSE ' ' END, {_WEEK.format(1)}) AS periods FROM {WHOLE} WHERE w <> '' "
+    f"UNION ALL SELECT doc_id, 2, 'Autre leçon', '1) un 2) deux', '', w, {_folded_list("'Test'", 'w')}, concat('mai ', {_WEEK.format(2)}) FROM {WHOLE} WHERE w <> ''",
+)
 def _(spark, d):
     entries = planning.parse_plannings(schedules(spark, d))["entries"]
-    return entries.select("doc_id", "position", "chapter", F.size("objectives").alias("objectives"), F.size("periods").alias("periods"))
+    period = lambda p: F.concat(F.coalesce(p["month"], F.lit("")), F.lit(" "), F.array_join(p["weeks"].cast("array<string>"), ","))
+    return entries.select("doc_id", "position", "chapter", "details", "part", *(F.array_join(c, "|").alias(c) for c in ("objectives", "assessments")), F.array_join(F.transform("periods", period), "|").alias("periods"))
 
 
-@register("c29_planning_warnings", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'PLANNING_YEAR_MISSING' ELSE '' END AS warnings FROM documents WHERE {HEAD_SQL} <> ''")
+@register(
+    "c29_planning_warnings",
+    f"SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN '2024-2025' END AS school_year, CASE WHEN doc_id % 7 <> 0 THEN 'Sciences' END AS subject, CASE WHEN doc_id % 7 <> 0 THEN 'Seconde' END AS grade_label, "
+    "concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'PLANNING_YEAR_MISSING' END, CASE WHEN doc_id % 7 = 0 THEN 'PLANNING_SUBJECT_MISSING' END, CASE WHEN doc_id % 7 = 0 THEN 'PLANNING_GRADE_MISSING' END, CASE WHEN doc_id % 2 = 1 THEN 'PLANNING_MONTH_MISSING' END) AS warnings "
+    f"FROM {WHOLE} WHERE w <> ''",
+)
 def _(spark, d):
     told = planning.parse_plannings(schedules(spark, d))["plannings"]
-    return told.select("doc_id", F.array_join("warnings", ",").alias("warnings"))
+    return told.select("doc_id", "school_year", "subject", "grade_label", F.array_join("warnings", ",").alias("warnings"))
 
 
-@register("u2_unique_folded", "SELECT doc_id, 2 AS n FROM documents")
+@register("u2_unique_folded", f"SELECT doc_id, concat_ws('|', 'École', CASE WHEN w <> '' THEN w END, source) AS kept FROM (SELECT doc_id, source, replace(w, 'ß', 's') AS w FROM {WHOLE})")
 def _(spark, d):
-    values = F.array(F.lit("École"), F.lit("ecole"), F.lit(" "), F.concat(F.lit("x"), F.col("doc_id").cast("string")))
-    return docs(spark, d).select("doc_id", F.size(planning.unique_folded(values)).alias("n"))
+    w = F.replace(whole(), F.lit("ß"), F.lit("s"))
+    values = F.array(F.lit("École"), F.lit("ecole "), F.lit(" "), w, F.upper(w), "source", F.lit("ECOLE"), w)
+    return docs(spark, d).select("doc_id", F.array_join(planning.unique_folded(values), "|").alias("kept"))
 
 
-@register("x5_sections", f"SELECT doc_id, 2 AS sections, {HEAD_SQL} AS last_heading FROM documents WHERE {HEAD_SQL} <> ''")
+@register(
+    "x5_sections",
+    f"SELECT doc_id, 0 AS position, 'Titre' AS path, w AS text FROM {WHOLE} WHERE w <> '' UNION ALL SELECT doc_id, 1, concat('Titre > ', w), concat('suite ', w) FROM {WHOLE} WHERE w <> '' UNION ALL SELECT doc_id, 2, 'Fin', w FROM {WHOLE} WHERE w <> ''",
+)
 def _(spark, d):
-    headed = docs(spark, d).filter(head() != "").select("doc_id", F.concat(F.lit("# Titre\n\ncorps\n\n## "), head(), F.lit("\n\nsuite")).alias("text"))
-    cut = jobs.sections(headed)
-    return cut.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("sections"), F.max_by(F.element_at("heading_path", -1), "position").alias("last_heading"))
+    headed = docs(spark, d).filter(whole() != "").select("doc_id", F.concat(F.lit("# Titre\n\n"), whole(), F.lit("\n\n## "), whole(), F.lit("\n\nsuite "), whole(), F.lit("\n\n# Fin\n\n"), whole()).alias("text"))
+    return jobs.sections(headed).select("doc_id", "position", F.array_join("heading_path", " > ").alias("path"), "text")
 
 
 @register("x4_locators")
@@ -162,69 +236,133 @@ def _(spark, d):
     return out["documents"].select("external_id", F.lit(None).cast("string").alias("code")).unionByName(out["rejected"])
 
 
-@register("j12_place_figures", "SELECT doc_id AS section_id, concat('f', cast(doc_id % 4 as string)) AS figure, 1 AS par_no FROM documents WHERE doc_id % 3 <> 0")
+_PARS = "(SELECT doc_id AS section_id, cast(i as int) AS par_no, replace(replace(replace(string_split(text, chr(10))[i + 1], ' de ', ' [S1] '), ' und ', ' [FIGURE f1] '), ' the ', ' [P2] [S9] ') AS text FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"
+
+
+@register(
+    "j12_place_figures",
+    f"WITH p AS (SELECT * FROM {_PARS}), c AS (SELECT DISTINCT section_id, par_no, unnest(regexp_extract_all(text, '\\[([SP]\\d+)\\]', 1)) AS label FROM p), r AS (SELECT section_id, par_no, unnest(CASE label WHEN 'S1' THEN ['f1', concat('f', cast(section_id % 4 as string))] WHEN 'P2' THEN ['f7'] END) AS figure FROM c WHERE label IN ('S1', 'P2')) "
+    "SELECT section_id, figure, min(par_no) AS par_no FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.section_id = r.section_id AND contains(p.text, concat('[FIGURE ', r.figure, ']'))) GROUP BY ALL",
+)
 def _(spark, d):
+    """Every line of a text is a paragraph; common words stand for citations and a figure that is there already."""
+    marked = F.replace(F.replace(F.replace("line", F.lit(" de "), F.lit(" [S1] ")), F.lit(" und "), F.lit(" [FIGURE f1] ")), F.lit(" the "), F.lit(" [P2] [S9] "))
+    pars = cleaning.split_lines(docs(spark, d)).select(F.col("doc_id").alias("section_id"), F.col("line_no").alias("par_no"), marked.alias("text"))
     n = F.col("doc_id")
-    fig = F.concat(F.lit("f"), (n % 4).cast("string"))
-    pars = docs(spark, d).select(n.alias("section_id"), F.posexplode(F.array(F.lit("intro"), F.lit("cite [S1]"), F.when(n % 3 == 0, F.concat(F.lit("[FIGURE "), fig, F.lit("]"))).otherwise("encore [S1]"))).alias("par_no", "text"))
-    registry = docs(spark, d).select(n.alias("section_id"), F.lit("S1").alias("label"), F.array(fig).alias("figures"))
-    return review.place_figures(pars, registry)
+    known = F.inline(F.array(F.struct(F.lit("S1").alias("label"), F.array(F.lit("f1"), F.concat(F.lit("f"), (n % 4).cast("string"))).alias("figures")), F.struct(F.lit("P2").alias("label"), F.array(F.lit("f7")).alias("figures"))))
+    return review.place_figures(pars, docs(spark, d).select(n.alias("section_id"), known))
 
 
 def profiles(spark, d):
-    n = F.col("doc_id")
-    return docs(spark, d).select(
-        n, F.lit(1).alias("page_no"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height"), F.when(n % 4 == 0, 5.0).otherwise(1500.0).alias("text_area"),
-        F.when(n % 4 == 0, 9000.0).otherwise(0.0).alias("image_area"), (n % 3).cast("int").alias("long_rules"),
-    )
+    """Pages with the area of their words; words that hold an e stand for images, long words for rules."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("bottom") - F.col("top"))
+    per = words(spark, d).groupBy("doc_id", "page_no").agg(F.sum(area).alias("text_area"), (F.count_if(F.contains("text", F.lit("e"))) * 2000.0).alias("image_area"), F.count_if(F.char_length("text") > 11).cast("int").alias("long_rules"))
+    return per.withColumn("width", F.lit(700.0)).withColumn("height", F.when(F.col("doc_id") % 9 == 0, 0.0).otherwise(800.0) * F.when(F.col("doc_id") % 4 == 0, 100.0).otherwise(1.0))
 
 
-@register("a19_page_profile", "SELECT doc_id, doc_id % 4 = 0 AS needs_ocr, doc_id % 3 >= 2 AS ruled FROM documents")
+PROFILES = (
+    f"(SELECT doc_id, page_no, coalesce(ta / nullif(a, 0), 0.0) AS text_share, coalesce(ia / nullif(a, 0), 0.0) AS image_share, lr FROM (SELECT doc_id, page_no, sum((x1 - x0) * (bottom - top)) AS ta, count(*) FILTER (WHERE contains(text, 'e')) * 2000.0 AS ia, count(*) FILTER (WHERE length(text) > 11) AS lr, "
+    f"700.0 * CASE WHEN doc_id % 9 = 0 THEN 0.0 ELSE 800.0 END * CASE WHEN doc_id % 4 = 0 THEN 100.0 ELSE 1.0 END AS a FROM {WORDS} GROUP BY doc_id, page_no))"
+)
+_OCR = "text_share < 0.01 AND image_share > 0.4"
+
+
+@register("a19_page_profile", f"SELECT doc_id, page_no, round(text_share, 6) AS text_share, round(image_share, 6) AS image_share, {_OCR} AS needs_ocr, lr >= 2 AS ruled FROM {PROFILES}")
+def _(spark, d):
+    found = layout.page_profile(profiles(spark, d))
+    return found.select("doc_id", "page_no", F.round("text_share", 6).alias("text_share"), F.round("image_share", 6).alias("image_share"), "needs_ocr", "ruled")
+
+
+@register(
+    "f8_flag_ocr",
+    f"SELECT p.doc_id, coalesce(string_agg(cast(page_no as string), ',' ORDER BY page_no) FILTER (WHERE {_OCR}), '') AS pages_needing_ocr, round(median(text_share), 6) AS median_coverage, any_value(length(trim(coalesce(d.text, '')))) < 2600 * count(*) AS too_thin FROM {PROFILES} p JOIN documents d ON p.doc_id = d.doc_id GROUP BY p.doc_id",
+)
 def _(spark, d):
-    return layout.page_profile(profiles(spark, d)).select("doc_id", "needs_ocr", "ruled")
+    flags = layout.flag_ocr(profiles(spark, d), docs(spark, d), 2600)
+    return flags.select("doc_id", F.array_join(F.col("pages_needing_ocr").cast("array<string>"), ",").alias("pages_needing_ocr"), F.round("median_coverage", 6).alias("median_coverage"), "too_thin")
 
 
-@register("f8_flag_ocr", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS pages, length(trim(text)) < 50 AS too_thin FROM documents")
+_ROUTED = (
+    f"WITH p AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE {_OCR}) AS ocr, count(*) FILTER (WHERE lr >= 2) AS ruled FROM {PROFILES} GROUP BY doc_id), "
+    f"t AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(text, '^[^A-Z0-9]')) / count(*) AS coverage, max(length(text)) % 6 AS depth, bool_or(text = 'de' OR text = 'the') AS semantic FROM {WORDS} GROUP BY doc_id), "
+    "s AS (SELECT *, coalesce(coverage >= 0.9 AND depth >= 3 AND semantic, false) AS usable, regexp_matches(text, 'ß') AS far FROM p JOIN t USING (doc_id) JOIN documents USING (doc_id)) "
+)
+
+
+def routed(spark, d):
+    placed = words(spark, d)
+    pages = layout.page_profile(profiles(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if("needs_ocr").alias("ocr_pages"), F.count_if("ruled").alias("ruled_pages"))
+    marks = placed.select("doc_id", "page_no", "mcid")
+    tree = layout.tag_coverage(marks, placed.filter(F.col("text").rlike("^[^A-Z0-9]")).select("doc_id", "page_no", "mcid"))
+    shape = placed.groupBy("doc_id").agg((F.max(F.char_length("text")) % 6).alias("depth"), F.bool_or(F.col("text").isin("de", "the")).alias("semantic"))
+    script = docs(spark, d).select("doc_id", F.when(F.contains("text", F.lit("ß")), "runic").otherwise("latin").alias("script"))
+    return pages.join(tree, "doc_id").join(shape, "doc_id").join(script, "doc_id")
+
+
+@register(
+    "f9_route_documents",
+    _ROUTED + "SELECT doc_id, CASE WHEN ocr = pages THEN 'needs-ocr' WHEN far THEN 'non-latin' WHEN usable THEN 'tagged' ELSE 'untagged' END AS route, CASE WHEN ocr = pages THEN 'NO_TEXT_LAYER' WHEN far THEN 'UNKNOWN_SCRIPT' WHEN usable THEN 'USABLE_TREE' WHEN depth > 0 THEN 'UNUSABLE_TREE' WHEN ruled > 0 THEN 'RULED_PAGES' ELSE 'LAYOUT_ONLY' END AS reason FROM s",
+)
 def _(spark, d):
-    flags = layout.flag_ocr(profiles(spark, d), docs(spark, d))
-    return flags.select("doc_id", F.size("pages_needing_ocr").alias("pages"), "too_thin")
+    return layout.route_documents(routed(spark, d)).select("doc_id", "route", "reason")
 
 
-@register("f9_route_documents", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'needs-ocr' WHEN doc_id % 5 = 1 THEN 'non-latin' WHEN doc_id % 5 = 2 THEN 'tagged' ELSE 'untagged' END AS route FROM documents")
+@register("f10_tree_usable", _ROUTED + "SELECT doc_id, usable FROM s")
 def _(spark, d):
-    n = F.col("doc_id") % 5
-    profile = docs(spark, d).select(
-        "doc_id", F.lit(3).alias("pages"), F.when(n == 0, 3).otherwise(0).alias("ocr_pages"), F.when(n == 1, "arabic").otherwise("latin").alias("script"),
-        F.when(n == 2, 0.95).otherwise(0.5).alias("coverage"), F.lit(4).alias("depth"), F.lit(True).alias("semantic"), F.lit(0).alias("ruled_pages"),
-    )
-    return layout.route_documents(profile).select("doc_id", "route")
+    return routed(spark, d).select("doc_id", layout.tree_usable(F.col("coverage"), F.col("depth"), F.col("semantic")).alias("usable"))
 
 
-@register("n3_dedupe_cells", "SELECT doc_id, 1 AS filled FROM documents")
+_TABLES = "(SELECT doc_id, line_no AS row_no, cast(i - 1 as int) AS cell_no, string_split(line, ' ')[i] AS text FROM (SELECT *, unnest(range(1, len(string_split(line, ' ')) + 1)) AS i FROM (" + LINE_SQL + ")))"
+
+
+@register(
+    "n3_dedupe_cells",
+    f"SELECT doc_id, row_no, cell_no, CASE WHEN row_number() OVER (PARTITION BY doc_id, row_no, text ORDER BY cell_no) > 1 OR (mark IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, mark ORDER BY row_no, cell_no) > 1) THEN '' ELSE text END AS text FROM (SELECT *, CASE WHEN length(text) > 9 THEN substr(text, 1, 9) END AS mark FROM {_TABLES})",
+)
 def _(spark, d):
-    cells = docs(spark, d).select("doc_id", F.lit(1).alias("table_no"), F.lit(1).alias("row_no"), F.posexplode(F.array(F.lit("x"), F.lit("x"))).alias("cell_no", "text")).withColumn("mark", F.col("cell_no"))
-    return layout.dedupe_cells(cells).groupBy("doc_id").agg(F.count_if(F.col("text") != "").cast("int").alias("filled"))
+    """Lines as rows of one table, their words as cells; long words share the mark of their beginning."""
+    cells = cleaning.split_lines(docs(spark, d)).select("doc_id", F.lit(1).alias("table_no"), F.col("line_no").alias("row_no"), F.posexplode(F.split("line", " ", -1)).alias("cell_no", "text"))
+    marked = cells.withColumn("mark", F.when(F.char_length("text") > 9, F.substring("text", 1, 9)))
+    return layout.dedupe_cells(marked).select("doc_id", "row_no", "cell_no", "text")
 
 
 def regions(spark, d):
-    one = words(spark, d).select("doc_id", "page_no").distinct()
-    return one.select("doc_id", "page_no", F.lit(0).alias("region_no"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("top"), F.lit(100.0).alias("x1"), F.lit(30.0).alias("bottom"))
+    """For each page the boxes of its words 0 to 29 and 100 to 129."""
+    placed = words(spark, d).withColumn("region_no", F.when(F.col("word_no") % 480 < 30, 0).when((F.col("word_no") % 480).between(100, 129), 1)).filter("region_no is not null")
+    return placed.groupBy("doc_id", "page_no", "region_no").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
+
 
+_REGIONS = f"(SELECT doc_id, page_no, r AS region_no, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom FROM (SELECT *, CASE WHEN word_no % 480 < 30 THEN 0 WHEN word_no % 480 BETWEEN 100 AND 129 THEN 1 END AS r FROM {WORDS}) WHERE r IS NOT NULL GROUP BY ALL)"
 
-@register("j15_words_in_regions")
+
+@register(
+    "j15_words_in_regions",
+    f"SELECT w.doc_id, w.page_no, r.region_no, count(*) AS words, string_agg(w.text, ' ' ORDER BY w.top, w.x0, w.text) AS text FROM {WORDS} w JOIN {_REGIONS} r ON w.doc_id = r.doc_id AND w.page_no = r.page_no WHERE (w.x0 + w.x1) / 2 BETWEEN r.x0 AND r.x1 AND (w.top + w.bottom) / 2 BETWEEN r.top AND r.bottom GROUP BY ALL",
+)
 def _(spark, d):
-    return layout.words_in_regions(words(spark, d), regions(spark, d)).select("doc_id", "page_no", "words")
+    return layout.words_in_regions(words(spark, d), regions(spark, d))
+
 
+_GRID = ", ".join(f"round_even({c} / 5, 0) AS b{c}" for c in ("x0", "top", "x1", "bottom"))
 
-@register("a13_drop_region_furniture")
+
+@register(
+    "a13_drop_region_furniture",
+    f"WITH r AS (SELECT *, {_GRID} FROM {_REGIONS}), f AS (SELECT doc_id, bx0, btop, bx1, bbottom FROM r GROUP BY ALL HAVING count(DISTINCT page_no) >= 3) SELECT doc_id, page_no, region_no, x0, top, x1, bottom FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = r.doc_id AND f.bx0 = r.bx0 AND f.btop = r.btop AND f.bx1 = r.bx1 AND f.bbottom = r.bbottom)",
+)
 def _(spark, d):
-    return layout.drop_region_furniture(regions(spark, d)).select("doc_id", "page_no")
+    return layout.drop_region_furniture(regions(spark, d)).select("doc_id", "page_no", "region_no", "x0", "top", "x1", "bottom")
 
 
-@register("a26_grounding_report", "SELECT source AS course_id, count(*) FILTER (WHERE doc_id % 3 = 0) AS additions, count(*) FILTER (WHERE doc_id % 2 = 0) AS ungrounded FROM documents GROUP BY source")
+@register(
+    "a26_grounding_report",
+    f"SELECT doc_id AS course_id, count(*) FILTER (WHERE line_no % 2 = 0 AND regexp_matches(line, '[A-Z].*[A-Z]')) AS additions, count(*) FILTER (WHERE NOT regexp_matches(line, '[0-9]')) AS ungrounded FROM ({LINE_SQL}) GROUP BY doc_id",
+)
 def _(spark, d):
-    n = F.col("doc_id")
-    made = docs(spark, d).select(F.col("source").alias("course_id"), F.lit(True).alias("grounded_mode"), (n % 3 == 0).alias("addition"), F.when(n % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("S1"))).alias("citations"))
+    """Every line of a text is a section; the numbers in it stand for its citations."""
+    made = cleaning.split_lines(docs(spark, d)).select(
+        F.col("doc_id").alias("course_id"), (F.col("line_no") % 2 == 0).alias("grounded_mode"), F.col("line").rlike("[A-Z].*[A-Z]").alias("addition"), F.regexp_extract_all("line", F.lit("[0-9]+"), F.lit(0)).alias("citations")
+    )
     return parsing.grounding_report(made)
 
 
@@ -237,11 +375,30 @@ def _(spark, d):
     return hidden.select("event_id", F.col("a")["password"].alias("password"), F.col("a")["note"].alias("note"))
 
 
-@register("x11_audit_courses", "SELECT doc_id AS finding_id, 'AUDIT_QUOTE_NOT_FOUND' AS code FROM documents WHERE doc_id % 2 = 0 AND length(trim(substr(text, 1, 30))) >= 14")
+_AUDITED = (
+    "WITH s AS (SELECT cast(doc_id // 3 as string) AS course_id, doc_id AS section_id, replace(text, 'th', '$') AS content FROM documents), "
+    "q AS (SELECT doc_id AS finding_id, cast(doc_id // 3 as string) AS course_id, CASE WHEN doc_id % 2 = 0 THEN 'phrase qui ne s''y trouve pas' ELSE concat('« ', replace(text, 'th', '$'), ' »') END AS quote FROM documents), "
+    "n AS (SELECT finding_id, course_id, lower(trim(regexp_replace(regexp_replace(quote, '^[ «»\"'']+|[ «»\"'']+$', '', 'g'), '\\s+', ' ', 'g'))) AS k FROM q), b AS (SELECT course_id, section_id, lower(trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g'))) AS body FROM s), "
+    "h AS (SELECT DISTINCT finding_id FROM n JOIN b USING (course_id) WHERE length(k) >= 12 AND contains(body, k)), o AS (SELECT finding_id, count(*) AS n, min(section_id) AS section_id FROM n JOIN b USING (course_id) WHERE length(k) >= 12 AND (length(body) - length(replace(body, k, ''))) // length(k) = 1 GROUP BY finding_id) "
+    "SELECT 'finding' AS kind, h.finding_id AS id, cast(CASE WHEN o.n = 1 THEN o.section_id END as bigint) AS value FROM h LEFT JOIN o USING (finding_id) UNION ALL SELECT 'not found', finding_id, NULL FROM q WHERE finding_id NOT IN (SELECT finding_id FROM h) "
+    "UNION ALL SELECT 'formula', section_id, (length(content) - length(replace(content, '$', ''))) % 2 FROM s WHERE (length(content) - length(replace(content, '$', ''))) % 2 > 0 UNION ALL SELECT 'quiz', doc_id, 2 FROM documents WHERE doc_id % 4 <> 2"
+)
+
+
+@register("x11_audit_courses", _AUDITED)
 def _(spark, d):
+    """Three documents a course; every second finding quotes its whole section; a quiz a document."""
     n = F.col("doc_id")
-    sections = docs(spark, d).select(n.cast("string").alias("course_id"), n.alias("section_id"), F.col("text").alias("content"))
-    findings = docs(spark, d).filter(F.char_length(F.trim(F.substring("text", 1, 30))) >= 14).select(n.alias("finding_id"), n.cast("string").alias("course_id"), F.lit("haute").alias("severity"), F.when(n % 2 == 0, "phrase qui ne s'y trouve pas").otherwise(F.substring("text", 1, 30)).alias("quote"))
-    quizzes = sections.select("course_id", F.lit("").alias("explanation"), F.lit(0).alias("answer"))
-    return jobs.audit_courses(quizzes, sections, findings)["not_found"].select("finding_id", "code")
-
+    course, content = F.expr("cast(doc_id div 3 as string)").alias("course_id"), F.replace("text", F.lit("th"), F.lit("$"))
+    t = docs(spark, d)
+    sections = t.select(course, n.alias("section_id"), content.alias("content"))
+    findings = t.select(n.alias("finding_id"), course, F.lit("haute").alias("severity"), F.when(n % 2 == 0, "phrase qui ne s'y trouve pas").otherwise(F.concat(F.lit("« "), content, F.lit(" »"))).alias("quote"))
+    told = F.concat(F.lit("La bonne réponse est C. "), "text")
+    out = jobs.audit_courses(t.select("doc_id", told.alias("explanation"), (n % 4).cast("int").alias("answer")), sections, findings)
+    row = lambda df, kind, i, v: df.select(F.lit(kind).alias("kind"), F.col(i).cast("long").alias("id"), v.cast("long").alias("value"))
+    return (
+        row(out["findings"], "finding", "finding_id", F.col("section_id"))
+        .unionByName(row(out["not_found"], "not found", "finding_id", F.lit(None)))
+        .unionByName(row(out["formulas"], "formula", "section_id", F.col("formula_orphans")))
+        .unionByName(row(out["quizzes"], "quiz", "doc_id", F.col("suggested")))
+    )

@@ -83,7 +83,7 @@ def _count(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, '{pattern}'))"
 
 
-LINE_SQL = "SELECT doc_id, cast(i as int) AS line_no, string_split(text, chr(10))[i + 1] AS line FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"
+LINE_SQL = "SELECT doc_id, cast(i as int) AS line_no, p[i + 1] AS line FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"
 
 
 @register(
@@ -197,7 +197,7 @@ def _(spark, d):
 
 
 SHORT = "(?i)^(" + "|".join(quality.SHORT_WORDS.split()) + ")$"
-WORD_SQL = "SELECT doc_id, i, string_split_regex(text, '\\s+')[i] AS w FROM (SELECT doc_id, text, unnest(range(1, len(string_split_regex(text, '\\s+')) + 1)) AS i FROM documents)"
+WORD_SQL = "SELECT doc_id, i, p[i] AS w FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\s+') AS p FROM documents))"
 
 
 @register("n1_ocr_runs", f"WITH t AS (SELECT doc_id, i, w, regexp_matches(w, '^\\p{{L}}{{1,2}}$') AND NOT regexp_matches(w, '{SHORT}') AS f FROM ({WORD_SQL}) WHERE w <> ''), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, f ORDER BY i) AS g FROM t) SELECT doc_id, count(*) AS runs, sum(n) AS pieces FROM (SELECT doc_id, g, count(*) AS n FROM g WHERE f GROUP BY doc_id, g HAVING count(*) >= 3) GROUP BY doc_id")
