@@ -106,15 +106,27 @@ def script_of(code_point: Column) -> Column:
     return F.coalesce(*(F.when(code_point.between(a, b), F.lit(n)) for n, a, b in SCRIPTS))
 
 
-def dominant_script(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, script): the system of 60 % or more of the placed letters, else ``mixed``; ``unknown`` without any."""
-    letters = F.regexp_replace(text_col, "[^\\p{L}]", "")
-    chars = docs.select(id_col, F.explode(F.split(letters, "")).alias("c")).filter("c != ''")
-    counted = chars.groupBy(id_col, "c").agg(F.count(F.lit(1)).alias("n")).select(id_col, script_of(F.ascii("c")).alias("script"), "n").filter("script is not null")
-    per = counted.groupBy(id_col, "script").agg(F.sum("n").alias("n"))
-    best = per.groupBy(id_col).agg(F.max(F.struct("n", "script")).alias("b"), F.sum("n").alias("total"))
-    named = best.select(id_col, F.when(F.col("b.n") >= 0.6 * F.col("total"), F.col("b.script")).otherwise("mixed").alias("script"))
-    return docs.select(id_col).join(named, id_col, "left").select(id_col, F.coalesce("script", F.lit("unknown")).alias("script"))
+def dominant_script(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_col: str | None = None, least: float = 0.6, foreign: float = 0.3) -> DataFrame:
+    """(id, script): the system of ``least`` or more of the placed letters, else ``mixed``; ``unknown`` without any.
+
+    Rows are pieces of documents, such as the text of one font.  With ``trusted_col`` the
+    pieces that are trusted decide; where a document has no letter in such a piece, a system
+    other than latin that has ``foreign`` of all its letters is taken, else ``unknown``.
+    Letters are counted within each row, and only the counts meet.
+    """
+    systems = {n: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for m, a, b in SCRIPTS if m == n) for n, _, _ in SCRIPTS}
+    trusted = F.coalesce(F.col(trusted_col), F.lit(False)) if trusted_col else F.lit(True)
+    letters = F.regexp_replace(F.coalesce(text_col, F.lit("")), "[^\\p{L}]", "")
+    counted = docs.select(id_col, trusted.alias("t"), letters.alias("l")).select(id_col, "t", *(F.regexp_count("l", F.lit(f"[{p}]")).alias(n) for n, p in systems.items()))
+    sums = counted.groupBy(id_col).agg(*(F.sum(F.when(F.col("t"), F.col(n)).otherwise(0)).alias(f"t_{n}") for n in systems), *(F.sum(n).alias(n) for n in systems))
+
+    def top(prefix: str, names) -> Column:
+        return F.array_max(F.array(*(F.struct(F.col(f"{prefix}{n}").alias("n"), F.lit(n).alias("script")) for n in names)))
+
+    total = lambda prefix: sum((F.col(f"{prefix}{n}") for n in systems), F.lit(0))
+    best, other = top("t_", systems), top("", [n for n in systems if n != "latin"])
+    script = F.when(total("t_") > 0, F.when(best["n"] >= least * total("t_"), best["script"]).otherwise("mixed")).when(other["n"] >= F.greatest(F.lit(1), foreign * total("")), other["script"]).otherwise("unknown")
+    return sums.select(id_col, script.alias("script"))
 
 
 def decide_font_encodings(codes: DataFrame, fits: DataFrame, gain: float = 0.15, lead: float = 0.10, least: int = 8, large: int = 100) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, embedding, encoding, layout, parsing, quality, review
 from . import jobs
 from .registered import register
-from .registered_text import docs
+from .registered_text import LINE_SQL, docs
 
 
 def words(spark, d):
@@ -40,14 +40,20 @@ def _in(pairs: list[tuple[int, int]]) -> str:
 _SYSTEMS = {n: [(a, b) for m, a, b in encoding.SCRIPTS if m == n] for n, _, _ in encoding.SCRIPTS}
 
 
+_CASE = " ".join(f"WHEN {_in(p)} THEN '{n}'" for n, p in _SYSTEMS.items())
+_GREEK = "CASE WHEN doc_id % 5 < 2 THEN translate(line, 'aeiourstnl', 'αειουρστνλ') ELSE line END"
+
+
 @register(
     "a9_dominant_script",
-    "WITH c AS (SELECT doc_id, unicode(unnest(regexp_extract_all(text, '\\p{L}'))) AS cp FROM documents), s AS (SELECT doc_id, CASE "
-    + " ".join(f"WHEN {_in(p)} THEN '{n}'" for n, p in _SYSTEMS.items())
-    + " END AS script FROM c), g AS (SELECT doc_id, script, count(*) AS n FROM s WHERE script IS NOT NULL GROUP BY ALL), b AS (SELECT doc_id, CASE WHEN max(n) >= 0.6 * sum(n) THEN arg_max(script, n) ELSE 'mixed' END AS script FROM g GROUP BY doc_id) SELECT d.doc_id, coalesce(b.script, 'unknown') AS script FROM documents d LEFT JOIN b USING (doc_id)",
+    f"WITH l AS (SELECT doc_id, {_GREEK} AS line, line_no % 3 = 0 AND doc_id % 4 > 0 AS trusted FROM ({LINE_SQL})), c AS (SELECT doc_id, trusted, unicode(unnest(regexp_extract_all(line, '\\p{{L}}'))) AS cp FROM l), s AS (SELECT doc_id, trusted, CASE {_CASE} END AS script FROM c), "
+    "g AS (SELECT doc_id, script, count(*) AS n, count(*) FILTER (WHERE trusted) AS t FROM s WHERE script IS NOT NULL GROUP BY ALL), b AS (SELECT doc_id, sum(n) AS n, sum(t) AS t, max(t) AS top, arg_max(script, struct_pack(a := t, b := script)) AS best, max(n) FILTER (WHERE script <> 'latin') AS other, arg_max(script, struct_pack(a := n, b := script)) FILTER (WHERE script <> 'latin') AS foreign_one FROM g GROUP BY doc_id) "
+    "SELECT d.doc_id, CASE WHEN t > 0 THEN CASE WHEN top >= 0.6 * t THEN best ELSE 'mixed' END WHEN other >= 0.3 * n THEN foreign_one ELSE 'unknown' END AS script FROM documents d LEFT JOIN b USING (doc_id)",
 )
 def _(spark, d):
-    return encoding.dominant_script(docs(spark, d))
+    """Lines as pieces: every third one trusted, in every fourth document none; some documents half in Greek letters."""
+    lines = cleaning.split_lines(docs(spark, d)).withColumn("line", F.when(F.col("doc_id") % 5 < 2, F.translate("line", "aeiourstnl", "αειουρστνλ")).otherwise(F.col("line")))
+    return encoding.dominant_script(lines.withColumn("trusted", F.expr("line_no % 3 = 0 and doc_id % 4 > 0")), text_col="line", trusted_col="trusted")
 
 
 @register("j13_script_of", "SELECT cp, CASE " + " ".join(f"WHEN {_in(p)} THEN '{n}'" for n, p in _SYSTEMS.items()) + " END AS script FROM (SELECT DISTINCT unicode(unnest(string_split(text, ''))) AS cp FROM documents) WHERE cp > 0")
@@ -181,14 +187,45 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", layout.join_fragments(pieces).alias("text"))
 
 
-@register("c16_spoken")
+_SAID = "concat('## p. 3', chr(10), '# Titre', chr(10), 'Le vecteur AB\u20d7 [FIGURE f1] [LACUNE x] x⁴ H₂ 5 % **gras**', chr(10), chr(10), replace(replace(replace(text, ' de ', ' = '), ' und ', ' + '), ' the ', ' ≤ '), chr(10), '| a | b |', chr(10), '  fin   ½')"
+
+
+def _replaced(text: str, pairs) -> str:
+    for a, b in pairs:
+        text = f"replace({text}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+def _spoken_sql() -> str:
+    steps = [(r"(?m)^##+ *p\. *\d+ *$", ""), (r"\[FIGURE [^\]]+\]", "Voir la figure."), (r"\[LACUNE[^\]]*\]", ""), (r"(?m)^\|.*\|\s*$", "")]
+    text = "t"
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    text = f"concat({text}, chr(10), 'Voir le tableau.')"
+    for pattern, by in ((r"(?m)^#+ *", ""), (r"\*{1,2}([^*]+)\*{1,2}", r"\1"), ("([A-Z]{1,3})\u20d7", r"le vecteur \1")):
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    text = f"translate({_replaced(text, parsing.SPOKEN)}, '₀₁₂₃₄₅₆₇₈₉', '0123456789')"
+    for _ in range(2):  # neighbours share a letter
+        text = rf"regexp_replace({text}, '([\p{{L}}\p{{N}}_)\s]) ?= ?([\p{{L}}\p{{N}}_(\s])', '\1 égale \2', 'g')"
+    blocks = rf"list_transform(regexp_split_to_array(regexp_replace({text}, ' \+ ', ' plus ', 'g'), '\n\s*\n'), lambda b: regexp_replace(regexp_replace(b, '[ \t]*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
+    closed = f"list_transform(list_filter({blocks}, lambda b: b <> ''), lambda b: CASE WHEN regexp_matches(b, '[.!?:;]$') THEN b ELSE concat(b, '.') END)"
+    return rf"SELECT doc_id, trim(regexp_replace(array_to_string({closed}, ' '), '[ \t]+', ' ', 'g')) AS spoken FROM (SELECT doc_id, {_SAID} AS t FROM documents)"
+
+
+@register("c16_spoken", _spoken_sql())
 def _(spark, d):
-    return docs(spark, d).select("doc_id", parsing.spoken(F.col("text")).alias("spoken"))
+    """Texts with a title, a vector, marks, signs between their words and a table row."""
+    made = F.replace(F.replace(F.replace("text", F.lit(" de "), F.lit(" = ")), F.lit(" und "), F.lit(" + ")), F.lit(" the "), F.lit(" ≤ "))
+    told = F.concat(F.lit("## p. 3\n# Titre\nLe vecteur AB\u20d7 [FIGURE f1] [LACUNE x] x⁴ H₂ 5 % **gras**\n\n"), made, F.lit("\n| a | b |\n  fin   ½"))
+    return docs(spark, d).select("doc_id", parsing.spoken(told).alias("spoken"))
 
 
-@register("c18_cut_repetition")
+@register("c18_cut_repetition", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN concat(text, '#', repeat(concat('zq', cast(doc_id % 7 as string), ' '), 30)) ELSE concat(text, '#') END AS text FROM documents")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", parsing.cut_repetition(F.col("text")).alias("text"))
+    """Texts with a tail that repeats: one sign, a longer motif, or too short a tail to count."""
+    n = F.col("doc_id")
+    tail = F.when(n % 3 == 0, F.repeat(F.lit("x"), F.lit(300))).when(n % 3 == 1, F.repeat(F.concat(F.lit("zq"), (n % 7).cast("string"), F.lit(" ")), F.lit(80))).otherwise(F.repeat(F.concat(F.lit("zq"), (n % 7).cast("string"), F.lit(" ")), F.lit(30)))
+    return docs(spark, d).select("doc_id", parsing.cut_repetition(F.concat("text", F.lit("#"), tail)).alias("text"))
 
 
 _DAMAGED = "concat('\u0301', replace(replace(text, 'th', '$'), ' de ', ' \\frac e\u0301 '), ' \\alpha \\( \\beta')"
@@ -217,9 +254,16 @@ def _(spark, d):
     return quality.distinct_issues(quality.issues(docs(spark, d), "doc_id"), "doc_id")
 
 
-@register("c26_figure_marks")
+_BODY = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+@register(
+    "c26_figure_marks",
+    f"SELECT concat_ws('/', source, cast(doc_id // 200 as string)) AS doc_id, concat(string_agg(concat('## p. ', cast(doc_id as string), CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), '[FIGURE a', cast(doc_id as string), ']', chr(10), '[FIGURE f', cast(doc_id as string), ']') ELSE '' END, chr(10), chr(10), {_BODY}), concat(chr(10), chr(10)) ORDER BY doc_id), chr(10), '[FIGURE last]') AS text FROM documents GROUP BY ALL",
+)
 def _(spark, d):
     key = "concat_ws('/', source, cast(doc_id div 200 as string)) doc_id"  # 200 documents a value
     pages = cleaning.assemble_pages(docs(spark, d).selectExpr(key, "doc_id page_no", "text"))
-    figures = docs(spark, d).filter("doc_id % 3 = 0").selectExpr(key, "cast(doc_id as int) page_no", "concat('[FIGURE f', cast(doc_id as string), ']') mark")
-    return parsing.place_figure_marks(cleaning.split_lines(pages), figures)
+    shown = docs(spark, d).filter("doc_id % 3 = 0").selectExpr(key, "cast(doc_id as int) page_no", "explode(array(concat('[FIGURE f', cast(doc_id as string), ']'), concat('[FIGURE a', cast(doc_id as string), ']'))) mark")
+    orphans = docs(spark, d).selectExpr(key, "999999999 page_no", "'[FIGURE last]' mark").distinct()
+    return parsing.place_figure_marks(cleaning.split_lines(pages), shown.unionByName(orphans))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking, cleaning, layout, parsing, planning, quality, retrieval, review
 from ..operators.embedding import hashing_encoder
 from . import jobs
+from .registered import _PROOF as PROOF_SQL
 from .registered import LIB, asked, library, passages, register
 from .registered_layout import WORDS, words
 from .registered_text import LINE_SQL, docs
@@ -220,7 +221,7 @@ def _(spark, d):
     return chunking.chunk_corpus(docs(spark, d), id_col="doc_id", text_col="text").select("doc_id", "ordinal", "locator")
 
 
-@register("u1_proofs_over_roles")
+@register("u1_proofs_over_roles", f"WITH {PROOF_SQL}, b AS (SELECT query_id, chunk_id, role, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id, role) AS n FROM r WHERE rank <= 3) SELECT query_id AS segment_id, chunk_id, role FROM b WHERE n = 1")
 def _(spark, d):
     segments = asked(spark, d).withColumnRenamed("query_id", "segment_id")
     return retrieval.find_proofs(segments, passages(spark, d), ["language"]).select("segment_id", "chunk_id", "role")

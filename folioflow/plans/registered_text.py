@@ -116,10 +116,12 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", tx.excessive_rewrite(F.col("text"), F.substring("text", 1, 100)).alias("excessive"))
 
 
-@register("c27_markdown_rows", "SELECT doc_id, concat('| ', trim(lang), ' | ', trim(source), ' | ', cast(n_chars as string), ' |') AS row, 3 AS cells FROM documents")
+@register("c27_markdown_rows", f"SELECT doc_id, line_no, concat('| ', array_to_string(list_transform(p, lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'))), ' | '), ' |') AS row, array_to_string(list_transform(p, lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'))), '/') AS cells FROM (SELECT doc_id, line_no, string_split(replace(line, '|', ' '), ',') AS p FROM ({LINE_SQL}))")
 def _(spark, d):
-    row = tx.markdown_row(F.array("lang", "source", F.col("n_chars").cast("string")))
-    return docs(spark, d).select("doc_id", row.alias("row"), F.size(tx.markdown_cells(row)).alias("cells"))
+    """Lines as rows, cut into cells at their commas, and the cells read back."""
+    lines = cleaning.split_lines(docs(spark, d))
+    row = tx.markdown_row(F.split(F.replace("line", F.lit("|"), F.lit(" ")), ",", -1))
+    return lines.select("doc_id", "line_no", row.alias("row"), F.array_join(tx.markdown_cells(row), "/").alias("cells"))
 
 
 @register("x3_sentences", "SELECT doc_id, count(*) AS n, max(length(s)) AS longest FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?…])\\s+([«\"''(\\[]?[A-ZÀ-ÖØ-Þ0-9])', concat('\\1', chr(1), '\\2'), 'g'), chr(1)))) AS s FROM documents) WHERE s <> '' GROUP BY doc_id")
@@ -308,12 +310,26 @@ def _(spark, d):
     return chunking.chunk_corpus(docs(spark, d), id_col="doc_id", text_col="text")
 
 
-@register("x2_split_blocks")
+_HEADED = "concat('# Cours', chr(10), '### ', source, chr(10), chr(10), replace(text, '. ', concat('.', chr(10), chr(10), '## ', lang, chr(10))))"
+
+
+@register(
+    "x2_split_blocks",
+    f"WITH s AS (SELECT doc_id, source, lang, cast(i - 1 as int) AS n, regexp_replace(p[i], '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT doc_id, source, lang, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, source, lang, string_split(text, '. ') AS p FROM documents))) "
+    "SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 as int) AS position, CASE WHEN n = 0 THEN concat('Cours > ', source) ELSE concat('Cours > ', lang) END AS path, CASE WHEN last THEN text ELSE concat(text, '.') END AS text FROM (SELECT *, n = max(n) OVER (PARTITION BY doc_id) AS last FROM s) WHERE NOT last OR text <> ''",
+)
 def _(spark, d):
-    return chunking.split_blocks(docs(spark, d), "doc_id", "text")
+    """A heading above every text, a level skipped, and one before every sentence but the first."""
+    cut = chunking.split_blocks(docs(spark, d).select("doc_id", F.expr(_HEADED.replace("chr(10)", "char(10)")).alias("text")), "doc_id", "text")
+    return cut.select("doc_id", "position", F.array_join("heading_path", " > ").alias("path"), "text")
 
 
-@register("n11_split_parts")
+@register(
+    "n11_split_parts",
+    f"WITH RECURSIVE l AS ({LINE_SQL}), d AS (SELECT doc_id, max(line_no) AS last FROM l GROUP BY doc_id), w AS (SELECT doc_id, line_no, 0 AS part_no, length(line) + 1 AS size FROM l WHERE line_no = 0 UNION ALL "
+    "SELECT l.doc_id, l.line_no, CASE WHEN w.size + length(l.line) + 1 > 2000 THEN w.part_no + 1 ELSE w.part_no END, CASE WHEN w.size + length(l.line) + 1 > 2000 THEN length(l.line) + 1 ELSE w.size + length(l.line) + 1 END FROM w JOIN l ON l.doc_id = w.doc_id AND l.line_no = w.line_no + 1) "
+    "SELECT w.doc_id, CASE WHEN length(t.text) <= 2000 THEN 0 ELSE part_no END AS part_no, string_agg(l.line, chr(10) ORDER BY l.line_no) AS part FROM w JOIN l ON l.doc_id = w.doc_id AND l.line_no = w.line_no JOIN documents t ON t.doc_id = w.doc_id GROUP BY ALL",
+)
 def _(spark, d):
     return chunking.split_parts(docs(spark, d), 2000, separator="\n", gap_cost=1)
 
@@ -453,10 +469,12 @@ def _(spark, d):
     return review.resolve_citations(texts, registry).select("section_id", "label", "document_id")
 
 
-@register("j17_uncovered_sources", "SELECT doc_id // 10 AS assessment_id, doc_id AS source_id FROM documents WHERE doc_id % 3 <> 0")
+@register("j17_uncovered_sources", "SELECT doc_id // 10 AS assessment_id, doc_id AS source_id FROM documents WHERE NOT regexp_matches(text, '[0-9]')")
 def _(spark, d):
+    """An item for each document with a digit covers it, and its neighbour of the next assessment, which is none of its own."""
     sources = docs(spark, d).selectExpr("doc_id div 10 assessment_id", "doc_id source_id")
-    items = sources.filter("source_id % 3 = 0").select("assessment_id", F.array("source_id").alias("covers"))
+    held = docs(spark, d).filter(F.col("text").rlike("[0-9]")).selectExpr("doc_id div 10 assessment_id", "doc_id source_id")
+    items = held.select("assessment_id", F.array(F.col("source_id"), F.col("source_id") + 10).alias("covers"))
     return review.uncovered_sources(items, sources).select("assessment_id", "source_id")
 
 
@@ -485,9 +503,9 @@ def _(spark, d):
 _SHARE = "greatest(1, cast(round_even(points * 20 / greatest(sum(points) OVER (PARTITION BY a), 1), 0) as int))"
 
 
-@register("n6_rebalance_points", f"WITH i AS (SELECT doc_id // 6 AS a, doc_id AS item_no, cast(doc_id % 7 as int) AS points FROM documents), s AS (SELECT *, {_SHARE} AS share FROM i) SELECT item_no, cast(CASE WHEN row_number() OVER (PARTITION BY a ORDER BY item_no) = 1 THEN greatest(1, share + 20 - sum(share) OVER (PARTITION BY a)) ELSE share END as int) AS points FROM s")
+@register("n6_rebalance_points", f"WITH i AS (SELECT doc_id // 6 AS a, doc_id AS item_no, cast(length(text) % 7 as int) AS points FROM documents), s AS (SELECT *, {_SHARE} AS share FROM i) SELECT item_no, cast(CASE WHEN row_number() OVER (PARTITION BY a ORDER BY item_no) = 1 THEN greatest(1, share + 20 - sum(share) OVER (PARTITION BY a)) ELSE share END as int) AS points FROM s")
 def _(spark, d):
-    items = docs(spark, d).selectExpr("doc_id div 6 assessment_id", "doc_id item_no", "cast(doc_id % 7 as int) points", "20 total")
+    items = docs(spark, d).selectExpr("doc_id div 6 assessment_id", "doc_id item_no", "cast(length(text) % 7 as int) points", "20 total")
     return review.rebalance_points(items).select("item_no", "points")
 
 
@@ -497,9 +515,9 @@ def _(spark, d):
     return fitted.select("doc_id", F.char_length("text").cast("bigint").alias("size"), "truncated")
 
 
-@register("n12_cap_items", "WITH i AS (SELECT source AS r, doc_id % 3 AS p, doc_id AS n FROM documents), c AS (SELECT *, row_number() OVER (PARTITION BY r, p ORDER BY n) AS k, (SELECT count(DISTINCT p) FROM i j WHERE j.r = i.r) AS parts FROM i), f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p, n) AS z FROM c WHERE k <= ceil(8 / parts)) SELECT r AS request_id, n AS item_no FROM f WHERE z <= 8")
+@register("n12_cap_items", "WITH i AS (SELECT source AS r, length(text) % 3 AS p, doc_id AS n FROM documents), c AS (SELECT *, row_number() OVER (PARTITION BY r, p ORDER BY n) AS k, (SELECT count(DISTINCT p) FROM i j WHERE j.r = i.r) AS parts FROM i), f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p, n) AS z FROM c WHERE k <= ceil(8 / parts)) SELECT r AS request_id, n AS item_no FROM f WHERE z <= 8")
 def _(spark, d):
-    items = docs(spark, d).selectExpr("source request_id", "doc_id % 3 part_no", "doc_id item_no")
+    items = docs(spark, d).selectExpr("source request_id", "length(text) % 3 part_no", "doc_id item_no")
     return review.cap_items(items, 8).select("request_id", "item_no")
 
 
@@ -525,11 +543,16 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", review.accept_correction(F.col("text"), F.substring("text", 1, 500), why).alias("accepted"))
 
 
-@register("c36_failure_cause", "SELECT event_id, CASE event_type WHEN 'view' THEN 'CREDIT' WHEN 'click' THEN 'KEY' WHEN 'signup' THEN 'MODEL_MISSING' WHEN 'purchase' THEN 'CREDIT' ELSE 'SILENT' END AS cause FROM events")
+_FAILED = "CASE doc_id % 9 WHEN 0 THEN replace(text, ' de ', ' Quota ') WHEN 1 THEN concat(text, ' Invalid API key') WHEN 2 THEN concat('Model x', source, ' was not found. ', text) ELSE text END"
+
+
+@register(
+    "c36_failure_cause",
+    f"SELECT doc_id, CASE WHEN s = 402 OR regexp_matches(m, 'credit|quota|billing') THEN 'CREDIT' WHEN s IN (401, 403) OR regexp_matches(m, 'api key|unauthorized|forbidden') THEN 'KEY' WHEN s = 404 OR regexp_matches(m, 'model.*not found|no such model') THEN 'MODEL_MISSING' ELSE 'SILENT' END AS cause FROM (SELECT doc_id, 400 + doc_id % 7 AS s, lower({_FAILED}) AS m FROM documents)",
+)
 def _(spark, d):
-    kind = F.col("event_type")
-    status = F.when(kind == "view", 402).when(kind == "click", 401).when(kind == "signup", 404).otherwise(500)
-    return _table(spark, d, "events").select("event_id", review.failure_cause(status, F.when(kind == "purchase", "monthly Quota reached")).alias("cause"))
+    """Texts as messages, some with the words that tell a cause."""
+    return docs(spark, d).select("doc_id", review.failure_cause((F.lit(400) + F.col("doc_id") % 7), F.expr(_FAILED)).alias("cause"))
 
 
 # --- job log -------------------------------------------------------------------------------
@@ -558,9 +581,18 @@ def _(spark, d):
     return joblog.mean_at_submission(jobs(spark, d)).select("job_id", F.round("mean_seconds", 3).alias("mean_seconds"))
 
 
-@register("q3_announced_wait")
+_AHEAD = "a AS (SELECT a.job_id, count(b.job_id) AS ahead FROM j a LEFT JOIN j b ON (b.submitted_at < a.submitted_at OR (b.submitted_at = a.submitted_at AND b.job_id < a.job_id)) AND b.started_at > a.submitted_at AND (b.lane = 'student' OR a.lane = 'teacher') GROUP BY a.job_id)"
+_LANE = "(SELECT j.job_id, coalesce(arg_max(m.mean, struct_pack(t := m.finished_at, k := m.job_id)), {1}) AS mean FROM j LEFT JOIN m ON m.lane = '{0}' AND m.finished_at <= j.submitted_at GROUP BY j.job_id)"
+
+
+@register(
+    "q3_announced_wait",
+    f"WITH {_MEANS}, {_AHEAD}, s AS {_LANE.format('student', '35.0')}, t AS {_LANE.format('teacher', '150.0')}, "
+    "r AS (SELECT a.job_id, any_value(a.submitted_at) AS at, arg_max(struct_pack(s := b.started_at, f := b.finished_at, lane := b.lane), struct_pack(t := b.started_at, k := b.job_id)) AS r FROM j a LEFT JOIN j b ON b.started_at < a.submitted_at GROUP BY a.job_id) "
+    "SELECT j.job_id, ahead, round(ahead * t.mean + CASE WHEN r.r.f > r.at THEN greatest(0.0, CASE WHEN r.r.lane = 'student' THEN s.mean ELSE t.mean END - (r.at - r.r.s)) ELSE 0.0 END + CASE WHEN j.lane = 'student' THEN s.mean ELSE t.mean END, 3) AS wait_seconds FROM j JOIN a USING (job_id) JOIN s USING (job_id) JOIN t USING (job_id) JOIN r USING (job_id)",
+)
 def _(spark, d):
-    return joblog.announced_wait(jobs(spark, d))
+    return joblog.announced_wait(jobs(spark, d)).withColumn("wait_seconds", F.round("wait_seconds", 3))
 
 
 @register("q4_outcomes", f"WITH j AS ({JOB_SQL}) SELECT lane, status, count(*) AS jobs, round(avg(finished_at - started_at), 3) AS mean_seconds, round(max(finished_at - started_at), 3) AS max_seconds FROM j GROUP BY ALL")
