@@ -158,15 +158,17 @@ def exact_sets(df: DataFrame, size: int) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp): the smallest node that links (a, b) reach, for every node that has one.
 
-    Labels pass along links and then jump to the label of their label, until none changes.
+    Labels pass along links, to a node and to the node that is its label, and then jump to the
+    label of their label, until none changes.
     """
     edges = scratch.save(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = scratch.save(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")).withColumn("was", F.col("node")), f"{name}-0")
     step = 0
     while not labels.filter("comp != was").isEmpty():
         step += 1
-        near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        better = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
+        told = edges.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("near")), "b").join(labels.select(F.col("node").alias("a"), F.col("comp").alias("top")), "a")
+        near = told.select(F.explode(F.array("a", "top")).alias("node"), "near").groupBy("node").agg(F.min("near").alias("near"))
+        better = labels.join(near, "node", "left").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
         better = scratch.save(better, f"{name}-{step}a")
         up = better.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         labels = scratch.save(better.join(up, "comp").select("node", F.least("comp", "top").alias("comp"), "was"), f"{name}-{step}")
@@ -342,13 +344,23 @@ def _tiled(opened: DataFrame, scratch: Scratch) -> DataFrame:
     near copies share many keys, and their pairs are then looked at once.  Within a group the
     nodes of its largest component are compared with the others only.
     """
-    groups = components(opened.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), scratch, "groups").withColumnRenamed("comp", "id")
-    per_key = opened.filter("node = lead").select("key", "node", "m").join(groups, "node").groupBy("id").agg(F.sum(F.col("m") * F.col("m")).alias("by_key"))
-    per_group = groups.groupBy("id").agg(F.count(F.lit(1)).alias("m"))
+    # each key joins the group of the smallest leader that its nodes' keys know, twice over: a pair with a common key stays together
+    ids, name = opened.select("key", "node", F.col("lead").alias("id")), ""
+    for step in ("ids0", "ids1"):
+        least = ids.groupBy("node").agg(F.min("id").alias("least"))
+        keyed = scratch.save(ids.join(least, "node").groupBy("key").agg(F.min("least").alias("id")), step)
+        ids = opened.select("key", "node").join(keyed, "key")
+        scratch.drop(*[name] * bool(name))
+        name = step
+    rows = opened.join(keyed, "key")
+    per_key = opened.filter("node = lead").select("key", "m").join(keyed, "key").groupBy("id").agg(F.sum(F.col("m") * F.col("m")).alias("by_key"))
+    once = scratch.save(rows.select("id", "node", "comp").distinct(), "once")
+    per_group = once.groupBy("id").agg(F.count(F.lit(1)).alias("m"))
     whole = scratch.save(per_group.join(per_key, "id").filter(F.col("m") * F.col("m") <= F.col("by_key")).select("id"), "whole")
-    together = opened.select("node", "comp").distinct().join(groups, "node").join(whole, "id").select(F.lit(0).alias("kind"), "id", "node", "comp")
-    apart = opened.join(groups, "node").join(whole, "id", "left_anti").select(F.lit(1).alias("kind"), F.col("key").alias("id"), "node", "comp")
+    together = once.join(whole, "id").select(F.lit(0).alias("kind"), "id", "node", "comp")
+    apart = rows.join(whole, "id", "left_anti").select(F.lit(1).alias("kind"), F.col("key").alias("id"), "node", "comp")
     rows = scratch.save(together.unionByName(apart), "grouped")
+    scratch.drop(name, "once", "whole")
     sizes = rows.groupBy("kind", "id", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("kind", "id").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("mains"), F.sum("m").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -406,7 +418,7 @@ class Join:
         scratch.drop("placed", "members")
         tiles = _tiled(opened, scratch).join(self.bits, "node").select(*TILE, "block", "node", "comp", "n", "bits")
         flagged = scratch.save(grouped(tiles, TILE, _flagged(self.num, self.den), "kind int, id long, i int, j int, node long, comp long, block int"), "flagged")
-        scratch.drop("opened", "grouped", "mains", "whole", "bits")
+        scratch.drop("opened", "grouped", "mains", "bits")
         links = scratch.save(grouped(flagged.join(self.sets, "node"), TILE, _forest(self.num, self.den), "a long, b long"), "forest")
         scratch.drop("flagged", "sets")
         return self._merge(comps, links, "comps3", "comps2", "forest")
