@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from . import bpe
 from .scratch import Scratch
 
-#: Ids of one sequence, sequences of one record batch.
+#: Ids of one sequence, sequences of one record batch, bytes of text of one file at most but for single texts.
 LENGTH = 1024
 BATCH = 256
+FILE_BYTES = 256 << 20
 END_ID = 0
 
 
@@ -90,20 +91,21 @@ class SequenceWriter:
         return self.total
 
 
+def read_batches(fs: pa.fs.FileSystem, path: str) -> Iterator[pa.RecordBatch]:
+    """Record batches of a file one after the other; local files are mapped, others read as a stream."""
+    source = pa.memory_map(path) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_stream(path)
+    yield from pa.ipc.open_stream(source)
+
+
 class SequenceFile:
-    """Random access to the sequences of one file; local files are mapped, not read."""
+    """Random access to the sequences of one file; local files are mapped, others held in memory (their size is bounded by FILE_BYTES)."""
 
     def __init__(self, folder: str, name: str):
         self.fs, root = _filesystem(folder)
-        self.ids = self._batches(f"{root}/{name}.ids.arrows")
-        self.docs = self._batches(f"{root}/{name}.docs.arrows")
+        self.ids = list(read_batches(self.fs, f"{root}/{name}.ids.arrows"))
         self.views = [b.column(0).values.to_numpy(zero_copy_only=True) for b in self.ids]
         self.per = BATCH * self.ids[0].column(0).type.list_size if self.ids else 1
 
-    def _batches(self, path: str) -> list[pa.RecordBatch]:
-        source = pa.memory_map(path) if isinstance(self.fs, pa.fs.LocalFileSystem) else self.fs.open_input_file(path)
-        return list(pa.ipc.open_stream(source))
-
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of one sequence."""
         b, k = divmod(i, BATCH)
@@ -144,16 +146,25 @@ def write_sequences(df: DataFrame, folder: str, vocabulary: int, length: int = L
 
 
 def read_documents(files: DataFrame, folder: str) -> DataFrame:
-    """From files (name, before): doc_id, start, n_tokens and the crc of the ids of each document."""
+    """From files (name, before): doc_id, start, n_tokens and the crc of the ids of each document, read as streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _filesystem(folder)
         for batch in batches:
             for name, before in zip(batch.column("name").to_pylist(), batch.column("before").to_pylist(), strict=True):
-                file = SequenceFile(folder, name)
-                for docs in file.docs:
-                    starts, sizes = docs.column(1).to_numpy(), docs.column(2).to_numpy()
-                    crc = [zlib.crc32(file.span(s, n).astype("<u4").tobytes()) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts + before), docs.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                ids = (b.column(0).values.to_numpy(zero_copy_only=True) for b in read_batches(fs, f"{root}/{name}.ids.arrows"))
+                held, at = np.zeros(0, np.uint16), 0
+                for docs in read_batches(fs, f"{root}/{name}.docs.arrows"):
+                    found = []
+                    for n in docs.column(2).to_pylist():
+                        crc = 0
+                        while n:
+                            if at == len(held):
+                                held, at = next(ids), 0
+                            part = held[at : at + n]
+                            crc, at, n = zlib.crc32(part.astype("<u4"), crc), at + len(part), n - len(part)
+                        found.append(crc)
+                    yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(docs.column(1).to_numpy() + before), docs.column(2), pa.array(found, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.select("name", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -162,19 +173,20 @@ def order_key(df: DataFrame) -> list:
     return [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
 
 
-def sequence_report(spark: SparkSession, docs: DataFrame, path: str, vocabulary: int = 50257, partitions: int | None = None, folder: str | None = None) -> DataFrame:
+def sequence_report(spark: SparkSession, docs: DataFrame, path: str, vocabulary: int = 50257, partitions: int | None = None, folder: str | None = None, length: int = LENGTH) -> DataFrame:
     """Write all documents' ids, an end id after each, in order of doc_id; then the files' contents by document.
 
-    Null and empty texts are an end id alone.  Rows of equal doc_id follow by the hash of their text; rows without
+    There are as many files as partitions, or as FILE_BYTES asks for if that is more.  Null and empty texts are an end id alone.  Rows of equal doc_id follow by the hash of their text; rows without
     an id come first.  An empty table writes no file and gives no rows.
     """
     scratch = Scratch(spark, "sequences")
     folder = folder or f"{scratch.path}/files"
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text") + 4)).first()[0] or 0  # one row
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     ordered = rows.repartitionByRange(parts, *order_key(rows)).sortWithinPartitions(*order_key(rows))
     ids = bpe.encode(ordered, path, drop_text=True).select("doc_id", F.concat("ids", F.lit(bytearray(END_ID.to_bytes(4, "little")))).alias("ids"))
-    files = scratch.save(write_sequences(ids, folder, vocabulary), "manifest")
+    files = scratch.save(write_sequences(ids, folder, vocabulary, length), "manifest")
     # one row for each file
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     places = files.select("name", F.coalesce(before, F.lit(0)).alias("before"))

@@ -35,15 +35,16 @@ def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
 def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source", carry: tuple[str, ...] = (), seed: int = 7) -> DataFrame:
     """id, ``carry`` columns, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
-    Row counts of shards differ by one at most.  Null sources are a source of their own, null
-    ids share a hash; rows equal in id and carried columns are interchangeable.  An empty
-    table gives no rows.
+    Row counts of shards differ by one at most.  Null sources are a source of their own; rows
+    without an id, or of one id, are told apart by their carried columns, and rows equal in all
+    of these are interchangeable.  Columns that are not named are not read.  An empty table
+    gives no rows.
     """
     scratch = Scratch(df.sparkSession, "sharding")
     rows = df.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.concat(F.lit("v"), F.col(source_col).cast("string")), F.lit("n")).alias("key"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        F.xxhash64(F.lit(seed), F.col(id_col), *carry).alias("h"),
         *carry,
     ).withColumn("b", F.shiftrightunsigned("h", 64 - BUCKET_BITS))
     ties = [*(c for c in ("h", "id", *carry))]

@@ -55,7 +55,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float, start: DataFrame | None = None) -> DataFrame:
     """So many rounds of personalised PageRank of each kind: ``seeds`` (kind, host, seed), ``edges`` (kind, src, dst, share).
 
-    From the ranks ``start``, else from the seeds' own.  Rank that reaches a host without links ends there.
+    From the ranks ``start``, else from the seeds' own.  Rank that reaches a host without links ends
+    there.  A hub's edges share a join key, but the join is followed by sums over other keys, so
+    Spark splits its partition where it stands out (adaptive skew joins).
     """
     base = (1 - damping) * F.col("seed")
     rank = seeds.select("kind", "host", base.alias("rank")) if start is None else start
