@@ -16,30 +16,49 @@ ORACLE_SQL = None
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
+    """Documents that the toxicity classifier does not reject.
+
+    Null and empty texts stay; equal texts share a decision; columns keep their names whatever
+    they are.  An empty table stays empty.
+    """
     return toxicity.keep_civil(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    The row of the smallest id stays, rows without an id come last; of repeated rows one stays,
+    and of rows that share an id those of other groups.  Texts without words all stay.
+    """
     return jaccard.keep_one(docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; every secret in a text is replaced by its kind, and n_chars follows."""
-    found = secrets.redact(secrets.scan(docs, out="_secrets"), spans_col="_secrets")
+    """All documents; every secret in a text is replaced by its kind, and n_chars follows.
+
+    Null and empty texts, repeated rows and columns of any name stay as they are.
+    """
+    spans = next(n for n in (f"_secrets{i}" for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
+    found = secrets.redact(secrets.scan(docs, out=spans), spans_col=spans)
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them: not at all, or up to three times."""
+    """Documents as often as the mixture of sources takes them: not at all, or up to three times.
+
+    Null sources are one source; texts without words weigh nothing and go with their hash;
+    rows equal in id and text share a decision.  All columns stay.
+    """
     return mixing.mix_rows(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of each row, and whether the ids decode to the text."""
+    """doc_id, source, n_tokens and ids of each row, and whether the ids decode to the text.
+
+    Null texts count as empty and give no ids; repeated rows stay; other columns go.
+    """
     import public_tokenizers
 
     coded = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"), decoded_col="decoded")
