@@ -96,13 +96,22 @@ def _(spark, d):
     return tables.upsert_documents(library(spark, d), incoming(spark, d)).select(*SHORT)
 
 
-CHUNKED = "SELECT cast(doc_id as string) AS external_id, cast(0 as int) AS ordinal, length(text) AS size FROM documents"
+_OLD_CHUNKS = "(SELECT cast(doc_id as string) AS external_id, cast(i as int) AS ordinal, p[i + 1] AS content FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))"
 
 
-@register("w2_replace_chunks", f"WITH c AS ({CHUNKED}) SELECT external_id, ordinal, CASE WHEN cast(external_id as bigint) % 10 = 0 THEN size + 1 ELSE size END AS size FROM c")
+@register(
+    "w2_replace_chunks",
+    f"SELECT * FROM {_OLD_CHUNKS} WHERE cast(external_id as bigint) % 10 <> 0 UNION ALL SELECT external_id, cast(ordinal + 5 as int), concat('neu ', content) FROM {_OLD_CHUNKS} WHERE cast(external_id as bigint) % 10 = 0 AND ordinal % 2 = 0 UNION ALL SELECT concat('new', external_id), ordinal, content FROM {_OLD_CHUNKS} WHERE cast(external_id as bigint) % 30 = 0",
+)
 def _(spark, d):
-    old = _table(spark, d, "documents").selectExpr("cast(doc_id as string) external_id", "0 ordinal", "cast(length(text) as bigint) size")
-    return tables.replace_chunks(old, incoming(spark, d), old.withColumn("size", F.col("size") + 1))
+    """Lines as passages; replaced documents keep every second line, marked and with other ordinals, and some documents are new."""
+    def chunks(where: str, mark: str = "") -> DataFrame:
+        picked = _table(spark, d, "documents").filter(where)
+        return picked.select(F.concat(F.lit(mark), F.col("doc_id").cast("string")).alias("external_id"), F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "content"))
+
+    old, new = chunks("true"), chunks("doc_id % 30 = 0", "new")
+    made = chunks("doc_id % 10 = 0").filter("ordinal % 2 = 0").select("external_id", (F.col("ordinal") + 5).alias("ordinal"), F.concat(F.lit("neu "), "content").alias("content")).unionByName(new)
+    return tables.replace_chunks(old, incoming(spark, d).select("external_id").unionByName(new.select("external_id").distinct()), made)
 
 
 @register("w3_delete_documents", f"WITH c AS ({LIB}) SELECT external_id, cast(external_id as bigint) % 17 = 0 AS deleted FROM c WHERE cast(external_id as bigint) % 17 = 0 UNION ALL SELECT concat('gone', cast(doc_id as string)), false FROM documents WHERE doc_id % 34 = 0 UNION ALL SELECT concat('kept', external_id), NULL FROM c WHERE cast(external_id as bigint) % 17 <> 0")

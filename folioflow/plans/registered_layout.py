@@ -242,16 +242,14 @@ def _(spark, d):
     return marked.select("doc_id", *(F.col(c).cast("bigint").alias(n) for c, n in (("stray_accents", "accents"), ("formula_orphans", "orphans"), ("naked_commands", "commands"))))
 
 
-@register("w10_embed")
-def _(spark, d):
-    return embedding.embed(docs(spark, d).select("doc_id", "text"), "text", embedding.hashing_encoder(32)).select("doc_id", "embedding")
-
-
+_LETTERS = "aeinrst "
 
 
-@register("u4_distinct_issues")
+@register("w10_embed", "SELECT doc_id, concat_ws(',', " + ", ".join(f"cast(length(t) - length(replace(t, '{c}', '')) as string)" for c in _LETTERS) + ") AS embedding FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def _(spark, d):
-    return quality.distinct_issues(quality.issues(docs(spark, d), "doc_id"), "doc_id")
+    """An encoder that counts letters, in batches of sixteen texts."""
+    done = embedding.embed(docs(spark, d).select("doc_id", "text"), "text", lambda texts: [[float(t.count(c)) for c in _LETTERS] for t in texts])
+    return done.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("embedding"))
 
 
 _BODY = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, cleaning, layout, parsing, planning, quality, retrieval, review
+from ..operators import cleaning, encoding, layout, parsing, planning, quality, retrieval, review
 from ..operators.embedding import hashing_encoder
+from ..sources import files
 from . import jobs
 from .registered import _PROOF as PROOF_SQL
 from .registered import LIB, asked, library, passages, register
 from .registered_layout import WORDS, words
-from .registered_text import LINE_SQL, docs
+from .registered_text import LINE_SQL, chunk_sql, docs
 
 
 def whole():
@@ -216,9 +217,79 @@ def _(spark, d):
     return jobs.sections(headed).select("doc_id", "position", F.array_join("heading_path", " > ").alias("path"), "text")
 
 
-@register("x4_locators")
+# --- payloads, cells of schedules, fonts ------------------------------------------------------
+
+_PAYLOAD = "CASE doc_id % 7 WHEN 0 THEN concat('%PDF-1.7 ', text) WHEN 1 THEN concat(' ', chr(10), '%PDF', text) WHEN 2 THEN concat('PK', chr(3), chr(4), text) WHEN 3 THEN '' ELSE text END"
+_DECLARED = "CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/octet-stream' ELSE 'text/markdown' END"
+_PDF, _DOCX = files.TYPES["pdf"], files.TYPES["docx"]
+_SEEN = f"CASE WHEN doc_id % 7 < 2 THEN '{_PDF}' WHEN doc_id % 7 = 2 THEN '{_DOCX}' END"
+
+
+def payloads(spark, d):
+    """Texts as files: some begin with the signature of a format, their declared types differ."""
+    return docs(spark, d).select("doc_id", "text", F.expr(_PAYLOAD.replace("chr(", "char(")).cast("binary").alias("content"), F.expr(_DECLARED).alias("media_type"))
+
+
+@register("r2_sniff_media_type", f"SELECT doc_id, coalesce({_SEEN}, {_DECLARED}) AS media_type, CASE WHEN {_SEEN} <> {_DECLARED} THEN 'MEDIA_TYPE_MISMATCH' ELSE '' END AS warnings, length({_PAYLOAD}) AS characters FROM documents")
+def _(spark, d):
+    seen = files.sniff_media_type(payloads(spark, d))
+    return seen.select("doc_id", "media_type", F.array_join("warnings", ",").alias("warnings"), F.char_length(files.decode_text(F.col("content"))).cast("bigint").alias("characters"))
+
+
+@register("r3_legacy_containers", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'LEGACY_DOC_FORMAT' ELSE '' END AS warnings, {_DECLARED} AS media_type FROM documents")
+def _(spark, d):
+    old = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("D0CF11E0A1B11AE1")), F.col("text").cast("binary"))).otherwise(F.concat(F.lit("x").cast("binary"), F.unhex(F.lit("D0CF11E0"))))
+    seen = files.sniff_media_type(payloads(spark, d).withColumn("content", old))
+    return seen.select("doc_id", F.array_join("warnings", ",").alias("warnings"), "media_type")
+
+
+@register(
+    "r4_gate_payloads",
+    f"WITH p AS (SELECT doc_id, coalesce({_SEEN}, {_DECLARED}) AS kind, {_PAYLOAD} AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'INVALID_BASE64' WHEN t = '' THEN 'EMPTY_DOCUMENT' WHEN kind = 'application/octet-stream' THEN 'UNSUPPORTED_MEDIA_TYPE' END AS code, CASE WHEN doc_id % 11 <> 0 AND t <> '' AND kind <> 'application/octet-stream' THEN t END AS text FROM p",
+)
+def _(spark, d):
+    """Payloads in base64, some of them broken; what is accepted is read back."""
+    coded = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("!"), F.base64("content"))).otherwise(F.base64("content"))
+    good, bad = files.gate_payloads(payloads(spark, d).withColumn("payload", coded).select("doc_id", "media_type", "payload"))
+    return good.select("doc_id", F.lit(None).cast("string").alias("code"), files.decode_text(F.col("content")).alias("text")).unionByName(bad.select("doc_id", "code", F.lit(None).cast("string").alias("text")))
+
+
+@register(
+    "c28_planning_cells",
+    f"SELECT doc_id, concat(cast(doc_id % 30 as string), ',12') AS weeks, concat_ws('|', nullif(w, ''), 'Lire 3 pages', nullif(w, '')) AS items, CASE WHEN w = '' THEN 'x' ELSE concat('x ', w) END AS title, concat('a) ', w) AS details, CASE WHEN doc_id % 3 = 0 THEN 'mai' END AS month, concat(cast(doc_id % 3 as string), ',', CASE WHEN doc_id % 3 = 1 THEN '0' ELSE '1' END) AS roles FROM (SELECT doc_id, replace(w, '.', ' ') AS w FROM {WHOLE})",
+)
+def _(spark, d):
+    """Weeks, numbered items, chapter and details, month and header roles of cells that hold the whole text."""
+    n, w = F.col("doc_id"), whole()
+    items = F.concat(F.lit("1. "), w, F.lit(" ; 2. Lire 3 pages. 10. "), w)
+    chapter = planning.split_chapter(F.concat(F.lit("Chapitre 4 : x "), w, F.lit(" (a) "), w, F.lit(")")))
+    month = planning.month_of(F.array(F.lit(""), F.when(n % 3 == 0, "Mois de MAI").when(n % 3 == 1, "Maison").otherwise(F.concat(F.lit("mai "), F.lit("x")))))
+    cells = F.when(n % 3 == 0, F.array(F.lit("Période"), F.lit("Leçons"), F.lit("x"))).when(n % 3 == 1, F.array(F.lit("Contenus"), F.lit("PÉRIODES"), F.lit("Thème"))).otherwise(F.array(F.lit("a"), F.lit("Chapitre"), F.lit("Periode et contenu")))
+    roles = planning.header_roles(cells)
+    return docs(spark, d).select(
+        "doc_id", F.array_join(planning.weeks_of(F.concat(F.lit("Semaine "), (n % 30).cast("string"), F.lit(" et SEMAINE 12 "), w)).cast("array<string>"), ",").alias("weeks"), F.array_join(planning.items_of(items), "|").alias("items"),
+        chapter["title"].alias("title"), chapter["details"].alias("details"), month.alias("month"), F.concat_ws(",", roles["weeks"].cast("string"), roles["chapter"].cast("string")).alias("roles"),
+    )
+
+
+_CODES = "(SELECT doc_id, concat('f', cast(line_no % 3 as string)) AS font, unicode(c) % 256 AS code, count(*) AS n, line_no % 3 = 2 OR doc_id % 5 = 0 AS declares FROM (SELECT doc_id, line_no, unnest(string_split(line, '')) AS c FROM (" + LINE_SQL + ")) WHERE c <> '' GROUP BY ALL)"
+_WORTH = {"identity": "code % 3 = 0", "one": "code % 16 < 9 OR code = 32", "two": "code > 100"}
+_FITS = " UNION ALL ".join(f"SELECT '{k}' AS codec, code, CASE WHEN {v} THEN 1 ELSE 0 END AS worth FROM (SELECT unnest(range(256)) AS code)" for k, v in _WORTH.items())
+
+
+@register(
+    "a14_font_encodings",
+    f"WITH c AS {_CODES}, f AS ({_FITS}), z AS (SELECT doc_id, font, sum(n) AS samples, bool_and(declares) AS trusted FROM c GROUP BY ALL), s AS (SELECT c.doc_id, c.font, codec, sum(n * worth) / any_value(samples) AS s, any_value(samples) AS samples FROM c JOIN f USING (code) JOIN z ON z.doc_id = c.doc_id AND z.font = c.font WHERE NOT trusted AND samples >= 8 GROUP BY ALL), "
+    "o AS (SELECT *, coalesce(max(CASE WHEN codec = 'identity' THEN s END) OVER (PARTITION BY doc_id, font), 0) AS own FROM s), k AS (SELECT *, row_number() OVER w AS k, coalesce(lead(s) OVER w, 0) AS next FROM o WHERE codec <> 'identity' WINDOW w AS (PARTITION BY doc_id, font ORDER BY s DESC, codec)), "
+    "g AS (SELECT * FROM k WHERE k = 1 AND s >= own + 0.15 AND s >= next + 0.10) SELECT doc_id, font, codec FROM g WHERE samples >= 100 OR EXISTS (SELECT 1 FROM g e WHERE e.doc_id = g.doc_id AND e.codec = g.codec AND e.samples >= 100)",
+)
 def _(spark, d):
-    return chunking.chunk_corpus(docs(spark, d), id_col="doc_id", text_col="text").select("doc_id", "ordinal", "locator")
+    """Lines dealt to three fonts, their characters as codes; two made-up codecs beside leaving them alone."""
+    chars = cleaning.split_lines(docs(spark, d)).select("doc_id", "line_no", F.explode(F.split("line", "")).alias("c")).filter("c != ''")
+    codes = chars.groupBy("doc_id", F.concat(F.lit("f"), (F.col("line_no") % 3).cast("string")).alias("font"), (F.ascii("c") % 256).alias("code"), F.expr("line_no % 3 = 2 or doc_id % 5 = 0").alias("declares")).agg(F.count(F.lit(1)).alias("n"))
+    every = spark.range(256).select(F.col("id").cast("int").alias("code"))
+    fits = [every.select(F.lit(k).alias("codec"), "code", F.expr(f"case when {v} then 1 else 0 end").alias("worth")) for k, v in _WORTH.items()]
+    return encoding.decide_font_encodings(codes, fits[0].unionByName(fits[1]).unionByName(fits[2]))
 
 
 @register("u1_proofs_over_roles", f"WITH {PROOF_SQL}, b AS (SELECT query_id, chunk_id, role, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id, role) AS n FROM r WHERE rank <= 3) SELECT query_id AS segment_id, chunk_id, role FROM b WHERE n = 1")
@@ -227,14 +298,19 @@ def _(spark, d):
     return retrieval.find_proofs(segments, passages(spark, d), ["language"]).select("segment_id", "chunk_id", "role")
 
 
-@register("w11_index_corpus", f"SELECT external_id, CASE WHEN regexp_matches(content, '\\S') THEN NULL ELSE 'NO_PASSAGE' END AS code FROM ({LIB})")
+@register(
+    "w11_index_corpus",
+    f"SELECT external_id, CASE WHEN n > 0 THEN n END AS chunk_count, tokens, CASE WHEN n > 0 THEN length(content) END AS characters, CASE WHEN n > 0 THEN 16 END AS dimension, CASE WHEN n > 0 THEN NULL ELSE 'NO_PASSAGE' END AS code FROM ({LIB}) l LEFT JOIN (SELECT doc_id, count(*) AS n, sum(token_count) AS tokens FROM ({chunk_sql('SELECT doc_id, text FROM documents')}) GROUP BY doc_id) c ON l.external_id = cast(c.doc_id as string)",
+)
 def _(spark, d):
     from ..schemas import CHUNKS, DOCUMENTS
 
     incoming = library(spark, d).withColumn("indexed_at", F.timestamp_seconds("indexed_at")).withColumn("source_reference", F.lit("")).withColumn("embedding_dimension", F.lit(None).cast("int")).withColumn("chunk_count", F.lit(None).cast("int"))
     empty = [spark.createDataFrame([], s) for s in (DOCUMENTS, CHUNKS)]
     out = jobs.index_corpus(*empty, incoming.withColumn("characters", F.col("characters").cast("int")), hashing_encoder(16), "hash")
-    return out["documents"].select("external_id", F.lit(None).cast("string").alias("code")).unionByName(out["rejected"])
+    held = out["chunks"].groupBy("external_id").agg(F.sum("token_count").alias("tokens"))
+    made = out["documents"].join(held, "external_id").select("external_id", "chunk_count", "tokens", "characters", F.col("embedding_dimension").alias("dimension"), F.lit(None).cast("string").alias("code"))
+    return made.unionByName(out["rejected"], allowMissingColumns=True)
 
 
 _PARS = "(SELECT doc_id AS section_id, cast(i as int) AS par_no, replace(replace(replace(string_split(text, chr(10))[i + 1], ' de ', ' [S1] '), ' und ', ' [FIGURE f1] '), ' the ', ' [P2] [S9] ') AS text FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"

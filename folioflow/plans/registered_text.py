@@ -164,11 +164,11 @@ def _(spark, d):
     return bad.select("doc_id", F.size("pages").cast("bigint").alias("pages"), F.aggregate("pages", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("page_sum"))
 
 
-CHARS_SQL = "SELECT doc_id, text, unnest(range(length(text))) AS i FROM documents"
+CHARS_SQL = "SELECT doc_id, i, ch, lag(ch) OVER w AS before, lead(ch) OVER w AS after FROM (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, '') AS c FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
 BROKEN_CAPS = "[ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ]"
 ENCODING_SQL = (
-    f"SELECT doc_id, cast(i as int) AS start, cast(i + 1 as int) AS end FROM ({CHARS_SQL}) WHERE regexp_matches(substr(text, i + 1, 1), '[{quality.MOJIBAKE}]') "
-    f"OR (i > 0 AND regexp_matches(substr(text, i + 1, 1), '{BROKEN_CAPS}') AND regexp_matches(substr(text, i, 1), '[\\p{{L}}]') AND regexp_matches(substr(text, i + 2, 1), '[a-zà-öø-ÿ]'))"
+    f"SELECT doc_id, cast(i as int) AS start, cast(i + 1 as int) AS end FROM ({CHARS_SQL}) WHERE regexp_matches(ch, '[{quality.MOJIBAKE}]') "
+    f"OR (regexp_matches(ch, '{BROKEN_CAPS}') AND regexp_matches(before, '[\\p{{L}}]') AND regexp_matches(after, '[a-zà-öø-ÿ]'))"
 )
 
 
@@ -177,11 +177,6 @@ def _(spark, d):
     return quality.encoding_issues(docs(spark, d), "doc_id").select("doc_id", "start", "end")
 
 
-@register("a20_issue_summary", f"SELECT doc_id, 'ENCODING' AS kind, count(*) AS n FROM ({ENCODING_SQL}) GROUP BY doc_id")
-def _(spark, d):
-    return quality.issue_summary(quality.encoding_issues(docs(spark, d), "doc_id"), "doc_id")
-
-
 @register(
     "c11_unreadable_lines",
     f"SELECT doc_id, cast(start as int) AS start, cast(start + length(line) as int) AS end FROM (SELECT *, list_filter(regexp_extract_all(line, '\\p{{L}}+'), lambda x: length(x) > 2) AS w FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ({LINE_SQL}))) "
@@ -231,10 +226,41 @@ def _(spark, d):
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@register("c14_section_confidence", f"WITH e AS (SELECT doc_id, count(*) AS n FROM ({ENCODING_SQL}) GROUP BY doc_id) SELECT d.doc_id, round(greatest(0.0, 1.0 - coalesce(n, 0) * 0.1 / greatest(1.0, length(text) / 1000)), 3) AS confidence FROM documents d LEFT JOIN e USING (doc_id)")
+_TOKENS = "(SELECT doc_id, i, w, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM (SELECT doc_id, i, p[i] AS w FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\s') AS p FROM documents))))"
+_CUT = f"(SELECT doc_id, line_no, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ({LINE_SQL}))"
+_MATH = f"[{quality.MATH}]"
+_AROUND = "substr(d.text, cast(greatest({0} - {2}, 0) + 1 as bigint), cast({1} + {2} - greatest({0} - {2}, 0) as bigint))"
+ISSUES_SQL = (
+    f"SELECT doc_id, 'THIN' AS kind, 0 AS start, length(text) AS \"end\", substr(t, 1, 60) AS excerpt FROM (SELECT doc_id, text, {TRIM.format('text')} AS t FROM documents) WHERE length(t) < 25 AND NOT (NOT contains(t, chr(10)) AND NOT regexp_matches(t, '[.:;,!?]$') AND len(string_split_regex(t, '\\s+')) >= 2 AND regexp_matches(t, '^\\p{{Lu}}')) "
+    f"UNION ALL SELECT e.doc_id, 'ENCODING', e.start, e.\"end\", substr(d.text, greatest(e.start - 20, 0) + 1, CASE WHEN regexp_matches(substr(d.text, e.start + 1, 1), '[{quality.MOJIBAKE}]') THEN e.start + 20 ELSE e.\"end\" + 20 END - greatest(e.start - 20, 0)) FROM ({ENCODING_SQL}) e JOIN documents d USING (doc_id) "
+    f"UNION ALL SELECT g.doc_id, CASE WHEN regexp_matches({_AROUND.format('g.a', 'g.b', 15)}, '[{quality.MATH}\\p{{Nd}}²³¹=+^]') THEN 'FORMULA' ELSE 'OCR_NOISE' END, cast(g.a as int), cast(g.b as int), substr(d.text, cast(g.a + 1 as bigint), cast(g.b - g.a as bigint)) FROM (SELECT doc_id, min(pos) AS a, max(pos + length(w)) AS b FROM "
+    f"(SELECT *, i - row_number() OVER (PARTITION BY doc_id, f ORDER BY i) AS g FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, w, pos, regexp_matches(w, '^\\p{{L}}{{1,2}}$') AND NOT regexp_matches(w, '{SHORT}') AS f FROM {_TOKENS} WHERE w <> '')) WHERE f GROUP BY doc_id, g HAVING count(*) >= 3) g JOIN documents d USING (doc_id) "
+    f"UNION ALL SELECT doc_id, 'UNREADABLE', cast(start as int), cast(start + length(line) as int), substr({TRIM.format('line')}, 1, 80) FROM (SELECT *, list_filter(regexp_extract_all(line, '\\p{{L}}+'), lambda x: length(x) > 2) AS w FROM {_CUT}) WHERE len(w) >= 4 AND len(list_filter(w, lambda x: regexp_matches(x, '^[{LOW}{UP}]+$') AND regexp_matches(x, '[{VOW}]'))) / len(w) < 0.5 "
+    f"UNION ALL SELECT t.doc_id, 'FORMULA', cast(pos as int), cast(pos + 1 as int), {_AROUND.format('pos', 'pos + 1', 30)} FROM {_TOKENS} t JOIN documents d USING (doc_id) WHERE regexp_matches(w, '^{_MATH}$') AND (regexp_matches(substr(d.text, cast(greatest(pos - 3, 0) + 1 as bigint), cast(pos - greatest(pos - 3, 0) as bigint)), '^\\s*$') OR regexp_matches(substr(d.text, cast(pos + 2 as bigint), 3), '^\\s*$')) "
+    f"UNION ALL SELECT doc_id, 'FORMULA', cast(start as int), cast(start + length(line) as int), substr({TRIM.format('line')}, 1, 80) FROM (SELECT *, regexp_replace(line, '[0-9]+\\)|\\b[a-zA-Z]{{1,3}}\\)', '', 'g') AS p FROM {_CUT}) WHERE regexp_matches(p, '{_MATH}') AND length(p) - length(replace(p, '(', '')) <> length(p) - length(replace(p, ')', ''))"
+)
+
+
+def _whole_issues(spark, d):
+    return quality.issues(docs(spark, d), "doc_id")
+
+
+@register("u4_distinct_issues", f"SELECT doc_id, kind, start, \"end\", max(excerpt) AS excerpt FROM ({ISSUES_SQL}) GROUP BY ALL")
+def _(spark, d):
+    return quality.distinct_issues(_whole_issues(spark, d), "doc_id")
+
+
+@register("a20_issue_summary", f"SELECT doc_id, kind, count(*) AS n FROM ({ISSUES_SQL}) GROUP BY ALL")
 def _(spark, d):
-    t = docs(spark, d)
-    return quality.section_confidence(t, quality.encoding_issues(t, "doc_id"), "doc_id")
+    return quality.issue_summary(_whole_issues(spark, d), "doc_id")
+
+
+_COSTS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.WEIGHTS.items())
+
+
+@register("c14_section_confidence", f"WITH e AS (SELECT doc_id, sum(CASE kind {_COSTS} END) AS cost FROM ({ISSUES_SQL}) GROUP BY doc_id) SELECT d.doc_id, round(greatest(0.0, 1.0 - coalesce(cost, 0) / greatest(1.0, length(text) / 1000)), 3) AS confidence FROM documents d LEFT JOIN e USING (doc_id)")
+def _(spark, d):
+    return quality.section_confidence(docs(spark, d), _whole_issues(spark, d), "doc_id")
 
 
 # --- cleaning ------------------------------------------------------------------------------
@@ -305,11 +331,42 @@ def _(spark, d):
 # --- passages ------------------------------------------------------------------------------
 
 
-@register("x1_chunk_corpus")
+_PIECE_WORDS, _CARRIED = 296, 49  # words that fit 384 and 64 tokens at 1.3 a word
+
+
+def chunk_sql(docs: str) -> str:
+    """Passages of (doc_id, text) without headings and empty lines: sentences, or runs of words of long ones, packed in order by a walk from piece to piece."""
+    tokens = "cast(floor(1.3 * greatest(1, {0})) as int)"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, text, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words FROM ({docs})),
+    s AS (SELECT doc_id, words, i, q[i] AS piece FROM (SELECT doc_id, words, q, unnest(range(1, len(q) + 1)) AS i FROM (SELECT doc_id, words, CASE WHEN {tokens.format('words')} <= 384 THEN [{TRIM.format('text')}] ELSE
+      string_split(regexp_replace(text, '([.!?…])\\s+([«"''(\\[]?[A-ZÀ-ÖØ-Þ0-9])', concat('\\1', chr(1), '\\2'), 'g'), chr(1)) END AS q FROM d))),
+    t AS (SELECT doc_id, i, {TRIM.format('piece')} AS piece, list_filter(string_split_regex(piece, '\\s+'), lambda x: x <> '') AS w FROM s),
+    r AS (SELECT doc_id, i, j, CASE WHEN {tokens.format('len(w)')} <= 384 THEN piece ELSE array_to_string(w[j * {_PIECE_WORDS} + 1 : (j + 1) * {_PIECE_WORDS}], ' ') END AS piece, w FROM (SELECT *, unnest(CASE WHEN {tokens.format('len(w)')} <= 384 THEN range(1) ELSE range((len(w) + {_PIECE_WORDS} - 1) // {_PIECE_WORDS}) END) AS j FROM t) WHERE len(w) > 0),
+    p AS (SELECT doc_id, piece, len(list_filter(string_split_regex(piece, '\\s+'), lambda x: x <> '')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n FROM r),
+    k AS (SELECT doc_id, n, 0 AS chunk, w AS held, 0 AS carry FROM p WHERE n = 1 UNION ALL
+      SELECT p.doc_id, p.n, CASE WHEN full_ THEN chunk + 1 ELSE chunk END, CASE WHEN full_ THEN p.w ELSE held + p.w END, CASE WHEN NOT full_ THEN carry WHEN {tokens.format(f'(least(held, {_CARRIED}) + p.w)')} > 384 THEN 0 ELSE least(held, {_CARRIED}) END
+      FROM (SELECT k.*, p2.w AS next, {tokens.format('(carry + held + p2.w)')} > 384 AS full_ FROM k JOIN p p2 ON p2.doc_id = k.doc_id AND p2.n = k.n + 1) k JOIN p ON p.doc_id = k.doc_id AND p.n = k.n + 1),
+    c AS (SELECT k.doc_id, chunk, string_agg(piece, concat(chr(10), chr(10)) ORDER BY k.n) AS body, sum(w) AS held, min(carry) AS carry FROM k JOIN p ON p.doc_id = k.doc_id AND p.n = k.n GROUP BY k.doc_id, chunk),
+    b AS (SELECT *, list_filter(string_split_regex(lag(body) OVER (PARTITION BY doc_id ORDER BY chunk), '\\s+'), lambda x: x <> '') AS before FROM c),
+    o AS (SELECT doc_id, chunk, CASE WHEN carry > 0 THEN concat(array_to_string(before[len(before) - carry + 1 : len(before)], ' '), chr(10), chr(10), body) ELSE body END AS content, {tokens.format('(carry + held)')} AS size, carry + held AS words FROM b),
+    e AS (SELECT *, lead(content) OVER w AS next, lead(words) OVER w AS next_words, lead(size) OVER w AS next_size, lead(chunk, 2) OVER w IS NULL AS before_last, lag(words) OVER w AS last_words, lead(chunk) OVER w IS NULL AS is_last FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY chunk))
+    SELECT doc_id, cast(chunk as int) AS ordinal, concat('§', cast(chunk + 1 as string)) AS locator, CASE WHEN before_last AND next_size < 32 AND {tokens.format('(words + next_words)')} <= 384 THEN concat(content, chr(10), chr(10), next) ELSE content END AS content,
+      CASE WHEN before_last AND next_size < 32 AND {tokens.format('(words + next_words)')} <= 384 THEN {tokens.format('(words + next_words)')} ELSE size END AS token_count
+    FROM e WHERE NOT (is_last AND last_words IS NOT NULL AND size < 32 AND {tokens.format('(words + last_words)')} <= 384)"""
+
+
+@register("x1_chunk_corpus", chunk_sql("SELECT doc_id, text FROM documents"))
 def _(spark, d):
     return chunking.chunk_corpus(docs(spark, d), id_col="doc_id", text_col="text")
 
 
+@register("x4_locators", f"SELECT doc_id, ordinal, concat('Cours > ', source, ' · ', locator) AS locator FROM ({chunk_sql('SELECT doc_id, text FROM documents')}) JOIN documents USING (doc_id)")
+def _(spark, d):
+    headed = docs(spark, d).select("doc_id", F.concat(F.lit("# Cours\n## "), "source", F.lit("\n"), "text").alias("text"))
+    return chunking.chunk_corpus(headed, id_col="doc_id", text_col="text").select("doc_id", "ordinal", "locator")
+
+
 _HEADED = "concat('# Cours', chr(10), '### ', source, chr(10), chr(10), replace(text, '. ', concat('.', chr(10), chr(10), '## ', lang, chr(10))))"
 
 
