@@ -11,17 +11,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that a task works on at once; a longer single text is one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
-def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each piece holds about ``SLICE_BYTES`` of text."""
+def text_slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each piece holds about ``size`` bytes of text."""
     if not batch.num_rows:
         return
     offsets = np.frombuffer(string_offsets(batch.column(column)), dtype=np.int64)
     start = 0
     while start < batch.num_rows:
-        stop = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
@@ -53,6 +53,7 @@ def append_columns(
     fields: list[T.StructField],
     text_col: str = "text",
     drop: tuple[str, ...] = (),
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``df`` without ``drop``, plus ``fields`` as computed by ``make`` for slices of each batch.
 
@@ -66,7 +67,7 @@ def append_columns(
 
     def run(batches):
         for batch in batches:
-            for piece in text_slices(batch, text_col):
+            for piece in text_slices(batch, text_col, slice_bytes):
                 made = [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(make(piece), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), *made], names=[*names, *(f.name for f in fields)])
         pa.default_memory_pool().release_unused()  # workers are kept for later tasks

@@ -37,8 +37,9 @@ from .text import word_bounds
 BITS = 1024
 #: Most nodes of one block when nodes are compared pair by pair.
 BLOCK = 512
-#: Rows that a task gathers before it works on their groups; groups of so few rows are worked on side by side.
-GATHER, FEW = 8192, 48
+#: Rows and bytes that a task gathers before it works on their groups; groups of so few rows are worked on side by side,
+#: so many pairs at once.
+GATHER, GATHER_BYTES, FEW, PAIRS = 8192, 8 << 20, 48, 1 << 15
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -220,7 +221,7 @@ def grouped(df: DataFrame, keys: list[str], work: Callable[[pa.RecordBatch, np.n
             if b.num_rows:
                 held.append(b)
                 rows, size = rows + b.num_rows, size + b.nbytes
-                if rows >= GATHER or size > 32 << 20:
+                if rows >= GATHER or size > GATHER_BYTES:
                     batch, begin, rest = cut(pa.Table.from_batches(held), False)
                     if len(begin) > 1:
                         yield from work(batch, begin)
@@ -272,17 +273,17 @@ def _flagged(num: int, den: int):
             good = _possible(bits, n, left, right, num, den) & (comp[left][:, None] != comp[right][None, :])
             flag[left[good.any(axis=1)]] = True
             flag[right[good.any(axis=0)]] = True
-        # runs of small groups side by side
-        for at in range(0, len(small), 256):
-            take = at + np.flatnonzero(small[at : at + 256])
-            parts = [_pairs_within(begin[k : k + 2]) for k in take.tolist()]
-            if parts:
-                x, y = (np.concatenate(p) for p in zip(*parts, strict=True))
-                fit = (comp[x] != comp[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
-                x, y = x[fit], y[fit]
-                total, apart = n[x] + n[y], np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                good = (total - apart) * (num + den) >= 2 * num * total
-                flag[x[good]] = flag[y[good]] = True
+        # small groups side by side, in runs of bounded numbers of pairs
+        sizes = np.diff(begin)
+        run = np.cumsum(sizes * (sizes - 1) // 2 * small) // PAIRS
+        for r in np.unique(run[small]).tolist():
+            parts = [_pairs_within(begin[k : k + 2]) for k in np.flatnonzero(small & (run == r)).tolist()]
+            x, y = (np.concatenate(p) for p in zip(*parts, strict=True))
+            fit = (comp[x] != comp[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+            x, y = x[fit], y[fit]
+            total, apart = n[x] + n[y], np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            good = (total - apart) * (num + den) >= 2 * num * total
+            flag[x[good]] = flag[y[good]] = True
         yield batch.select([*TILE, "node", "comp", "block"]).filter(pa.array(flag))
 
     return work

@@ -45,6 +45,8 @@ STEMS = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Weight of the mean squared change of the score beside the mean loss.
 FAIRNESS = 20.0
+#: Bytes of text whose features a task holds at once.
+SLICE = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -241,6 +243,17 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[list[np.ndarray
     return float(bias), {int(f): float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6}
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
+def _cut(lists: pa.Array, inner=None) -> list:
+    """The lists of an array, as views of its numbers, or as what ``inner`` makes of their lists."""
+    flat, ends = lists.values, lists.offsets.to_numpy()
+    parts = inner(flat) if inner else flat.to_numpy().view(np.uint64)
+    return [parts[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, seed: int = 5, **options) -> Model:
     """Fit on a sample of at most 2 * ``per_class`` labelled rows; the model is a bounded set of weights."""
     sample, counts = labelled_sample(docs, labels, per_class, seed)
@@ -253,9 +266,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, seed: int =
         swapped = [signed(feature_sets(pa.array(counterparts(t), pa.string()))) for t in column.to_pylist()]
         return [signed(feature_sets(column)), swapped]
 
-    got = append_columns(sample, make, fields, drop=("text",)).toArrow()
-    rows = [np.array(x, np.int64).view(np.uint64) for x in got.column("features").to_pylist()]
-    swaps = [[np.array(x, np.int64).view(np.uint64) for x in s] for s in got.column("swaps").to_pylist()]
+    got = append_columns(sample, make, fields, drop=("text",), slice_bytes=SLICE).toArrow().combine_chunks()
+    rows = _cut(_whole(got.column("features")))
+    swaps = _cut(_whole(got.column("swaps")), _cut)
     labels_ = got.column("label").to_numpy().astype(float)
     # a fixed order, so that reruns give the same model
     order = sorted(range(len(rows)), key=lambda i: (labels_[i], zlib.crc32(rows[i].tobytes())))
@@ -269,7 +282,7 @@ def score(df: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         scores = model.scores(batch.column("text"))
         return [scores, (scores >= threshold).astype(np.int32)]
 
-    return append_columns(df, make, [T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
+    return append_columns(df, make, [T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)], slice_bytes=SLICE)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -284,4 +297,4 @@ def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
     """
     model = train(docs, labels)
     mark = next(n for n in (f"_keep{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
-    return append_columns(docs, lambda b: [model.scores(b.column("text")) < threshold], [T.StructField(mark, T.BooleanType(), False)]).filter(mark).drop(mark)
+    return append_columns(docs, lambda b: [model.scores(b.column("text")) < threshold], [T.StructField(mark, T.BooleanType(), False)], slice_bytes=SLICE).filter(mark).drop(mark)
