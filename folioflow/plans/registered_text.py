@@ -52,25 +52,13 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", tx.fold(F.col("text")).alias("folded"))
 
 
-@register("c2_digit_key", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat('Page ', cast(doc_id as string), '  / 2 0 ', source, ' ', substr(text, 1, 30)), '\\s+(\\d)', '\\1', 'g'), '(\\d)\\s+', '\\1', 'g'), '\\d+', '#', 'g'), '\\s+', ' ', 'g')) AS key FROM documents")
-def _(spark, d):
-    line = F.expr("concat('Page ', cast(doc_id as string), '  / 2 0 ', source, ' ', substr(text, 1, 30))")
-    return docs(spark, d).select("doc_id", tx.digit_key(line).alias("key"))
-
-
-@register("c4_same_text", "SELECT doc_id, regexp_replace(regexp_replace(trim(lower(strip_accents(title))), '\\s+', ' ', 'g'), '^[ .;:,!?]+|[ .;:,!?]+$', '', 'g') = regexp_replace(regexp_replace(trim(lower(strip_accents(upper(title)))), '\\s+', ' ', 'g'), '^[ .;:,!?]+|[ .;:,!?]+$', '', 'g') AS same FROM (SELECT doc_id, replace(substr(text, 1, 60), 'ß', 's') AS title FROM documents)")
-def _(spark, d):
-    t = docs(spark, d).select("doc_id", F.replace(F.substring("text", 1, 60), F.lit("ß"), F.lit("s")).alias("t"))
-    return t.select("doc_id", (tx.same_text_key(F.col("t")) == tx.same_text_key(F.upper("t"))).alias("same"))
-
-
-@register("c2_digit_keys_whole", "SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\\s+(\\d)', '\\1', 'g'), '(\\d)\\s+', '\\1', 'g'), '\\d+', '#', 'g'), '\\s+', ' ', 'g')) AS key FROM (SELECT doc_id, cast(i - 1 as int) AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))")
+@register("c2_digit_key", "SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\\s+(\\d)', '\\1', 'g'), '(\\d)\\s+', '\\1', 'g'), '\\d+', '#', 'g'), '\\s+', ' ', 'g')) AS key FROM (SELECT doc_id, cast(i - 1 as int) AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))")
 def _(spark, d):
     """Keys of all lines of the texts."""
     return cleaning.split_lines(docs(spark, d)).select("doc_id", "line_no", tx.digit_key(F.col("line")).alias("key"))
 
 
-@register("c4_same_text_whole", "SELECT doc_id, regexp_replace(regexp_replace(trim(lower(strip_accents(t))), '\\s+', ' ', 'g'), '^[ .;:,!?]+|[ .;:,!?]+$', '', 'g') = regexp_replace(regexp_replace(trim(lower(strip_accents(upper(t)))), '\\s+', ' ', 'g'), '^[ .;:,!?]+|[ .;:,!?]+$', '', 'g') AS same FROM (SELECT doc_id, replace(text, 'ß', 's') AS t FROM documents)")
+@register("c4_same_text", "SELECT doc_id, regexp_replace(regexp_replace(trim(lower(strip_accents(t))), '\\s+', ' ', 'g'), '^[ .;:,!?]+|[ .;:,!?]+$', '', 'g') = regexp_replace(regexp_replace(trim(lower(strip_accents(upper(t)))), '\\s+', ' ', 'g'), '^[ .;:,!?]+|[ .;:,!?]+$', '', 'g') AS same FROM (SELECT doc_id, replace(text, 'ß', 's') AS t FROM documents)")
 def _(spark, d):
     t = docs(spark, d).select("doc_id", F.replace("text", F.lit("ß"), F.lit("s")).alias("t"))
     return t.select("doc_id", (tx.same_text_key(F.col("t")) == tx.same_text_key(F.upper("t"))).alias("same"))
@@ -111,9 +99,12 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", tx.mend_elisions(F.replace("text", F.lit(" de "), F.lit(" d' "))).alias("text"))
 
 
-@register("c15_excessive_rewrite", "SELECT doc_id, length(text) = 0 OR (abs(length(a) - length(text)) > 12 AND abs(length(a) - length(text)) / length(text) > 0.4) AS excessive FROM (SELECT doc_id, text, substr(text, 1, 100) AS a FROM documents)")
+_REWRITTEN = "CASE doc_id % 4 WHEN 0 THEN concat(text, text) WHEN 1 THEN replace(text, 'e', '') WHEN 2 THEN replace(text, ' ', '') ELSE concat(text, ' fin') END"
+
+
+@register("c15_excessive_rewrite", f"SELECT doc_id, length(text) = 0 OR (abs(length(a) - length(text)) > 12 AND abs(length(a) - length(text)) / length(text) > 0.4) AS excessive FROM (SELECT doc_id, text, {_REWRITTEN} AS a FROM documents)")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", tx.excessive_rewrite(F.col("text"), F.substring("text", 1, 100)).alias("excessive"))
+    return docs(spark, d).select("doc_id", tx.excessive_rewrite(F.col("text"), F.expr(_REWRITTEN)).alias("excessive"))
 
 
 @register("c27_markdown_rows", f"SELECT doc_id, line_no, concat('| ', array_to_string(list_transform(p, lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'))), ' | '), ' |') AS row, array_to_string(list_transform(p, lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'))), '/') AS cells FROM (SELECT doc_id, line_no, string_split(replace(line, '|', ' '), ',') AS p FROM ({LINE_SQL}))")
@@ -207,18 +198,12 @@ def _(spark, d):
 CELLS = "concat('| ', substr(text, 1, 60), ' | ', substr(text, 1, 60), ' |', chr(10), '| ', source, ' | ', substr(text, 1, 60), ' |')"
 
 
-@register("n2_duplicate_cells", "SELECT doc_id, 2 AS n FROM (SELECT doc_id, regexp_replace(replace(replace(substr(text, 1, 60), chr(10), ' '), '|', ' '), '^\\s+|\\s+$', '', 'g') AS c FROM documents) WHERE length(c) >= 40")
-def _(spark, d):
-    cell = F.replace(F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit(" "))
-    table = F.concat(F.lit("| "), cell, F.lit(" | "), cell, F.lit(" |\n| "), F.col("source"), F.lit(" | "), cell, F.lit(" |"))
-    found = quality.duplicate_cells(docs(spark, d).select("doc_id", table.alias("text")), "doc_id")
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 _CELLS = "SELECT doc_id, regexp_replace(unnest(string_split(replace(text, '|', ' '), chr(10))), '^\\s+|\\s+$', '', 'g') AS c FROM documents"
 
 
-@register("n2_duplicate_cells_whole", f"SELECT doc_id, cast(sum(n - 1) as int) AS n FROM (SELECT doc_id, c, count(*) AS n FROM ({_CELLS}) WHERE length(c) >= 40 GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id")
+@register("n2_duplicate_cells", f"SELECT doc_id, cast(sum(n - 1) as int) AS n FROM (SELECT doc_id, c, count(*) AS n FROM ({_CELLS}) WHERE length(c) >= 40 GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id")
 def _(spark, d):
     """Every line of a text is a row with one cell."""
     table = F.concat(F.lit("| "), F.replace(F.replace("text", F.lit("|"), F.lit(" ")), F.lit("\n"), F.lit(" |\n| ")), F.lit(" |"))
@@ -281,9 +266,12 @@ def _(spark, d):
     return cleaning.repeated_lines(docs(spark, d).selectExpr(*PAGE_EXPR))
 
 
-@register("r6_assemble_pages", "SELECT source AS doc_id, string_agg(concat('## p. ', cast(doc_id as string), chr(10), chr(10), " + TRIM.format("text") + "), concat(chr(10), chr(10)) ORDER BY doc_id) AS text FROM documents GROUP BY source")
+_PAGED_BY = "concat(source, '-', cast(doc_id // 200 as string))"  # 200 pages a document at most
+
+
+@register("r6_assemble_pages", f"SELECT {_PAGED_BY} AS doc_id, string_agg(concat('## p. ', cast(doc_id as string), chr(10), chr(10), " + TRIM.format("text") + "), concat(chr(10), chr(10)) ORDER BY doc_id) FILTER (WHERE regexp_matches(text, '\\S')) AS text FROM documents GROUP BY ALL")
 def _(spark, d):
-    return cleaning.assemble_pages(docs(spark, d).selectExpr("source doc_id", "doc_id page_no", "text"))
+    return cleaning.assemble_pages(docs(spark, d).selectExpr(f"{_PAGED_BY.replace('//', 'div')} doc_id", "doc_id page_no", "text"))
 
 
 @register("r7_split_pages", "SELECT source AS doc_id, cast(doc_id as int) AS page_no, " + TRIM.format("text") + " AS text FROM documents")
@@ -438,17 +426,12 @@ def _(spark, d):
     return review.symbol_diff(docs(spark, d).selectExpr("doc_id", "text", f"{EDITED} edited"), "doc_id", "text", "edited")
 
 
-@register("u3_multiset_diff", "WITH a AS (SELECT lang, unnest(string_split(substr(text, 1, 200), ' ')) AS w FROM documents WHERE source = 'src1'), b AS (SELECT lang, unnest(string_split(substr(text, 1, 200), ' ')) AS w FROM documents WHERE source = 'src2') SELECT 'added' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT 'removed', * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
-def _(spark, d):
-    words = lambda s: docs(spark, d).filter(F.col("source") == s).select("lang", F.explode(F.split(F.substring("text", 1, 200), " ", -1)).alias("w"))
-    added, removed = review.multiset_diff(words("src1"), words("src2"))
-    return added.select(F.lit("added").alias("side"), "*").unionByName(removed.select(F.lit("removed").alias("side"), "*"))
 
 
 EDITED = "case doc_id % 3 when 0 then concat(text, ' ajout') when 1 then replace(text, ' de ', ' du ') else substr(text, 9) end"
 
 
-@register("u3_multiset_diff_whole", f"WITH a AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), b AS (SELECT doc_id, unnest(string_split({EDITED}, ' ')) AS w FROM documents) SELECT 'added' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT 'removed', * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
+@register("u3_multiset_diff", f"WITH a AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), b AS (SELECT doc_id, unnest(string_split({EDITED}, ' ')) AS w FROM documents) SELECT 'added' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT 'removed', * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
 def _(spark, d):
     """All words of all texts against those of an edited copy."""
     words = lambda text: docs(spark, d).select("doc_id", F.explode(F.split(F.expr(text), " ", -1)).alias("w"))
@@ -535,26 +518,21 @@ def _(spark, d):
     return review.uncovered_sources(items, sources).select("assessment_id", "source_id")
 
 
-@register("j18_apply_revisions", "SELECT source AS course_id, cast(row_number() OVER (PARTITION BY source ORDER BY b, n) - 1 as int) AS position, length(content) AS size FROM (SELECT source, 0 AS b, doc_id AS n, CASE WHEN doc_id % 5 = 1 THEN concat('x', title) ELSE title END AS content FROM (SELECT source, doc_id, substr(text, 1, 20 + doc_id % 7) AS title FROM documents) WHERE doc_id % 5 <> 0 UNION ALL SELECT source, 1, doc_id, substr(text, 1, 5) FROM documents WHERE doc_id % 5 = 2)")
-def _(spark, d):
-    t = docs(spark, d).selectExpr("source course_id", "doc_id", "cast(doc_id as string) heading", "substr(text, 1, 20 + doc_id % 7) content", "substr(text, 1, 5) head")
-    sections = t.selectExpr("course_id", "heading", "doc_id position", "content")
-    ops = t.filter("doc_id % 5 < 3").selectExpr(
-        "course_id", "doc_id op_no", "case doc_id % 5 when 0 then 'supprimer' when 1 then 'reecrire' else 'ajouter' end action",
-        "case when doc_id % 5 = 2 then concat('new ', heading) else heading end heading", "case when doc_id % 5 = 1 then concat('x', content) else head end content",
-    )
-    return review.apply_revisions(sections, ops).select("course_id", F.col("position").cast("int").alias("position"), F.char_length("content").cast("bigint").alias("size"))
+_COURSE = "concat(source, '-', cast(doc_id // 200 as string))"  # 200 documents a course at most
 
 
-@register("j18_apply_revisions_whole", "SELECT source AS course_id, cast(row_number() OVER (PARTITION BY source ORDER BY b, n) - 1 as int) AS position, length(content) AS size FROM (SELECT source, 0 AS b, doc_id AS n, CASE WHEN doc_id % 5 = 1 THEN concat('x', text) ELSE text END AS content FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT source, 1, doc_id, reverse(text) FROM documents WHERE doc_id % 5 = 2)")
+@register(
+    "j18_apply_revisions",
+    f"SELECT course_id, cast(row_number() OVER (PARTITION BY course_id ORDER BY b, n) - 1 as int) AS position, content FROM (SELECT {_COURSE} AS course_id, 0 AS b, doc_id AS n, CASE WHEN doc_id % 5 = 1 THEN concat('x', text) ELSE text END AS content FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT {_COURSE}, 1, doc_id, reverse(text) FROM documents WHERE doc_id % 5 = 2)",
+)
 def _(spark, d):
-    t = docs(spark, d).selectExpr("source course_id", "doc_id", "cast(doc_id as string) heading", "text content")
+    t = docs(spark, d).selectExpr(f"{_COURSE.replace('//', 'div')} course_id", "doc_id", "cast(doc_id as string) heading", "text content")
     sections = t.selectExpr("course_id", "heading", "doc_id position", "content")
     ops = t.filter("doc_id % 5 < 3").selectExpr(
         "course_id", "doc_id op_no", "case doc_id % 5 when 0 then 'supprimer' when 1 then 'reecrire' else 'ajouter' end action",
         "case when doc_id % 5 = 2 then concat('new ', heading) else heading end heading", "case when doc_id % 5 = 1 then concat('x', content) else reverse(content) end content",
     )
-    return review.apply_revisions(sections, ops).select("course_id", F.col("position").cast("int").alias("position"), F.char_length("content").cast("bigint").alias("size"))
+    return review.apply_revisions(sections, ops).select("course_id", F.col("position").cast("int").alias("position"), "content")
 
 
 _SHARE = "greatest(1, cast(round_even(points * 20 / greatest(sum(points) OVER (PARTITION BY a), 1), 0) as int))"
@@ -579,14 +557,6 @@ def _(spark, d):
 
 
 @register("c34_classify_proposals", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'UNCERTAIN' WHEN 1 THEN 'UNCHANGED' WHEN 2 THEN 'REWRITTEN' WHEN 3 THEN 'SYMBOLS_CHANGED' ELSE 'FORM_ONLY' END AS verdict FROM documents")
-def _(spark, d):
-    n = F.col("doc_id") % 5
-    before = F.concat(F.lit("x"), F.regexp_replace(F.substring("text", 1, 60), "\\s+", ""))
-    after = F.when(n == 0, "incertain").when(n == 1, before).when(n == 2, F.concat(before, F.repeat(F.lit("abc"), F.lit(40)))).when(n == 3, F.concat(before, F.lit("+"))).otherwise(F.concat(before, F.lit("a")))
-    return review.classify_proposals(docs(spark, d).select("doc_id", before.alias("before"), after.alias("after"))).select("doc_id", "verdict")
-
-
-@register("c34_classify_proposals_whole", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'UNCERTAIN' WHEN 1 THEN 'UNCHANGED' WHEN 2 THEN 'REWRITTEN' WHEN 3 THEN 'SYMBOLS_CHANGED' ELSE 'FORM_ONLY' END AS verdict FROM documents")
 def _(spark, d):
     n = F.col("doc_id") % 5
     before = F.concat(F.lit("x"), F.regexp_replace("text", "\\s+", ""))
@@ -594,10 +564,12 @@ def _(spark, d):
     return review.classify_proposals(docs(spark, d).select("doc_id", before.alias("before"), after.alias("after"))).select("doc_id", "verdict")
 
 
-@register("c35_accept_correction", "SELECT doc_id, doc_id % 3 <> 0 AND length(a) >= 0.4 * length(text) AND lower(trim(regexp_replace(a, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS accepted FROM (SELECT doc_id, text, substr(text, 1, 500) AS a FROM documents)")
+@register("c35_accept_correction", f"SELECT doc_id, doc_id % 3 <> 0 AND length(a) >= 0.4 * length(text) AND lower(trim(regexp_replace(a, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS accepted FROM (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN reverse(substr(text, 1, length(text) // 3)) WHEN 1 THEN concat(' ', replace(text, ' ', '  ')) WHEN 2 THEN concat(text, '   ') ELSE {_REWRITTEN} END AS a FROM documents)")
 def _(spark, d):
+    """Third parts, other blanks and rewritten texts as proposals."""
     why = F.when(F.col("doc_id") % 3 == 0, " ").otherwise("wrong sign")
-    return docs(spark, d).select("doc_id", review.accept_correction(F.col("text"), F.substring("text", 1, 500), why).alias("accepted"))
+    made = F.expr(f"CASE doc_id % 5 WHEN 0 THEN reverse(substr(text, 1, length(text) div 3)) WHEN 1 THEN concat(' ', replace(text, ' ', '  ')) WHEN 2 THEN concat(text, '   ') ELSE {_REWRITTEN} END")
+    return docs(spark, d).select("doc_id", review.accept_correction(F.col("text"), made, why).alias("accepted"))
 
 
 _FAILED = "CASE doc_id % 9 WHEN 0 THEN replace(text, ' de ', ' Quota ') WHEN 1 THEN concat(text, ' Invalid API key') WHEN 2 THEN concat('Model x', source, ' was not found. ', text) ELSE text END"

@@ -1,8 +1,14 @@
-"""Continuous indexing: micro-batches replace documents by id; replaying one changes nothing."""
+"""Continuous indexing: micro-batches replace documents by id; replaying one changes nothing.
+
+The table is dealt into buckets by key.  A batch writes anew only the buckets that it
+touches, below a folder of its own number; of each bucket the latest finished version
+counts.  Versions that no replay can ask for are deleted.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -10,33 +16,48 @@ from ..operators import tables
 
 
 class Snapshots:
-    """A table kept as numbered snapshots below one folder; the batch id names the snapshot it made."""
-
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
-
-    def _path(self, batch: int) -> str:
-        return f"{self.folder}/batch={batch:012d}"
-
-    def batches(self) -> list[int]:
-        """Finished snapshots, oldest first; one entry a batch."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        done = [s.getPath() for s in fs.listStatus(root) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName().split("=")[1]) for p in done)
-
-    def before(self, batch: int) -> DataFrame:
-        """The table as it stood before a batch."""
-        earlier = [b for b in self.batches() if b < batch]
-        return self.spark.read.schema(self.schema).parquet(self._path(earlier[-1])) if earlier else self.spark.createDataFrame([], self.schema)
+    """A table of versioned buckets below one folder: ``batch=N/bucket=B``."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: str = "external_id", buckets: int = 64):
+        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder.rstrip("/"), schema, key, buckets
+
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def versions(self, before: int = 1 << 60) -> dict[int, list[int]]:
+        """Of each bucket the finished batches that wrote it, oldest first; so many entries as buckets and kept versions."""
+        fs, root = self._fs(self.folder)
+        found: dict[int, list[int]] = {}
+        for batch in fs.listStatus(root) if fs.exists(root) else []:
+            n = int(batch.getPath().getName().split("=")[1])
+            if n < before and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(batch.getPath(), "_SUCCESS")):
+                for part in fs.listStatus(batch.getPath()):
+                    if part.getPath().getName().startswith("bucket="):
+                        found.setdefault(int(part.getPath().getName().split("=")[1]), []).append(n)
+        return {b: sorted(v) for b, v in found.items()}
+
+    def _path(self, batch: int, bucket: int | None = None) -> str:
+        return f"{self.folder}/batch={batch:012d}" + (f"/bucket={bucket}" if bucket is not None else "")
+
+    def before(self, batch: int, touched: set[int] | None = None) -> DataFrame:
+        """The table, or the touched buckets of it, as it stood before a batch."""
+        paths = [self._path(v[-1], b) for b, v in sorted(self.versions(batch).items()) if touched is None or b in touched]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def current(self) -> DataFrame:
         return self.before(1 << 60)
 
     def put(self, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._path(batch))
+        """Write the buckets of a batch, and delete what came before the version that a replay of it reads."""
+        df.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path(batch))
+        for bucket, batches in self.versions(batch).items():
+            for old in batches[:-1]:
+                fs, path = self._fs(self._path(old, bucket))
+                fs.delete(path, True)
 
 
 def index_stream(stream: DataFrame, table: Snapshots, checkpoint: str, key: str = "external_id", order: str = "indexed_at") -> StreamingQuery:
@@ -46,8 +67,9 @@ def index_stream(stream: DataFrame, table: Snapshots, checkpoint: str, key: str
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        old = table.before(batch_id)
-        merged = tables.latest(old.unionByName(batch.select(*old.columns)), [key], order)
-        table.put(batch_id, merged)
+        touched = {r["b"] for r in batch.select(table.bucket().alias("b")).distinct().collect()}  # as many as buckets at most
+        if touched:
+            old = table.before(batch_id, touched)
+            table.put(batch_id, tables.latest(old.unionByName(batch.select(*old.columns)), [key], order))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
