@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+#: A heading line, and where a sentence ends.
 _HEADING = re.compile(r"^\s{0,3}(#{1,6})\s+(.*\S)\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[«\"'(\[]?[A-ZÀ-ÖØ-Þ0-9])")
 GAP = "\n\n"

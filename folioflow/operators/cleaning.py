@@ -9,13 +9,17 @@ from ..functions import text as tx
 
 #: Words that count as words though they are short.
 GRAMMAR = (
-    "a à y au ai as ce de du en es et eu il je la le ma me ne ni nos on ou où sa se si ta te tu un va vu vos par sur les des aux est son ses mes tes que qui"
-).split()
+    "a", "à", "y", "au", "ai", "as", "ce", "de", "du", "en", "es", "et", "eu", "il", "je", "la", "le", "ma", "me",
+    "ne", "ni", "nos", "on", "ou", "où", "sa", "se", "si", "ta", "te", "tu", "un", "va", "vu", "vos", "par", "sur",
+    "les", "des", "aux", "est", "son", "ses", "mes", "tes", "que", "qui",
+)
 #: A closed set every vocabulary holds.
 CALENDAR = (
-    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre lundi mardi mercredi jeudi vendredi samedi dimanche"
-).split()
+    "janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre",
+    "décembre", "lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche",
+)
 PAGE_MARK = "(?m)^## p\\. \\d+$"
+#: What begins a list item, and what ends a sentence.
 LIST_ITEM = "^\\s*([-•*—]|\\d+[.)])\\s+"
 ENDS = "[.!?…:;»\"]\\s*$"
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from .cleaning import CALENDAR
 
-MONTHS = CALENDAR[:12]
+MONTHS = list(CALENDAR[:12])
 #: Words of a header cell (folded) and the role they give its column, in order of precedence.
 ROLES = {
     "weeks": ("periode", "periodes"),
@@ -19,6 +19,7 @@ ROLES = {
     "objectives": ("objectif", "objectifs", "competence", "competences"),
     "assessments": ("acquis", "evaluer", "evaluation", "evaluations"),
 }
+#: How weekly hours and the header fields are written.
 HOURS = "(?iU)\\(?\\s*(\\d{1,2})\\s*(?:h|heures?)\\s*/\\s*semaine\\s*\\)?"
 FIELD = "(?imU)({0})\\s*:\\s*(.+?)(?=\\s{{2,}}|\\s*(?:discipline|niveau|annee|année)\\s*:|$)"
 

@@ -22,7 +22,10 @@ MOJIBAKE = "ŽÕƒÏ™šÐ¥ˆ‰‹›¡¢¤¦¨ª¬¯¶¸ºËÍ"
 MATH = "≤≥≠≈±×÷√∑∏∫∈∉⊂⊆∩∪∧∨⇔⇒→←↔∞∀∃⊥∥∠°αβγδθλμπσωΩΔΣΠ"
 ACCENTED_CAPITALS = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 #: French words of one or two letters.
-SHORT_WORDS = "a à y au ai as ce de du en es et eu il je la le ma me ne ni on ou où sa se si ta te tu un va vu"
+SHORT_WORDS = (
+    "a", "à", "y", "au", "ai", "as", "ce", "de", "du", "en", "es", "et", "eu", "il", "je", "la", "le", "ma", "me",
+    "ne", "ni", "on", "ou", "où", "sa", "se", "si", "ta", "te", "tu", "un", "va", "vu",
+)
 #: What an issue costs a section's confidence.
 WEIGHTS = {"FORMULA": 0.20, "ENCODING": 0.10, "UNREADABLE": 0.10, "OCR_NOISE": 0.08, "THIN": 0.30, "DUPLICATE_CELL": 0.15}
 
@@ -111,7 +114,7 @@ def encoding_issues(df: DataFrame, id_col: str, text_col: str = "text") -> DataF
 
 def ocr_runs(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Three or more one- or two-letter pieces in a row that are no short words; a formula if the surroundings look like one."""
-    piece = f"(?!(?iu:{'|'.join(SHORT_WORDS.split())})(?!\\S)){ANY_LETTER}{{1,2}}(?!\\S)"
+    piece = f"(?!(?iu:{'|'.join(SHORT_WORDS)})(?!\\S)){ANY_LETTER}{{1,2}}(?!\\S)"
     hit = df.select(id_col, text_col, F.explode(tx.spans(F.col(text_col), f"(?<!\\S){piece}(?:\\s+{piece}){{2,}}")).alias("s"))
     near = tx.around(F.col(text_col), F.col("s.start"), F.col("s.end"), 15)
     mathy = near.rlike(f"[{MATH}\\p{{Nd}}²³¹=+^\\x{{1D400}}-\\x{{1D7FF}}]")
@@ -135,6 +138,7 @@ def formula_issues(df: DataFrame, id_col: str, text_col: str = "text") -> DataFr
     hit = df.select(id_col, text_col, F.explode(tx.spans(F.col(text_col), sign)).alias("s"))
     start, end = F.col("s.start"), F.col("s.end")
     alone = hit.select(id_col, *_issue("FORMULA", start, end, tx.around(F.col(text_col), start, end, 30)))
+    # fixed value: marks of an enumeration, whose parenthesis closes nothing
     plain = F.regexp_replace("line", "[0-9]+\\)|\\b[a-zA-Z]{1,3}\\)", "")
     opened, closed = F.regexp_count(plain, F.lit("\\(")), F.regexp_count(plain, F.lit("\\)"))
     cut = lines(df, id_col, text_col).filter(plain.rlike(f"[{MATH}]") & (opened != closed))

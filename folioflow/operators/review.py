@@ -10,6 +10,7 @@ from ..functions import text as tx
 BEARING = "[0-9+\\-*/=<>%°±×÷≈≠≤≥∞√∑∏∫∈∉⊂⊃∪∩∅→←↔⇒⇔∀∃∂∇‖αβγδεζηθικλμνξοπρστυφχψωΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ]"
 #: Compatibility forms of digits and signs that count as the plain ones.
 _COMPAT = ("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼₀₁₂₃₄₅₆₇₈₉₊₋₌＋－＝０１２３４５６７８９", "0123456789+−=0123456789+−=+-=0123456789")
+#: How an explanation announces its answer, and how students contest a result or say that they are lost.
 ANNOUNCED = (
     "(?iu)(?:la\\s+)?(?:bonne\\s+)?r[ée]ponse\\s+(?:correcte\\s+|juste\\s+|exacte\\s+)?(?:est|:)\\s*(?:donc\\s+)?"
     "(?:la\\s+|le\\s+)?(?:choix\\s+|proposition\\s+|option\\s+)?\\(?([A-D])\\s*[)\\].,:\\s]"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import chunking, cleaning, quality, review, tables
 from ..operators.embedding import Encoder, embed
 
@@ -77,7 +76,3 @@ def redact_logs(df: DataFrame, attributes: str, sensitive: list[str]) -> DataFra
         F.regexp_replace(F.regexp_replace(v, "(?i)bearer\\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"), "(?i)(session(?:_?id)?=)[A-Za-z0-9._-]+", "$1[REDACTED]")
     )
     return df.withColumn(attributes, F.transform_values(attributes, masked))
-
-
-def excerpted(df: DataFrame, text_col: str, n: int) -> DataFrame:
-    return df.withColumn("excerpt", tx.excerpt(F.col(text_col), n))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, embedding, encoding, layout, parsing, quality, review
 from . import jobs
 from .registered import register
-from .registered_text import LINE_SQL, docs
+from .registered_text import CLEANED_CTE, LINE_SQL, dirty, docs, issues_sql
 
 
 def words(spark, d):
@@ -173,9 +173,18 @@ def _(spark, d):
     return layout.tag_coverage(marks, marks.filter("mcid % 5 <> 0"))
 
 
-@register("x10_inspect_corpus")
+_COSTS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.WEIGHTS.items())
+
+
+@register(
+    "x10_inspect_corpus",
+    f"WITH {CLEANED_CTE}, e AS (SELECT doc_id, sum(CASE kind {_COSTS} END) AS cost, count(DISTINCT concat(kind, '-', cast(start as string), '-', cast(\"end\" as string))) AS issues FROM ({issues_sql('cleaned')}) GROUP BY doc_id), s AS (SELECT c.doc_id, text, round(greatest(0.0, 1.0 - coalesce(cost, 0) / greatest(1.0, length(text) / 1000)), 3) AS confidence, coalesce(issues, 0) AS issues FROM cleaned c LEFT JOIN e USING (doc_id) WHERE text <> '') "
+    "SELECT concat(cast(doc_id as string), '#0') AS section_id, text, confidence, confidence < 0.8 AS needs_review, issues FROM s",
+)
 def _(spark, d):
-    return jobs.inspect_corpus(docs(spark, d).select("doc_id", "text"))["sections"].select("section_id", "confidence", "needs_review")
+    out = jobs.inspect_corpus(dirty(spark, d))
+    n = out["issues"].groupBy("section_id").agg(F.count(F.lit(1)).alias("n"))
+    return out["sections"].join(n, "section_id", "left").select("section_id", "text", "confidence", "needs_review", F.coalesce("n", F.lit(0)).alias("issues"))
 
 
 _PIECES = "regexp_replace(text, '([''.,;()])', ' \\1 ', 'g')"

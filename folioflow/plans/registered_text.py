@@ -184,7 +184,7 @@ def _(spark, d):
     return thin.select("doc_id", "line_no", F.char_length(F.regexp_replace("line", "^\\s+|\\s+$", "")).cast("bigint").alias("n"))
 
 
-SHORT = "(?i)^(" + "|".join(quality.SHORT_WORDS.split()) + ")$"
+SHORT = "(?i)^(" + "|".join(quality.SHORT_WORDS) + ")$"
 WORD_SQL = "SELECT doc_id, i, p[i] AS w FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\s+') AS p FROM documents))"
 
 
@@ -226,6 +226,10 @@ ISSUES_SQL = (
 )
 
 
+def issues_sql(table: str) -> str:
+    return ISSUES_SQL.replace("FROM documents", f"FROM {table}").replace("JOIN documents", f"JOIN {table}")
+
+
 def _whole_issues(spark, d):
     return quality.issues(docs(spark, d), "doc_id")
 
@@ -305,15 +309,60 @@ def _(spark, d):
     return cleaning.apply_word_plan(lines, words.withColumn("fixed", F.concat(F.lit("_"), "word")))
 
 
-@register("x7_clean_corpus")
-def _(spark, d):
-    return cleaning.clean_corpus(docs(spark, d).select("doc_id", "text"))
+_WORDS_OF = "[\\p{L}\\p{Nl}\\p{No}]+"
+_KNOWN = "(coalesce({0}.n, 0) >= 2 OR {1} IN ('" + "','".join(cleaning.GRAMMAR) + "'))"
+
+
+def mend_sql(lines: str, vocabulary: str) -> str:
+    """(doc_id, line_no, line) with neighbouring pieces joined, from such lines and (doc_id, word, n)."""
+    return f"""
+    SELECT l.doc_id, l.line_no, coalesce(string_agg(concat(CASE WHEN glued THEN '' ELSE gap END, token), '' ORDER BY i), '') || any_value(l.g[len(l.g)]) AS line FROM
+    (SELECT doc_id, line_no, string_split_regex(line, '{_WORDS_OF}') AS g FROM {lines}) l LEFT JOIN
+    (SELECT *, coalesce(lag(wants AND turn % 2 = 1) OVER (PARTITION BY doc_id, line_no ORDER BY i), false) AS glued FROM
+     (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, wants, island ORDER BY i) AS turn FROM
+      (SELECT *, i - row_number() OVER (PARTITION BY doc_id, line_no, wants ORDER BY i) AS island FROM
+       (SELECT f.*, coalesce(next_gap = ' ' AND a.n IS NOT NULL AND length(whole) >= 4 AND NOT ({_KNOWN.format('b', 'left_l')} AND {_KNOWN.format('c', 'right_l')}), false) AS wants FROM
+        (SELECT doc_id, line_no, i, t[i] AS token, g[i] AS gap, g[i + 1] AS next_gap, lower(t[i]) AS left_l, lower(t[i + 1]) AS right_l, lower(t[i] || t[i + 1]) AS whole FROM
+         (SELECT doc_id, line_no, t, g, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, line_no, regexp_extract_all(line, '{_WORDS_OF}') AS t, string_split_regex(line, '{_WORDS_OF}') AS g FROM {lines}))) f
+        LEFT JOIN {vocabulary} a ON a.doc_id = f.doc_id AND a.word = f.whole LEFT JOIN {vocabulary} b ON b.doc_id = f.doc_id AND b.word = f.left_l LEFT JOIN {vocabulary} c ON c.doc_id = f.doc_id AND c.word = f.right_l)))) m
+    ON l.doc_id = m.doc_id AND l.line_no = m.line_no GROUP BY l.doc_id, l.line_no"""
+
 
+def _vocabulary_sql(table: str) -> str:
+    words = f"SELECT doc_id, lower(unnest(list_filter(regexp_extract_all(text, '{_WORDS_OF}'), lambda x: length(x) >= 3))) AS word FROM {table} UNION ALL SELECT doc_id, unnest(['{"','".join(cleaning.CALENDAR)}']) FROM {table}"
+    return f"SELECT doc_id, word, count(*) AS n FROM ({words}) GROUP BY ALL"
 
-@register("j7_mend_words")
+
+@register("j7_mend_words", f"WITH t AS (SELECT doc_id, replace(text, 'ch', 'c h') AS text FROM documents UNION ALL SELECT doc_id + 1000000, text FROM documents), l AS ({LINE_SQL.replace('FROM documents', 'FROM t')}), v AS ({_vocabulary_sql('documents')}) {mend_sql('l', '(SELECT doc_id, word, n FROM v UNION ALL SELECT doc_id + 1000000, word, n FROM v)')}")
 def _(spark, d):
+    """Words cut before an h, and whole ones, against the words of the text."""
     t = docs(spark, d).select("doc_id", "text")
-    return cleaning.mend_words(cleaning.split_lines(t), cleaning.vocabulary(t))
+    cut = t.withColumn("text", F.replace("text", F.lit("ch"), F.lit("c h"))).unionByName(t.withColumn("doc_id", F.col("doc_id") + 1000000))
+    words = cleaning.vocabulary(t)
+    return cleaning.mend_words(cleaning.split_lines(cut), words.unionByName(words.withColumn("doc_id", F.col("doc_id") + 1000000)))
+
+
+_DIRTY = "replace(replace(text, 'th', concat('t-', chr(10), 'h')), ' de ', concat(chr(10), 'd'' '))"
+_GOES_ON = "coalesce(before, '') <> '' AND regexp_matches(line, '^\\p{Ll}') AND NOT regexp_matches(before, '[.!?…:;»\"]\\s*$') AND NOT starts_with(before, '#') AND NOT regexp_matches(before, '^\\s*([-•*—]|\\d+[.)])\\s+') AND NOT regexp_matches(line, '^\\s*([-•*—]|\\d+[.)])\\s+')"
+_ELISION = "(^|[^\\p{L}\\p{N}_])([cdjlmnstCDJLMNST]|[qQ][uU])([''’]) (\\p{L})"
+_NORMAL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', concat(chr(10), chr(10)), 'g'), '^\\s+|\\s+$', '', 'g')"
+CLEANED_CTE = (
+    f"dirty AS (SELECT doc_id, regexp_replace({_DIRTY}, '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g') AS text FROM documents), l0 AS (SELECT doc_id, line_no, {TRIM.format('line')} AS line FROM ({LINE_SQL.replace('FROM documents', 'FROM dirty')})), "
+    f"l1 AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l0), l2 AS (SELECT *, sum(CASE WHEN {_GOES_ON} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM l1), "
+    "l3 AS (SELECT doc_id, min(line_no) AS line_no, string_agg(line, ' ' ORDER BY line_no) AS line FROM l2 GROUP BY doc_id, island), joined AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM l3 GROUP BY doc_id), "
+    f"v AS ({_vocabulary_sql('joined')}), mended AS ({mend_sql('l3', 'v')}), whole AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM mended GROUP BY doc_id), "
+    f"cleaned AS (SELECT doc_id, {_NORMAL.format(f"regexp_replace(regexp_replace(text, '{_ELISION}', '\\1\\2\\3\\4', 'g'), '{_ELISION}', '\\1\\2\\3\\4', 'g')")} AS text FROM whole)"
+)
+
+
+def dirty(spark, d):
+    """Texts with words cut at line ends, lines broken before common words and loose elisions."""
+    return docs(spark, d).select("doc_id", F.expr(_DIRTY.replace("chr(10)", "char(10)").replace("d''", "d\\'")).alias("text"))
+
+
+@register("x7_clean_corpus", f"WITH {CLEANED_CTE} SELECT doc_id, text FROM cleaned")
+def _(spark, d):
+    return cleaning.clean_corpus(dirty(spark, d))
 
 
 # --- passages ------------------------------------------------------------------------------
