@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, encoding, layout, parsing, planning, quality, retrieval, review
 from ..operators.embedding import hashing_encoder
 from ..sources import files
+from ..streaming.indexing import Snapshots, index_stream
 from . import jobs
 from .registered import _PROOF as PROOF_SQL
 from .registered import LIB, asked, library, passages, register
@@ -292,6 +296,32 @@ def _(spark, d):
     return encoding.decide_font_encodings(codes, fits[0].unionByName(fits[1]).unionByName(fits[2]))
 
 
+@register("a12_figure_regions")
+def _(spark, d):
+    """Long words as drawn shapes: images, frames and curves by their length."""
+    placed = words(spark, d)
+    n = F.char_length("text")
+    kind = F.when(n > 15, "image").when(n > 13, "rect").when(n > 11, "curve")
+    shapes = placed.withColumn("kind", kind).filter("kind is not null").withColumn("width", F.lit(700.0)).withColumn("height", F.lit(800.0))
+    return layout.figure_regions(shapes.select("doc_id", "page_no", "kind", "x0", "top", "x1", "bottom", "width", "height"), placed)
+
+
+@register("t1_stream_index", "SELECT concat('d', cast(doc_id % 300 as string)) AS external_id, max(doc_id) AS indexed_at, arg_max(text, doc_id) AS content FROM documents GROUP BY 1")
+def _(spark, d):
+    """The documents as a stream, 300 keys, the row of the largest id the latest version of its key."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-folioflow-")
+    home = f"{root.rstrip('/')}/folioflow/stream-{uuid.uuid4().hex}"
+    source = docs(spark, d)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    reader = spark.readStream.schema(source.schema)  # a stream reads folders
+    one = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    stream = reader.option("pathGlobFilter", "documents.parquet").parquet(d) if one else reader.parquet(path.toString())
+    rows = stream.select(F.concat(F.lit("d"), (F.col("doc_id") % 300).cast("string")).alias("external_id"), F.col("doc_id").cast("long").alias("indexed_at"), F.col("text").alias("content"))
+    table = Snapshots(spark, f"{home}/table", rows.schema, buckets=16)
+    index_stream(rows, table, f"{home}/checkpoint").awaitTermination()
+    return table.current()
+
+
 @register("u1_proofs_over_roles", f"WITH {PROOF_SQL}, b AS (SELECT query_id, chunk_id, role, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id, role) AS n FROM r WHERE rank <= 3) SELECT query_id AS segment_id, chunk_id, role FROM b WHERE n = 1")
 def _(spark, d):
     segments = asked(spark, d).withColumnRenamed("query_id", "segment_id")
