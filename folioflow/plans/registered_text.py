@@ -477,14 +477,14 @@ def _(spark, d):
 
 
 
-EDITED = "case doc_id % 3 when 0 then concat(text, ' ajout') when 1 then replace(text, ' de ', ' du ') else substr(text, 9) end"
+EDITED_COPY = "case doc_id % 3 when 0 then concat(text, ' ajout') when 1 then replace(text, ' de ', ' du ') else substr(text, 9) end"
 
 
-@register("u3_multiset_diff", f"WITH a AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), b AS (SELECT doc_id, unnest(string_split({EDITED}, ' ')) AS w FROM documents) SELECT 'added' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT 'removed', * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
+@register("u3_multiset_diff", f"WITH a AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), b AS (SELECT doc_id, unnest(string_split({EDITED_COPY}, ' ')) AS w FROM documents) SELECT 'added' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT 'removed', * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
 def _(spark, d):
     """All words of all texts against those of an edited copy."""
     words = lambda text: docs(spark, d).select("doc_id", F.explode(F.split(F.expr(text), " ", -1)).alias("w"))
-    added, removed = review.multiset_diff(words("text"), words(EDITED))
+    added, removed = review.multiset_diff(words("text"), words(EDITED_COPY))
     return added.select(F.lit("added").alias("side"), "*").unionByName(removed.select(F.lit("removed").alias("side"), "*"))
 
 
