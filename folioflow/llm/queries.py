@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, media, mixing, secrets, seqfiles, sharding, topk, toxicity, urls
+from . import bpe, jaccard, langid, media, merkle, mixing, runs, secrets, seqfiles, sharding, topk, toxicity, urls
 
 
 def tokenizer_path() -> str:
@@ -59,6 +59,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_report(table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs_report(table(spark, sf_dir, "documents"))
+
+
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
@@ -71,6 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
         "op10_urls": op10_urls,
+        "op11_merkle": op11_merkle,
+        "op12_runs": op12_runs,
+        "op13_langid": op13_langid,
     }
 
 
@@ -101,5 +116,53 @@ def urls_sql(rounds: int = 6, damping: float = 0.85) -> str:
     """
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text in DuckDB, byte by byte; needs a table ``crc`` whose list ``steps`` has the 256 remainders."""
+    step = "lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1)))), {step}), 4294967295)"
+
+
+CRC_SQL = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS steps)"
+
+
+def merkle_sql(levels: int = 10, levels_over: int = 4) -> str:
+    """The query op11_merkle in DuckDB: levels are unrolled, enough for ``8 ** levels`` rows a language and ``8 ** levels_over`` languages.
+
+    Proofs are folded here from the table of all nodes, level by level, not by doubling.
+    """
+    enc = lambda v: f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(enc, ("doc_id", "source", "lang", "n_chars")), enc(text)]) + ")"
+    lower = f"translate(text, '{urls.UPPER}', '{urls.LOWER}')"
+
+    def climb(name: str, nodes: str, levels: int) -> str:
+        """Tables name0.. of (tree, idx, n, digest, held, way): one row a leaf; digest of its node, its folded self and siblings so far."""
+        out = f"{name}0 AS ({nodes})"
+        for k in range(levels):
+            out += f""",
+    {name}_n{k} AS (SELECT tree, idx, min(digest) AS digest, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k} GROUP BY tree, idx),
+    {name}_g{k} AS (SELECT tree, idx // 8 AS up, min(n) AS n, list(digest ORDER BY idx) AS run FROM {name}_n{k} GROUP BY ALL),
+    {name}{k + 1} AS (SELECT l.* EXCLUDE (idx, digest, held, way), idx // 8 AS idx,
+        CASE WHEN g.n > 1 THEN sha256(list_aggregate(run, 'string_agg', '')) ELSE digest END AS digest,
+        CASE WHEN g.n > 1 THEN sha256(coalesce(list_aggregate(run[:idx % 8], 'string_agg', ''), '') || held || coalesce(list_aggregate(run[idx % 8 + 2:], 'string_agg', ''), '')) ELSE held END AS held,
+        CASE WHEN g.n > 1 THEN way || coalesce(list_aggregate(run[:idx % 8], 'string_agg', ''), '') || coalesce(list_aggregate(run[idx % 8 + 2:], 'string_agg', ''), '') ELSE way END AS way
+        FROM {name}{k} l JOIN {name}_g{k} g ON l.tree = g.tree AND l.idx // 8 = g.up)"""
+        return out
+
+    rows = f"""SELECT doc_id, leaf, coalesce('v' || lang, 'n') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, leaf AS digest,
+        CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN tampered ELSE leaf END AS held, '' AS way
+        FROM (SELECT doc_id, lang, {leaf("text")} AS leaf, {leaf(lower)} AS tampered FROM documents), crc"""
+    parts = f"SELECT tree AS part, '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, digest, digest AS held, '' AS way FROM (SELECT tree, min(digest) AS digest FROM a{levels} GROUP BY tree)"
+    folded = "held"
+    for k in range(levels_over):
+        folded = f"CASE WHEN g{k}.n > 1 THEN sha256(coalesce(list_aggregate(g{k}.run[:(o.first // {8**k}) % 8], 'string_agg', ''), '') || {folded} || coalesce(list_aggregate(g{k}.run[(o.first // {8**k}) % 8 + 2:], 'string_agg', ''), '')) ELSE {folded} END"
+    joins = " ".join(f"JOIN b_g{k} g{k} ON g{k}.up = o.first // {8 ** (k + 1)}" for k in range(levels_over))
+    return f"""
+    WITH {CRC_SQL}, {climb("a", rows, levels)}, {climb("b", parts, levels_over)},
+    o AS (SELECT t.part, z.idx AS first, t.digest AS root, t.way AS over FROM b{levels_over} t JOIN b0 z ON t.part = z.part),
+    done AS (SELECT doc_id, leaf, a.digest AS subroot, root, sha256(way || over) AS proof_sha256, {folded} AS folded_root FROM a{levels} a JOIN o ON a.tree = o.part {joins})
+    SELECT *, folded_root = root AS verified FROM done
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_urls": urls_sql()}
+    return {"op10_urls": urls_sql(), "op11_merkle": merkle_sql()}
