@@ -1,8 +1,8 @@
 """Scoped listing and nearest-passage search for whole tables of queries.
 
 Filters come before ranking.  A table of queries is compared with the passages of its own
-scope only: scope columns are join keys, so no pair outside a scope is formed, and the
-best k are kept per partition before the shuffle (WindowGroupLimit).
+scope only: scope columns are join keys, so no pair outside a scope is formed.  Large scopes go
+by cells of vectors and blocks (``neighbours``); contents are joined after the top k.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.vectors import cosine_distance, norm, score
 from ..schemas import Scope
+from . import neighbours
 
 
 def scope_filter(scope: Scope, course_id: str | None = None, role: str | None = None, document_ids: list[str] | None = None) -> Column:
@@ -68,16 +69,24 @@ def rank_nearest(pairs: DataFrame, by: list[str], k: int, tie: str = "chunk_id")
     return pairs.filter(F.col("distance").isNotNull() & ~F.isnan("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def search(passages: DataFrame, queries: DataFrame, on: list[str], k: int, by: list[str] | None = None) -> DataFrame:
-    """The k nearest passages of each query among those equal in the columns ``on``.
+def search_pairs(passages: DataFrame, queries: DataFrame, on: list[str], k: int) -> DataFrame:
+    """The k nearest passages of each query among those equal in the columns ``on``, pair by pair: for scopes of few passages, such as one owner's."""
+    if not on:
+        raise ValueError("pairs need a scope; search() goes by cells")
+    q = queries.select("query_id", "vector", norm(F.col("vector")).alias("query_norm"), *on)
+    near = with_norm(passages).join(q, on).withColumn("distance", cosine_distance(F.col("embedding"), F.col("vector"), F.col("norm"), F.col("query_norm")))
+    return rank_nearest(near.drop("vector", "query_norm", "norm", "embedding"), ["query_id"], k)
+
 
-    ``passages``: chunk_id, embedding and ``on``; ``queries``: query_id, vector and ``on``.
-    With ``by`` (columns of the passage) k for each query and value.
+def search(passages: DataFrame, queries: DataFrame, on: list[str], k: int, by: list[str] | None = None, **options) -> DataFrame:
+    """The k nearest passages of each query among those equal in the columns ``on``; exact, by cells of vectors.
+
+    ``passages``: chunk_id (unique), embedding and ``on``; ``queries``: query_id (unique), vector and
+    ``on``.  With ``by`` (columns of the passage) k for each query and value.  The passages' other
+    columns are joined to what was found.
     """
-    q = queries.select("query_id", "vector", norm(F.col("vector")).alias("query_norm"), *on)
-    pairs = with_norm(passages).join(q, on) if on else with_norm(passages).crossJoin(q)
-    near = pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("vector"), F.col("norm"), F.col("query_norm")))
-    return rank_nearest(near.drop("vector", "query_norm", "norm", "embedding"), ["query_id", *(by or [])], k)
+    found, _ = neighbours.exact(passages, queries, on, k, by, **options)
+    return passages.drop("embedding").join(found.select("query_id", F.col("id").alias("chunk_id"), "distance", "rank"), "chunk_id")
 
 
 def search_one(passages: DataFrame, vector: list[float], k: int) -> DataFrame:
@@ -124,7 +133,7 @@ def search_notebook(passages: DataFrame, queries: DataFrame, k: int = 4, documen
         raise ValueError("notebook queries need student_account_id")
     if document and not filter_after_topk:
         passages = passages.filter(F.col("external_id") == document)
-    found = search(passages, queries, ["student_account_id"], k)
+    found = search_pairs(passages, queries, ["student_account_id"], k)
     return found.filter(F.col("external_id") == document) if document and filter_after_topk else found
 
 
@@ -135,25 +144,7 @@ def find_proofs(segments: DataFrame, passages: DataFrame, on: list[str], per_rol
     return best.select("segment_id", "best.chunk_id", "best.role", "best.distance")
 
 
-def search_approx(passages: DataFrame, queries: DataFrame, k: int, bucket_length: float = 0.25, tables: int = 8, seed: int = 3) -> DataFrame:
-    """Approximate neighbours: random projections of unit vectors, then exact ranking of the candidates."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    def unit(df: DataFrame, col: str) -> DataFrame:
-        size = norm(F.col(col))
-        return df.filter(size > 0).withColumn("unit", array_to_vector(F.transform(col, lambda x: x.cast("double") / size)))
-
-    base = unit(passages, "embedding")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(base)
-
-    def buckets(df: DataFrame, keep: list[str]) -> DataFrame:
-        hashed = model.transform(df).select(*keep, F.posexplode("hashes").alias("table", "bucket"))
-        return hashed.withColumn("bucket", vector_to_array("bucket")[0])
-
-    p = buckets(base, ["chunk_id"])
-    q = buckets(unit(queries, "vector"), ["query_id"])
-    candidates = p.join(q, ["table", "bucket"]).select("query_id", "chunk_id").distinct()
-    near = candidates.join(passages, "chunk_id").join(queries.select("query_id", "vector"), "query_id")
-    near = near.withColumn("distance", cosine_distance(F.col("embedding"), F.col("vector"))).drop("embedding", "vector")
-    return rank_nearest(near, ["query_id"], k)
+def search_approx(passages: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
+    """About the k nearest passages of each query: by nearest cells and one-byte codes, exact distances for the best candidates."""
+    found, _ = neighbours.approximate(passages, queries, k, **options)
+    return passages.drop("embedding").join(found.select("query_id", F.col("id").alias("chunk_id"), "distance", "rank"), "chunk_id")
