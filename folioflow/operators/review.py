@@ -1,10 +1,10 @@
 """Review of edits, courses, quizzes and conversations: deterministic checks over whole tables."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import quotes, repeats
 
 #: Signs that bear meaning.
 BEARING = "[0-9+\\-*/=<>%°±×÷≈≠≤≥∞√∑∏∫∈∉⊂⊃∪∩∅→←↔⇒⇔∀∃∂∇‖αβγδεζηθικλμνξοπρστυφχψωΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ]"
@@ -101,28 +101,18 @@ def recap(turns: DataFrame, speaker: str = "assistant") -> DataFrame:
 def repeated_answers(turns: DataFrame, speaker: str = "assistant", least: float = 0.5) -> DataFrame:
     """(conv_id, turn, earlier): answers that repeat an earlier one of their conversation."""
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
     text = F.lower(F.trim(tx.collapse_blanks(F.coalesce("text", F.lit("")))))
     own = turns.filter(F.col("role") == speaker).select("conv_id", "turn", text.alias("t")).filter("t != ''")
-    old = own.select("conv_id", F.col("turn").alias("earlier"), F.col("t").alias("o"))
-    # the ratio is at most 2 * shorter / both, so very unlike lengths need no comparison
-    bound = 2 * F.least(F.char_length("t"), F.char_length("o")) / (F.char_length("t") + F.char_length("o"))
-    pairs = own.join(old, "conv_id").filter((F.col("earlier") < F.col("turn")) & (bound >= least))
-    return pairs.withColumn("ratio", ratio("t", "o")).filter(F.col("ratio") >= least).groupBy("conv_id", "turn").agg(F.min("earlier").alias("earlier"))
+    return repeats.repeated(own, least)
 
 
-def locate_quotes(texts: DataFrame, quotes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def locate_quotes(texts: DataFrame, asked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, quote_id, occurrences, position, code): the one place of each quote, blanks collapsed on both sides.
 
     The position is that in the collapsed text, from 0.
     """
     flat = texts.select(id_col, tx.collapse_blanks(F.coalesce("text", F.lit(""))).alias("flat"))
-    asked = quotes.select(id_col, "quote_id", F.trim(tx.collapse_blanks(F.coalesce("quote", F.lit("")))).alias("q"))
+    asked = asked.select(id_col, "quote_id", F.trim(tx.collapse_blanks(F.coalesce("quote", F.lit("")))).alias("q"))
     found = asked.join(flat, id_col, "left").withColumn("occurrences", F.coalesce(tx.occurrences(F.col("flat"), F.col("q")), F.lit(0)))
     code = F.when(F.col("q") == "", "EMPTY").when(F.col("occurrences") == 0, "NOT_FOUND").when(F.col("occurrences") > 1, "AMBIGUOUS")
     at = F.when(F.col("occurrences") == 1, F.expr("locate(q, flat)") - 1)
@@ -133,11 +123,16 @@ def quote_key(text: Column) -> Column:
     return F.lower(F.trim(tx.collapse_blanks(text)))
 
 
-def attribute_findings(findings: DataFrame, sections: DataFrame, least: int = 12) -> DataFrame:
-    """(finding_id, section_id): the only section of the course that holds the quote exactly once, else null."""
+def finding_places(findings: DataFrame, sections: DataFrame) -> DataFrame:
+    """(finding_id, section_id, occurrences): sections of its course that hold the quote of a finding, of ``quotes.ANCHOR`` characters or more."""
     q = findings.select("finding_id", "course_id", quote_key(F.regexp_replace("quote", "^[ «»\"']+|[ «»\"']+$", "")).alias("q"))
     s = sections.select("course_id", "section_id", quote_key(F.coalesce("content", F.lit(""))).alias("body"))
-    once = q.filter(F.char_length("q") >= least).join(s, "course_id").filter(tx.occurrences(F.col("body"), F.col("q")) == 1)
+    return q.join(quotes.quoted_places(q, s), ["course_id", "q"]).select("finding_id", "section_id", "occurrences")
+
+
+def attribute_findings(findings: DataFrame, sections: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """(finding_id, section_id): the only section of the course that holds the quote exactly once, else null."""
+    once = (finding_places(findings, sections) if places is None else places).filter("occurrences = 1")
     only = once.groupBy("finding_id").agg(F.count(F.lit(1)).alias("n"), F.min("section_id").alias("section_id")).filter("n = 1")
     return findings.select("finding_id").join(only.select("finding_id", "section_id"), "finding_id", "left")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, cleaning, quality, review, tables
 from ..operators.embedding import Encoder, embed
+from ..scratch import saved
 
 
 def chunk_ids(chunks: DataFrame) -> DataFrame:
@@ -59,13 +60,11 @@ def audit_courses(quizzes: DataFrame, sections: DataFrame, findings: DataFrame)
     """
     contradicted = review.contradicted_quizzes(quizzes)
     broken = review.text_damage(sections, "content").filter("formula_orphans > 0").select("course_id", "section_id", "formula_orphans")
-    key = review.quote_key(F.regexp_replace("quote", "^[ «»\"']+|[ «»\"']+$", ""))
-    body = sections.select("course_id", review.quote_key(F.coalesce("content", F.lit(""))).alias("body"))
-    quoted = findings.withColumn("q", key)
-    held = quoted.filter(F.char_length("q") >= 12).join(body, "course_id").filter(F.contains("body", F.col("q"))).select("finding_id").distinct()
-    kept = quoted.join(held, "finding_id", "left_semi").drop("q")
-    placed = kept.join(review.attribute_findings(kept, sections), "finding_id")
-    lost = quoted.join(held, "finding_id", "left_anti").drop("q").withColumn("code", F.lit("AUDIT_QUOTE_NOT_FOUND"))
+    places = saved(review.finding_places(findings, sections), "places")
+    held = places.select("finding_id").distinct()
+    kept = findings.join(held, "finding_id", "left_semi")
+    placed = kept.join(review.attribute_findings(kept, sections, places), "finding_id")
+    lost = findings.join(held, "finding_id", "left_anti").withColumn("code", F.lit("AUDIT_QUOTE_NOT_FOUND"))
     return {"quizzes": contradicted, "formulas": broken, "findings": placed, "not_found": lost}
 
 
