@@ -275,12 +275,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def languages(docs: DataFrame) -> DataFrame:
+    """(lang, n): rows to learn from; a row a language, of which the model holds a column."""
+    return docs.filter(~held_out()).filter("lang IS NOT NULL").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def training_sample(docs: DataFrame, per_lang: int, seed: int) -> DataFrame:
     """(lang, text): of each language about ``per_lang`` different texts at most, those of the lowest hashes; equal texts count once."""
     usable = docs.filter(~held_out()).filter("lang IS NOT NULL AND text IS NOT NULL AND text != ''").select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = docs.filter(~held_out()).filter("lang IS NOT NULL").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    some = usable.join(counts, "lang").filter(part * F.col("n") < per_lang)
+    some = usable.join(F.broadcast(languages(docs)), "lang").filter(part * F.col("n") < per_lang)  # as small as the model
     return some.groupBy("lang", F.sha2("text", 256).alias("same")).agg(F.first("text").alias("text")).drop("same")
 
 
@@ -296,7 +300,7 @@ def train(docs: DataFrame, per_lang: int = 2000, seed: int = 3, clip: float = 4.
     The table has a bounded number of entries, whatever the number of rows; with many languages it has fewer for each.
     """
     sample = training_sample(docs, per_lang, seed)
-    most = buckets_for(docs.filter(~held_out()).select("lang").filter("lang IS NOT NULL").distinct().count())
+    most = buckets_for(languages(docs).count())
 
     def count(batches):
         for batch in batches:
