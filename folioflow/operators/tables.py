@@ -1,6 +1,7 @@
 """Index tables: idempotent replacement, deletion, constraints.
 
-Every function takes and returns whole DataFrames (snapshots); the caller writes them.
+Every function takes and returns whole DataFrames (snapshots); the caller writes them.  Rows that
+stay are told by a bitmap of the incoming keys and are not shuffled.
 """
 
 from __future__ import annotations
@@ -8,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bitmaps import without_keys
 from ..schemas import COURSE_ROLES, OFFICIAL_ROLES
 
 
-def latest(incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last version of each key; of equal versions one row."""
-    best = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), *(F.col(c) for c in sorted(incoming.columns) if c not in (*keys, order) and _sortable(incoming, c)))
+def latest(incoming: DataFrame, keys: list[str], order: str, first: str | None = None) -> DataFrame:
+    """The last version of each key; of equal versions one row, by the column ``first`` if given."""
+    by = [*([F.col(first)] if first else []), *(F.col(c) for c in sorted(incoming.columns) if c not in (*keys, order, first) and _sortable(incoming, c))]
+    best = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), *by)
     return incoming.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
 
 
@@ -24,13 +27,13 @@ def _sortable(df: DataFrame, name: str) -> bool:
 def upsert_documents(current: DataFrame, incoming: DataFrame, order: str = "indexed_at", key: str = "external_id") -> DataFrame:
     """``current`` with every document of ``incoming`` put in or replaced whole; a replay changes nothing."""
     fresh = latest(incoming, [key], order)
-    return current.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=False)
+    return without_keys(current, incoming.select(key), key).unionByName(fresh, allowMissingColumns=False)
 
 
 def replace_chunks(current: DataFrame, incoming_docs: DataFrame, incoming_chunks: DataFrame, key: str = "external_id") -> DataFrame:
     """All chunks of the incoming documents give way to the new ones."""
     docs = incoming_docs.select(key).distinct()
-    return current.join(docs, key, "left_anti").unionByName(incoming_chunks.join(docs, key, "left_semi"))
+    return without_keys(current, docs, key).unionByName(incoming_chunks.join(docs, key, "left_semi"))
 
 
 def delete_documents(docs: DataFrame, chunks: DataFrame, ids: DataFrame, key: str = "external_id") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -38,7 +41,7 @@ def delete_documents(docs: DataFrame, chunks: DataFrame, ids: DataFrame, key: st
     asked = ids.select(key).distinct()
     there = docs.select(key).distinct().withColumn("_there", F.lit(True))
     flags = asked.join(there, key, "left").select(key, F.coalesce("_there", F.lit(False)).alias("deleted"))
-    return docs.join(asked, key, "left_anti"), chunks.join(asked, key, "left_anti"), flags
+    return without_keys(docs, asked, key), without_keys(chunks, asked, key), flags
 
 
 def check_keys(docs: DataFrame, chunks: DataFrame) -> DataFrame:

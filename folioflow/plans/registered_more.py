@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, encoding, layout, parsing, planning, quality, retrieval, review
 from ..operators.embedding import hashing_encoder
 from ..sources import files
-from ..streaming.indexing import Snapshots, index_stream
+from ..scratch import shared_folder
+from ..streaming.indexing import StreamTable, index_stream
 from . import jobs
 from .registered import _PROOF as PROOF_SQL
 from .registered import LIB, asked, library, passages, register
@@ -309,15 +308,14 @@ def _(spark, d):
 @register("t1_stream_index", "SELECT concat('d', cast(doc_id % 300 as string)) AS external_id, max(doc_id) AS indexed_at, arg_max(text, doc_id) AS content FROM documents GROUP BY 1")
 def _(spark, d):
     """The documents as a stream, 300 keys, the row of the largest id the latest version of its key."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-folioflow-")
-    home = f"{root.rstrip('/')}/folioflow/stream-{uuid.uuid4().hex}"
+    home = shared_folder(spark, "stream")
     source = docs(spark, d)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     reader = spark.readStream.schema(source.schema)  # a stream reads folders
     one = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
     stream = reader.option("pathGlobFilter", "documents.parquet").parquet(d) if one else reader.parquet(path.toString())
     rows = stream.select(F.concat(F.lit("d"), (F.col("doc_id") % 300).cast("string")).alias("external_id"), F.col("doc_id").cast("long").alias("indexed_at"), F.col("text").alias("content"))
-    table = Snapshots(spark, f"{home}/table", rows.schema, buckets=16)
+    table = StreamTable(spark, f"{home}/table", rows.schema, depth=4)
     index_stream(rows, table, f"{home}/checkpoint").awaitTermination()
     return table.current()
 

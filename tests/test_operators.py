@@ -415,26 +415,6 @@ def test_inspect_and_audit(spark):
     assert jobs.redact_logs(log, "a", ["password"]).first()["a"] == {"Password": "[REDACTED]", "note": "Authorization: Bearer [REDACTED]"}
 
 
-def test_stream_replaces_and_replays(spark, tmp_path):
-    schema = "external_id string, indexed_at int, content string"
-    table = indexing.Snapshots(spark, f"file://{tmp_path}/table", spark.createDataFrame([], schema).schema)
-
-    def feed(*some):
-        spark.createDataFrame(list(some), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        indexing.index_stream(stream, table, f"{tmp_path}/ckpt").awaitTermination()
-        return rows(table.current(), "external_id")
-
-    assert feed(("a", 1, "one"), ("a", 2, "two"), ("b", 1, "b")) == [("a", 2, "two"), ("b", 1, "b")]
-    want = [("a", 2, "two"), ("b", 3, "new"), ("c", 1, "c")]
-    assert feed(("b", 3, "new"), ("c", 1, "c"), ("a", 1, "late")) == want
-    last = max(max(v) for v in table.versions().values())
-    again = spark.createDataFrame([("b", 3, "new"), ("c", 1, "c"), ("a", 1, "late")], schema)
-    touched = {r[0] for r in again.select(table.bucket()).collect()}
-    table.put(last, tables.latest(table.before(last, touched).unionByName(spark.createDataFrame([("b", 3, "new"), ("c", 1, "c"), ("a", 1, "late")], schema)), ["external_id"], "indexed_at"))
-    assert rows(table.current(), "external_id") == want
-
-
 def test_registered_queries_read_whole_texts(spark, tmp_path, monkeypatch):
     """What stands beyond the first 200 characters is looked at."""
     from folioflow import catalog
