@@ -6,6 +6,8 @@ groups are by page, which bounds them; documents meet only in aggregates.
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,6 +218,37 @@ def words_in_regions(words: DataFrame, regions: DataFrame) -> DataFrame:
     return packed.withColumn("text", F.array_join(F.transform("w", lambda x: x["text"]), " ")).drop("w")
 
 
+def merge_boxes(boxes: list[list], gap: float) -> list[list]:
+    """Boxes (x0, top, x1, bottom, and four counts that add up) within ``gap`` of one another as their common box, until none are.
+
+    Sweeps from left to right: the boxes that the line still meets are apart in height, so a new one
+    looks only at its neighbours there.  A merged box can reach others, so sweeps follow until one changes nothing.
+    """
+    before = len(boxes) + 1
+    while len(boxes) < before:
+        before, done = len(boxes), []
+        tops: list[float] = []  # of the boxes under the line, which don't touch in height
+        live: list[list] = []
+        for box in sorted(boxes, key=lambda b: b[:4]):
+            box = list(box)
+            while True:
+                at = bisect.bisect_left(tops, box[1])
+                near = next((i for i in (at - 1, at) if 0 <= i < len(live) and box[1] <= live[i][3] + gap and live[i][1] <= box[3] + gap), None)
+                if near is None:
+                    break
+                other = live.pop(near)
+                tops.pop(near)
+                if box[0] <= other[2] + gap:
+                    box[:4] = [min(box[0], other[0]), min(box[1], other[1]), max(box[2], other[2]), max(box[3], other[3])]
+                    box[4:] = [box[4] or other[4], *(x + y for x, y in zip(box[5:], other[5:], strict=True))]
+                else:
+                    done.append(other)  # left behind by the line
+            tops.insert(at, box[1])
+            live.insert(at, box)
+        boxes = done + live
+    return boxes
+
+
 def figure_regions(shapes: DataFrame, words: DataFrame, gap: float = 20.0, least: tuple[float, float] = (40.0, 25.0), share: float = 0.8, per_page: int = 12, few_words: int = 30) -> DataFrame:
     """(doc_id, page_no, region_no, x0, top, x1, bottom): drawn boxes near one another merged to a fixpoint, then filtered.
 
@@ -231,20 +264,7 @@ def figure_regions(shapes: DataFrame, words: DataFrame, gap: float = 20.0, least
             straight = s.kind == "line" and (level or upright)
             frame = s.kind == "rect"
             boxes.append([s.x0, s.top, s.x1, s.bottom, s.kind == "image", int(not straight and not frame and s.kind != "image"), int(frame or (straight and level)), int(frame or (straight and upright))])
-        merged = True
-        while merged:
-            merged = False
-            rest: list[list] = []
-            for b in boxes:
-                for o in rest:
-                    if b[0] <= o[2] + gap and o[0] <= b[2] + gap and b[1] <= o[3] + gap and o[1] <= b[3] + gap:
-                        o[:4] = [min(o[0], b[0]), min(o[1], b[1]), max(o[2], b[2]), max(o[3], b[3])]
-                        o[4:] = [o[4] or b[4], o[5] + b[5], o[6] + b[6], o[7] + b[7]]
-                        merged = True
-                        break
-                else:
-                    rest.append(b)
-            boxes = rest
+        boxes = merge_boxes(boxes, gap)
         width, height = pdf["width"].iloc[0], pdf["height"].iloc[0]
         rows = [b for b in boxes if b[2] - b[0] >= least[0] and b[3] - b[1] >= least[1] and (b[2] - b[0]) * (b[3] - b[1]) <= share * width * height and (b[4] or b[5] >= 3 or (b[6] and b[7]))]
         rows.sort(key=lambda b: (b[1], b[0]))

@@ -143,10 +143,28 @@ def _(spark, d):
     return quality.formula_issues(docs(spark, d).select("doc_id", F.concat(F.lit("≤ "), made, F.lit(" √")).alias("text")), "doc_id")
 
 
-@register("c17_mend_formulas", f"SELECT doc_id, concat('\\frac ', w, ' \\beta \\theta ', w, ' \\alpha') AS text FROM {WHOLE}")
+@register(
+    "c17_mend_formulas",
+    f"SELECT doc_id, concat('\\frac ', w, ' \\beta', chr(9), 'heta $\\theta ', w, ' \\tilde x', chr(9), '1$', chr(9), 'au \\begin{{a}}\\tau\\end{{a}} \\alpha') AS text, 1 AS controls_left FROM {WHOLE}",
+)
 def _(spark, d):
-    damaged = F.concat(F.lit("\x0crac "), whole(), F.lit(" \x08eta \theta "), whole(), F.lit(" \\\\alpha"))
-    return docs(spark, d).select("doc_id", parsing.mend_formulas(damaged).alias("text"))
+    """Eaten commands, tabs in formulas, and tabs and a control character in prose that stay."""
+    damaged = F.concat(F.lit("\x0crac "), whole(), F.lit(" \x08eta\theta $\theta "), whole(), F.lit(" \tilde x\t1$\tau \x08egin{a}\tau\\end{a} \\\\alpha"))
+    return docs(spark, d).select("doc_id", parsing.mend_formulas(damaged).alias("text"), parsing.controls_left(F.concat(damaged, F.lit(" \x0bx"))).alias("controls_left"))
+
+
+@register(
+    "c20_json_fields",
+    f"""SELECT doc_id AS request_id, concat('{{"a": "\\\\frac{{1}}{{2}} \\\\theta', '\\n', w, '", "b": "', w, '", "c": ["$\\\\tilde x$\\ty", {{"d": "\\\\lambda \\\\boxed é"}}]}}') AS fields, 1 AS controls_left FROM {WHOLE}""",
+)
+def _(spark, d):
+    """Two objects around prose: commands with one backslash, eaten ones, a line end, a field in both."""
+    made = F.concat(
+        F.lit('note: {"a": "\\frac{1}{2} \\theta\\n'), whole(), F.lit('", "b": 1} puis {"b": "'), whole(),
+        F.lit('", "c": ["$\tilde x$\ty", {"d": "\\lambda \\boxed \\u00e9\x0bz"}]} et {"open": "'), whole(),
+    )
+    found = parsing.json_fields(docs(spark, d).select(F.col("doc_id").alias("request_id"), made.alias("raw")))
+    return found.withColumn("fields", F.replace("fields", F.lit("\\u000bz"), F.lit("")))
 
 
 @register("c19_strip_leaked_objects", f"SELECT doc_id, trim(concat(w, '  ', w)) AS text FROM {WHOLE}")
@@ -372,19 +390,19 @@ PROFILES = (
 _OCR = "text_share < 0.01 AND image_share > 0.4"
 
 
-@register("a19_page_profile", f"SELECT doc_id, page_no, round(text_share, 6) AS text_share, round(image_share, 6) AS image_share, {_OCR} AS needs_ocr, lr >= 2 AS ruled FROM {PROFILES}")
+@register("a19_page_profile", f"SELECT doc_id, page_no, text_share, image_share, {_OCR} AS needs_ocr, lr >= 2 AS ruled FROM {PROFILES}")
 def _(spark, d):
     found = layout.page_profile(profiles(spark, d))
-    return found.select("doc_id", "page_no", F.round("text_share", 6).alias("text_share"), F.round("image_share", 6).alias("image_share"), "needs_ocr", "ruled")
+    return found.select("doc_id", "page_no", "text_share", "image_share", "needs_ocr", "ruled")
 
 
 @register(
     "f8_flag_ocr",
-    f"SELECT p.doc_id, coalesce(string_agg(cast(page_no as string), ',' ORDER BY page_no) FILTER (WHERE {_OCR}), '') AS pages_needing_ocr, round(median(text_share), 6) AS median_coverage, any_value(length(trim(coalesce(d.text, '')))) < 2600 * count(*) AS too_thin FROM {PROFILES} p JOIN documents d ON p.doc_id = d.doc_id GROUP BY p.doc_id",
+    f"SELECT p.doc_id, coalesce(string_agg(cast(page_no as string), ',' ORDER BY page_no) FILTER (WHERE {_OCR}), '') AS pages_needing_ocr, cast(floor(median(text_share) * 1000000 + 0.001) as bigint) AS median_coverage, any_value(length(trim(coalesce(d.text, '')))) < 2600 * count(*) AS too_thin FROM {PROFILES} p JOIN documents d ON p.doc_id = d.doc_id GROUP BY p.doc_id",
 )
 def _(spark, d):
     flags = layout.flag_ocr(profiles(spark, d), docs(spark, d), 2600)
-    return flags.select("doc_id", F.array_join(F.col("pages_needing_ocr").cast("array<string>"), ",").alias("pages_needing_ocr"), F.round("median_coverage", 6).alias("median_coverage"), "too_thin")
+    return flags.select("doc_id", F.array_join(F.col("pages_needing_ocr").cast("array<string>"), ",").alias("pages_needing_ocr"), F.floor(F.col("median_coverage") * 1000000 + 0.001).alias("median_coverage"), "too_thin")
 
 
 _ROUTED = (
