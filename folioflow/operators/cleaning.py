@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,15 +139,79 @@ def mend_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     return packed.select("doc_id", "line_no", whole.alias("line"))
 
 
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, "^\\s+|\\s+$", "")
+
+
+def furniture_keys(text: Column, share: float = 0.04) -> Column:
+    """Keys of lines that recur at the edges of a document's pages, as ``repeated_lines`` has them, without leaving the row."""
+    numbers = F.regexp_extract_all(text, F.lit("(?m)^## p\\. (\\d+)$"), F.lit(1))
+    parts = F.slice(F.split(text, PAGE_MARK, -1), F.lit(2), F.greatest(F.size(numbers), F.lit(0)))
+    filled = lambda body: F.filter(F.transform(F.split(body, "\n"), _trimmed), lambda x: x != "")
+    ends = lambda ls: F.when(F.size(ls) <= 5, ls).otherwise(F.concat(F.slice(ls, 1, 2), F.slice(ls, -3, 3)))
+    edges = F.zip_with(numbers, parts, lambda no, body: F.transform(F.array_distinct(F.transform(F.array(filled(body)), ends)[0]), lambda x: F.struct(no.cast("int").alias("no"), x.alias("line"))))
+    fit = F.filter(F.array_distinct(F.flatten(edges)), lambda e: ~e["line"].startswith("|") & e["line"].rlike("\\p{Nd}") & F.char_length(e["line"]).between(3, 120))
+    pages = F.size(F.array_distinct(F.transform(numbers, lambda x: x.cast("int"))))
+    least = F.greatest(F.lit(3), F.floor(pages * share).cast("int"))
+    # in sorted order a key that occurs so often meets itself so many places on
+    often = lambda keys: F.array_distinct(F.filter(keys, lambda k, i: F.coalesce(F.get(keys, i + least - 1) == k, F.lit(False))))
+    keys = F.transform(F.array(F.array_sort(F.transform(fit, lambda e: tx.digit_key(e["line"])))), often)[0]
+    return F.when(pages >= 3, keys).otherwise(F.array().cast("array<string>"))
+
+
+def joined_lines(lines: Column) -> Column:
+    """Lines put together as ``join_broken_lines`` does, as one text."""
+    trimmed = F.transform(lines, _trimmed)
+    open_end = lambda x: (x != "") & ~x.rlike(ENDS) & ~x.startswith("#") & ~x.rlike(LIST_ITEM)
+    goes_on = lambda ls, x, i: x.rlike("^\\p{Ll}") & ~x.rlike(LIST_ITEM) & F.coalesce(open_end(F.get(ls, i - 1)), F.lit(False))
+    glued = lambda ls: F.transform(ls, lambda x, i: F.concat(F.when(i == 0, "").when(goes_on(ls, x, i), " ").otherwise("\n"), x))
+    return F.array_join(F.transform(F.array(trimmed), glued)[0], "")
+
+
+#: Runs of letters, as ``vocabulary`` has them, with what stands between.
+_PIECES = re.compile(r"([^\W\d_]+)")
+
+
+def mended(text: str) -> str:
+    """A text with its split words joined, its own words being the vocabulary; see ``mend_words``."""
+    parts = _PIECES.split(text)
+    tokens, gaps = parts[1::2], parts[2::2]
+    low = [t.lower() for t in tokens]
+    known = Counter(w for t, w in zip(tokens, low) if len(t) >= 3)  # noqa: B905
+    known.update(CALENDAR)
+    sure = lambda w: known[w] >= 2 or w in _GRAMMAR
+    last = -2
+    for i, (left, right, gap) in enumerate(zip(low, low[1:], gaps)):  # noqa: B905
+        whole = left + right
+        if gap == " " and whole in known and i != last + 1 and len(whole) >= 4 and not (sure(left) and sure(right)):
+            parts[2 * i + 2], last = "", i
+    return "".join(parts) if last >= 0 else text
+
+
+_GRAMMAR = frozenset(GRAMMAR)
+
+
+def mend_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with split words joined, each text by its own vocabulary; whole batches of texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(text=frame["text"].map(mended))
+
+    return docs.select("doc_id", "text").mapInPandas(run, docs.select("doc_id", "text").schema)
+
+
 def clean_corpus(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) cleaned: hyphens, page furniture, broken lines, split words, elisions, normal form."""
-    joined = docs.select("doc_id", tx.dehyphenate(F.coalesce("text", F.lit(""))).alias("text"))
-    keys = repeated_lines(split_pages(joined))
-    lines = join_broken_lines(strip_furniture(split_lines(joined), keys))
-    mended = mend_words(lines, vocabulary(join_lines(lines)))
-    text = tx.normalise_text(tx.mend_elisions(F.col("text")))
-    whole = join_lines(mended).select("doc_id", text.alias("text"))
-    return docs.select("doc_id").join(whole, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """(doc_id, text) cleaned: hyphens, page furniture, broken lines, split words, elisions, normal form.
+
+    A document is its own world here, so all of it stays in its row: no explode, no shuffle.
+    """
+    text = tx.dehyphenate(F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", text.alias("text")).withColumn("keys", furniture_keys(F.col("text")))
+    lines = F.split("text", "\n", -1)
+    kept = F.when(F.size("keys") > 0, F.filter(lines, lambda x: ~F.array_contains("keys", tx.digit_key(_trimmed(x))))).otherwise(lines)
+    whole = mend_texts(keyed.select("doc_id", joined_lines(kept).alias("text")))
+    return whole.select("doc_id", tx.normalise_text(tx.mend_elisions(F.col("text"))).alias("text"))
 
 
 def apply_word_plan(lines: DataFrame, plan: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import charclasses
 from ..functions import text as tx
 
 #: Superscripts and subscripts, which are digits and no letters here.
@@ -55,33 +56,30 @@ WORD = f"[{_LOW}{_UP}]{{1,2}}|(?=[{_OTHERS}]{{0,29}}[{_VOWELS}])(?:[{_LOW}{_UP}]
 def assess(df: DataFrame, text_col: str = "text", out: str = "quality") -> DataFrame:
     """Add ``quality``: score, cid_markers, out_of_repertoire, word_plausibility, characters.  No explode, no shuffle.
 
-    Words are counted by two patterns over the text: all runs of letters, and runs that are a plausible word.
+    Words are runs of letters; all counts of a text come from one pass over its characters.
     """
     text = F.coalesce(text_col, F.lit(""))
-    letter = "[a-zA-Z\\p{L}\\p{Nl}\\p{No}]"
-    usual = f"[{_charclass(PUNCTUATION + SYMBOLS)}\\p{{N}}[\\p{{L}}&&\\p{{IsLatin}}&&[^ªº]]]++"
-    names = [f"_{n}{i}" for i, n in enumerate(("cid", "stripped", "worded", "n", "good", "odd"))]
-    cid, stripped, worded, n, good, odd = names
-    # steps, so that each is computed once
-    first = df.withColumns({cid: F.regexp_count(text, F.lit("\\(cid:\\d+\\)")), stripped: F.regexp_replace(text, "\\(cid:\\d+\\)", " ")})
+    names = [f"_{n}{i}" for i, n in enumerate(("made", "cid", "n", "good", "odd"))]
+    made, cid, n, good, odd = names
     # superscripts and subscripts are no letters
-    counted = first.withColumn(worded, F.translate(stripped, SCRIPTS, " " * len(SCRIPTS))).withColumns({
-        n: F.regexp_count(worded, F.lit(f"{letter}++")),
-        good: F.regexp_count(worded, F.lit(f"(?<!{letter})(?:{WORD})(?!{letter})")),
-        odd: F.char_length(F.regexp_replace(stripped, usual, "")) / F.greatest(F.char_length(stripped), F.lit(1)),
+    counted = df.withColumn(made, charclasses.word_counts(text, PUNCTUATION + SYMBOLS, SCRIPTS)).withColumns({
+        cid: F.col(made)["cid"],
+        n: F.col(made)["words"],
+        good: F.col(made)["good"],
+        odd: F.col(made)["odd"] / F.greatest(F.col(made)["length"], F.lit(1)),
     })
     share = F.when(F.col(n) > 0, F.col(good) / F.col(n)).otherwise(0.0)
     penalty = F.least(F.lit(1.0), F.col(cid) / F.greatest(F.lit(1), F.col(n)) * 10)
     raw = share * 0.7 + (F.lit(1.0) - F.least(F.lit(1.0), F.col(odd) * 20)) * 0.3 - penalty * 0.3
     score = F.when(F.char_length(text) == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) + HALF, 4))
-    made = F.struct(
+    told = F.struct(
         score.alias("score"),
         F.col(cid).cast("int").alias("cid_markers"),
         F.round(F.col(odd) + HALF, 5).alias("out_of_repertoire"),
         F.round(share + HALF, 4).alias("word_plausibility"),
         F.char_length(text).alias("characters"),
     )
-    return counted.withColumn(out, made).drop(*names)
+    return counted.withColumn(out, told).drop(*names)
 
 
 def corrupted_pages(pages: DataFrame, floor: float = 0.80) -> DataFrame:

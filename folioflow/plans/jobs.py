@@ -44,8 +44,10 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def inspect_corpus(docs: DataFrame) -> dict[str, DataFrame]:
     """Clean, cut into sections, find doubtful passages: ``sections`` with confidence, ``issues`` and their ``summary``."""
-    cut = sections(cleaning.clean_corpus(docs)).withColumn("section_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("position").cast("string")))
-    found = quality.issues(cut, "section_id")
+    # each is read by several branches: cleaned, cut and searched once
+    made = sections(cleaning.clean_corpus(docs)).withColumn("section_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("position").cast("string")))
+    cut = saved(made, "sections")
+    found = saved(quality.issues(cut, "section_id"), "issues")
     sure = quality.section_confidence(cut, found, "section_id")
     distinct = quality.distinct_issues(found, "section_id")
     graded = cut.join(sure, "section_id").withColumn("needs_review", F.col("confidence") < 0.8)
