@@ -114,13 +114,16 @@ def _(spark, d):
     return tables.replace_chunks(old, incoming(spark, d).select("external_id").unionByName(new.select("external_id").distinct()), made)
 
 
-@register("w3_delete_documents", f"WITH c AS ({LIB}) SELECT external_id, cast(external_id as bigint) % 17 = 0 AS deleted FROM c WHERE cast(external_id as bigint) % 17 = 0 UNION ALL SELECT concat('gone', cast(doc_id as string)), false FROM documents WHERE doc_id % 34 = 0 UNION ALL SELECT concat('kept', external_id), NULL FROM c WHERE cast(external_id as bigint) % 17 <> 0")
+@register("w3_delete_documents", f"WITH c AS ({LIB}) SELECT external_id, cast(external_id as bigint) % 17 = 0 AS deleted FROM c WHERE cast(external_id as bigint) % 17 = 0 UNION ALL SELECT concat('gone', cast(doc_id as string)), false FROM documents WHERE doc_id % 34 = 0 UNION ALL SELECT concat('kept', external_id), NULL FROM c WHERE cast(external_id as bigint) % 17 <> 0 UNION ALL SELECT concat('chunk', external_id, '-', ordinal, ' ', content), NULL FROM {_OLD_CHUNKS} WHERE cast(external_id as bigint) % 17 <> 0")
 def _(spark, d):
+    """Answers for what was asked, and the documents and passages (lines) that are left."""
     docs = library(spark, d)
     asked = docs.filter("cast(external_id as bigint) % 17 = 0").select("external_id")
     absent = docs.filter("cast(external_id as bigint) % 34 = 0").select(F.concat(F.lit("gone"), "external_id").alias("external_id"))
-    left, _, flags = tables.delete_documents(docs, docs.select("external_id"), asked.unionByName(absent))
-    return flags.unionByName(left.select(F.concat(F.lit("kept"), "external_id").alias("external_id"), F.lit(None).cast("boolean").alias("deleted")))
+    chunks = docs.select("external_id", F.posexplode(F.split("content", "\n", -1)).alias("ordinal", "content"))
+    left, lines, flags = tables.delete_documents(docs, chunks, asked.unionByName(absent))
+    names = left.select(F.concat(F.lit("kept"), "external_id").alias("external_id")).unionByName(lines.select(F.concat(F.lit("chunk"), "external_id", F.lit("-"), F.col("ordinal").cast("string"), F.lit(" "), "content").alias("external_id")))
+    return flags.unionByName(names.withColumn("deleted", F.lit(None).cast("boolean")))
 
 
 KEYED_DOCS = "SELECT cast(doc_id // 2 as string) AS external_id FROM documents WHERE doc_id % 2 = 0 OR doc_id % 10 = 1"
@@ -168,20 +171,35 @@ OWNED = ["external_id", "student_account_id", "indexed_at"]
 NINC = _sql(NOTEBOOK | {"indexed_at": "doc_id * 60 + 1"}, "documents", "doc_id % 10 = 0")
 
 
-@register("w7_upsert_notebook", f"WITH c AS ({NOTE}), i AS ({NINC}) SELECT external_id, student_account_id, indexed_at FROM c WHERE external_id NOT IN (SELECT external_id FROM i) UNION ALL SELECT external_id, student_account_id, indexed_at FROM i")
+_NOTES = f"SELECT 'chunk ' || external_id || '-0' AS external_id, student_account_id, indexed_at FROM ({NOTE})"
+
+
+@register(
+    "w7_upsert_notebook",
+    f"WITH c AS ({NOTE}), i AS ({NINC}) SELECT external_id, student_account_id, indexed_at FROM c WHERE external_id NOT IN (SELECT external_id FROM i) UNION ALL SELECT external_id, student_account_id, indexed_at FROM i "
+    f"UNION ALL SELECT * FROM ({_NOTES}) WHERE external_id NOT IN (SELECT 'chunk ' || external_id || '-0' FROM i) UNION ALL SELECT 'chunk ' || external_id || '-' || k, student_account_id, indexed_at FROM i, (SELECT unnest([1, 2]) AS k)",
+)
 def _(spark, d):
+    """Documents, and their passages: one each before, two other ones without an owner for those that come in."""
     docs = notebook(spark, d)
     fresh = docs.filter("cast(external_id as bigint) % 10 = 0").withColumn("indexed_at", F.col("indexed_at") + 1)
-    chunks = docs.select("external_id", "student_account_id", F.lit(0).alias("ordinal"))
-    return tables.upsert_notebook(docs, chunks, fresh, chunks)[0].select(*OWNED)
+    old = docs.select("external_id", "student_account_id", F.lit(0).alias("ordinal"), "indexed_at")
+    made = fresh.select("external_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("ordinal"), "indexed_at")
+    kept, chunks = tables.upsert_notebook(docs, old, fresh, made)
+    return kept.select(*OWNED).unionByName(chunks.withColumn("external_id", F.concat(F.lit("chunk "), "external_id", F.lit("-"), F.col("ordinal").cast("string"))).select(*OWNED))
 
 
-@register("w8_delete_notebook", f"SELECT external_id, student_account_id, indexed_at FROM ({NOTE}) WHERE NOT (cast(external_id as bigint) % 17 = 0 AND cast(external_id as bigint) % 2 = 0)")
+@register(
+    "w8_delete_notebook",
+    f"SELECT external_id, student_account_id, indexed_at FROM ({NOTE}) WHERE NOT (cast(external_id as bigint) % 17 = 0 AND cast(external_id as bigint) % 2 = 0) "
+    f"UNION ALL SELECT * FROM ({_NOTES}) WHERE NOT (cast(regexp_extract(external_id, '[0-9]+') as bigint) % 17 = 0 AND cast(regexp_extract(external_id, '[0-9]+') as bigint) % 2 = 0)",
+)
 def _(spark, d):
     docs = notebook(spark, d)
     n = F.col("external_id").cast("bigint")
     asked = docs.filter(n % 17 == 0).select("external_id", F.when(n % 2 == 0, F.col("student_account_id")).otherwise("someone else").alias("student_account_id"))
-    return tables.delete_notebook(docs, docs.select("external_id", "student_account_id"), asked)[0].select(*OWNED)
+    kept, chunks = tables.delete_notebook(docs, docs.select(*OWNED), asked)
+    return kept.select(*OWNED).unionByName(chunks.select(F.concat(F.lit("chunk "), "external_id", F.lit("-0")).alias("external_id"), "student_account_id", "indexed_at"))
 
 
 @register("a5_audit_index", f"WITH s AS (SELECT language, embedding_model, len(embedding) AS n FROM ({LIB}) JOIN embeddings ON external_id = cast(vec_id as string)), g AS (SELECT language, embedding_model, count(*) AS chunks, min(n) AS min_dimension, max(n) AS max_dimension FROM s GROUP BY ALL) SELECT language, embedding_model, chunks, cast(min_dimension as int) AS min_dimension, cast(max_dimension as int) AS max_dimension, min(min_dimension) OVER (PARTITION BY language) <> max(max_dimension) OVER (PARTITION BY language) AS mixed_dimensions, min(embedding_model) OVER (PARTITION BY language) <> max(embedding_model) OVER (PARTITION BY language) AS several_models FROM g")

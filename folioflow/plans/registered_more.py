@@ -257,11 +257,21 @@ def _(spark, d):
     return seen.select("doc_id", "media_type", F.array_join("warnings", ",").alias("warnings"), F.char_length(files.decode_text(F.col("content"))).cast("bigint").alias("characters"))
 
 
-@register("r3_legacy_containers", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'LEGACY_DOC_FORMAT' ELSE '' END AS warnings, {_DECLARED} AS media_type FROM documents")
+@register("r3_legacy_containers", f"SELECT doc_id, CASE WHEN contains(text, 'th') THEN 'LEGACY_DOC_FORMAT' ELSE '' END AS warnings, {_DECLARED} AS media_type, strlen(text) + CASE WHEN contains(text, 'th') THEN 8 ELSE 5 END AS octets FROM documents")
 def _(spark, d):
-    old = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("D0CF11E0A1B11AE1")), F.col("text").cast("binary"))).otherwise(F.concat(F.lit("x").cast("binary"), F.unhex(F.lit("D0CF11E0"))))
-    seen = files.sniff_media_type(payloads(spark, d).withColumn("content", old))
-    return seen.select("doc_id", F.array_join("warnings", ",").alias("warnings"), "media_type")
+    """Texts with a th as old containers, the others with its mark in another place."""
+    old, text = F.unhex(F.lit("D0CF11E0A1B11AE1")), F.col("text").cast("binary")
+    made = F.when(F.contains("text", F.lit("th")), F.concat(old, text)).otherwise(F.concat(F.lit("x").cast("binary"), F.substring(old, 1, 4), text))
+    seen = files.sniff_media_type(payloads(spark, d).withColumn("content", made))
+    return seen.select("doc_id", F.array_join("warnings", ",").alias("warnings"), "media_type", F.octet_length("content").cast("bigint").alias("octets"))
+
+
+@register("r1_read_files")
+def _(spark, d):
+    """The files of the table folder: those over the limit are told without being read."""
+    read = files.read_files(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("name"), "media_type", F.octet_length("content").cast("bigint").alias("octets"), F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("code"))
+    large = files.oversized_files(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("name"), "media_type", F.col("length").alias("octets"), F.lit(None).cast("string").alias("sha256"), "code")
+    return read.unionByName(large)
 
 
 @register(
@@ -450,12 +460,12 @@ def _(spark, d):
 
 
 def regions(spark, d):
-    """For each page the boxes of its words 0 to 29 and 100 to 129."""
-    placed = words(spark, d).withColumn("region_no", F.when(F.col("word_no") % 480 < 30, 0).when((F.col("word_no") % 480).between(100, 129), 1)).filter("region_no is not null")
+    """For each page the boxes of its words, thirty at a time."""
+    placed = words(spark, d).withColumn("region_no", F.floor(F.col("word_no") % 480 / 30).cast("int"))
     return placed.groupBy("doc_id", "page_no", "region_no").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
 
 
-_REGIONS = f"(SELECT doc_id, page_no, r AS region_no, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom FROM (SELECT *, CASE WHEN word_no % 480 < 30 THEN 0 WHEN word_no % 480 BETWEEN 100 AND 129 THEN 1 END AS r FROM {WORDS}) WHERE r IS NOT NULL GROUP BY ALL)"
+_REGIONS = f"(SELECT doc_id, page_no, r AS region_no, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom FROM (SELECT *, cast((word_no % 480) // 30 as int) AS r FROM {WORDS}) GROUP BY ALL)"
 
 
 @register(
@@ -489,13 +499,21 @@ def _(spark, d):
     return parsing.grounding_report(made)
 
 
-@register("f11_redact_logs", "SELECT event_id, '[REDACTED]' AS password, 'Bearer [REDACTED]' AS note FROM events")
+_NOTE = "concat(event_type, ' bearer ', replace(event_type, 'e', '.'), cast(user_id as varchar), '; SESSION_ID=', cast(event_id as varchar), ' props ', props, CASE WHEN event_id % 2 = 0 THEN ' Bearer  x/y==' ELSE ' sessions=a session=b-c' END)"
+
+
+@register(
+    "f11_redact_logs",
+    f"SELECT event_id, '[REDACTED]' AS \"Password\", event_type AS kind, regexp_replace(regexp_replace({_NOTE}, '(?i)bearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'), '(?i)(session(?:_?id)?=)[A-Za-z0-9._-]+', '\\1[REDACTED]', 'g') AS note FROM events",
+)
 def _(spark, d):
+    """Notes of event, user and properties with tokens of several spellings; a key to be masked in other case, one to stay."""
     from .registered import _table
 
-    log = _table(spark, d, "events").select("event_id", F.create_map(F.lit("password"), F.col("props"), F.lit("note"), F.concat(F.lit("Bearer "), F.col("event_id").cast("string"))).alias("a"))
+    note = F.expr(_NOTE.replace("varchar", "string"))
+    log = _table(spark, d, "events").select("event_id", F.create_map(F.lit("Password"), F.col("props"), F.lit("kind"), F.col("event_type"), F.lit("note"), note).alias("a"))
     hidden = jobs.redact_logs(log, "a", ["password"])
-    return hidden.select("event_id", F.col("a")["password"].alias("password"), F.col("a")["note"].alias("note"))
+    return hidden.select("event_id", *(F.col("a")[k].alias(k) for k in ("Password", "kind", "note")))
 
 
 _AUDITED = (

@@ -333,13 +333,14 @@ def _vocabulary_sql(table: str) -> str:
     return f"SELECT doc_id, word, count(*) AS n FROM ({words}) GROUP BY ALL"
 
 
-@register("j7_mend_words", f"WITH t AS (SELECT doc_id, replace(text, 'ch', 'c h') AS text FROM documents UNION ALL SELECT doc_id + 1000000, text FROM documents), l AS ({LINE_SQL.replace('FROM documents', 'FROM t')}), v AS ({_vocabulary_sql('documents')}) {mend_sql('l', '(SELECT doc_id, word, n FROM v UNION ALL SELECT doc_id + 1000000, word, n FROM v)')}")
+@register("j7_mend_words", f"WITH t AS (SELECT concat('cut ', doc_id) AS doc_id, replace(text, 'ch', 'c h') AS text FROM documents UNION ALL SELECT concat('whole ', doc_id), text FROM documents), l AS ({LINE_SQL.replace('FROM documents', 'FROM t')}), v AS ({_vocabulary_sql('documents')}) {mend_sql('l', "(SELECT concat(k, doc_id) AS doc_id, word, n FROM v, (SELECT unnest(['cut ', 'whole ']) AS k))")}")
 def _(spark, d):
     """Words cut before an h, and whole ones, against the words of the text."""
     t = docs(spark, d).select("doc_id", "text")
-    cut = t.withColumn("text", F.replace("text", F.lit("ch"), F.lit("c h"))).unionByName(t.withColumn("doc_id", F.col("doc_id") + 1000000))
+    named = lambda df, k: df.withColumn("doc_id", F.concat(F.lit(k), F.col("doc_id").cast("string")))
+    cut = named(t.withColumn("text", F.replace("text", F.lit("ch"), F.lit("c h"))), "cut ").unionByName(named(t, "whole "))
     words = cleaning.vocabulary(t)
-    return cleaning.mend_words(cleaning.split_lines(cut), words.unionByName(words.withColumn("doc_id", F.col("doc_id") + 1000000)))
+    return cleaning.mend_words(cleaning.split_lines(cut), named(words, "cut ").unionByName(named(words, "whole ")))
 
 
 _DIRTY = "replace(replace(text, 'th', concat('t-', chr(10), 'h')), ' de ', concat(chr(10), 'd'' '))"
@@ -498,10 +499,10 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", review.formula_orphans(text).cast("int").alias("orphans"))
 
 
-@register("c23_contradicted_quizzes", "SELECT doc_id, cast(doc_id % 3 as int) AS suggested FROM documents WHERE doc_id % 3 <> doc_id % 4")
+@register("c23_contradicted_quizzes", "SELECT doc_id, cast(length(text) % 3 as int) AS suggested FROM documents WHERE length(text) % 3 <> doc_id % 4")
 def _(spark, d):
     n = F.col("doc_id")
-    told = F.concat("text", F.lit(" La bonne réponse est donc la "), F.substring(F.lit("ABC"), (n % 3 + 1).cast("int"), F.lit(1)), F.lit(") ."))
+    told = F.concat("text", F.lit(" La bonne réponse est donc la "), F.substring(F.lit("ABC"), F.char_length("text") % 3 + 1, F.lit(1)), F.lit(") ."))
     quizzes = docs(spark, d).select("doc_id", told.alias("explanation"), (n % 4).cast("int").alias("answer"))
     return review.contradicted_quizzes(quizzes).select("doc_id", "suggested")
 
@@ -605,11 +606,17 @@ def _(spark, d):
     return review.cap_items(items, 8).select("request_id", "item_no")
 
 
-@register("c34_classify_proposals", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'UNCERTAIN' WHEN 1 THEN 'UNCHANGED' WHEN 2 THEN 'REWRITTEN' WHEN 3 THEN 'SYMBOLS_CHANGED' ELSE 'FORM_ONLY' END AS verdict FROM documents")
+@register(
+    "c34_classify_proposals",
+    "WITH e AS (SELECT doc_id, concat('x', regexp_replace(text, '\\s+', '', 'g')) AS b FROM documents), c AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'incertain' WHEN 1 THEN replace(b, 'ß', 'ss') WHEN 2 THEN concat(b, b, repeat('abc', 40)) WHEN 3 THEN replace(b, 'en', '+') ELSE replace(b, 'th', 'a') END AS a FROM e) "
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'UNCERTAIN' WHEN a = b THEN 'UNCHANGED' WHEN abs(length(a) - length(b)) > 12 AND abs(length(a) - length(b)) / length(b) > 0.4 THEN 'REWRITTEN' WHEN doc_id % 5 = 3 THEN 'SYMBOLS_CHANGED' ELSE 'FORM_ONLY' END AS verdict FROM c",
+)
 def _(spark, d):
+    """What is proposed depends on the letters of the text, and so does the verdict."""
     n = F.col("doc_id") % 5
     before = F.concat(F.lit("x"), F.regexp_replace("text", "\\s+", ""))
-    after = F.when(n == 0, "incertain").when(n == 1, before).when(n == 2, F.concat(before, before, F.repeat(F.lit("abc"), F.lit(40)))).when(n == 3, F.concat(before, F.lit("+"))).otherwise(F.concat(before, F.lit("a")))
+    swap = lambda a, b: F.replace(before, F.lit(a), F.lit(b))
+    after = F.when(n == 0, "incertain").when(n == 1, swap("ß", "ss")).when(n == 2, F.concat(before, before, F.repeat(F.lit("abc"), F.lit(40)))).when(n == 3, swap("en", "+")).otherwise(swap("th", "a"))
     return review.classify_proposals(docs(spark, d).select("doc_id", before.alias("before"), after.alias("after"))).select("doc_id", "verdict")
 
 

@@ -17,12 +17,23 @@ GENERIC = "application/octet-stream"
 LIMIT = 25 * 1024 * 1024
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, media_type, content) of all files below a folder; the type is that of the extension."""
+def _files(spark: SparkSession, folder: str) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", "\\.([A-Za-z0-9]+)$", 1))
     kind = F.coalesce(*(F.when(ext == e, F.lit(t)) for e, t in TYPES.items()), F.lit(GENERIC))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", kind.alias("media_type"), "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).withColumn("media_type", kind)
+
+
+def read_files(spark: SparkSession, folder: str, limit: int = LIMIT) -> DataFrame:
+    """(path, media_type, content) of all files below a folder up to ``limit`` bytes; the type is that of the extension.
+
+    The limit is a filter on the file's length that the source takes, so larger files are not loaded.
+    """
+    return _files(spark, folder).filter(F.col("length") <= limit).select("path", "media_type", "content")
+
+
+def oversized_files(spark: SparkSession, folder: str, limit: int = LIMIT) -> DataFrame:
+    """(path, media_type, length, code) of files over ``limit`` bytes, of which only the listing is read."""
+    return _files(spark, folder).filter(F.col("length") > limit).select("path", "media_type", "length", F.lit("DOCUMENT_TOO_LARGE").alias("code"))
 
 
 def sniff_media_type(df: DataFrame) -> DataFrame:
@@ -37,11 +48,17 @@ def sniff_media_type(df: DataFrame) -> DataFrame:
 
 
 def gate_payloads(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows with binary content, rejected rows with ``code``) of base64 payloads."""
-    raw = F.expr("try_to_binary(payload, 'base64')")
+    """(accepted rows with binary content, rejected rows with ``code``) of base64 payloads.
+
+    A payload that even without line ends is too long for the limit is not decoded.
+    """
+    held = F.length(F.regexp_replace("payload", "[\\r\\n]", ""))
+    longest = (LIMIT + 2) // 3 * 4 + 4
+    raw = F.when((F.length("payload") <= longest) | (held <= longest), F.expr("try_to_binary(payload, 'base64')"))
     decoded = sniff_media_type(df.withColumn("content", raw))
     code = (
-        F.when(F.col("content").isNull(), "INVALID_BASE64")
+        F.when((F.length("payload") > longest) & (held > longest), "DOCUMENT_TOO_LARGE")
+        .when(F.col("content").isNull(), "INVALID_BASE64")
         .when(F.octet_length("content") == 0, "EMPTY_DOCUMENT")
         .when(F.octet_length("content") > LIMIT, "DOCUMENT_TOO_LARGE")
         .when(F.array_contains("warnings", "LEGACY_DOC_FORMAT"), "LEGACY_DOC_FORMAT")

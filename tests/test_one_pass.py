@@ -67,7 +67,7 @@ def test_character_classes_equal_patterns(spark):
 def test_counts_equal_patterns(spark, monkeypatch):
     monkeypatch.setattr(charclasses, "SLICE", 64)
     rng = random.Random(2)
-    pieces = ["Bonjour", "ÉCOLE", "école", "Été", "bcd", "xyz", "aB", "Ab", "abC", "x²", "été³", "(cid:12)", "(cid:x)", "mot(cid:3)mot", "한국", "ª", "ŒUVRE", "œuvre", "a" * 30, "a" * 31, "b" * 29 + "a", "straße", "Ⅳ", "½", "ﬁn", "\n", "  ", "≤", "𝒳", "é"]
+    pieces = ["Bonjour", "ÉCOLE", "école", "Été", "bcd", "xyz", "aB", "Ab", "abC", "x²", "été³", "(cid:12)", "(cid:x)", "mot(cid:3)mot", "한국", "ª", "ŒUVRE", "œuvre", "a" * 30, "a" * 31, "b" * 29 + "a", "straße", "Ⅳ", "½", "ﬁn", "\n", "  ", "≤", " 𝒳 ", "é"]
     texts = [None, "", " ", *("".join(rng.choice(pieces) + rng.choice([" ", "", "-", "\t"]) for _ in range(rng.randint(0, 30))) for _ in range(300))]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     text = F.coalesce("text", F.lit(""))
@@ -83,6 +83,11 @@ def test_counts_equal_patterns(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_a_letter_beyond_the_basic_plane_belongs_to_its_word():
+    table = charclasses.classes("", "")
+    assert charclasses.count_words(["𝒳mot 𝒳 mot"], table)[0, :2].tolist() == [3, 1]
+
+
 @pytest.mark.parametrize("texts", [[], [""], ["a"], ["", "a b", ""]])
 def test_counts_of_few_texts(texts):
     table = charclasses.classes("", "")

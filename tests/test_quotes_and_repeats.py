@@ -121,3 +121,18 @@ def test_a_conversation_of_ten_thousand_turns(spark):
     at = {t: n for n, t in enumerate(base)}
     want = {n: at[t] for _, n, _, t in turns if n >= 1500 and SequenceMatcher(None, t, t).ratio() >= 0.5}
     assert {n: e for n, e in got.items() if n >= 1500} == {n: got[n] for n in want} and all(got[n] <= e for n, e in want.items())
+
+
+def test_large_files_are_not_read(spark, tmp_path):
+    from folioflow.sources import files
+
+    (tmp_path / "a.md").write_bytes(b"x" * 10)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.PDF").write_bytes(b"y" * 100)
+    read = files.read_files(spark, str(tmp_path), 50)
+    assert [(r["media_type"], bytes(r["content"])) for r in read.collect()] == [("text/markdown", b"x" * 10)]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [LessThanOrEqual(length,50)" in plan or "LessThanOrEqual(length,50)" in plan
+    large = files.oversized_files(spark, str(tmp_path), 50)
+    assert [(r["path"].rsplit("/", 1)[1], r["media_type"], r["length"], r["code"]) for r in large.collect()] == [("b.PDF", "application/pdf", 100, "DOCUMENT_TOO_LARGE")]
+    assert "content" not in large._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
