@@ -410,7 +410,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     Null and empty texts give no ids.  Strings of added tokens in a text are those tokens.
     With ``decoded_col`` the ids are also decoded again, in the same worker.  An input column
-    with the name of an output column is replaced.  No shuffle.
+    with the name of an output column is replaced.  No shuffle.  A text is coded whole, however
+    long; repeated rows stay and get equal ids; an empty table stays empty.
     """
 
     def make(batch: pa.RecordBatch) -> list:
@@ -436,7 +437,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
 
 
 def round_trip(df: DataFrame, path: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
+    """Per row: doc_id, n_tokens, and digests of the ids and of the text decoded from them.
+
+    Null texts count as empty; long texts are coded whole; repeated rows stay; other columns are
+    not read; an empty table gives no rows.
+    """
     coded = encode(df.select("doc_id", "text"), path, drop_text=True, decoded_col="decoded")
     return coded.select(
         "doc_id",

@@ -192,7 +192,8 @@ def store(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace the text by ``n_bytes`` and ``media``, a container with its UTF-8 bytes padded by spaces.
 
     Null is an empty text; empty texts are one packet of padding.  Equal texts give equal
-    bytes.  An input column with the name of an output column is replaced.
+    bytes.  An input column with the name of an output column is replaced.  A text is one container,
+    however long; repeated rows stay; an empty table stays empty.
     """
 
     def make(batch: pa.RecordBatch) -> list:
@@ -238,7 +239,7 @@ def probe(df: DataFrame, media_col: str = "media", with_payload: bool = False) -
 
 
 def store_and_probe(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``store``, and ``probe`` with the payload on what was stored, in one pass of the same worker."""
+    """``store``, and ``probe`` with the payload on what was stored, in one pass of the same worker; the same cases hold."""
 
     def make(batch: pa.RecordBatch) -> list:
         stored = list(map(_contained, batch.column(text_col).cast(pa.binary()).to_pylist()))
@@ -248,7 +249,11 @@ def store_and_probe(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def media_report(df: DataFrame) -> DataFrame:
-    """Per row the digests of the stored form and of the payload read back from it, and its features."""
+    """Per row the digests of the stored form and of the payload read back from it, and its features.
+
+    Null texts count as empty; long texts are stored whole; repeated rows stay and get equal values;
+    other columns are not read; an empty table gives no rows.
+    """
     read = store_and_probe(df.select("doc_id", "text"))
     ranges = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("-", k["start"].cast("string"), k["end"].cast("string"))), ",")
     return read.select(

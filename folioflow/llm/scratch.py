@@ -1,29 +1,18 @@
 """Shared intermediate tables.
 
 Lineage is cut by writing Parquet below the folder that the session names in
-``spark.checkpoint.dir``.  Where that setting is absent a temporary folder is used if the
-master is local (tests, a laptop); elsewhere that is an error.
+``spark.checkpoint.dir``; see ``folioflow.scratch``, whose ``clear`` deletes what is left in the end.
 """
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from ..scratch import shared_folder
 
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-folioflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
@@ -45,7 +34,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/folioflow/{name}-{uuid.uuid4().hex}"
+        self.path = shared_folder(spark, name)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back; executors may come and go afterwards."""

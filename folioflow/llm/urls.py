@@ -20,8 +20,7 @@ from .scratch import Scratch
 #: (host, path, verdict) of the contract's rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Links with a scheme, as the SQL for DuckDB has them; HREF also takes those that leave it to the page (``//host/..``).
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: Links with a scheme, and those that leave it to the page (``//host/..``).
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -129,7 +128,9 @@ def judge(pages: DataFrame, rules=RULES, **options) -> DataFrame:
     """page_id, host, path, rule and verdict of each page.
 
     The longest fitting rule decides; else the host's ranks do.  Urls that are null or hold no
-    ``://`` have an empty host, which no rule and no link reaches: they are allowed.
+    ``://`` have an empty host, which no rule and no link reaches: they are allowed.  Pages without
+    html link nowhere; repeated rows count as often as they stand and share a verdict; other columns
+    are not read, whatever they are called; an empty table gives no rows.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     cut = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

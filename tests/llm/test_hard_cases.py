@@ -345,7 +345,7 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         sparkContext = type("C", (), {"master": "spark://somewhere:7077"})
 
     with pytest.raises(ValueError):
-        scratch.shared_root(Session())
+        scratch.shared_folder(Session(), "x")
 
 
 def test_pipeline_on_awkward_tables(spark, tmp_path):

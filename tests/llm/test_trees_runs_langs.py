@@ -307,3 +307,28 @@ def test_the_sample_is_bounded_and_takes_copies_once(spark):
     sample = langid.training_sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 200, 3)
     assert 20 < sample.count() < 300 and sample.count() == sample.distinct().count()
     assert langid.buckets_for(0) == langid.buckets_for(4) == 1 << 18 and langid.buckets_for(100) * 100 <= langid.TABLE
+
+
+def test_url_verdicts_equal_sql_on_linked_hosts(spark, tmp_path):
+    """Chains and rings of links, with and without a scheme: the SQL's unrolled rounds come as close to the fixed point."""
+    duckdb = pytest.importorskip("duckdb")
+    names = ["bad.net", "good.org", *(f"c{i}.io" for i in range(12)), "r0.io", "r1.io", "r2.io"]
+    links = {i: [i - 1, 0] for i in range(3, 14)} | {2: [0], 14: [15, 1], 15: [16], 16: [14, 13], 1: [14]}
+    rows = [(i, f"http://{h}{'/fr/x' if h == 'good.org' else '/p'}", "".join(f'<a href="{"" if j % 2 else "https:"}//{names[j]}/y">y</a>' for j in links.get(i, []))) for i, h in enumerate(names)]
+    rows += [(90, None, "x"), (91, "nothing", None), (92, "HTTP://Sub.Example.com/de/1?q#f", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = con.execute(queries.oracle_sql()["op10_urls"])
+    columns = [c[0] for c in got.description]
+    want = {tuple(r) for r in queries.queries()["op10_urls"](spark, str(tmp_path)).select(*columns).collect()}
+    assert set(got.fetchall()) == want and len({r[columns.index("verdict")] for r in want}) == 2
+
+
+def test_scratch_tables_go_when_cleared(spark):
+    from folioflow import scratch
+
+    merkle.merkle_report(spark.createDataFrame([(1, "s", "en", 1, "A")], SCHEMA)).collect()
+    made = list(scratch._MADE)
+    assert made and scratch.clear(spark) == len(made) and scratch.clear(spark) == 0
+    assert not any(Path(p.removeprefix("file://")).exists() for p in made)
