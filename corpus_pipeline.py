@@ -36,7 +36,8 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; every secret in a text is replaced by its kind, and n_chars follows.
 
-    Null and empty texts, repeated rows and columns of any name stay as they are.
+    Null and empty texts, repeated rows and columns of any name stay as they are.  An empty table
+    stays empty.
     """
     spans = next(n for n in (f"_secrets{i}" for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
     found = secrets.redact(secrets.scan(docs, out=spans), spans_col=spans)
@@ -49,7 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of sources takes them: not at all, or up to three times.
 
     Null sources are one source; texts without words weigh nothing and go with their hash;
-    rows equal in id and text share a decision.  All columns stay.
+    rows equal in id and text share a decision.  All columns stay.  An empty table stays empty.
     """
     return mixing.mix_rows(docs)
 
@@ -57,7 +58,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and ids of each row, and whether the ids decode to the text.
 
-    Null texts count as empty and give no ids; repeated rows stay; other columns go.
+    Null texts count as empty and give no ids; repeated rows stay; other columns go.  An empty
+    table gives no rows.
     """
     import public_tokenizers
 
