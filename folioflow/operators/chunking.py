@@ -124,9 +124,9 @@ def chunk_corpus(
     Null, empty and blank texts give no passage.  ``counter`` is a name or a callable.
     """
     if max_tokens < 1:
-        raise ValueError("max_tokens must be positive")
+        raise ValueError("a passage holds one token at least")
     if overlap >= max_tokens:
-        raise ValueError("overlap must stay below max_tokens")
+        raise ValueError("the overlap would fill a whole passage")
     count = COUNTERS[counter] if isinstance(counter, str) else counter
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -206,12 +206,12 @@ def _replaced(text: str, pairs) -> str:
 
 
 def _spoken_sql() -> str:
-    steps = [(r"(?m)^##+ *p\. *\d+ *$", ""), (r"\[FIGURE [^\]]+\]", "Voir la figure."), (r"\[LACUNE[^\]]*\]", ""), (r"(?m)^\|.*\|\s*$", "")]
+    steps = [(parsing.PAGE_LINE, ""), (parsing.FIGURE_MARK, "Voir la figure."), (parsing.GAP_MARK, ""), (parsing.TABLE_ROW, "")]
     text = "t"
     for pattern, by in steps:
         text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
     text = f"concat({text}, chr(10), 'Voir le tableau.')"
-    for pattern, by in ((r"(?m)^#+ *", ""), (r"\*{1,2}([^*]+)\*{1,2}", r"\1"), ("([A-Z]{1,3})\u20d7", r"le vecteur \1")):
+    for pattern, by in ((parsing.HEADING_MARK, ""), (parsing.EMPHASIS, r"\1"), (parsing.VECTOR, r"le vecteur \1")):
         text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
     text = f"translate({_replaced(text, parsing.SPOKEN)}, '₀₁₂₃₄₅₆₇₈₉', '0123456789')"
     for _ in range(2):  # neighbours share a letter

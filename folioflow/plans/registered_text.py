@@ -46,7 +46,7 @@ def _(spark, d):
     return marked.select("doc_id", tx.figures_in(F.col("t")).alias("f")).select("doc_id", F.size("f").cast("bigint").alias("n"), F.col("f")[0].alias("first"))
 
 
-@register("c3_fold", "SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents WHERE lang <> 'zz'")
+@register("c3_fold", "SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
 def _(spark, d):
     # ß is a letter of its own for NFKD, so both sides keep it
     return docs(spark, d).select("doc_id", tx.fold(F.col("text")).alias("folded"))
@@ -195,7 +195,6 @@ def _(spark, d):
     return runs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), F.sum(words).alias("pieces"))
 
 
-CELLS = "concat('| ', substr(text, 1, 60), ' | ', substr(text, 1, 60), ' |', chr(10), '| ', source, ' | ', substr(text, 1, 60), ' |')"
 
 
 
