@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Letters of French words, and their vowels (fixed values).
 FRENCH = "abcdefghijklmnopqrstuvwxyzàâäçéèêëîïñôöùûüÿœæ"
 VOWELS = "aeiouyàâäéèêëîïôöùûÿœæ"
+#: What patterns call a blank.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def _rx(pattern: str) -> Column:
@@ -23,7 +25,7 @@ def normalise_text(text: Column) -> Column:
     text = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
     text = F.regexp_replace(text, "[ \\t]+\\n", "\n")
     text = F.regexp_replace(text, "\\n{3,}", "\n\n")
-    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse_blanks(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -140,7 +141,7 @@ def mend_words(lines: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, "^\\s+|\\s+$", "")
+    return F.btrim(c, F.lit(tx.BLANKS))
 
 
 def furniture_keys(text: Column, share: float = 0.04) -> Column:
@@ -176,14 +177,13 @@ def mended(text: str) -> str:
     """A text with its split words joined, its own words being the vocabulary; see ``mend_words``."""
     parts = _PIECES.split(text)
     tokens, gaps = parts[1::2], parts[2::2]
-    low = [t.lower() for t in tokens]
-    known = Counter(w for t, w in zip(tokens, low) if len(t) >= 3)  # noqa: B905
+    low = list(map(str.lower, tokens))
+    known = Counter(low) if len(text) == len(text.lower()) else Counter(w for t, w in zip(tokens, low, strict=True) if len(t) >= 3)
     known.update(CALENDAR)
-    sure = lambda w: known[w] >= 2 or w in _GRAMMAR
+    sure = lambda w: (len(w) >= 3 and known[w] >= 2) or w in _GRAMMAR
     last = -2
-    for i, (left, right, gap) in enumerate(zip(low, low[1:], gaps)):  # noqa: B905
-        whole = left + right
-        if gap == " " and whole in known and i != last + 1 and len(whole) >= 4 and not (sure(left) and sure(right)):
+    for i in [i for i, whole in enumerate(map(add, low, low[1:])) if whole in known]:  # few are
+        if gaps[i] == " " and i != last + 1 and len(low[i]) + len(low[i + 1]) >= 4 and not (sure(low[i]) and sure(low[i + 1])):
             parts[2 * i + 2], last = "", i
     return "".join(parts) if last >= 0 else text
 
