@@ -27,6 +27,8 @@ SAMPLE = 16_384
 MOST_CELLS = 1024
 #: Passages of a block, and queries that meet it at once, about.
 BLOCK = 2048
+#: Passages that are met whole: bounds for so few blocks cost more than they exclude.
+FEW = 4 * BLOCK
 QUERIES = 50_000
 _KEYS = ["dim", "scope", "of", "cell", "split", "part"]
 
@@ -52,7 +54,7 @@ def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Cells:
-    """Centres by number of dimensions."""
+    """Centres by number of dimensions; without any, all vectors are in one cell."""
 
     centres: dict[int, np.ndarray]
 
@@ -192,18 +194,22 @@ class Visits:
     live: DataFrame
 
 
-def exact(passages: DataFrame, queries: DataFrame, on: list[str], k: int, by: list[str] | None = None, cells: Cells | None = None, block: int = BLOCK) -> tuple[DataFrame, Visits]:
+def exact(passages: DataFrame, queries: DataFrame, on: list[str], k: int, by: list[str] | None = None, cells: Cells | None = None, block: int = BLOCK, few: int = FEW) -> tuple[DataFrame, Visits]:
     """(query_id, of, id, distance, rank) of the k nearest passages of each query and value of ``by``, and the visits.
 
     ``passages``: chunk_id (unique), embedding and the columns ``on`` and ``by``; ``queries``: query_id
     (unique), vector and ``on``.  Vectors without a direction and scopes with a null find nothing;
-    vectors of different sizes never meet; distances equal to nine digits go by id.
+    vectors of different sizes never meet; distances equal to nine digits go by id.  Up to ``few``
+    passages are one cell, whose blocks all queries of their scope visit.
     """
-    cells = cells or learn_cells(passages)
+    whole = cells is None and usable(passages, "embedding").limit(few + 1).count() <= few
+    cells = cells or (Cells({}) if whole else learn_cells(passages))
     rows = usable(passages, "embedding").filter(_known(on)).select(F.col("chunk_id").alias("id"), _scope(on).alias("scope"), _scope(by or []).alias("of"), F.col("embedding").alias("v"))
     placed = saved(_place(rows, cells, 1, False), "placed")
     directory = saved(_directory(placed, block), "cells")
     possible = _asked(queries, cells, on, None).join(directory, ["dim", "scope", "cell"])
+    if whole:
+        return _best(_meet(placed, directory, possible, queries, k, False), k), Visits(possible, possible)
     # of those that hold k passages the nearest cell, else the nearest
     home = possible.groupBy("query_id", "of").agg(F.min(F.struct(F.col("n") < k, "angle", "cell", "dim", "scope", "blocks")).alias("home"))
     home = home.select("query_id", "of", "home.cell", "home.dim", "home.scope", "home.blocks")

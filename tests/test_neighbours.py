@@ -50,16 +50,17 @@ def test_exact_search_equals_brute_force(spark, kind):
     extra = lambda i: (("en", "fr", None)[i % 3 if i % 7 else 0], ("a", "b", None)[i % 5 % 3])
     passages = table(spark, vectors, extra)
     rows = passages.collect()
-    for on, by, block in (([], None, 64), (["language"], None, 2048), (["language"], ["role"], 16)):
-        found = retrieval.search(passages, asked(passages, 20), on, 5, by, block=block)
-        assert got(found) == brute(rows, 20, 5, bool(on), bool(by)), (on, by)
+    for on, by, block, few in (([], None, 64, 0), (["language"], None, 2048, 0), (["language"], ["role"], 16, 0), (["language"], ["role"], 16, 1000), ([], None, 2048, 400)):
+        found = retrieval.search(passages, asked(passages, 20), on, 5, by, block=block, few=few)
+        assert got(found) == brute(rows, 20, 5, bool(on), bool(by)), (on, by, few)
 
 
 def test_vectors_without_a_direction_and_of_other_sizes(spark):
     vectors = [[1, 0], [0, 0], None, [1, 1], [1, 0, 0], [0, 1, 0], [float("nan"), 1], [0, 1]]
     passages = table(spark, vectors)
-    found = retrieval.search(passages, asked(passages, 1), [], 3)
-    assert got(found) == {(q, c, r) for q, c, r in brute(passages.filter("chunk_id != 6").collect(), 1, 3)}
+    for few in (0, neighbours.FEW):
+        found = retrieval.search(passages, asked(passages, 1), [], 3, few=few)
+        assert got(found) == brute(passages.filter("chunk_id != 6").collect(), 1, 3)
     assert retrieval.search(passages.limit(0), asked(passages, 1), [], 3).collect() == []
     assert retrieval.search(passages, asked(passages, 1).limit(0), [], 3).collect() == []
 
@@ -67,7 +68,7 @@ def test_vectors_without_a_direction_and_of_other_sizes(spark):
 def test_far_cells_are_not_visited(spark):
     passages = table(spark, clustered(np.random.default_rng(2), 3000))
     queries = asked(passages, 100)
-    found, visits = neighbours.exact(passages, queries, [], 5, block=64)
+    found, visits = neighbours.exact(passages, queries, [], 5, block=64, few=0)
     blocks = lambda df: df.selectExpr("sum(blocks)").first()[0] or 0
     assert blocks(visits.live) < 0.1 * blocks(visits.possible)
     plan = found._jdf.queryExecution().toString()
@@ -78,7 +79,7 @@ def test_far_cells_are_not_visited(spark):
 def test_queries_that_meet_a_block_in_parts(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "QUERIES", 10)
     passages = table(spark, clustered(np.random.default_rng(3), 200, centres=5))
-    assert got(retrieval.search(passages, asked(passages, 4), [], 3, block=20)) == brute(passages.collect(), 4, 3)
+    assert got(retrieval.search(passages, asked(passages, 4), [], 3, block=20, few=0)) == brute(passages.collect(), 4, 3)
 
 
 def test_approximate_search_recall_and_candidates(spark):
@@ -100,4 +101,4 @@ def test_approximate_search_recall_and_candidates(spark):
 
 def test_a_vector_that_many_passages_share(spark):
     passages = table(spark, [[1, 2, 3]] * 500 + [[3, 2, i % 9] for i in range(100)])
-    assert got(retrieval.search(passages, asked(passages, 50), [], 4, block=32)) == brute(passages.collect(), 50, 4)
+    assert got(retrieval.search(passages, asked(passages, 50), [], 4, block=32, few=0)) == brute(passages.collect(), 50, 4)
