@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import cosine_distance, score
-from ..operators import chunking, cleaning, joblog, quality, repair, retrieval, review, tables
+from ..operators import chunking, cleaning, joblog, quality, rangefiles, repair, retrieval, review, tables
 from ..schemas import Scope
+from ..scratch import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +97,20 @@ def _(spark, d):
     return tables.upsert_documents(library(spark, d), incoming(spark, d)).select(*SHORT)
 
 
+BANDED = "substr(external_id, 1, 1) = '1' AND cast(external_id as bigint) % 10 = 0"
+
+
+@register("w1_upsert_ranges", f"WITH c AS ({LIB}), i AS (SELECT * FROM ({INC}) WHERE {BANDED}) SELECT external_id, course_id, indexed_at, content FROM c WHERE external_id NOT IN (SELECT external_id FROM i) AND NOT substr(external_id, 1, 1) = '3' UNION ALL SELECT external_id, course_id, indexed_at, content FROM i")
+def _(spark, d):
+    """The library as files by ranges of ids: a batch whose ids lie side by side, then a deletion."""
+    lib = library(spark, d)
+    stored = rangefiles.RangeTable(spark, shared_folder(spark, "ranges"), lib.schema, rows_per_file=20_000)
+    stored.replace(lib)
+    stored.upsert(incoming(spark, d).filter(BANDED))
+    stored.delete(lib.filter("substr(external_id, 1, 1) = '3'").select("external_id"))
+    return stored.current().select(*SHORT, "content")
+
+
 _OLD_CHUNKS = "(SELECT cast(doc_id as string) AS external_id, cast(i as int) AS ordinal, p[i + 1] AS content FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))"
 
 
