@@ -368,3 +368,17 @@ def test_pipeline_on_awkward_tables(spark, tmp_path):
                 assert out.count() == 0
             docs = spark.createDataFrame(out.collect(), out.schema)
         assert all(r["round_trip"] for r in docs.collect())
+
+
+def test_topk_counts_and_main_terms():
+    texts = ["b a b", None, "", "A a é é", "one", " , ", "x y z x"]
+    row, term, tf, lengths = topk.counted(pa.array(texts))
+    words = [(t or "").lower().replace(",", " ").split() for t in texts]
+    name = {w: int(topk.terms(pa.array([w]))[0][0]) for ws in words for w in ws}
+    want = Counter((i, name[w]) for i, ws in enumerate(words) for w in ws)
+    assert dict(zip(zip(row.tolist(), term.tolist(), strict=True), tf.tolist(), strict=True)) == want
+    assert lengths.tolist() == [len(ws) for ws in words] and (np.diff(row) >= 0).all()
+    best = [min((-n, t) for (r, t), n in want.items() if r == i)[1] if ws else 0 for i, ws in enumerate(words)]
+    assert topk._main_terms(row, term, tf, len(texts)).tolist() == best
+    none = topk.counted(pa.array([], pa.string()))
+    assert len(none[0]) == 0 and topk._main_terms(*none[:3], 0).tolist() == []
