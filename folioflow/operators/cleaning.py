@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from operator import add
 
 import pandas as pd
@@ -116,28 +116,22 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def mend_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     """Join two neighbouring pieces of a line when the whole is a word of the document and not both pieces are.
 
-    Of overlapping joins the left one is made.
+    Of overlapping joins the left one is made.  A document's lines and its words meet once, as one row each.
     """
-    letters = "[\\p{L}\\p{Nl}\\p{No}]+"
-    pieces = lines.select("doc_id", "line_no", F.regexp_extract_all("line", F.lit(letters), F.lit(0)).alias("t"), F.split("line", letters, -1).alias("g"))
-    flat = pieces.select("doc_id", "line_no", "g", F.posexplode_outer("t").alias("i", "token"))
-    w = Window.partitionBy("doc_id", "line_no").orderBy("i")
-    flat = flat.withColumn("right", F.lead("token").over(w)).withColumn("gap", F.get("g", F.col("i"))).withColumn("next_gap", F.get("g", F.col("i") + 1))
-    flat = flat.withColumn("left_l", F.lower("token")).withColumn("right_l", F.lower("right")).withColumn("whole", F.lower(F.concat("token", "right")))
-    lookup = lambda name, least: words.filter(F.col("n") >= least).select("doc_id", F.col("word").alias(name), F.lit(True).alias(f"{name}_known"))
-    flat = flat.join(lookup("whole", 1), ["doc_id", "whole"], "left").join(lookup("left_l", 2), ["doc_id", "left_l"], "left").join(lookup("right_l", 2), ["doc_id", "right_l"], "left")
-    known = lambda c: F.coalesce(F.col(f"{c}_known"), F.lit(False)) | F.col(c).isin(*GRAMMAR)
-    wants = F.coalesce((F.col("next_gap") == " ") & F.col("whole_known") & (F.char_length("whole") >= 4) & ~(known("left_l") & known("right_l")), F.lit(False))
-    flat = flat.withColumn("wants", wants)
-    island = F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "line_no", "wants").orderBy("i"))
-    flat = flat.withColumn("island", island)
-    turn = F.row_number().over(Window.partitionBy("doc_id", "line_no", "wants", "island").orderBy("i"))
-    flat = flat.withColumn("joins", F.col("wants") & (turn % 2 == 1)).withColumn("glued", F.coalesce(F.lag("joins").over(w), F.lit(False)))
-    text = F.concat(F.when(F.col("glued"), F.lit("")).otherwise(F.coalesce("gap", F.lit(""))), F.coalesce("token", F.lit("")))
-    packed = flat.groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("i", F.lit(-1)).alias("i"), text.alias("s")))).alias("p"), F.first("g").alias("g"))
-    tail = F.element_at("g", -1)
-    whole = F.concat(F.array_join(F.transform("p", lambda x: x["s"]), ""), tail)
-    return packed.select("doc_id", "line_no", whole.alias("line"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for held, once, often in zip(frame["lines"], frame["once"], frame["often"], strict=True):
+                known = dict.fromkeys(() if once is None else once, 1) | dict.fromkeys(() if often is None else often, 2)
+                made.append([None if line is None else _mended(line, known) for line in held])
+            yield frame[["doc_id", "numbers"]].assign(lines=made)
+
+    packed = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l")).select("doc_id", F.col("l.line_no").alias("numbers"), F.col("l.line").alias("lines"))
+    of = lambda cond: F.collect_list(F.when(cond, F.col("word")))
+    held = words.filter("n >= 1").groupBy("doc_id").agg(of(F.col("n") == 1).alias("once"), of(F.col("n") >= 2).alias("often"))
+    done = packed.join(held, "doc_id", "left").mapInPandas(run, packed.schema)
+    return done.select("doc_id", F.inline(F.arrays_zip("numbers", "lines"))).toDF("doc_id", "line_no", "line")
 
 
 def _trimmed(c: Column) -> Column:
@@ -173,14 +167,21 @@ def joined_lines(lines: Column) -> Column:
 _PIECES = re.compile(r"([^\W\d_]+)")
 
 
-def mended(text: str) -> str:
-    """A text with its split words joined, its own words being the vocabulary; see ``mend_words``."""
+def _counts(tokens: list[str], low: list[str]) -> Counter:
+    """How often each word stands among runs of letters, as ``vocabulary`` has it; words under three letters don't matter."""
+    known = Counter(low) if sum(map(len, tokens)) == sum(map(len, low)) else Counter(w for t, w in zip(tokens, low, strict=True) if len(t) >= 3)
+    known.update(CALENDAR)
+    return known
+
+
+def _mended(text: str, known: Mapping[str, int] | None = None) -> str:
+    """A text with its split words joined by a vocabulary, or by its own words."""
     parts = _PIECES.split(text)
     tokens, gaps = parts[1::2], parts[2::2]
     low = list(map(str.lower, tokens))
-    known = Counter(low) if len(text) == len(text.lower()) else Counter(w for t, w in zip(tokens, low, strict=True) if len(t) >= 3)
-    known.update(CALENDAR)
-    sure = lambda w: (len(w) >= 3 and known[w] >= 2) or w in _GRAMMAR
+    if known is None:
+        known = _counts(tokens, low)
+    sure = lambda w: (len(w) >= 3 and known.get(w, 0) >= 2) or w in _GRAMMAR
     last = -2
     for i in [i for i, whole in enumerate(map(add, low, low[1:])) if whole in known]:  # few are
         if gaps[i] == " " and i != last + 1 and len(low[i]) + len(low[i + 1]) >= 4 and not (sure(low[i]) and sure(low[i + 1])):
@@ -188,17 +189,28 @@ def mended(text: str) -> str:
     return "".join(parts) if last >= 0 else text
 
 
+def mended(text: str, by: str | None = None) -> str:
+    """A text with its split words joined, the words of ``by``, or its own, being the vocabulary; see ``mend_words``."""
+    if by is None:
+        return _mended(text)
+    tokens = _PIECES.findall(by)
+    return _mended(text, _counts(tokens, list(map(str.lower, tokens))))
+
+
 _GRAMMAR = frozenset(GRAMMAR)
 
 
-def mend_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with split words joined, each text by its own vocabulary; whole batches of texts."""
+def mend_texts(docs: DataFrame, by: str | None = None) -> DataFrame:
+    """(doc_id, text) with split words joined, each text by its own vocabulary or by that of the column ``by``; whole batches of texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(text=frame["text"].map(mended))
+            others = frame[by] if by else [None] * len(frame)
+            made = [None if text is None else mended(text, other) for text, other in zip(frame["text"], others, strict=True)]
+            yield frame[["doc_id"]].assign(text=pd.Series(made, index=frame.index, dtype=object))
 
-    return docs.select("doc_id", "text").mapInPandas(run, docs.select("doc_id", "text").schema)
+    kept = docs.select("doc_id", "text", *([by] if by else []))
+    return kept.mapInPandas(run, docs.select("doc_id", "text").schema)
 
 
 def clean_corpus(docs: DataFrame) -> DataFrame:

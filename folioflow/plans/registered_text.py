@@ -334,12 +334,10 @@ def _vocabulary_sql(table: str) -> str:
 
 @register("j7_mend_words", f"WITH t AS (SELECT concat('cut ', doc_id) AS doc_id, replace(text, 'ch', 'c h') AS text FROM documents UNION ALL SELECT concat('whole ', doc_id), text FROM documents), l AS ({LINE_SQL.replace('FROM documents', 'FROM t')}), v AS ({_vocabulary_sql('documents')}) {mend_sql('l', "(SELECT concat(k, doc_id) AS doc_id, word, n FROM v, (SELECT unnest(['cut ', 'whole ']) AS k))")}")
 def _(spark, d):
-    """Words cut before an h, and whole ones, against the words of the text."""
-    t = docs(spark, d).select("doc_id", "text")
-    named = lambda df, k: df.withColumn("doc_id", F.concat(F.lit(k), F.col("doc_id").cast("string")))
-    cut = named(t.withColumn("text", F.replace("text", F.lit("ch"), F.lit("c h"))), "cut ").unionByName(named(t, "whole "))
-    words = cleaning.vocabulary(t)
-    return cleaning.mend_words(cleaning.split_lines(cut), named(words, "cut ").unionByName(named(words, "whole ")))
+    """Words cut before an h, and whole ones, against the words of the text: all of it in the row of the document."""
+    both = F.inline(F.array(*(F.struct(F.lit(k).alias("k"), t.alias("read")) for k, t in (("cut ", F.replace("text", F.lit("ch"), F.lit("c h"))), ("whole ", F.col("text"))))))
+    pairs = docs(spark, d).select("doc_id", "text", both).select(F.concat("k", F.col("doc_id").cast("string")).alias("doc_id"), F.col("read").alias("text"), F.col("text").alias("by"))
+    return cleaning.split_lines(cleaning.mend_texts(pairs, by="by"))
 
 
 _DIRTY = "replace(replace(text, 'th', concat('t-', chr(10), 'h')), ' de ', concat(chr(10), 'd'' '))"
