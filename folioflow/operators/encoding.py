@@ -14,6 +14,10 @@ from . import quality
 CANDIDATES = (("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "latin-1"), ("latin-1", "cp1252"))
 #: Least words of a font to judge it, least gain over leaving it alone, least fitness of a readable font.
 SAMPLE, MARGIN, FLOOR = 20, 0.05, 0.80
+#: What a word holds that some reading changes.
+CHANGEABLE = "[^\\x00-\\x7f]|^\\(cid:"
+#: One word of plain letters, all but the first small, maybe with a sign behind it.
+PLAIN_WORD = "^[A-Z]?[a-z]{1,29}[.,;:!?]?$"
 #: First and last code points of writing systems.
 SCRIPTS = (
     ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC0, 0x24F), ("latin", 0x1E00, 0x1EFF),
@@ -54,13 +58,15 @@ def choose_font_tables(words: DataFrame) -> DataFrame:
     """
     # one row a distinct word; a candidate counts only by the words that it changes
     once = words.groupBy("doc_id", "font", "text").agg(F.count(F.lit(1)).alias("k"))
-    tokens = lambda c: F.regexp_count(c, F.lit(quality.LETTER + "+"))
-    good = lambda c: F.regexp_count(c, F.lit(f"(?<!{quality.LETTER})(?:{quality.WORD})(?!{quality.LETTER})"))
-    pieces = lambda c: F.regexp_count(c, F.lit(quality.ANY_LETTER + "+"))
+    # most words are plain ones, whose counts two short patterns tell
+    plain_one = lambda c, yes, no: F.when(c.rlike(PLAIN_WORD), yes).otherwise(F.regexp_count(c, F.lit(no)))
+    tokens = lambda c: plain_one(c, F.lit(1), quality.LETTER + "+")
+    good = lambda c: plain_one(c, c.rlike("[AEIOUYaeiouy]|^[A-Za-z]{1,2}[.,;:!?]?$").cast("int"), f"(?<!{quality.LETTER})(?:{quality.WORD})(?!{quality.LETTER})")
+    pieces = lambda c: plain_one(c, F.lit(1), quality.ANY_LETTER + "+")
     judged = lambda c: (tokens(c).alias("n"), good(c).alias("good"), pieces(c).alias("after"))
     plain = once.select("doc_id", "font", "text", "k", *judged(F.col("text")))
     reads = F.array(*(F.struct(F.lit(i).alias("candidate"), repaired(F.col("text"), c).alias("read")) for i, c in enumerate(CANDIDATES)))
-    may = F.col("text").rlike("[^\\x00-\\x7f]|^\\(cid:")  # nothing else changes
+    may = F.col("text").rlike(CHANGEABLE)
     changed = plain.filter(may).select("*", F.explode(F.filter(reads, lambda v: v["read"] != F.col("text"))).alias("v"))
     delta = changed.select("doc_id", "font", "v.candidate", *((c - F.col(name)) * F.col("k") for c, name in zip(judged(F.col("v.read")), ("n", "good", "after"), strict=True)))
     delta = delta.toDF("doc_id", "font", "candidate", "n", "good", "after").groupBy("doc_id", "font", "candidate").agg(*(F.sum(c).alias(f"d_{c}") for c in ("n", "good", "after")))
@@ -95,7 +101,9 @@ def rescue(word: Column) -> Column:
 def word_plan(words: DataFrame, tables: DataFrame) -> DataFrame:
     """(doc_id, word, fixed): words that every occurrence, in whatever font, repairs to the same other word."""
     chosen = reduce(lambda w, ic: w.when(F.col("candidate") == ic[0], repaired(F.col("text"), ic[1])), enumerate(CANDIDATES), F).otherwise(F.col("text"))
-    read = words.join(tables.select("doc_id", "font", "candidate"), ["doc_id", "font"], "left").withColumn("fixed", chosen)
+    # all readings leave other words as they are, and equal words of a font are read alike
+    once = words.filter(F.col("text").rlike(CHANGEABLE)).select("doc_id", "font", "text").distinct()
+    read = once.join(tables.select("doc_id", "font", "candidate"), ["doc_id", "font"], "left").withColumn("fixed", chosen)
     each = read.select("doc_id", F.col("text").alias("word"), rescue(F.col("fixed")).alias("fixed"))
     agreed = each.groupBy("doc_id", "word").agg(F.min("fixed").alias("fixed"), F.max("fixed").alias("other"))
     return agreed.filter("fixed = other and fixed != word").select("doc_id", "word", "fixed")

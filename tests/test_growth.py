@@ -66,3 +66,28 @@ def test_layout_in_page_rows_equals_layout_of_single_words(spark):
 def test_no_word_is_shuffled(spark, name):
     if DIR.exists():
         assert shuffles(catalog.queries()[name](spark, str(DIR))) == 0
+
+
+def test_plain_words_are_judged_as_by_the_long_patterns(spark):
+    from folioflow.operators import encoding, quality
+
+    words = ["a", "b", "Ab", "xyz", "mot", "Mot,", "MOT", "mOt", "rythm", "Xyz.", "x" * 31, "a" * 30, "l'eau", "ab.cd", "été", "²", "bc!", "Q?"]
+    df = spark.createDataFrame([(w,) for w in words], "t string").filter(F.col("t").rlike(encoding.PLAIN_WORD))
+    long = df.select(F.regexp_count("t", F.lit(quality.LETTER + "+")), F.regexp_count("t", F.lit(quality.ANY_LETTER + "+")), F.regexp_count("t", F.lit(f"(?<!{quality.LETTER})(?:{quality.WORD})(?!{quality.LETTER})")), "t").collect()
+    short = {r[0]: int(r[1]) for r in df.select("t", F.col("t").rlike("[AEIOUYaeiouy]|^[A-Za-z]{1,2}[.,;:!?]?$")).collect()}
+    assert all((r[0], r[1], r[2]) == (1, 1, short[r[3]]) for r in long) and {"Ab", "xyz", "Xyz.", "bc!", "Mot,"} <= set(short)
+
+
+def test_lines_keep_their_starts_and_stay_in_the_row(spark):
+    from folioflow.operators import quality
+
+    texts = ["", "\n", "é\n\nab", "\n".join("x" * (i % 7) for i in range(700)), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = quality.lines(docs, "doc_id")
+    want = []
+    for i, t in enumerate(texts):
+        at = 0
+        for n, line in enumerate((t or "").split("\n")):
+            want.append((i, n, line, at))
+            at += len(line) + 1
+    assert rows(got) == sorted(want) and shuffles(got) == 0
