@@ -158,21 +158,29 @@ def running_sum(values: Column) -> Column:
         start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(items, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"] + x)).alias("out")))
 
-    def step(acc: Column, at: Column) -> Column:
-        done = within(acc["at"], F.slice(values, at, STEP))
-        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+    def summed(values: Column) -> Column:
+        def step(acc: Column, at: Column) -> Column:
+            done = within(acc["at"], F.slice(values, at, STEP))
+            return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
-    steps = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.aggregate(steps, start, step)["out"])
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        steps = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.aggregate(steps, start, step)["out"])
+
+    # bound as the item of an array: the values are computed once, not once a step
+    return F.transform(F.array(values), summed)[0]
 
 
 def spans(text: Column, pattern: str) -> Column:
     """Matches of a pattern as structs (start, end, match), in code points: what lies between them gives the starts."""
-    found = F.regexp_extract_all(text, _rx(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    ends = running_sum(F.zip_with(gaps, found, lambda g, m: F.char_length(g) + F.char_length(m)))
-    made = F.zip_with(ends, found, lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("match")))
+
+    def placed(cut: Column) -> Column:
+        found, gaps = cut["found"], F.slice(cut["gaps"], 1, F.size(cut["found"]))
+        ends = running_sum(F.zip_with(gaps, found, lambda g, m: F.char_length(g) + F.char_length(m)))
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("match")))
+
+    cut = F.struct(F.regexp_extract_all(text, _rx(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    made = F.transform(F.array(cut), placed)[0]
     # most texts have no match, and then nothing else is looked at
     return F.when(F.regexp_like(text, _rx(pattern)), made).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 

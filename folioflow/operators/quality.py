@@ -90,10 +90,15 @@ def corrupted_pages(pages: DataFrame, floor: float = 0.80) -> DataFrame:
 
 
 def lines(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, line_no, line, start) of every line; one shuffle by document."""
-    cut = df.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("line_no", "line"))
-    before = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return cut.withColumn("start", F.coalesce(F.sum(F.char_length("line") + 1).over(before), F.lit(0)).cast("int"))
+    """(id, line_no, line, start) of every line; a text is cut in its row, without a shuffle."""
+
+    def placed(cut: Column) -> Column:
+        ends = tx.running_sum(F.transform(cut, lambda x: F.char_length(x) + 1))
+        return F.zip_with(cut, ends, lambda x, end: F.struct(x.alias("line"), (end - F.char_length(x) - 1).alias("start")))
+
+    # bound as the item of an array, so that the text is cut once
+    made = F.transform(F.array(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)), placed)[0]
+    return df.select(id_col, F.posexplode(made).alias("line_no", "l")).select(id_col, "line_no", "l.line", "l.start")
 
 
 def _issue(kind, start, end, excerpt) -> list[Column]:
