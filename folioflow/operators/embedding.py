@@ -18,11 +18,12 @@ def hashing_encoder(dimension: int = 64) -> Encoder:
     """A deterministic stand-in for a model: signed hashed words, normalised."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimension), np.float32)
-        for row, text in enumerate(texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                out[row, h % dimension] += 1 if h & 0x80000000 else -1
+        words = [text.lower().split() for text in texts]
+        flat = [w for ws in words for w in ws]
+        known = {w: zlib.crc32(w.encode()) for w in set(flat)}
+        h = np.fromiter((known[w] for w in flat), np.int64, len(flat))
+        at = np.repeat(np.arange(len(texts)), [len(ws) for ws in words]) * dimension + h % dimension
+        out = np.bincount(at, np.where(h & 0x80000000, 1.0, -1.0), len(texts) * dimension).reshape(len(texts), dimension).astype(np.float32)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size > 0, size, 1)
 

@@ -26,8 +26,12 @@ def _sortable(df: DataFrame, name: str) -> bool:
 
 def upsert_documents(current: DataFrame, incoming: DataFrame, order: str = "indexed_at", key: str = "external_id") -> DataFrame:
     """``current`` with every document of ``incoming`` put in or replaced whole; a replay changes nothing."""
-    fresh = latest(incoming, [key], order)
-    return without_keys(current, incoming.select(key), key).unionByName(fresh, allowMissingColumns=False)
+    return put_documents(current, latest(incoming, [key], order), key)
+
+
+def put_documents(current: DataFrame, fresh: DataFrame, key: str = "external_id") -> DataFrame:
+    """The same for documents of which each key has one row."""
+    return without_keys(current, fresh.select(key), key).unionByName(fresh, allowMissingColumns=False)
 
 
 def replace_chunks(current: DataFrame, incoming_docs: DataFrame, incoming_chunks: DataFrame, key: str = "external_id") -> DataFrame:

@@ -17,22 +17,22 @@ def chunk_ids(chunks: DataFrame) -> DataFrame:
 
 def index_corpus(docs: DataFrame, chunks: DataFrame, incoming: DataFrame, encoder: Encoder, model: str, order: str = "indexed_at", **sizes) -> dict[str, DataFrame]:
     """Validate, chunk, embed, gate and replace: new ``documents`` and ``chunks``, and what was ``rejected`` with its code."""
-    valid, wrong_role = tables.validate_roles(tables.latest(incoming, ["external_id"], order))
-    made = embed(chunk_ids(chunking.chunk_corpus(valid, **sizes)), "content", encoder)
-    gated = tables.gate_embeddings(valid, made)
-    passed = gated.filter("code is null").select("external_id", F.col("dimension").alias("embedding_dimension"))
+    # each is read by several branches: ranked, cut and embedded once
+    valid, wrong_role = tables.validate_roles(saved(tables.latest(incoming, ["external_id"], order), "incoming"))
+    made = saved(embed(chunk_ids(chunking.chunk_corpus(valid, **sizes)), "content", encoder), "embedded")
+    gated = saved(tables.gate_embeddings(valid, made), "gated")
     counted = made.groupBy("external_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+    passed = saved(gated.filter("code is null").select("external_id", F.col("dimension").alias("embedding_dimension")).join(counted, "external_id"), "passed")
     fresh = (
         valid.drop("embedding_dimension", "embedding_model", "chunk_count", "characters")
         .join(passed, "external_id")
-        .join(counted, "external_id")
         .withColumn("embedding_model", F.lit(model))
         .withColumn("characters", F.char_length("content"))
     )
     rejected = wrong_role.select("external_id", "code").unionByName(gated.filter("code is not null").select("external_id", "code"))
     return {
-        "documents": tables.upsert_documents(docs, fresh.select(*docs.columns), order),
-        "chunks": tables.replace_chunks(chunks, fresh, made.select(*chunks.columns)),
+        "documents": tables.put_documents(docs, fresh.select(*docs.columns)),
+        "chunks": tables.replace_chunks(chunks, passed, made.select(*chunks.columns)),
         "rejected": rejected,
     }
 
