@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -19,6 +21,11 @@ def _rx(pattern: str) -> Column:
     return F.lit(pattern)
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that it names more than once: as the item of an array the value is computed once."""
+    return F.transform(F.array(value), make)[0]
+
+
 def normalise_text(text: Column) -> Column:
     """One kind of line end, no control characters, no blanks at line ends, at most one empty line, trimmed."""
     text = F.regexp_replace(text, "\r\n?", "\n")
@@ -69,6 +76,17 @@ def _latin_fold() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
     return "".join(source), "".join(target), tuple(expand), marks
 
 
+def _class(chars: str) -> str:
+    """A character class by ranges: patterns try each of its members in turn."""
+    points, runs = sorted(set(map(ord, chars))), []
+    for c in points:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents, straight apostrophes: as NFKD without combining marks for Latin letters."""
     source, target, expand, marks = _latin_fold()
@@ -77,7 +95,24 @@ def fold(text: Column) -> Column:
     for c, plain in expand:
         wide = F.replace(wide, F.lit(c), F.lit(plain))
     # few texts hold a ligature or another letter that becomes several
-    return F.lower(F.when(text.rlike(f"[{''.join(c for c, _ in expand)}]"), wide).otherwise(text))
+    return F.lower(F.when(text.rlike(_class("".join(c for c, _ in expand))), wide).otherwise(text))
+
+
+@lru_cache(maxsize=64)
+def _folded_pattern(words: tuple[str, ...]) -> str:
+    source, target, _, marks = _latin_fold()
+    like = lambda c: _class(c + c.upper() + "".join(s for s, t in zip(source, target, strict=True) if t == c))
+    shortest = [w for w in words if not any(v in w for v in words if v != w)]
+    return "|".join(f"{_class(marks)}*".join(map(like, w)) for w in shortest)
+
+
+def fold_contains(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether the folded text contains one of the words (of a to z, no k), by one pattern instead of folding all of it."""
+    if not all(re.fullmatch("[a-jl-z]+", w) for w in words):
+        raise ValueError("words of a to z without k: signs and the kelvin sign fold in other ways")
+    expand = _class("".join(c for c, _ in _latin_fold()[2]))
+    folded = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(fold(text), w))
+    return F.when(text.rlike(expand), folded).otherwise(text.rlike(_folded_pattern(words)))
 
 
 def same_text_key(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..scratch import saved
 from .cleaning import CALENDAR
 
 MONTHS = list(CALENDAR[:12])
@@ -90,13 +91,19 @@ def unique_folded(values: Column) -> Column:
 def header_fields(docs: DataFrame) -> DataFrame:
     """(doc_id, school_year, weekly_hours, subject, grade_label) read in the first forty lines; null where missing."""
     head = F.array_join(F.slice(F.split("text", "\r\n|\n|\r"), 1, 40), "\n")
-    got = lambda p, g: F.nullif(F.regexp_extract("head", p, g), F.lit(""))
     year = "(\\d{4})\\s*[–—-]\\s*(\\d{4})"
-    field = lambda n: F.nullif(_strip(F.regexp_replace(_strip(F.regexp_extract("head", FIELD.format(n), 2), " |"), HOURS, ""), " ()|"), F.lit(""))
-    return docs.select("doc_id", head.alias("head")).select(
+    # each pattern goes over the head once, what follows reads its short match
+    found = docs.select("doc_id", head.alias("head")).select(
         "doc_id",
-        F.when(got(year, 1).isNotNull(), F.concat_ws("-", got(year, 1), got(year, 2))).alias("school_year"),
-        got(HOURS, 1).cast("int").alias("weekly_hours"),
+        F.regexp_extract("head", year, 0).alias("year"),
+        F.when(F.col("head").rlike("(?iU)/\\s*semaine"), F.regexp_extract("head", HOURS, 1)).otherwise("").alias("hours"),
+        *(F.regexp_extract("head", FIELD.format(n), 2).alias(n) for n in ("discipline", "niveau")),
+    )
+    field = lambda n: F.nullif(_strip(F.regexp_replace(_strip(F.col(n), " |"), HOURS, ""), " ()|"), F.lit(""))
+    return found.select(
+        "doc_id",
+        F.when(F.col("year") != "", F.concat_ws("-", F.regexp_extract("year", year, 1), F.regexp_extract("year", year, 2))).alias("school_year"),
+        F.nullif("hours", F.lit("")).cast("int").alias("weekly_hours"),
         field("discipline").alias("subject"),
         field("niveau").alias("grade_label"),
     )
@@ -105,12 +112,16 @@ def header_fields(docs: DataFrame) -> DataFrame:
 def schedule_rows(docs: DataFrame) -> DataFrame:
     """Table rows with their month, role cells and the number of their chapter (0: before the first)."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\r\n|\n|\r", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("line", _strip(F.col("line"))).filter(F.col("line").startswith("|"))
+    # only what stands at the ends of a line tells whether the pattern has to go over it
+    edged = F.left("line", F.lit(1)).rlike("\\s") | F.right("line", F.lit(2)).rlike("\\s$")
+    rows = rows.withColumn("line", F.when(edged, _strip(F.col("line"))).otherwise(F.col("line"))).filter(F.col("line").startswith("|"))
+    # a header names the weeks
+    rows = rows.withColumn("may_head", tx.fold_contains(F.col("line"), ROLES["weeks"]))
     rows = rows.withColumn("cells", tx.markdown_cells(F.col("line"))).withColumn("month_row", month_of(F.col("cells")))
     by_doc = Window.partitionBy("doc_id")
     in_order = by_doc.orderBy("line_no")
     rows = rows.withColumn("month", F.last("month_row", ignorenulls=True).over(in_order)).filter("month_row is null")
-    rows = rows.withColumn("roles", header_roles(F.col("cells")))
+    rows = rows.withColumn("roles", F.when(F.col("may_head"), header_roles(F.col("cells"))))
     header = F.min(F.when(F.col("roles.weeks") >= 0, F.struct("line_no", "roles"))).over(by_doc)
     rows = rows.withColumn("header", header).filter("header is null or line_no != header.line_no").withColumn("ruled", F.coalesce(F.col("line_no") > F.col("header.line_no"), F.lit(False)))
     cell = lambda n, i: F.coalesce(F.get("cells", i), F.lit("")) if n is None else F.when(F.col(f"header.roles.{n}") >= 0, F.coalesce(F.get("cells", F.col(f"header.roles.{n}")), F.lit(""))).otherwise("")
@@ -128,7 +139,7 @@ def schedule_rows(docs: DataFrame) -> DataFrame:
 
 def parse_plannings(docs: DataFrame) -> dict[str, DataFrame]:
     """``entries`` (doc_id, position, chapter, details, part, objectives, assessments, periods) and ``plannings`` with header fields and warnings."""
-    rows = schedule_rows(docs)
+    rows = saved(schedule_rows(docs), "schedule")
     mine = rows.filter("chapter_no > 0 and (opens or objectives_cell != '' or assessments_cell != '')")
     tests = F.when(F.col("new") | ~F.col("opens"), items_of(F.col("assessments_cell"))).otherwise(F.array().cast("array<string>"))
     ordered = lambda value: F.sort_array(F.collect_list(F.struct("line_no", value.alias("v"))))
