@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.slices import text_slices
 from ..scratch import saved
 
 #: Characters of an anchor, and so of the shortest quote.
@@ -49,7 +50,7 @@ def _in_course(h: np.ndarray, course: int) -> np.ndarray:
 
 
 def _owned(batches):
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in text_slices(whole, "q")):
         found = [_in_course(np.array([min(int(h.min()) for h in _windows(q))], np.uint64), c)[0] for q, c in zip(batch.column("q").to_pylist(), batch.column("course").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*batch.schema.names, "anchor"])
 
@@ -77,7 +78,7 @@ def quoted_places(quotes: DataFrame, sections: DataFrame) -> DataFrame:
     bitmap = _bitmap(asked, bits)
 
     def hits(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in text_slices(whole, "body")):
             rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for i, (body, course) in enumerate(zip(batch.column("body").to_pylist(), batch.column("course").to_pylist(), strict=True)):
                 for h in _windows(body):
