@@ -30,6 +30,10 @@ BLOCK = 2048
 #: Passages that are met whole: bounds for so few blocks cost more than they exclude.
 FEW = 4 * BLOCK
 QUERIES = 50_000
+#: Members of a block, about, where scopes are small: of smaller ones each query would visit very many.
+FULL = 4
+#: Rows of a task, about: its vectors and visits are sorted in memory.
+ROWS = 100_000
 _KEYS = ["dim", "scope", "of", "cell", "split", "part"]
 
 
@@ -110,9 +114,10 @@ def _place(df: DataFrame, cells: Cells, homes: int, codes: bool) -> DataFrame:
     return df.mapInArrow(run, f"id {kinds['id']}, scope string, of string, dim int, cell int, angle double, v {'binary' if codes else kinds['v']}")
 
 
-def _asked(queries: DataFrame, cells: Cells, on: list[str], probes: int | None) -> DataFrame:
+def _asked(queries: DataFrame, cells: Cells, on: list[str], probes: int | None, tasks: int = 1) -> DataFrame:
     """(query_id, scope, dim, cell, angle): one row for each cell that a query may visit, the nearest ``probes`` or all."""
     rows = usable(queries, "vector").filter(_known(on)).select("query_id", _scope(on).alias("scope"), F.col("vector").alias("v"))
+    rows = rows.repartition(tasks) if tasks > 1 else rows
 
     def run(batches):
         for batch in batches:
@@ -142,9 +147,18 @@ def _directory(placed: DataFrame, block: int) -> DataFrame:
     return placed.groupBy("dim", "scope", "of", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("inner"), F.max("angle").alias("outer")).withColumn("blocks", F.expr(f"cast((n + {block - 1}) div {block} as int)"))
 
 
+def _tasks(directory: DataFrame, asking: int, parts: int = 1) -> int:
+    """Tasks of about ``ROWS`` rows if so many queries visit every block of their scope: the adaptive size counts packed bytes, and repeated vectors pack well."""
+    scopes = directory.groupBy("dim", "scope").agg(F.sum("blocks").alias("blocks"), F.sum("n").alias("n"))
+    most = scopes.agg(F.max("blocks").alias("blocks"), F.sum("n").alias("n")).first()
+    return 1 + max(asking * (most["blocks"] or 0), parts * (most["n"] or 0)) // ROWS
+
+
 def _meet(placed: DataFrame, directory: DataFrame, visits: DataFrame, queries: DataFrame, k: int, codes: bool) -> DataFrame:
     """(query_id, of, id, distance): the k nearest of each query in each block that it visits; ``visits`` has query_id and the cell's key."""
-    parts = 1 + queries.count() // QUERIES  # a block meets a part of the queries at once
+    count = queries.count()
+    parts = 1 + count // QUERIES  # a block meets a part of the queries at once
+    tasks = _tasks(directory, count, parts)
     key = ["dim", "scope", "of", "cell"]
     split = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
@@ -152,6 +166,8 @@ def _meet(placed: DataFrame, directory: DataFrame, visits: DataFrame, queries: D
     asking = visits.join(queries.select("query_id", F.col("vector").alias("v")), "query_id")
     part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
     right = asking.select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("split"), part.alias("part"), "query_id", "v")
+    if tasks > 1:
+        left, right = left.repartition(tasks, *_KEYS), right.repartition(tasks, *_KEYS)
 
     def members_of(table: pa.Table) -> np.ndarray:
         if not codes:
@@ -198,16 +214,24 @@ def exact(passages: DataFrame, queries: DataFrame, on: list[str], k: int, by: li
     """(query_id, of, id, distance, rank) of the k nearest passages of each query and value of ``by``, and the visits.
 
     ``passages``: chunk_id (unique), embedding and the columns ``on`` and ``by``; ``queries``: query_id
-    (unique), vector and ``on``.  Vectors without a direction and scopes with a null find nothing;
+    (unique), vector and ``on``.  There are no more cells than a scope and value of ``by`` fill with
+    a ``FULL``th of a block each.  Vectors without a direction and scopes with a null find nothing;
     vectors of different sizes never meet; distances equal to nine digits go by id.  Up to ``few``
     passages are one cell, whose blocks all queries of their scope visit.
     """
     whole = cells is None and usable(passages, "embedding").limit(few + 1).count() <= few
-    cells = cells or (Cells({}) if whole else learn_cells(passages))
+    if cells is None and not whole:
+        sizes = usable(passages, "embedding").filter(_known(on)).groupBy(_scope(on), _scope(by or [])).agg(F.count(F.lit(1)).alias("n"))
+        held = sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).first()
+        fill = (held["n"] or 0) // max(1, held["groups"] * (block // FULL))
+        cells = learn_cells(passages, cells=max(1, min(fill, round((held["n"] or 0) ** 0.5))))
+    cells = cells or Cells({})
     rows = usable(passages, "embedding").filter(_known(on)).select(F.col("chunk_id").alias("id"), _scope(on).alias("scope"), _scope(by or []).alias("of"), F.col("embedding").alias("v"))
     placed = saved(_place(rows, cells, 1, False), "placed")
     directory = saved(_directory(placed, block), "cells")
-    possible = _asked(queries, cells, on, None).join(directory, ["dim", "scope", "cell"])
+    tasks = _tasks(directory, queries.count())
+    possible = _asked(queries, cells, on, None, tasks).join(directory, ["dim", "scope", "cell"])
+    possible = possible.repartition(tasks, "query_id", "of") if tasks > 1 else possible
     if whole:
         return _best(_meet(placed, directory, possible, queries, k, False), k), Visits(possible, possible)
     # of those that hold k passages the nearest cell, else the nearest

@@ -102,3 +102,16 @@ def test_approximate_search_recall_and_candidates(spark):
 def test_a_vector_that_many_passages_share(spark):
     passages = table(spark, [[1, 2, 3]] * 500 + [[3, 2, i % 9] for i in range(100)])
     assert got(retrieval.search(passages, asked(passages, 50), [], 4, block=32, few=0)) == brute(passages.collect(), 50, 4)
+
+
+def test_small_scopes_have_few_cells_and_tasks_a_bounded_number_of_rows(spark, monkeypatch):
+    """Visits follow full blocks, not the root of all rows; what a task sorts is bounded by their number."""
+    rng = np.random.default_rng(4)
+    passages = table(spark, rng.normal(size=(600, 8)), lambda i: (f"l{i % 4}", f"r{i % 3}"))
+    queries = asked(passages, 20)
+    _, visits = neighbours.exact(passages, queries, ["language"], 3, ["role"], block=64, few=0)
+    assert visits.possible.count() <= queries.count() * 3 * 3  # 50 rows a group fill 3 cells at most
+    monkeypatch.setattr(neighbours, "ROWS", 40)
+    found, visits = neighbours.exact(passages, queries, ["language"], 3, ["role"], block=64, few=0)
+    assert visits.possible.rdd.getNumPartitions() > 4
+    assert got(found) == brute(passages.collect(), 20, 3, True, True)
