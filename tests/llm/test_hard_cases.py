@@ -198,6 +198,39 @@ def test_topk_skips_blocks():
         assert searcher.found[q][: len(want)].tolist() == [k for _, k in want]
 
 
+def test_topk_scores_few_rows_exactly_and_copies_in_bounded_lists(monkeypatch):
+    """Postings are summed in units rounded up: rows wait for their exact score until all shards are read, copies beyond the limit don't."""
+    texts = corpus(600) + ["x1 x2 x3 y5 z7"] * 90 + ["x1 " * 40_000 + "x2"]
+    sizes = topk.Sizes(shard_rows=40, block_rows=8, query_rows=30, pass_rows=7, frequent=0.1, candidates=12, postings=50)
+    mean = sum(len(t.split()) for t in texts) / len(texts)
+    order = random.Random(8).sample(range(len(texts)), len(texts))
+    shards = []
+    for at in range(0, len(texts), 40):
+        some = np.array(order[at : at + 40])
+        row, term, tf, lengths = topk.counted(pa.array([texts[i] for i in some]))
+        shard = topk.make_shard([(some, row, term, tf, lengths)])
+        shards.append((shard, topk.make_maxima(shard, mean, sizes)))
+    df = Counter()
+    for s, _ in shards:
+        df.update(dict(zip(s["terms"].tolist(), np.diff(s["starts"]).tolist())))
+    asked = texts[:20] + ["x1 x2 x3 y5 z7", "x1 x2", "y5 " * 700 + "z7"]
+    row, term, tf, _ = topk.counted(pa.array(asked))
+    idf = np.array([math.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) for t in term.tolist()])
+    block = {"ids": np.arange(len(asked)), "starts": np.searchsorted(row, np.arange(len(asked) + 1)), "terms": term, "weights": tf * idf}
+    searcher = topk.Searcher(block, 5, mean, sizes)
+    scored, exact = [], searcher._exact
+    monkeypatch.setattr(searcher, "_exact", lambda some, *rest: scored.append(len(some)) or exact(some, *rest))
+    for shard, peaks in shards:
+        searcher.add(shard, peaks, lambda shard=shard: shard)
+        assert np.bincount(searcher.kept["query"]).max() <= 12 + 5
+    found = searcher.found
+    assert sum(scored) < 25 * len(asked)
+    for q, text in enumerate(asked):
+        want = sorted((-round(s, 9), k) for k, s in enumerate(scores(texts, text)) if s > 0)[:5]
+        assert found[q].tolist() == [k for _, k in want], q
+        assert searcher.kept["low"][searcher.kept["query"] == q].tolist() == pytest.approx([-s for s, _ in want], abs=1e-8)
+
+
 def test_mixing_without_ids_and_without_words(spark):
     rng = random.Random(4)
     rows = [(None, " ".join(rng.choice("abcdefgh") for _ in range(20)) + " %d" % i, "a") for i in range(400)] + [(i, " ".join(["w"] * 20), "b") for i in range(400)]
