@@ -118,7 +118,8 @@ def encoding_issues(df: DataFrame, id_col: str, text_col: str = "text") -> DataF
 def ocr_runs(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Three or more one- or two-letter pieces in a row that are no short words; a formula if the surroundings look like one."""
     piece = f"(?!(?iu:{'|'.join(SHORT_WORDS)})(?!\\S)){ANY_LETTER}{{1,2}}(?!\\S)"
-    hit = df.select(id_col, text_col, F.explode(tx.spans(F.col(text_col), f"(?<!\\S){piece}(?:\\s+{piece}){{2,}}")).alias("s"))
+    # possessive: nothing follows the pieces, and without it the pattern goes a call deeper with each, past the stack in long runs
+    hit = df.select(id_col, text_col, F.explode(tx.spans(F.col(text_col), f"(?<!\\S){piece}(?:\\s+{piece}){{2,}}+")).alias("s"))
     near = tx.around(F.col(text_col), F.col("s.start"), F.col("s.end"), 15)
     mathy = near.rlike(f"[{MATH}\\p{{Nd}}²³¹=+^\\x{{1D400}}-\\x{{1D7FF}}]")
     return hit.select(id_col, *_issue(F.when(mathy, "FORMULA").otherwise("OCR_NOISE"), F.col("s.start"), F.col("s.end"), F.col("s.match")))
