@@ -25,6 +25,8 @@ CALENDAR = (
     "décembre", "lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche",
 )
 PAGE_MARK = "(?m)^## p\\. \\d+$"
+#: What goes at the ends of a page.
+PAGE_BLANKS = " \t\n\f\r"
 #: What begins a list item, and what ends a sentence.
 LIST_ITEM = "^\\s*([-•*—]|\\d+[.)])\\s+"
 ENDS = "[.!?…:;»\"]\\s*$"
@@ -32,9 +34,13 @@ ENDS = "[.!?…:;»\"]\\s*$"
 
 def assemble_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, text): filled pages in order, each under its marker."""
-    filled = pages.filter(F.coalesce("text", F.lit("")).rlike("\\S"))
-    body = F.concat(F.lit("## p. "), F.col("page_no").cast("string"), F.lit("\n\n"), F.regexp_replace("text", "^\\s+|\\s+$", ""))
-    packed = filled.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", body.alias("body")))).alias("p"))
+    return join_pages(pages.filter(F.coalesce("text", F.lit("")).rlike("\\S")))
+
+
+def join_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, text): all pages in order, each under its marker; of a blank page the marker stays."""
+    body = F.concat(F.lit("## p. "), F.col("page_no").cast("string"), F.lit("\n\n"), F.btrim(F.coalesce("text", F.lit("")), F.lit(PAGE_BLANKS)))
+    packed = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", body.alias("body")))).alias("p"))
     return packed.select("doc_id", F.array_join(F.transform("p", lambda x: x["body"]), "\n\n").alias("text"))
 
 
