@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import saved
 from . import quality
 
 #: (how bytes were read, how they should have been) of each candidate repair.
@@ -51,6 +52,11 @@ def repaired(text: Column, candidate: tuple[str, str]) -> Column:
     return F.when(byte.between(0x80, 0xFF), F.get(F.array(F.element_at(table, byte)), F.lit(0))).otherwise(plain)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Few bytes that take much time, over all cores: the adaptive size counts bytes."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def choose_font_tables(words: DataFrame) -> DataFrame:
     """(doc_id, font, candidate, label, readable): the candidate whose reading makes a font most plausible, -1 for none.
 
@@ -64,13 +70,16 @@ def choose_font_tables(words: DataFrame) -> DataFrame:
     good = lambda c: plain_one(c, c.rlike("[AEIOUYaeiouy]|^[A-Za-z]{1,2}[.,;:!?]?$").cast("int"), f"(?<!{quality.LETTER})(?:{quality.WORD})(?!{quality.LETTER})")
     pieces = lambda c: plain_one(c, F.lit(1), quality.ANY_LETTER + "+")
     judged = lambda c: (tokens(c).alias("n"), good(c).alias("good"), pieces(c).alias("after"))
-    plain = once.select("doc_id", "font", "text", "k", *judged(F.col("text")))
+    # read by two branches: each word is judged once
+    own = once.select("doc_id", "font", "k", *judged(F.col("text"))).groupBy("doc_id", "font")
+    own = saved(own.agg(F.sum("k").alias("words"), *(F.sum(F.col(c) * F.col("k")).alias(c) for c in ("n", "good", "after"))).withColumn("before", F.col("after")), "fonts")
     reads = F.array(*(F.struct(F.lit(i).alias("candidate"), repaired(F.col("text"), c).alias("read")) for i, c in enumerate(CANDIDATES)))
     may = F.col("text").rlike(CHANGEABLE)
-    changed = plain.filter(may).select("*", F.explode(F.filter(reads, lambda v: v["read"] != F.col("text"))).alias("v"))
-    delta = changed.select("doc_id", "font", "v.candidate", *((c - F.col(name)) * F.col("k") for c, name in zip(judged(F.col("v.read")), ("n", "good", "after"), strict=True)))
-    delta = delta.toDF("doc_id", "font", "candidate", "n", "good", "after").groupBy("doc_id", "font", "candidate").agg(*(F.sum(c).alias(f"d_{c}") for c in ("n", "good", "after")))
-    own = plain.groupBy("doc_id", "font").agg(F.sum("k").alias("words"), *(F.sum(F.col(c) * F.col("k")).alias(c) for c in ("n", "good", "after"))).withColumn("before", F.col("after"))
+    # a word reads alike in all documents and fonts: its readings are judged once, and meet its rows
+    plain = _spread(words.filter(may).select("text").distinct()).select("text", *judged(F.col("text")))
+    changed = plain.select("*", F.explode(F.filter(reads, lambda v: v["read"] != F.col("text"))).alias("v"))
+    moves = changed.select("text", "v.candidate", *((c - F.col(name)).alias(f"d_{name}") for c, name in zip(judged(F.col("v.read")), ("n", "good", "after"), strict=True)))
+    delta = once.filter(may).join(moves, "text").groupBy("doc_id", "font", "candidate").agg(*(F.sum(F.col(f"d_{c}") * F.col("k")).alias(f"d_{c}") for c in ("n", "good", "after")))
     moved = own.join(delta, ["doc_id", "font"]).select("doc_id", "font", "candidate", "words", *((F.col(c) + F.col(f"d_{c}")).alias(c) for c in ("n", "good", "after")), "before")
     sums = own.withColumn("candidate", F.lit(-1)).unionByName(moved)
     split = F.when(F.col("before") > 0, F.greatest(F.lit(1.0), F.col("after") / F.col("before"))).otherwise(1.0)
@@ -103,8 +112,10 @@ def word_plan(words: DataFrame, tables: DataFrame) -> DataFrame:
     chosen = reduce(lambda w, ic: w.when(F.col("candidate") == ic[0], repaired(F.col("text"), ic[1])), enumerate(CANDIDATES), F).otherwise(F.col("text"))
     # all readings leave other words as they are, and equal words of a font are read alike
     once = words.filter(F.col("text").rlike(CHANGEABLE)).select("doc_id", "font", "text").distinct()
-    read = once.join(tables.select("doc_id", "font", "candidate"), ["doc_id", "font"], "left").withColumn("fixed", chosen)
-    each = read.select("doc_id", F.col("text").alias("word"), rescue(F.col("fixed")).alias("fixed"))
+    read = once.join(tables.select("doc_id", "font", "candidate"), ["doc_id", "font"], "left").withColumn("candidate", F.coalesce("candidate", F.lit(-1)))
+    # a word in a reading is repaired alike in all documents: once, and met by its rows; a filter here would go down to them
+    fixed = _spread(read.select("text", "candidate").distinct()).select("text", "candidate", chosen.alias("read")).select("text", "candidate", rescue(F.col("read")).alias("fixed"))
+    each = read.join(fixed, ["text", "candidate"]).select("doc_id", F.col("text").alias("word"), "fixed")
     agreed = each.groupBy("doc_id", "word").agg(F.min("fixed").alias("fixed"), F.max("fixed").alias("other"))
     return agreed.filter("fixed = other and fixed != word").select("doc_id", "word", "fixed")
 
